@@ -32,7 +32,7 @@ SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 128
 SHARD_BLOCKS, MAX_SHARDS = 4096, 4096
 #: Documents in a bucket of a source's stream; a bucket is what one task sums up in order.
-BUCKET_DOCS = 2048
+BUCKET_DOCS = 256
 MAX_SOURCES = 1_000_000
 SEED = 7
 
