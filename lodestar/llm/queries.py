@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lm, merkle, mixing, neardup, quality, sentencepiece, toxicity
+from . import langid, licenses, lm, merkle, mixing, neardup, quality, sentencepiece, suffixes, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_lm_scores, op5_license_scan, op6_merkle_fingerprints, op7_source_mix, op8_sentencepiece, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_lm_scores, op5_license_scan, op6_merkle_fingerprints, op7_source_mix, op8_sentencepiece, op9_minhash_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
