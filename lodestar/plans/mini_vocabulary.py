@@ -23,6 +23,7 @@ CLASSES: dict[str, list[str]] = {
     "ceterms:CredentialOrganization": ["ceterms:Organization"],
     "ceterms:Credential": [],
     "ceterms:Certification": ["ceterms:Credential"],
+    "ceterms:Certificate": ["ceterms:Credential"],
     "ceterms:LearningOpportunityProfile": [],
     "ceterms:Course": ["ceterms:LearningOpportunityProfile"],
     "ceterms:LearningProgram": ["ceterms:LearningOpportunityProfile", "schema:EducationalOccupationalProgram"],

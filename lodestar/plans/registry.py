@@ -1,21 +1,287 @@
-"""Queries of the engine by name, and the SQL that checks them."""
+"""Queries of the engine over the provided tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import identifiers as I
+from ..operators import checks, findings, mapping, markup, survey
+from . import projection
+from .mini_vocabulary import CLASSES, PREFIXES, mini
 
 Query = Callable[[SparkSession, str], DataFrame]
+COLUMNS = ("doc_id", "code", "severity", "entity", "property", "value")
+
+#: query: the check that runs and the codes it is asked for
+FAMILIES = {
+    "ctid_grammar": (checks.ctid_format, ("CTID_BARE_UUID", "CTID_UPPERCASE", "CTID_MALFORMED", "CTID_NOT_UUIDV4")),
+    "ctid_uri_mismatch": (checks.ctid_format, ("CTID_URI_MISMATCH",)),
+    "registry_uri": (checks.ctid_format, ("REGISTRY_URI_MALFORMED",)),
+    "ref_kind": (checks.identifier_kind, ("REF_BARE_UUID", "REF_BARE_CTID", "REF_NOT_IRI")),
+    "ref_resolution": (checks.references, ("REF_UNRESOLVED_BNODE", "REF_OUTSIDE_PAYLOAD", "REF_RESOLVED_SUPPLIED")),
+    "unknown_terms": (checks.domain_and_range, ("UNKNOWN_CLASS", "UNKNOWN_PROPERTY")),
+    "domain": (checks.domain_and_range, ("DOMAIN_VIOLATION",)),
+    "range": (checks.domain_and_range, ("RANGE_VIOLATION",)),
+    "range_dispositions": (checks.domain_and_range, ("CONCEPT_RANGE_CONFLICT", "VERSION_RANGE_CONFLICT", "RANGE_DOCS_CONFLICT")),
+    "framework_mismatch": (checks.domain_and_range, ("ISPARTOF_FRAMEWORK_MISMATCH",)),
+    "inverse": (checks.inverses, ("INVERSE_ONE_DIRECTION", "INVERSE_MISMATCH")),
+}
+
+
+def _session(spark: SparkSession, sf_dir: str, beside: bool = False) -> checks.Session:
+    return checks.session(projection.corpus(spark, sf_dir), mini(), projection.supplied(spark, sf_dir) if beside else None)
+
+
+def _family(name: str) -> Query:
+    check, codes = FAMILIES[name]
+    return lambda spark, sf_dir: check(_session(spark, sf_dir)).where(F.col("code").isin(*codes)).select(*COLUMNS).distinct()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return checks.validate(_session(spark, sf_dir)).select(*COLUMNS, "message", "rule")
+
+
+def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.validate(_session(spark, sf_dir)).select(*COLUMNS)
+
+
+def ref_resolution_supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _session(spark, sf_dir, beside=True)
+    found = checks.references(s).unionAll(checks.domain_and_range(s).where("code = 'RANGE_VIOLATION'"))
+    return found.where("code != 'REF_UNRESOLVED_BNODE'").select(*COLUMNS).distinct()
+
+
+def finalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.per_document(projection.corpus(spark, sf_dir), checks.validate(_session(spark, sf_dir)))
+
+
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _session(spark, sf_dir)
+    return findings.exit_codes(projection.corpus(spark, sf_dir), s.nodes, checks.validate(s), "warning")
+
+
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mini().class_table(spark).select("term", F.explode("ancestors").alias("ancestor"))
+
+
+_CLOSURE_SQL = f"""WITH RECURSIVE p(term, parent) AS (VALUES {', '.join(f"('{c}', '{x}')" for c, ps in CLASSES.items() for x in ps)}),
+c(term) AS (VALUES {', '.join(f"('{c}')" for c in CLASSES)}),
+r(term, ancestor) AS (SELECT term, term FROM c UNION SELECT r.term, p.parent FROM r JOIN p ON p.term = r.ancestor) SELECT term, ancestor FROM r"""
+
+_IRIS = "CASE k % 5 WHEN 0 THEN concat('https://purl.org/ctdl/terms/t', cast(k as varchar(20))) WHEN 1 THEN concat('https://schema.org/s', cast(k as varchar(20))) WHEN 2 THEN 'https://purl.org/ctdlasn/terms/' WHEN 3 THEN concat('https://example.org/', cast(k as varchar(20))) ELSE concat('ceterms:x', cast(k as varchar(20))) END"
+
+
+def compact_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(f"SELECT DISTINCT iri FROM (SELECT {_IRIS} AS iri FROM (SELECT o_orderkey AS k FROM orders))").select("iri", I.compact_iri(F.col("iri"), PREFIXES).alias("term"))
+
+
+_COMPACT_SQL = f"""SELECT DISTINCT iri, CASE WHEN starts_with(iri, 'https://purl.org/ctdl/terms/') THEN 'ceterms:' || substr(iri, 29)
+  WHEN starts_with(iri, 'https://schema.org/') THEN 'schema:' || substr(iri, 20) ELSE iri END AS term FROM (SELECT {_IRIS} AS iri FROM (SELECT o_orderkey AS k FROM orders))"""
+
+_SHOWN = f"CASE k % 6 WHEN 0 THEN {projection.ctid('o', 'k')} WHEN 1 THEN concat('{projection.R}', {projection.ctid('o', 'k')}) WHEN 2 THEN 'ceterms:ownedBy' WHEN 3 THEN concat('a name ', cast(k as varchar(20))) WHEN 4 THEN '_:b1' ELSE concat('https://example.org/', cast(k as varchar(20))) END"
+
+
+def identifier_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(f"SELECT k, {_SHOWN} AS v FROM (SELECT DISTINCT o_orderkey AS k FROM orders)").select("k", I.identifier_only(F.col("v")).alias("shown"))
+
+
+_ALLOW_SQL = f"SELECT k, CASE WHEN k % 6 IN (3, 5) THEN concat('<withheld: ', cast(length(v) as varchar(20)), ' characters>') ELSE v END AS shown FROM (SELECT k, {_SHOWN} AS v FROM (SELECT DISTINCT o_orderkey AS k FROM orders))"
+
+
+def first_id_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nodes with one @id: references go to the first."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    kind = lambda odd: F.when(F.col("c_custkey") % 2 == odd, "ceterms:Place").otherwise("ceterms:Organization")
+    raw = F.concat(F.lit('[{"@id": "_:a", "@type": "ceterms:Certification", "ceterms:ownedBy": "_:o"}, {"@id": "_:o", "@type": "'), kind(0), F.lit('"}, {"@id": "_:o", "@type": "'), kind(1), F.lit('"}]'))
+    docs = c.select(F.col("c_custkey").cast("string").alias("doc_id"), raw.alias("raw"))
+    return checks.domain_and_range(checks.session(docs, mini())).select(*COLUMNS).distinct()
+
+
+def supplied_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that supply one @id: the first in order counts."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    raw = F.format_string('{"@id": "https://example.org/%d", "@type": "ceterms:Organization"}', F.col("c_custkey") % 100)
+    docs = c.select(F.col("c_custkey").cast("string").alias("doc_id"), raw.alias("raw"), F.format_string("c%d.json", "c_custkey").alias("source"), F.col("c_custkey").alias("set_ord"))
+    return checks.supplied_entities(docs, mini()).select("node_id", "source")
+
+
+# Pages: one of five kinds of markup is put before the html of each.
+_KINDS = [
+    "",
+    '<script type="application/ld+json">{"@context": "https://schema.org", "@type": "Course", "name": "Welding", "courseCode": "W1", "provider": {"@type": "Organization", "name": "College"}, "offers": {"@type": "Offer"}}</script>',
+    '<div itemscope itemtype="https://schema.org/Organization" lang="en"><span itemprop="name">College</span><span itemprop="legalName"></span></div>',
+    '<div vocab="https://schema.org/" typeof="EducationalOccupationalProgram" about="x"><span property="name">P</span></div>',
+    '<script type="application/ld+json">{broken</script>',
+]
+_NOTES = {
+    0: [("NO_STRUCTURED_DATA", None, "(page)")],
+    1: [
+        ("CLASS_NOT_MAPPED", "json-ld[0].schema:offers[0]", "schema:Offer"),
+        ("LANGUAGE_UNDECLARED", "json-ld[0]", "ceterms:name"),
+        ("PROPERTY_NOT_MAPPED", "json-ld[0]", "schema:courseCode"),
+        ("PROPERTY_NOT_MAPPED", "json-ld[0]", "schema:offers"),
+        ("LANGUAGE_UNDECLARED", "json-ld[0].schema:provider[0]", "ceterms:name"),
+        ("CTID_ABSENT", "$.@graph", "ceterms:ctid"),
+    ],
+    2: [("EMPTY_VALUE", "microdata[0].schema:legalName[1]", "(value)"), ("CTID_ABSENT", "$.@graph", "ceterms:ctid")],
+    3: [("RDFA_BEYOND_LITE", "rdfa", "about"), ("CLASS_NOT_MAPPED", "rdfa[0]", "schema:EducationalOccupationalProgram"), ("CLASS_RELATED_NOT_EQUIVALENT", "rdfa[0]", "schema:EducationalOccupationalProgram")],
+    4: [("JSONLD_PARSE_ERROR", "json-ld[0]", "application/ld+json")],
+}
+_BLOCKS = {1: ("json-ld", 3, "schema:Course,schema:Organization,schema:Offer"), 2: ("microdata", 1, "schema:Organization"), 3: ("rdfa", 1, "schema:EducationalOccupationalProgram"), 4: ("json-ld", 0, "")}
+_ENTITIES = {1: [("_:n0", "ceterms:Course"), ("_:n1", "ceterms:Organization")], 2: [("_:n0", "ceterms:Organization")]}
+_VALUES = {1: [("json-ld[0]", "ceterms:name", "Welding", None), ("json-ld[0]", "ceterms:offeredBy", "_:n1", None), ("json-ld[0].schema:provider[0]", "ceterms:name", "College", None)], 2: [("microdata[0]", "ceterms:name", "College", "en")]}
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()).persist()
+
+
+def markup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = mapping.blocks_of(_pages(spark, sf_dir))
+    return b.select("page_id", "fmt", F.col("items").cast("long").alias("items"), F.array_join("types", ",").alias("types"))
+
+
+def class_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = mapping.extract(_pages(spark, sf_dir), mini())
+    return x.entities.select("page_id", "id", F.array_join("classes", ",").alias("classes"))
+
+
+def property_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.extract(_pages(spark, sf_dir), mini()).values.select("page_id", "path", "prop", "value", "language")
+
+
+def extract_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.extract(_pages(spark, sf_dir), mini()).notes.select("page_id", "code", "subject", "term")
+
+
+def extract_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of pages, checked in turn."""
+    raw = mapping.documents(mapping.extract(_pages(spark, sf_dir), mini())).withColumnRenamed("page_id", "doc_id")
+    return checks.validate(checks.session(raw, mini())).select(*COLUMNS)
+
+
+def _values_sql(rows: list[tuple], columns: str, extra: str = "") -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    names = ["kind", *columns.split(", ")]
+    values = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+    return f"SELECT cast(page_id as varchar) AS page_id, {extra or columns} FROM pages JOIN (VALUES {values}) v({', '.join(names)}) ON page_id % 5 = v.kind"
+
+
+_SURVEY = "(SELECT DISTINCT o_orderkey AS k, o_custkey AS publisher, o_orderpriority AS type FROM orders)"
+# Counts of codes in two passes: code, severity, how many in each pass, when.
+_CODES = [("DOMAIN_VIOLATION", "ERROR", "alone", "k % 3 + 1", "k % 7 = 0"), ("DOMAIN_VIOLATION", "ERROR", "resolved", "k % 3 + 1", "k % 7 = 0"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "alone", "k % 5 + 1", "k % 4 <> 0"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "resolved", "1", "k % 8 = 1"), ("REF_RESOLVED_SUPPLIED", "INFO", "resolved", "k % 5 + 1", "k % 4 <> 0 AND k % 8 <> 1")]
+_CODES_SQL = " UNION ALL ".join(f"SELECT k AS doc_id, '{p}' AS pass, '{c}' AS code, '{s}' AS severity, cast({n} as bigint) AS n FROM {_SURVEY} WHERE {w}" for c, s, p, n, w in _CODES)
+_DOCS_SQL = " UNION ALL ".join(f"SELECT k AS doc_id, type, '{p}' AS pass FROM {_SURVEY}" for p in ("alone", "resolved"))
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(text)
+
+
+def rollup_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.roll_up(_sql(spark, sf_dir, _DOCS_SQL), _sql(spark, sf_dir, _CODES_SQL))
+
+
+_ROLLUP_SQL = f"""WITH docs AS ({_DOCS_SQL}), codes AS ({_CODES_SQL}), both_ AS (SELECT type, doc_id, pass FROM docs UNION ALL SELECT '*', doc_id, pass FROM docs),
+d AS (SELECT b.type, b.pass, b.doc_id, coalesce(sum(c.n), 0) AS n, coalesce(bool_or(c.severity = 'ERROR'), false) AS err FROM both_ b LEFT JOIN codes c USING (doc_id, pass) GROUP BY ALL)
+SELECT type, pass, 'documents' AS measure, count(*)::BIGINT AS n FROM d GROUP BY ALL UNION ALL SELECT type, pass, 'clean', count(*) FILTER (n = 0) FROM d GROUP BY ALL
+UNION ALL SELECT type, pass, 'with_error', count(*) FILTER (err) FROM d GROUP BY ALL
+UNION ALL SELECT type, pass, 'severity:' || severity, sum(n)::BIGINT FROM both_ JOIN codes USING (doc_id, pass) GROUP BY ALL
+UNION ALL SELECT type, pass, 'code:' || code, sum(n)::BIGINT FROM both_ JOIN codes USING (doc_id, pass) GROUP BY ALL"""
+
+
+def type_table_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, f"SELECT CASE WHEN k % 1000 < 10 THEN concat('rare', cast(k % 1000 as varchar(20))) ELSE type END AS type FROM {_SURVEY}")
+    return survey.type_table(rows, 1000)
+
+
+def publisher_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.concentration(_sql(spark, sf_dir, f"SELECT publisher FROM {_SURVEY}"))
+
+
+def publisher_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.publisher_labels(_sql(spark, sf_dir, f"SELECT k AS page, publisher FROM {_SURVEY}"))
+
+
+def two_run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _sql(spark, sf_dir, _CODES_SQL)
+    of = lambda p: runs.where(F.col("pass") == p).select("doc_id", F.lit("x").alias("pass"), "code", "n")
+    return survey.compare_runs(of("alone"), of("resolved")).select("doc_id", "code", "before", "after")
+
+
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.settled(_sql(spark, sf_dir, _CODES_SQL))
+
+
+def only_unverifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.only_unverifiable(_sql(spark, sf_dir, _CODES_SQL))
+
+
+_ENVELOPES = f"SELECT k AS page, k % 11 = 0 AS failed, k % 13 <> 0 AS is_resource, CASE WHEN k % 17 = 0 THEN NULL ELSE publisher END AS ctid, k % 19 <> 0 AS has_resource, k % 23 <> 0 AS readable FROM {_SURVEY}"
+
+
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.exclusions(_sql(spark, sf_dir, _ENVELOPES)).select("page", "reason")
+
+
+_EXCLUSIONS_SQL = f"""WITH e AS ({_ENVELOPES}), p AS (SELECT *, NOT failed AND is_resource AND ctid IS NOT NULL AND has_resource AS ok FROM e), f AS (SELECT ctid, min(page) AS first_page FROM p WHERE ok GROUP BY 1)
+SELECT page, CASE WHEN failed THEN 'fetch-failed' WHEN NOT is_resource THEN 'not-a-resource-envelope' WHEN ctid IS NULL THEN 'no-ctid' WHEN NOT has_resource THEN 'no-decoded-resource' WHEN page > first_page THEN 'duplicate-ctid' WHEN NOT readable THEN 'unreadable-document' END AS reason FROM p LEFT JOIN f USING (ctid)"""
+
+_OPEN = f"SELECT CASE k % 4 WHEN 0 THEN concat('{projection.R}', {projection.ctid('o', 'k')}) WHEN 1 THEN 'ceterms:x' WHEN 2 THEN concat('https://credentialengineregistry.org.example/', cast(k as varchar(20))) ELSE '_:b' END AS iri FROM {_SURVEY}"
+
+
+def residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.residue(_sql(spark, sf_dir, _OPEN))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _sql(spark, sf_dir, f"SELECT publisher AS iri FROM {_SURVEY}")
+    return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
+
+
+_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, settled, only_unverifiable, exclusions, residue, neighbours)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _OWN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    every = projection.expected()
+    sev = ", ".join(f"count(*) FILTER (severity = '{s}')::BIGINT AS \"{s}\"" for s in findings.SEVERITIES)
+    out = {name: projection.expected(*codes) for name, (_, codes) in FAMILIES.items()}
+    notes = [(k, c, s, t) for k, rows in _NOTES.items() for c, s, t in rows]
+    return out | {
+        "validate_all": every,
+        "ref_resolution_supplied": projection.expected("REF_OUTSIDE_PAYLOAD", "REF_RESOLVED_SUPPLIED", "RANGE_VIOLATION", beside=True),
+        "finalize_counts": f"SELECT doc_id, {sev}, count(code)::BIGINT AS n_findings FROM (SELECT DISTINCT cast(o_orderkey as varchar) AS doc_id FROM orders) LEFT JOIN ({every}) USING (doc_id) GROUP BY 1",
+        "gate": f"SELECT doc_id, max(CASE WHEN severity IN ('ERROR', 'WARNING') THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM (SELECT DISTINCT cast(o_orderkey as varchar) AS doc_id FROM orders) LEFT JOIN ({every}) USING (doc_id) GROUP BY 1",
+        "closure": _CLOSURE_SQL,
+        "compact_iri": _COMPACT_SQL,
+        "identifier_allow_list": _ALLOW_SQL,
+        "first_id_wins": "SELECT cast(c_custkey as varchar) AS doc_id, 'RANGE_VIOLATION' AS code, 'ERROR' AS severity, '_:a' AS entity, 'ceterms:ownedBy' AS property, '_:o' AS value FROM customer WHERE c_custkey % 2 = 0",
+        "supplied_first_wins": "SELECT concat('https://example.org/', c_custkey % 100) AS node_id, concat('c', min(c_custkey), '.json') AS source FROM customer GROUP BY c_custkey % 100",
+        "markup_inventory": _values_sql([(k, *b) for k, b in _BLOCKS.items()], "fmt, items, types", "fmt, items::BIGINT AS items, types"),
+        "class_mapping": _values_sql([(k, i, c) for k, rows in _ENTITIES.items() for i, c in rows], "id, classes"),
+        "property_mapping": _values_sql([(k, *r) for k, rows in _VALUES.items() for r in rows], "path, prop, value, language"),
+        "extract_notes": _values_sql(notes, "code, subject, term", "code, coalesce(subject, url) AS subject, term"),
+        "extract_and_validate": f"SELECT * FROM ({every}) WHERE false",
+        "rollup_by_type": _ROLLUP_SQL,
+        "type_table_pooled": f"WITH t AS (SELECT CASE WHEN k % 1000 < 10 THEN concat('rare', k % 1000) ELSE type END AS type FROM {_SURVEY}), n AS (SELECT type, count(*) AS c FROM t GROUP BY 1) SELECT CASE WHEN c >= 1000 THEN type ELSE 'all other types' END AS type, sum(c)::BIGINT AS documents FROM n GROUP BY 1",
+        "publisher_concentration": f"WITH n AS (SELECT publisher, count(*) AS c FROM {_SURVEY} GROUP BY 1), t AS (SELECT count(*) AS keys, sum(c)::BIGINT AS documents FROM n), f AS (SELECT c FROM n ORDER BY c DESC, publisher LIMIT 5) SELECT keys, documents, round_even(100.0 * (SELECT max(c) FROM f) / documents, 0)::BIGINT AS top1_share, round_even(100.0 * (SELECT sum(c) FROM f) / documents, 0)::BIGINT AS top5_share FROM t",
+        "publisher_labels": f"SELECT publisher, printf('P%03d', row_number() OVER (ORDER BY min(k), publisher)) AS label FROM {_SURVEY} GROUP BY 1",
+        "two_run_diff": f"WITH c AS ({_CODES_SQL}), a AS (SELECT * FROM c WHERE pass = 'alone'), r AS (SELECT * FROM c WHERE pass = 'resolved') SELECT coalesce(a.doc_id, r.doc_id) AS doc_id, coalesce(a.code, r.code) AS code, coalesce(a.n, 0) AS before, coalesce(r.n, 0) AS after FROM a FULL JOIN r ON a.doc_id = r.doc_id AND a.code = r.code WHERE coalesce(a.n, 0) <> coalesce(r.n, 0)",
+        "settled": f"SELECT doc_id, sum(CASE WHEN severity <> 'UNVERIFIABLE' THEN 0 WHEN pass = 'alone' THEN n ELSE -n END)::BIGINT AS settled FROM ({_CODES_SQL}) GROUP BY 1 HAVING settled <> 0",
+        "only_unverifiable": f"WITH d AS (SELECT doc_id, pass, bool_and(severity = 'UNVERIFIABLE') AS u, bool_or(severity = 'ERROR') AS e FROM ({_CODES_SQL}) GROUP BY ALL) SELECT pass, count(*) FILTER (u) AS only_unverifiable, count(*) FILTER (NOT e) AS below_error FROM d GROUP BY 1",
+        "exclusions": _EXCLUSIONS_SQL,
+        "residue": f"SELECT CASE WHEN starts_with(iri, '{projection.R}') THEN 'registry' WHEN starts_with(iri, 'ceterms:') THEN 'vocabulary' WHEN starts_with(iri, '_:') THEN 'blank' ELSE 'other' END AS kind, count(*) AS n FROM ({_OPEN}) GROUP BY 1",
+        "neighbours": f"WITH r AS (SELECT DISTINCT publisher AS iri FROM {_SURVEY}), c AS (SELECT c_custkey AS iri, c_custkey % 5 <> 0 AS ok FROM customer WHERE c_custkey % 3 <> 0) SELECT count(*) AS referenced, count(*) FILTER (ok) AS fetched, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unresolved FROM r LEFT JOIN c USING (iri)",
+    }
