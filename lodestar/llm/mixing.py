@@ -199,7 +199,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # Rows that repeat share doc_id and text: n of them are told apart by an ordinal on both sides.
     nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("source_ix", "start"))
     laid = mixed.docs.select("doc_id", "text_hash", "source_ix", "start", nth.alias("nth")).where("size > 0")
-    wanted = per_row.join(laid, ["source_ix", "start", "doc_id", "text_hash"]).select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "nth", "pieces")
+    wanted = per_row.join(laid.drop("doc_id"), ["source_ix", "start", "text_hash"]).select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "nth", "pieces")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"))
     again = mixed.docs.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if again:
