@@ -16,12 +16,15 @@ and ties are settled by ranks of a sample of positions:
   distance from the sample.  Neighbouring suffixes with one sample make a run,
   and a run is ranked once, by its context (all bytes that its strings cover).
 * Long ties.  A context that occurs twice settles its whole run.  Runs that
-  share a bucket but not a context are cut into blocks of BLOCK distances,
-  ranked again, and what is still alone is ranked suffix by suffix; one run of
-  each settled context stays in as a witness for the others.
+  share a bucket but not a context remain, with one run of each settled context
+  as a witness.  A bucket of at most BUCKET_RUNS such runs is sorted in one
+  task: its suffixes by distance and rank, and neighbours of equal rank are
+  repeats.  A larger one is never gathered: its runs are cut into blocks of
+  BLOCK distances, ranked and counted, and what is still alone is counted
+  suffix by suffix.
 
-Ranks are pairs of 64-bit hashes of what they name.  Buckets are counted, never
-gathered, so a passage that a third of all documents share is a sum.
+Ranks are pairs of 64-bit hashes of what they name.  A passage that a third of
+all documents share is counted, with sums in every task before the shuffle.
 
 Defined results: a null text is the empty text; texts shorter than ``length``
 lose nothing; equal rows are copies of each other; what is left of a text is
@@ -45,6 +48,7 @@ from .common import cut, map_batches, mix
 LENGTH = 400
 GRAM = 128
 BLOCK = 16
+BUCKET_RUNS = 1000
 PIECE = 4 << 20
 BROADCAST_IDS = 1_000_000
 
@@ -215,22 +219,71 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"), *more)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc, hash, spans: sorted spans of bytes to remove (start, stop), for texts that have any; they may overlap."""
-    texts = keyed(docs)
-    found = cut(map_batches(texts, _runs(length, gram), RUN))
-    place = F.struct("doc", "hash", "first")
-    classes = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("head"))
-    buckets = classes.groupBy("gram").agg(F.sum("n").alias("n_gram"), F.count("*").alias("contexts")).where("n_gram > 1")
-    shared = cut(classes.join(buckets, "gram").select("gram", "context", "n", "contexts", "head"))
-    met = cut(found.join(shared, ["gram", "context"]).withColumn("witness", F.col("n") > 1).where((F.col("n") > 1) | (F.col("contexts") > 1)))
-    settled = met.where("witness").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    # Runs without a twin, and one witness of each context that shares their bucket.
-    open_ = met.where((F.col("contexts") > 1) & (~F.col("witness") | (place == F.col("head")))).select("doc", "hash", F.struct("first", "last", "sample", "gram", "witness").alias("run"))
-    grouped = cut(open_.groupBy("doc", "hash").agg(F.collect_set("run").alias("runs")))
+SPAN = "doc long, hash long, start int, stop int"
+
+
+def _sorted_bucket(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
+    """Spans of the repeated suffixes of whole buckets: sorted by bucket, distance and rank, equal neighbours repeat."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    frag = [x or b"" for x in t.column("bytes").to_pylist()]
+    first, last, sample = (t.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "sample"))
+    n = last - first + 1
+    row = np.repeat(np.arange(len(frag)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    base = np.concatenate([[0], np.cumsum([len(x) for x in frag])])[:-1]
+    rank = Hashes(np.frombuffer(b"".join(frag), np.uint8), length)(base[row] + at - first[row], length)
+    bucket = np.unique(t.column("gram").to_numpy(), return_inverse=True)[1][row]
+    distance = sample[row] - at
+    order = np.lexsort((rank, distance, bucket))
+    b, d, r = bucket[order], distance[order], rank[order]
+    tie = (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1])
+    repeat = np.zeros(len(row), bool)
+    repeat[order[1:][tie]] = True
+    repeat[order[:-1][tie]] = True
+    repeat &= ~t.column("witness").to_numpy(zero_copy_only=False)[row]
+    # Neighbouring suffixes of one run make one span.
+    i = np.flatnonzero(repeat)
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (row[i[1:]] != row[i[:-1]])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(i))[: len(head)] - 1
+    of = pa.array(row[i[head]])
+    return pa.record_batch([t.column("doc").combine_chunks().take(of), t.column("hash").combine_chunks().take(of), pa.array(at[i[head]].astype(np.int32)), pa.array((at[i[tail]] + length).astype(np.int32))], names=["doc", "hash", "start", "stop"])
+
+
+def _buckets(length: int):
+    """Over runs sorted by bucket: buckets are completed across batches and sorted a few at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gram = b.column("gram").to_numpy()
+            cut_at = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
+            if held and held[-1].column("gram")[0].as_py() != gram[0] and not cut_at:
+                yield _sorted_bucket(held, length)
+                held = []
+            if cut_at:
+                yield _sorted_bucket([*held, b.slice(0, cut_at)], length)
+                held = []
+            held.append(b.slice(cut_at))
+        if held:
+            yield _sorted_bucket(held, length)
+
+    return run
+
+
+def _bytes_of(texts: DataFrame, runs_: DataFrame, length: int) -> DataFrame:
+    """FRAGMENT: the bytes that each run's strings cover."""
+    grouped = cut(runs_.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last", "sample", "gram", "witness")).alias("runs")))
     own = _joined(texts, grouped.select("doc", "hash")).groupBy("doc", "hash").agg(F.first("text").alias("text"))
-    fragments = cut(map_batches(own.join(grouped, ["doc", "hash"]).select("doc", "hash", "text", "runs"), _fragments(length), FRAGMENT))
+    return map_batches(own.join(grouped, ["doc", "hash"]).select("doc", "hash", "text", "runs"), _fragments(length), FRAGMENT)
 
+
+def _large_buckets(fragments: DataFrame, length: int, block: int) -> DataFrame:
+    """Spans of repeated suffixes, by counting blocks and then suffixes."""
+    fragments = cut(fragments)
     ranked = cut(map_batches(fragments, _ranked(length, block, False), RANKED))
     named = ["gram", "distance", "n", "context"]
     place = F.struct("doc", "hash", "at")
@@ -244,9 +297,28 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     single = cut(map_batches(fragments.join(wanted, ["doc", "hash", "gram", "sample"]), _ranked(length, block, True), RANKED))
     again = single.groupBy("gram", "distance", "context").agg(F.count("*").alias("times")).where("times > 1")
     by_suffix = single.where("NOT witness").join(again, ["gram", "distance", "context"]).select("doc", "hash", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+    return by_block.unionAll(by_suffix)
+
 
-    spans = settled.unionAll(by_block).unionAll(by_suffix).distinct()
-    return spans.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
+    """doc, hash, spans: sorted spans of bytes to remove (start, stop), for texts that have any; they may overlap."""
+    texts = keyed(docs)
+    found = cut(map_batches(texts, _runs(length, gram), RUN))
+    place = F.struct("doc", "hash", "first")
+    classes = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("head"))
+    buckets = classes.groupBy("gram").agg(F.sum("n").alias("n_gram"), F.count("*").alias("contexts")).where("n_gram > 1")
+    shared = cut(classes.join(buckets, "gram").select("gram", "context", "n", "contexts", "head"))
+    met = cut(found.join(shared, ["gram", "context"]).withColumn("witness", F.col("n") > 1).withColumn("open", (F.col("contexts") > 1) & ((F.col("n") == 1) | (place == F.col("head")))).select("doc", "hash", "first", "last", "sample", "gram", "contexts", "witness", "open"))
+    # A bucket's open runs are one for each of its contexts.
+    open_ = met.where("open")
+    light = _bytes_of(texts, open_.where(F.col("contexts") <= bucket_runs), length)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = map_batches(light.repartition(partitions, "gram").sortWithinPartitions("gram"), _buckets(length), SPAN)
+    heavy = open_.where(F.col("contexts") > bucket_runs)
+    if heavy.limit(1).count():
+        spans = spans.unionAll(_large_buckets(_bytes_of(texts, heavy, length), length, block))
+    settled = met.where("witness").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    return settled.unionAll(spans).groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def _spans(spans: list[dict] | None) -> list[tuple[int, int]]:
