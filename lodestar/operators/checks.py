@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import GRAMMAR, REGISTRY_PREFIXES, abbreviate, is_bare_uuid, is_checked_term, is_ctid, is_lower, is_v4, looks_like_iri, registry_tail, vocab_prefix
 from ..sources.vocabulary import ALIGNMENT, Vocabulary
 from .flatten import flatten, properties_of, values_of
+from .tables import kept
 
 CTID = "ceterms:ctid"
 # Properties and classes with a rule of their own.
@@ -231,17 +232,23 @@ def supplied_entities(documents: DataFrame, vocab: Vocabulary) -> DataFrame:
     return named.groupBy("node_id").agg(F.min_by(F.struct("known", "anc", "source"), F.struct("set_ord", "ord")).alias("e")).select("node_id", "e.known", "e.anc", "e.source")
 
 
+def screened(documents: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """Documents that can be read, and (doc_id, error) of those set aside: for neighbours that may be missing."""
+    refused = flatten(documents, vocab).where("error IS NOT NULL").select("doc_id", "error")
+    return documents.join(refused.select("doc_id"), "doc_id", "left_anti"), refused
+
+
 def session(documents: DataFrame, vocab: Vocabulary, supplied: DataFrame | None = None) -> Session:
-    """``documents`` (doc_id, raw) and, beside them, ``supplied`` (doc_id, raw, source, set_ord); a supplied document that cannot be read fails the run."""
+    """Flatten ``documents`` (doc_id, raw) once, to a table, and, beside them, ``supplied`` (doc_id, raw, source, set_ord); a supplied document that cannot be read fails the run."""
     spark = documents.sparkSession
-    nodes = flatten(documents, vocab).persist()
+    nodes = kept(flatten(documents, vocab))
     if supplied is None:
         return Session(nodes, vocab, spark.createDataFrame([], _SUPPLIED), [])
     broken = flatten(supplied, vocab).where("error IS NOT NULL").limit(1).collect()
     if broken:
         raise ValueError(f"supplied document {broken[0]['doc_id']}: {broken[0]['error']}")
     sources = [r[0] for r in supplied.orderBy("set_ord").select("source").limit(1000).collect()]  # they are named in messages
-    return Session(nodes, vocab, supplied_entities(supplied, vocab).persist(), sources)
+    return Session(nodes, vocab, kept(supplied_entities(supplied, vocab)), sources)
 
 
 def validate(s: Session) -> DataFrame:

@@ -94,7 +94,7 @@ def nodes_of(raw: str, vocab: Vocabulary) -> list[dict]:
 
 
 def flatten(documents: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """NODES of documents (doc_id, raw), with ``label``; keep it with ``persist`` where several checks read it."""
+    """NODES of documents (doc_id, raw), with ``label``; write it to a table (``tables.kept``) where several checks read it."""
     sent = documents.sparkSession.sparkContext.broadcast(vocab)
     names = ("doc_id", "ord", "path", "node_id", "types", "known", "anc", "props", "error")
     value = pa.struct([("kind", pa.string()), ("text", pa.string()), ("target", pa.string())])

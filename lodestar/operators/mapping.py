@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_absolute_iri, is_checked_term
 from ..sources.vocabulary import Vocabulary
+from .tables import kept
 
 CONTEXT = "https://credreg.net/ctdl/schema/context/json"
 NOTES = "page_id string, phase int, item_ord int, pos int, sub int, code string, severity string, subject string, term string, detail string"
@@ -42,7 +43,11 @@ def blocks_of(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, vocab: Vocabulary) -> Extraction:
-    """Map read pages; keep ``pages`` with ``persist``, it is read several times."""
+    """Map read pages; ``pages`` is read several times, so write it to a table (``tables.kept``) first.
+
+    Classes, entities and values are written to tables in turn: each is read by
+    several joins and notes.
+    """
     spark = pages.sparkSession
     walk = vocab.crosswalk_table(spark)
     of = lambda is_class, relation, name: F.broadcast(walk.where((F.col("is_class") == is_class) & (F.col("relation") == relation)).select(F.col("foreign").alias("term"), F.col("ctdl").alias(name)))
@@ -55,7 +60,7 @@ def extract(pages: DataFrame, vocab: Vocabulary) -> Extraction:
     met = typed.join(declared, "term", "left").join(of(True, "equivalent", "same"), "term", "left").join(of(True, "specialized", "under"), "term", "left").withColumns({"same": F.coalesce("same", none), "under": F.coalesce("under", none), "declared": F.coalesce("declared", F.lit(False))})
     n = F.size("same")
     cls = F.when(is_checked_term(F.col("term")) & F.col("declared"), F.col("term")).when(n == 1, F.get("same", F.lit(0))).when((n == 0) & F.col("declared"), F.col("term"))
-    met = met.withColumn("cls", cls)
+    met = kept(met.withColumn("cls", cls))
     lost = met.where("cls IS NULL")
     bare = lost.where(n == 0)
     related = bare.select("*", F.posexplode("under").alias("r", "rel"))
@@ -68,7 +73,7 @@ def extract(pages: DataFrame, vocab: Vocabulary) -> Extraction:
     ]
     per_item = met.where("cls IS NOT NULL").groupBy("page_id", "path", "ord").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "cls"))), lambda x: x["cls"])).alias("classes"))
     own = per_item.join(items.select("page_id", "ord", "label"), ["page_id", "ord"])
-    entities = own.groupBy("page_id", "path").agg(F.min("ord").alias("first_ord"), F.max_by("label", "ord").alias("id"), F.max_by("classes", "ord").alias("classes"))
+    entities = kept(own.groupBy("page_id", "path").agg(F.min("ord").alias("first_ord"), F.max_by("label", "ord").alias("id"), F.max_by("classes", "ord").alias("classes")))
     labels = items.groupBy("page_id", "path").agg(F.max_by("label", "ord").alias("ref"))
 
     # Properties
@@ -83,7 +88,7 @@ def extract(pages: DataFrame, vocab: Vocabulary) -> Extraction:
     narrowed = fits.groupBy("page_id", "ord", "pos").agg(F.collect_set("prop").alias("fit"))
     chosen = known.join(narrowed, ["page_id", "ord", "pos"], "left")
     prop = F.when(is_checked_term(F.col("term")) & F.col("declared"), F.col("term")).when(n == 1, F.get("same", F.lit(0))).when((n == 0) & F.col("declared"), F.col("term")).when(F.size("fit") == 1, F.get("fit", F.lit(0)))
-    chosen = chosen.withColumn("prop", prop)
+    chosen = kept(chosen.withColumn("prop", prop))
     lost = chosen.where("prop IS NULL")
     bare = lost.where(n == 0)
     notes += [
@@ -106,12 +111,12 @@ def extract(pages: DataFrame, vocab: Vocabulary) -> Extraction:
         .when(literal & takes_id & ~is_absolute_iri(F.col("text")), "VALUE_NOT_IDENTIFIER")
         .when(literal & ~takes_id & F.coalesce("language_map", F.lit(False)) & F.col("language").isNull(), "LANGUAGE_UNDECLARED")
     )
-    v = v.withColumn("outcome", outcome)
+    v = kept(v.withColumn("outcome", outcome))
     said = {"VALUE_NOT_LITERAL": ("WARNING", "A nested item where a literal belongs, so it was dropped"), "NESTED_ITEM_DROPPED": ("WARNING", "The nested item gave no entity, so the reference was dropped"), "VALUE_NOT_IDENTIFIER": ("WARNING", "A literal where an identifier belongs, so it was dropped"), "LANGUAGE_UNDECLARED": ("INFO", "The page declares no language, so the text was left untagged")}
     notes += [_note(v.where(F.col("outcome") == code), 2, code, severity, F.col("prop"), F.lit(detail), pos=pos) for code, (severity, detail) in said.items()]
-    kept = v.where("outcome IS NULL OR outcome = 'LANGUAGE_UNDECLARED'")
+    left = v.where("outcome IS NULL OR outcome = 'LANGUAGE_UNDECLARED'")
     tagged = F.when(literal & ~takes_id & F.coalesce("language_map", F.lit(False)), F.col("language"))
-    values = kept.select("page_id", "path", "ord", "pos", "prop", F.coalesce(F.when(nested, F.col("ref")), "iri", "text").alias("value"), tagged.alias("language"))
+    values = left.select("page_id", "path", "ord", "pos", "prop", F.coalesce(F.when(nested, F.col("ref")), "iri", "text").alias("value"), tagged.alias("language"))
 
     without = entities.join(values.where("prop = 'ceterms:ctid'").select("page_id").distinct(), "page_id", "left_anti").select("page_id").distinct().select("page_id", F.lit(0).alias("ord"), F.lit("$.@graph").alias("path"))
     notes.append(_note(without, 3, "CTID_ABSENT", "INFO", F.lit("ceterms:ctid"), F.lit("No entity has a CTID, and none is invented"), pos=F.lit(0)))

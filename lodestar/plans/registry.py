@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..operators import checks, findings, mapping, markup, survey
+from ..operators.tables import kept
 from . import projection
 from .mini_vocabulary import CLASSES, PREFIXES, mini
 
@@ -140,7 +141,7 @@ _VALUES = {1: [("json-ld[0]", "ceterms:name", "Welding", None), ("json-ld[0]", "
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()).persist()
+    return kept(markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()))
 
 
 def markup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,6 @@ def stream_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def validate_stream(documents: DataFrame, vocab: Vocabulary, out: str, checkpoint: str, supplied: DataFrame | None = None) -> StreamingQuery:
     def batch(df: DataFrame, number: int) -> None:
-        s = checks.session(df, vocab, supplied)
-        try:
-            checks.validate(s).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        finally:
-            s.nodes.unpersist()
+        checks.validate(checks.session(df, vocab, supplied)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

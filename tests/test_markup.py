@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from lodestar.operators import checks, mapping, markup, survey
+from lodestar.operators import checks, mapping, markup, reports, survey
 from lodestar.plans.mini_vocabulary import mini
 
 URL = "https://example.edu/dir/p"
@@ -100,3 +100,11 @@ def test_summaries(read, made):
     assert s[("format", "json-ld")] == 5 and s[("pages", "read")] == len(PAGES) and s[("pages", "with_entities")] == 7 - 1
     p = {r["page_id"]: r for r in survey.page_summary(read, made.entities, made.notes).collect()}
     assert p["course"]["classes"] == ["ceterms:Course", "ceterms:Organization"] and p["course"]["dropped"] == ["schema:about"] and p["deep"]["warnings"] == 0
+
+
+def test_reports(read, made):
+    rows = {r["page_id"]: r for r in reports.rendered(read, made).collect()}
+    assert "deep" not in rows and len(rows) == len(PAGES) - 1
+    course = json.loads(rows["course"]["json"])
+    assert course["summary"] == {"entities": 2, "WARNING": 2, "INFO": 3} and course["source"] == URL and course["notes"][0]["rule"]["citation"]
+    assert rows["course"]["text"].endswith("2 entities, 2 WARNING, 3 INFO") and json.loads(rows["prose"]["json"])["document"]["@graph"] == []

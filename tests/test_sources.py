@@ -97,6 +97,34 @@ def test_stream(spark, tmp_path):
     assert sorted((r["value"], r["batch"]) for r in found) == [("x", 0), ("y", 1)]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from lodestar.__main__ import main
+
+    encoding, context = files()
+    for n, d in (("v/e.json", encoding), ("v/c.json", context), ("in/a.json", {"ceterms:ctid": "x"}), ("ok/a.json", {"@type": "ceterms:Course"})):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(json.dumps(d))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/x.html").write_text('<div itemscope itemtype="https://schema.org/Course"><b itemprop="name">N</b></div>')
+    vocab = ["--encoding", str(tmp_path / "v/e.json"), "--context", str(tmp_path / "v/c.json")]
+    assert main(["validate", str(tmp_path / "in"), *vocab]) == 1 and "CTID_MALFORMED" in capsys.readouterr().out
+    assert main(["validate", str(tmp_path / "ok"), *vocab, "--format", "json"]) == 0
+    (tmp_path / "ok/b.json").write_text("{")
+    assert main(["validate", str(tmp_path / "ok"), *vocab]) == 2
+    assert main(["validate", str(tmp_path / "in"), *vocab, "--resolve", str(tmp_path / "ok")]) == 2
+    capsys.readouterr()
+    assert main(["extract", str(tmp_path / "p"), *vocab, "--url", "https://e.example/", "--validate"]) == 0
+    assert "1 entity" in capsys.readouterr().out
+
+
+def test_screened_neighbours(spark):
+    from lodestar.operators.checks import screened
+
+    docs = spark.createDataFrame([("a", "{}"), ("b", "{")], "doc_id string, raw string")
+    kept, refused = screened(docs, mini())
+    assert [r["doc_id"] for r in kept.collect()] == ["a"] and [r["doc_id"] for r in refused.collect()] == ["b"]
+
+
 def test_identifier_functions(spark):
     u = "0f6d1c1e-52a3-4c7b-9a01-aa00bb11cc01"
     from pyspark.sql import functions as F
