@@ -40,7 +40,7 @@ BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
 #: Six standard errors of the estimate at 0.8.
 MARGIN = 0.25
-PAIRS_PER_MEMBER = 64
+PAIRS_PER_MEMBER = 2
 #: Ids that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -159,7 +159,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _prefixes(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rarest shingles of each document of ``ids``, as many as must meet in a similar pair: doc_id, h."""
+    """The rarest shingles of each document of ``ids``, as many as must meet in a similar pair: doc_id, h, rank, n."""
     from pyspark.sql import Window as W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFram
     one = W.partitionBy("doc_id")
     ranked = held.join(often, "h").select("doc_id", "h", F.row_number().over(one.orderBy("often", "h")).alias("rank"), F.count("*").over(one).alias("n"))
     # Sharing ceil(p * n) of n shingles leaves a pair one of the first n - ceil(p * n) + 1.
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("doc_id", "h")
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
 
 
 def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
@@ -210,7 +210,10 @@ def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_m
     if wide.limit(1).count():
         crowd = cut(placed.join(wide.select("band", "key"), ["band", "key"]).select(F.col("class_id").alias("doc_id"), "label").distinct())
         rare = cut(_prefixes(docs, crowd.select("doc_id"), k, percent).join(crowd, "doc_id"))
-        rest = rest.unionAll(rare.toDF("a", "h", "la").join(rare.toDF("b", "h", "lb"), "h").where("a < b AND la != lb").select("a", "b"))
+        side = lambda x: rare.select("h", F.col("doc_id").alias(x), F.col("rank").alias(f"rank_{x}"), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+        left_of = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1
+        enough = left_of * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+        rest = rest.unionAll(side("a").join(side("b"), "h").where("a < b AND label_a != label_b").where(enough).select("a", "b"))
     second = confirmed(docs, likely(rest.distinct()), k, percent)
     label = components(first.unionAll(second))
 
