@@ -87,12 +87,12 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(c("n_words") < 10, c("n_words") >= 50),
         "symbols": _vote(c("n_symbols") > 0.1 * n, no),
-        "repeats": _vote(c("n_repeat_words") > 0.15 * n, no),
-        "duplicate_lines": _vote(c("n_dup_lines") > 0.3 * lines, no),
+        "repeats": _vote(c("n_repeat_words") > 0.2 * n, no),
+        "duplicate_lines": _vote((c("n_dup_lines") > 0.4 * lines) & (c("n_lines") >= 4), no),
         "word_length": _vote((chars < 2.5 * n) | (chars > 12 * n), (chars >= 3.5 * n) & (chars <= 8 * n)),
-        "ended_lines": _vote((c("n_ended") < 0.2 * lines) & (c("n_words") >= 30), c("n_ended") >= 0.7 * lines),
+        "ended_lines": _vote((c("n_ended") < 0.2 * lines) & (c("n_words") >= 30) & (c("n_lines") >= 3), c("n_ended") >= 0.7 * lines),
         "upper_case": _vote(c("n_upper") > 0.3 * chars, no),
-        "digits": _vote(c("n_digits") > 0.2 * chars, no),
+        "digits": _vote((c("n_digits") > 0.2 * chars) & (c("n_words") >= 30), no),
         "variety": _vote((c("n_words") >= 50) & (c("n_distinct") < 0.15 * n), c("n_distinct") >= 0.4 * n),
     }
 
