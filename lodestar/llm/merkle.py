@@ -58,26 +58,37 @@ def leaves(paragraph: str) -> list[str]:
     return [x for x in out if x]
 
 
+#: A paragraph's hash and its leaves' hashes and lengths.
+Paragraph = tuple[bytes, list[tuple[bytes, int]]]
+
+
+def _paragraph(text: str) -> Paragraph:
+    own = [(_digest(b"leaf", [x.encode()]), len(x)) for x in leaves(text)]
+    return _digest(b"paragraph", [h for h, _ in own]), own
+
+
 @dataclass
 class Tree:
     root: str
     leaf_chars: Counter[bytes]  # characters under each distinct leaf hash
+    paragraphs: dict[str, Paragraph]
 
     @classmethod
-    def of(cls, text: str) -> Tree:
+    def of(cls, text: str, *near: Tree) -> Tree:
+        """The tree of a text; paragraphs that trees ``near`` hold are not hashed again."""
         chars: Counter[bytes] = Counter()
+        held: dict[str, Paragraph] = {}
         sections = []
         for section in _SECTION.split(text):
-            paragraphs = []
-            for paragraph in section.split("\n"):
-                hashes = []
-                for leaf in leaves(paragraph):
-                    h = _digest(b"leaf", [leaf.encode()])
-                    chars[h] += len(leaf)
-                    hashes.append(h)
-                paragraphs.append(_digest(b"paragraph", hashes))
-            sections.append(_digest(b"section", paragraphs))
-        return cls(_digest(b"root", sections if text else []).hex(), chars)
+            hashes = []
+            for line in section.split("\n"):
+                node = held.get(line) or next((t.paragraphs[line] for t in near if line in t.paragraphs), None) or _paragraph(line)
+                held[line] = node
+                hashes.append(node[0])
+                for h, n in node[1]:
+                    chars[h] += n
+            sections.append(_digest(b"section", hashes))
+        return cls(_digest(b"root", sections if text else []).hex(), chars, held)
 
 
 def likeness(a: Tree, b: Tree) -> float:
@@ -146,7 +157,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if before and before[0] == block and not before[3]:
                 _, old_id, old, _, old_tree = before
                 changed = edited(old, text)
-                new = Tree.of(changed)
+                new = Tree.of(changed, old_tree, tree)
                 out.append((old_id, len(old), hashlib.sha256(changed.encode()).hexdigest(), old_tree.root, new.root, likeness(old_tree, new), likeness(old_tree, tree)))
             before = (block, doc_id, text, guest, tree)
         cols = list(zip(*out)) if out else [[]] * 7
