@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, map_batches
+from .common import cut, doc_text, map_batches
 
 MAX_TRAIN, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
 LENGTHS = (5, 4, 3, 2, 1)
@@ -53,7 +53,8 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    known: dict[str, int]  # word, or length and n-gram, to its row of costs
+    known: dict[str, int]  # word to its row of costs
+    grams: dict[str, int]  # n-gram to its row
     costs: np.ndarray  # row, language
 
     def word_cost(self, word: str) -> np.ndarray | None:
@@ -61,7 +62,7 @@ class Model:
         if at is not None:
             return self.costs[at]
         for n in LENGTHS:
-            rows = [self.known[k] for g in grams(word, n) if (k := f"{n} {g}") in self.known]
+            rows = [self.grams[g] for g in grams(word, n) if g in self.grams]
             if rows:
                 return self.costs[rows].mean(axis=0)
         return None
@@ -74,7 +75,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows: list[np.ndarray] = [np.zeros(len(self.model.langs))]
+        self.table = np.zeros((1, len(self.model.langs)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Predicted language and score of each text."""
@@ -82,14 +83,17 @@ class Scorer:
         if len(self.at) > CACHE_WORDS:
             self.clear()
         split = [words(t) for t in texts]
+        fresh: list[np.ndarray] = []
         for w in {w for ws in split for w in ws if w not in self.at}:
             cost = model.word_cost(w)
             if cost is None:
                 self.at[w] = 0  # says nothing
             else:
-                self.at[w] = len(self.rows)
-                self.rows.append(cost)
-        table = np.array(self.rows)
+                self.at[w] = len(self.table) + len(fresh)
+                fresh.append(cost)
+        if fresh:
+            self.table = np.concatenate([self.table, np.array(fresh)])
+        table = self.table
         out = []
         for ws in split:
             ids = np.fromiter((self.at[w] for w in ws), np.int64, len(ws))
@@ -126,18 +130,19 @@ def train(labelled: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = M
     n = labelled.where("lang IS NOT NULL").select("doc_id").count()
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("lang")), F.lit(1 << 20))
     sample = usable.where(part < int((1 << 20) * min(1.0, max_train / max(n, 1))))
-    counts = map_batches(sample.select("text", "lang"), _count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    counts = cut(map_batches(sample.select("text", "lang"), _count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c")))
     known = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "c")))).alias("by_lang")).where(F.col("total") >= MIN_COUNT)
     word_rows = known.where("n = 0").orderBy(F.desc("total"), "gram").limit(max_words)
     gram_rows = known.where("n > 0").orderBy(F.desc("total"), "n", "gram").limit(max_grams)
     sums = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for _, lang in sums})
     at: dict[str, int] = {}
+    pieces: dict[str, int] = {}
     costs = []
     for r in word_rows.unionAll(gram_rows).collect():
-        at[r["gram"] if r["n"] == 0 else f"{r['n']} {r['gram']}"] = len(costs)
+        (pieces if r["n"] else at)[r["gram"]] = len(costs)
         costs.append([min(PENALTY, -np.log10(c / sums[(r["n"], x)])) if (c := r["by_lang"].get(x)) else PENALTY for x in langs])
-    return Model(langs, at, np.array(costs, np.float64).reshape(len(costs), len(langs)))
+    return Model(langs, at, pieces, np.array(costs, np.float64).reshape(len(costs), len(langs)))
 
 
 def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
