@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``, in five stages.
+"""A training corpus from ``documents``, in six stages.
 
 Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text,
 lang, source, n_chars), the last one token ids.  A document that a stage
@@ -31,10 +31,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.deduplicated(docs.select(*COLUMNS), k=5)
 
 
+def _left(docs: DataFrame, **options) -> DataFrame:
+    left = suffixes.without_repeats(docs, "lang", "source", **options)
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of over 50 words that occur anywhere else too, whatever their length in bytes."""
+    return _left(docs, words=True, length=suffixes.PASSAGE_WORDS, gram=suffixes.PASSAGE_GRAM)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated strings of 400 bytes cover."""
-    left = suffixes.without_repeats(docs, "lang", "source")
-    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    return _left(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("passages", cut_passages),
     ("repeats", cut_repeats),
     ("mix", mix_to_targets),
     ("tokens", encode),

@@ -23,6 +23,10 @@ and ties are settled by ranks of a sample of positions:
   BLOCK distances, ranked and counted, and what is still alone is counted
   suffix by suffix.
 
+A text may also be taken as its words (``words=True``): an element is then the
+64-bit hash of a word instead of a byte, ``length`` and ``gram`` count words, and
+a span goes from the start of its first word to the end of its last.
+
 Ranks are pairs of 64-bit hashes of what they name.  A passage that a third of
 all documents share is counted, with sums in every task before the shuffle.
 
@@ -43,18 +47,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, mix
+from .common import chunks, cut, map_batches, mix
 
 LENGTH = 400
 GRAM = 128
 BLOCK = 16
 BUCKET_RUNS = 1000
 PIECE = 4 << 20
+#: A passage of over 50 words holds a string of so many; grams of so many.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
 BROADCAST_IDS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _LOW = np.uint64((1 << 24) - 1)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of an element: a byte of text, or the hash of a word.
+_KINDS = {1: np.uint8, 8: np.uint64}
 
 
 @lru_cache(maxsize=4096)
@@ -62,11 +71,43 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: list[bytes]) -> list[bytes]:
+    """Of each text, the 64-bit hashes of its words."""
+    joined = b"\n".join(texts)
+    starts, ends = word_places(joined)
+    prefix = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(joined, np.uint8)] * _powers(_BASE, len(joined))[:-1], out=prefix[1:])
+    hashes = mix((prefix[ends] - prefix[starts]) * _powers(_BASE_INVERSE, len(joined))[starts] + (ends - starts).astype(np.uint64))
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in chunks(whole, limit=PIECE >> 2):
+            yield pa.record_batch([b.column("doc"), b.column("hash"), pa.array(word_hashes(b.column("text").cast(pa.binary()).to_pylist()), pa.binary())], names=["doc", "hash", "text"])
+
+
 class Hashes:
-    """Polynomial hashes of all substrings of some bytes, from those of lengths 1, 2, 4, ..."""
+    """Polynomial hashes of all substrings of some elements, from those of lengths 1, 2, 4, ..."""
 
     def __init__(self, raw: np.ndarray, longest: int) -> None:
-        self.of = {1: _BYTES[raw]}
+        self.of = {1: _BYTES[raw] if raw.dtype == np.uint8 else raw}
         n = 1
         while n * 2 <= longest:
             x = self.of[n]
@@ -119,12 +160,12 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gra
     return owner[first], a, b, s, g[s], mix(h.cover(a, b, length) + (s - a).astype(np.uint64))
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts (index, offset, bytes) in groups of about PIECE bytes; longer texts are cut by the suffixes that start in a piece."""
+def _pieces(texts: list[bytes], length: int, width: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts (index, offset in elements, bytes) in groups of about PIECE bytes; longer texts are cut by the suffixes that start in a piece."""
     group, size = [], 0
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - length + 1), PIECE):
-            part = t[at : at + PIECE + length - 1]
+        for at in range(0, max(1, len(t) // width - length + 1), PIECE // width):
+            part = t[at * width : (at + PIECE // width + length - 1) * width]
             if group and size + len(part) > PIECE:
                 yield group
                 group, size = [], 0
@@ -137,15 +178,15 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 RUN = "doc long, hash long, first int, last int, sample int, gram long, context long"
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, hashes = b.column("doc").to_numpy(), b.column("hash").to_numpy()
-            for group in _pieces(b.column("text").cast(pa.binary()).to_pylist(), length):
-                lengths = np.array([len(p[2]) for p in group])
+            for group in _pieces(b.column("text").cast(pa.binary()).to_pylist(), length, width):
+                lengths = np.array([len(p[2]) // width for p in group])
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                owner, a, z, s, g, c = runs(np.frombuffer(b"".join(p[2] for p in group), np.uint8), starts, ends, length, gram)
+                owner, a, z, s, g, c = runs(np.frombuffer(b"".join(p[2] for p in group), _KINDS[width]), starts, ends, length, gram)
                 text = np.array([p[0] for p in group])[owner] if len(owner) else owner
                 shift = (np.array([p[1] for p in group]) - starts)[owner] if len(owner) else owner
                 cols = [docs[text], hashes[text], *((x + shift).astype(np.int32) for x in (a, z, s)), g.view(np.int64), c.view(np.int64)]
@@ -157,12 +198,12 @@ def _runs(length: int, gram: int):
 FRAGMENT = "doc long, hash long, first int, last int, sample int, gram long, witness boolean, bytes binary"
 
 
-def _fragments(length: int):
+def _fragments(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for doc, h, text, own in zip(b.column("doc").to_pylist(), b.column("hash").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist()):
-                out.extend((doc, h, r["first"], r["last"], r["sample"], r["gram"], r["witness"], text[r["first"] : r["last"] + length]) for r in own)
+                out.extend((doc, h, r["first"], r["last"], r["sample"], r["gram"], r["witness"], text[r["first"] * width : (r["last"] + length) * width]) for r in own)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             cols = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in FRAGMENT.split(", ")])
@@ -173,15 +214,15 @@ def _fragments(length: int):
 RANKED = "doc long, hash long, gram long, sample int, at int, distance int, n int, witness boolean, context long"
 
 
-def _ranked(length: int, block: int, only: bool):
+def _ranked(length: int, block: int, only: bool, width: int):
     """Blocks of suffixes of fragments with the rank of their bytes. ``only``: of the wanted blocks, each suffix by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             frag = [x or b"" for x in b.column("bytes").to_pylist()]
-            sizes = np.array([len(x) for x in frag], np.int64)
+            sizes = np.array([len(x) // width for x in frag], np.int64)
             base = np.cumsum(sizes) - sizes
-            h = Hashes(np.frombuffer(b"".join(frag), np.uint8), length)
+            h = Hashes(np.frombuffer(b"".join(frag), _KINDS[width]), length)
             first, last, sample = (b.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "sample"))
             low, high = sample - last, sample - first  # distances to the sample
             if only:
@@ -222,7 +263,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 SPAN = "doc long, hash long, start int, stop int"
 
 
-def _sorted_bucket(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
+def _sorted_bucket(rows: list[pa.RecordBatch], length: int, width: int) -> pa.RecordBatch:
     """Spans of the repeated suffixes of whole buckets: sorted by bucket, distance and rank, equal neighbours repeat."""
     t = pa.Table.from_batches(rows).combine_chunks()
     frag = [x or b"" for x in t.column("bytes").to_pylist()]
@@ -230,8 +271,8 @@ def _sorted_bucket(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     n = last - first + 1
     row = np.repeat(np.arange(len(frag)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
-    base = np.concatenate([[0], np.cumsum([len(x) for x in frag])])[:-1]
-    rank = Hashes(np.frombuffer(b"".join(frag), np.uint8), length)(base[row] + at - first[row], length)
+    base = np.concatenate([[0], np.cumsum([len(x) // width for x in frag])])[:-1]
+    rank = Hashes(np.frombuffer(b"".join(frag), _KINDS[width]), length)(base[row] + at - first[row], length)
     bucket = np.unique(t.column("gram").to_numpy(), return_inverse=True)[1][row]
     distance = sample[row] - at
     order = np.lexsort((rank, distance, bucket))
@@ -251,7 +292,7 @@ def _sorted_bucket(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     return pa.record_batch([t.column("doc").combine_chunks().take(of), t.column("hash").combine_chunks().take(of), pa.array(at[i[head]].astype(np.int32)), pa.array((at[i[tail]] + length).astype(np.int32))], names=["doc", "hash", "start", "stop"])
 
 
-def _buckets(length: int):
+def _buckets(length: int, width: int):
     """Over runs sorted by bucket: buckets are completed across batches and sorted a few at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,29 +303,29 @@ def _buckets(length: int):
             gram = b.column("gram").to_numpy()
             cut_at = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
             if held and held[-1].column("gram")[0].as_py() != gram[0] and not cut_at:
-                yield _sorted_bucket(held, length)
+                yield _sorted_bucket(held, length, width)
                 held = []
             if cut_at:
-                yield _sorted_bucket([*held, b.slice(0, cut_at)], length)
+                yield _sorted_bucket([*held, b.slice(0, cut_at)], length, width)
                 held = []
             held.append(b.slice(cut_at))
         if held:
-            yield _sorted_bucket(held, length)
+            yield _sorted_bucket(held, length, width)
 
     return run
 
 
-def _bytes_of(texts: DataFrame, runs_: DataFrame, length: int) -> DataFrame:
+def _bytes_of(texts: DataFrame, runs_: DataFrame, length: int, width: int) -> DataFrame:
     """FRAGMENT: the bytes that each run's strings cover."""
     grouped = cut(runs_.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last", "sample", "gram", "witness")).alias("runs")))
     own = _joined(texts, grouped.select("doc", "hash")).groupBy("doc", "hash").agg(F.first("text").alias("text"))
-    return map_batches(own.join(grouped, ["doc", "hash"]).select("doc", "hash", "text", "runs"), _fragments(length), FRAGMENT)
+    return map_batches(own.join(grouped, ["doc", "hash"]).select("doc", "hash", "text", "runs"), _fragments(length, width), FRAGMENT)
 
 
-def _large_buckets(fragments: DataFrame, length: int, block: int) -> DataFrame:
+def _large_buckets(fragments: DataFrame, length: int, block: int, width: int) -> DataFrame:
     """Spans of repeated suffixes, by counting blocks and then suffixes."""
     fragments = cut(fragments)
-    ranked = cut(map_batches(fragments, _ranked(length, block, False), RANKED))
+    ranked = cut(map_batches(fragments, _ranked(length, block, False, width), RANKED))
     named = ["gram", "distance", "n", "context"]
     place = F.struct("doc", "hash", "at")
     twins = ranked.groupBy(*named).agg(F.count("*").alias("times"), F.min(place).alias("head"))
@@ -294,16 +335,17 @@ def _large_buckets(fragments: DataFrame, length: int, block: int) -> DataFrame:
     alone = blocks.where(~F.col("full") | F.col("is_head"))
     crowded = alone.groupBy("gram", "distance").agg(F.count("*").alias("rows"), F.count_if(~F.col("full")).alias("open")).where("rows > 1 AND open > 0")
     wanted = alone.join(crowded, ["gram", "distance"]).groupBy("doc", "hash", "gram", "sample").agg(F.collect_set("distance").alias("blocks"))
-    single = cut(map_batches(fragments.join(wanted, ["doc", "hash", "gram", "sample"]), _ranked(length, block, True), RANKED))
+    single = cut(map_batches(fragments.join(wanted, ["doc", "hash", "gram", "sample"]), _ranked(length, block, True, width), RANKED))
     again = single.groupBy("gram", "distance", "context").agg(F.count("*").alias("times")).where("times > 1")
     by_suffix = single.where("NOT witness").join(again, ["gram", "distance", "context"]).select("doc", "hash", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
     return by_block.unionAll(by_suffix)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
-    """doc, hash, spans: sorted spans of bytes to remove (start, stop), for texts that have any; they may overlap."""
-    texts = keyed(docs)
-    found = cut(map_batches(texts, _runs(length, gram), RUN))
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS, words: bool = False) -> DataFrame:
+    """doc, hash, spans: sorted spans of bytes (or words) to remove (start, stop), for texts that have any; they may overlap."""
+    width = 8 if words else 1
+    texts = map_batches(keyed(docs), _worded, "doc long, hash long, text binary") if words else keyed(docs)
+    found = cut(map_batches(texts, _runs(length, gram, width), RUN))
     place = F.struct("doc", "hash", "first")
     classes = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("head"))
     buckets = classes.groupBy("gram").agg(F.sum("n").alias("n_gram"), F.count("*").alias("contexts")).where("n_gram > 1")
@@ -311,12 +353,12 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     met = cut(found.join(shared, ["gram", "context"]).withColumn("witness", F.col("n") > 1).withColumn("open", (F.col("contexts") > 1) & ((F.col("n") == 1) | (place == F.col("head")))).select("doc", "hash", "first", "last", "sample", "gram", "contexts", "witness", "open"))
     # A bucket's open runs are one for each of its contexts.
     open_ = met.where("open")
-    light = _bytes_of(texts, open_.where(F.col("contexts") <= bucket_runs), length)
+    light = _bytes_of(texts, open_.where(F.col("contexts") <= bucket_runs), length, width)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = map_batches(light.repartition(partitions, "gram").sortWithinPartitions("gram"), _buckets(length), SPAN)
+    spans = map_batches(light.repartition(partitions, "gram").sortWithinPartitions("gram"), _buckets(length, width), SPAN)
     heavy = open_.where(F.col("contexts") > bucket_runs)
     if heavy.limit(1).count():
-        spans = spans.unionAll(_large_buckets(_bytes_of(texts, heavy, length), length, block))
+        spans = spans.unionAll(_large_buckets(_bytes_of(texts, heavy, length, width), length, block, width))
     settled = met.where("witness").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     return settled.unionAll(spans).groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
@@ -339,9 +381,9 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, *more: str, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *more: str, words: bool = False, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans and the columns ``more``, for every row."""
-    spans = repeated_spans(docs, **options)
+    spans = repeated_spans(docs, words=words, **options)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *more)
     kinds = dict(rows.dtypes)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", *more]
@@ -351,6 +393,9 @@ def without_repeats(docs: DataFrame, *more: str, **options) -> DataFrame:
             out = []
             for text, own in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
                 own = _spans(own)
+                if words and own:
+                    first, last = word_places(text)
+                    own = [(int(first[s]), int(last[e - 1])) for s, e in own]
                 kept = kept_bytes(text, own)
                 out.append((len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": s, "stop": e} for s, e in own]))
             cols = list(zip(*out)) if out else [[]] * 6
