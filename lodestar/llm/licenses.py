@@ -1,9 +1,11 @@
 """License scans by sentence rules (operator 5), in DataFrame expressions only.
 
-A text is lower-cased (A-Z), cut into sentences at line ends and at ``.!?``
-before white space, and every sentence is normalised to words of ``a-z0-9``.
-Sentences that the table SENTENCES knows become identifiers; all others drop
-out.  RULES are matched against the sequence of identifiers in their order; a
+A text is lower-cased (A-Z) and normalised to words of ``a-z0-9``; this drops
+comment marks.  ``.!?`` before white space and blank lines end a sentence; a line
+end, ``;`` or ``:`` may end one or stand in one, so that wrapped texts and lines
+that stand alone are both found.  Sentences that the table SENTENCES knows, the
+longest first and with or without one of LEADS before them, become identifiers;
+all others drop out.  RULES are matched against the sequence of identifiers in their order; a
 rule that matches consumes what it matched, so a long licence is not found
 again as the short ones it contains.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, doc_text
+from .common import LOWER, UPPER, doc_text
 
 # Normalised sentences of published licence texts and notices, by identifier.
 SENTENCES: dict[str, str] = {
@@ -93,13 +95,29 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 
+# What may stand before a known sentence.
+LEADS = tuple(f"{a} {b} is" for a in ("this", "the") for b in ("code", "file", "library", "module", "package", "program", "project", "repository", "software", "source code", "work"))
+
+#: Ends a sentence for certain; texts hold none, as it is read as a space.
+_END = "\x01"
+
+
+def _sentence_pattern() -> str:
+    """A known sentence (group 1) between ends, over words and the marks ``_END``, line end, ``;`` and ``:`` without spaces around them."""
+    gap = r"(?: |[;:]+\n?[;:]*|\n[;:]*)"
+    any_of = lambda known: "|".join(x.replace(" ", gap) for x in sorted(known, key=len, reverse=True))
+    return f"(?<![a-z0-9 ])(?:(?:{any_of(LEADS)}){gap})?({any_of(SENTENCES)})(?![a-z0-9 ])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    cut_ = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[.!?]+[\x20\x09-\x0D]", "\n")
-    plain = F.regexp_replace(cut_, r"[^a-z0-9\n]+", " ")
-    known = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.btrim(s)), lambda s: s.isin(list(SENTENCES)))
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER + _END, LOWER + " ")
+    cut_ = F.regexp_replace(lower, r"[.!?]+[\x20\x09-\x0D]", _END)
+    plain = F.regexp_replace(cut_, rf"[^a-z0-9\n;:{_END}]+", " ")
+    marked = F.btrim(F.regexp_replace(plain, rf" ?([\n;:{_END}]) ?", "$1"))
+    known = F.regexp_extract_all(marked, F.lit(_sentence_pattern()), F.lit(1))
     table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.transform(known, lambda s: table[s])
+    return F.transform(known, lambda s: table[F.regexp_replace(s, r"[\n;:]+", " ")])
 
 
 def _written(ids: tuple[str, ...]) -> str:
@@ -117,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL for texts in which no known sentence is wrapped, follows ``;`` or ``:`` in a line, or has a lead-in."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     table = f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in SENTENCES.items())}}}"
     steps, last = [], "s0"
