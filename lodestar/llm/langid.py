@@ -8,8 +8,10 @@ known scores it by their mean; if none is, the word says nothing.  A document's
 score for a language is the mean over its words, and the lowest wins.
 
 The model is fitted on a sample of at most about ``max_train`` labelled
-documents (whole texts), chosen by a hash of doc_id, and holds at most
-``max_words`` words and ``max_grams`` n-grams; it is sent to every task.
+documents (whole texts), chosen by a hash of doc_id, and holds at most about
+``max_words`` words and ``max_grams`` n-grams; it is sent to every task.  Each
+language has the same room in the sample and in both tables (in that of
+n-grams, for each length); what a language does not need goes to the others.
 
 Defined results: a null text, or one without a letter, gives ``und`` with
 score 0; so does any text if nothing could be learned; ties go to the language
@@ -123,23 +125,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["n", "gram", "lang", "c"])
 
 
+def level(sizes: list[int], room: int) -> float:
+    """How much each of some groups may have so that all have ``room``; groups below it are whole."""
+    left = sorted(sizes)
+    while left and left[0] * len(left) <= room:
+        room -= left.pop(0)
+    return room / len(left) if left else float("inf")
+
+
+def _least(steps: list[tuple[int, int]], room: float) -> tuple[int, float]:
+    """The least count of which rows are kept, and the share of its rows, for ``room`` rows of (count, rows)."""
+    for c, n in sorted(steps, reverse=True):
+        if n > room:
+            return c, room / n
+        room -= n
+    return 0, 1.0
+
+
+def _in_room(known: DataFrame, room: int) -> DataFrame:
+    """Rows of ``known``: of each language and length the most frequent, at most about ``room`` rows."""
+    if known.count() <= room:
+        return known
+    each = known.select("n", "gram", "by_lang", F.explode("by_lang").alias("lang", "c"))
+    steps: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for r in each.groupBy("n", "lang", "c").agg(F.count("*").alias("rows")).collect():  # different counts only
+        steps.setdefault((r["n"], r["lang"]), []).append((r["c"], r["rows"]))
+    own = level([sum(n for _, n in x) for x in steps.values()], room)
+    limits = known.sparkSession.createDataFrame([(*k, *_least(x, own)) for k, x in steps.items()], "n int, lang string, least long, part double")
+    drawn = F.pmod(F.xxhash64("n", "gram"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+    kept = each.join(F.broadcast(limits), ["n", "lang"]).where((F.col("c") > F.col("least")) | ((F.col("c") == F.col("least")) & drawn))
+    return kept.groupBy("n", "gram").agg(F.first("by_lang").alias("by_lang"))
+
+
 def train(labelled: DataFrame, *, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on ``labelled`` (doc_id, text, lang); rows without text or lang are left out."""
     usable = doc_text(labelled, F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     # The count reads ids and languages only.
-    n = labelled.where("lang IS NOT NULL").select("doc_id").count()
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("lang")), F.lit(1 << 20))
-    sample = usable.where(part < int((1 << 20) * min(1.0, max_train / max(n, 1))))
+    sizes = {r["lang"]: r["count"] for r in labelled.select(F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL").groupBy("lang").count().collect()}
+    own = level(list(sizes.values()), max_train)
+    rates = labelled.sparkSession.createDataFrame([(x, min(1.0, own / n)) for x, n in sizes.items()], "lang string, rate double")
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("lang")), F.lit(1 << 40))
+    sample = usable.join(F.broadcast(rates), "lang").where(part < F.col("rate") * (1 << 40))
     counts = cut(map_batches(sample.select("text", "lang"), _count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c")))
-    known = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "c")))).alias("by_lang")).where(F.col("total") >= MIN_COUNT)
-    word_rows = known.where("n = 0").orderBy(F.desc("total"), "gram").limit(max_words)
-    gram_rows = known.where("n > 0").orderBy(F.desc("total"), "n", "gram").limit(max_grams)
+    known = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "c")))).alias("by_lang"))
+    known = cut(known.where(F.col("total") >= MIN_COUNT).select("n", "gram", "by_lang"))
+    word_rows, gram_rows = _in_room(known.where("n = 0"), max_words), _in_room(known.where("n > 0"), max_grams)
     sums = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for _, lang in sums})
     at: dict[str, int] = {}
     pieces: dict[str, int] = {}
     costs = []
-    for r in word_rows.unionAll(gram_rows).collect():
+    for r in word_rows.select("n", "gram", "by_lang").unionAll(gram_rows.select("n", "gram", "by_lang")).collect():
         (pieces if r["n"] else at)[r["gram"]] = len(costs)
         costs.append([min(PENALTY, -np.log10(c / sums[(r["n"], x)])) if (c := r["by_lang"].get(x)) else PENALTY for x in langs])
     return Model(langs, at, pieces, np.array(costs, np.float64).reshape(len(costs), len(langs)))
