@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +20,9 @@ from ..operators.tables import kept as cut  # noqa: F401  the operators take it
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in an Arrow batch: texts of 3 KB make it 6 MB, texts of 1 MB 2 GB / CHUNK_BYTES pieces.
-BATCH_ROWS = 2000
-CHUNK_BYTES = 16 << 20
+#: Rows in an Arrow batch (Spark also ends one at 64 MB), and bytes of text that a function takes at a time.
+BATCH_ROWS = 1000
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +39,21 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows; ``fn`` takes and yields record batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with batches bounded in rows; ``fn`` takes and yields record batches.
+
+    The bound is a setting that Spark reads when the plan runs, so it stays with
+    the session; a smaller one that is set already is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker serves one task after another: this pool gives freed memory back in between.
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -85,10 +96,26 @@ class Tokens:
         return hash_strings(self.words)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def hash_strings(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some non-empty strings, by their bytes."""
     if not len(values):
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(raw)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(BYTE_HASHES[raw] * powers(_BASE, int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,3 +124,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte.
+BYTE_HASHES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))

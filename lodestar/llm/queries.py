@@ -61,7 +61,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def queries() -> dict[str, Query]:

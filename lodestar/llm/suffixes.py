@@ -4,7 +4,7 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 too.  That asks, of every suffix, whether its first ``length`` bytes are those
 of another: suffixes that share them are neighbours, and tie up to that depth,
 in the suffix array.  The array is never held.  It is built a bucket at a time,
-and ties are settled by ranks of a sample of positions:
+and long ties are settled by ranks of a sample of positions:
 
 * The cover sample.  Any string of ``length`` bytes holds a sampled position,
   and equal strings hold it at the same place; this is what a difference cover
@@ -13,64 +13,66 @@ and ties are settled by ranks of a sample of positions:
   2 / (length - GRAM + 2) of all positions, where a cyclic difference cover of
   period 133 samples 12 / 133.
 * Buckets.  Suffixes whose next sample has the same gram form a bucket, at each
-  distance from the sample.  Neighbouring suffixes with one sample make a run,
-  and a run is ranked once, by its context (all bytes that its strings cover).
-* Long ties.  A context that occurs twice settles its whole run.  Runs that
-  share a bucket but not a context remain, with one run of each settled context
-  as a witness.  A bucket of at most BUCKET_RUNS such runs is sorted in one
-  task: its suffixes by distance and rank, and neighbours of equal rank are
-  repeats.  A larger one is never gathered: its runs are cut into blocks of
-  BLOCK distances, ranked and counted, and what is still alone is counted
-  suffix by suffix.
+  distance from the sample.  Neighbouring suffixes with one sample make a run.
+  A run whose context (all bytes that its strings cover) occurs twice is
+  settled at once, by counting: no neighbour can tell more.  Runs that share a
+  bucket but not a context remain, with one run of each settled context as a
+  witness.
+* Order.  A bucket of at most BUCKET_RUNS such runs is sorted in one task.  First
+  the sampled suffixes are put in the order of their bytes, which gives each
+  sample a rank.  Then the suffixes are sorted by the bytes before their sample,
+  and those that tie there by the sample's rank: the order is that of all their
+  bytes, and no comparison goes past the sample.  Neighbours are compared byte
+  by byte over ``length``.  A larger bucket is never gathered: its runs are cut
+  into blocks of BLOCK distances, named by 128 bits of hash and counted, and
+  what is still alone is counted suffix by suffix.
 
 A text may also be taken as its words (``words=True``): an element is then the
 64-bit hash of a word instead of a byte, ``length`` and ``gram`` count words, and
 a span goes from the start of its first word to the end of its last.
 
-Ranks are pairs of 64-bit hashes of what they name.  A passage that a third of
-all documents share is counted, with sums in every task before the shuffle.
+Contexts are named by two 64-bit hashes.  A passage that a third of all
+documents share is counted, with sums in every task before the shuffle.  Python
+takes texts in pieces of PIECE bytes, however long they are.
 
 Defined results: a null text is the empty text; texts shorter than ``length``
-lose nothing; equal rows are copies of each other; what is left of a text is
+lose nothing; equal rows are copies of each other; a very long text is cut into
+pieces that overlap by ``length``, with the same result; what is left of a text is
 decoded with U+FFFD where a cut falls inside a character (the hash of the
-query is of the bytes themselves).
+query is of the bytes themselves); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, map_batches, mix
+from .common import BYTE_HASHES, chunks, cut, map_batches, mix, powers
 
 LENGTH = 400
 GRAM = 128
 BLOCK = 16
 BUCKET_RUNS = 1000
-PIECE = 4 << 20
+#: Bytes of text that are hashed at a time, and suffixes that are sorted at a time.
+PIECE = 1 << 19
+SORTED = 1 << 14
 #: A passage of over 50 words holds a string of so many; grams of so many.
 PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
 BROADCAST_IDS = 1_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_FOLD, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 _LOW = np.uint64((1 << 24) - 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of an element: a byte of text, or the hash of a word.
 _KINDS = {1: np.uint8, 8: np.uint64}
 
 
-@lru_cache(maxsize=4096)
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_BASE), n, 1 << 64))
-
-
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text start and end."""
     raw = np.frombuffer(text, np.uint8)
@@ -80,53 +82,71 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _slices(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Pieces of about PIECE bytes that end at a space, and where they start."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] != 32 and not 9 <= text[end] <= 13:
+            end += 1
+        yield at, text[at:end]
+        at = end
 
 
 def word_hashes(texts: list[bytes]) -> list[bytes]:
     """Of each text, the 64-bit hashes of its words."""
-    joined = b"\n".join(texts)
-    starts, ends = word_places(joined)
-    prefix = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTES[np.frombuffer(joined, np.uint8)] * _powers(_BASE, len(joined))[:-1], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * _powers(_BASE_INVERSE, len(joined))[starts] + (ends - starts).astype(np.uint64))
-    edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    return [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, part in _slices(b"\n".join(texts)):
+        starts, ends = word_places(part)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_HASHES[np.frombuffer(part, np.uint8)] * powers(_BASE, len(part))[:-1], out=prefix[1:])
+        hashes.append(mix((prefix[ends] - prefix[starts]) * powers(_BASE_INVERSE, len(part))[starts] + (ends - starts).astype(np.uint64)))
+        found.append(starts + at)
+    of = np.concatenate(hashes)
+    edges = np.searchsorted(np.concatenate(found), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return [of[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in chunks(whole, limit=PIECE >> 2):
-            yield pa.record_batch([b.column("doc"), b.column("hash"), pa.array(word_hashes(b.column("text").cast(pa.binary()).to_pylist()), pa.binary())], names=["doc", "hash", "text"])
+def _elements(batch: pa.RecordBatch, width: int) -> list[bytes]:
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    return word_hashes(texts) if width == 8 else texts
 
 
-class Hashes:
-    """Polynomial hashes of all substrings of some elements, from those of lengths 1, 2, 4, ..."""
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for two, in this order."""
+    x = a * _FOLD
+    x ^= x >> _SHIFT
+    x += b
+    return x
+
 
-    def __init__(self, raw: np.ndarray, longest: int) -> None:
-        self.of = {1: _BYTES[raw] if raw.dtype == np.uint8 else raw}
-        n = 1
-        while n * 2 <= longest:
-            x = self.of[n]
+class Hashes:
+    """Hashes of all substrings of the given lengths of some elements.
+
+    A string is hashed from its halves; of a length that is no power of two, from
+    the longest such string at its start and at its end, which overlap.
+    """
+
+    def __init__(self, raw: np.ndarray, *lengths: int) -> None:
+        held = {1 << (n.bit_length() - 1) for n in lengths}
+        self.of: dict[int, np.ndarray] = {}
+        x, n = BYTE_HASHES[raw] if raw.dtype == np.uint8 else raw, 1
+        while True:
+            if n in held:
+                self.of[n] = x
+            if n == max(held):
+                return
             y = np.zeros_like(x)
             if len(x) > n:
-                y[:-n] = x[:-n] * _power(n) + x[n:]
-            n *= 2
-            self.of[n] = y
+                y[:-n] = _fold(x[:-n], x[n:])
+            x, n = y, n * 2
 
     def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
-        out, done = np.zeros(len(at), np.uint64), 0
-        for s in sorted(self.of, reverse=True):
-            while n - done >= s:
-                out = out * _power(s) + self.of[s][at + done]
-                done += s
-        return mix(out)
+        s = 1 << (n.bit_length() - 1)
+        return mix(_fold(self.of[s][at], self.of[s][at + n - s]))
 
     def cover(self, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-        """Of the bytes from ``first`` to ``last + n``, where last - first < n."""
+        """Of the elements from ``first`` to ``last + n``, where last - first < n."""
         return mix(self(first, n) + self(last, n) * np.uint64(31) + (last - first).astype(np.uint64))
 
 
@@ -142,7 +162,7 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gra
     """Runs of suffixes with one sample: text, first and last suffix, sample, gram hash, context hash."""
     if len(raw) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    h = Hashes(raw, length)
+    h = Hashes(raw, length, gram)
     g = h(np.arange(len(raw) - gram + 1), gram)
     least = sliding_min((g & ~_LOW) | np.arange(len(g), dtype=np.uint64), length - gram + 1)
     step = np.zeros(len(raw) + 1, np.int32)
@@ -162,10 +182,10 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gra
 
 def _pieces(texts: list[bytes], length: int, width: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Texts (index, offset in elements, bytes) in groups of about PIECE bytes; longer texts are cut by the suffixes that start in a piece."""
-    group, size = [], 0
+    group, size, step = [], 0, max(1, PIECE // width)
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) // width - length + 1), PIECE // width):
-            part = t[at * width : (at + PIECE // width + length - 1) * width]
+        for at in range(0, max(1, len(t) // width - length + 1), step):
+            part = t[at * width : (at + step + length - 1) * width]
             if group and size + len(part) > PIECE:
                 yield group
                 group, size = [], 0
@@ -180,9 +200,9 @@ RUN = "doc long, hash long, first int, last int, sample int, gram long, context
 
 def _runs(length: int, gram: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for whole in batches for b in chunks(whole, limit=PIECE)):
             docs, hashes = b.column("doc").to_numpy(), b.column("hash").to_numpy()
-            for group in _pieces(b.column("text").cast(pa.binary()).to_pylist(), length, width):
+            for group in _pieces(_elements(b, width), length, width):
                 lengths = np.array([len(p[2]) // width for p in group])
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
@@ -199,14 +219,25 @@ FRAGMENT = "doc long, hash long, first int, last int, sample int, gram long, wit
 
 
 def _fragments(length: int, width: int):
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in FRAGMENT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, h, text, own in zip(b.column("doc").to_pylist(), b.column("hash").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist()):
-                out.extend((doc, h, r["first"], r["last"], r["sample"], r["gram"], r["witness"], text[r["first"] * width : (r["last"] + length) * width]) for r in own)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            cols = list(zip(*out)) if out else [[]] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in FRAGMENT.split(", ")])
+        out: list[tuple] = []
+        size = 0
+        for b in (b for whole in batches for b in chunks(whole, limit=PIECE)):
+            for doc, h, text, own in zip(b.column("doc").to_pylist(), b.column("hash").to_pylist(), _elements(b, width), b.column("runs").to_pylist()):
+                for r in own:
+                    first, last, sample, gram, witness = (r[k] for k in ("first", "last", "sample", "gram", "witness"))
+                    part = text[first * width : (last + length) * width]
+                    out.append((doc, h, first, last, sample, gram, witness, part))
+                    size += len(part)
+                    if size > PIECE:
+                        yield batch(out)
+                        out, size = [], 0
+        yield batch(out)
 
     return run
 
@@ -215,10 +246,10 @@ RANKED = "doc long, hash long, gram long, sample int, at int, distance int, n in
 
 
 def _ranked(length: int, block: int, only: bool, width: int):
-    """Blocks of suffixes of fragments with the rank of their bytes. ``only``: of the wanted blocks, each suffix by itself."""
+    """Blocks of suffixes of fragments with a name for their bytes. ``only``: of the wanted blocks, each suffix by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for whole in batches for b in chunks(whole, "bytes", PIECE)):
             frag = [x or b"" for x in b.column("bytes").to_pylist()]
             sizes = np.array([len(x) // width for x in frag], np.int64)
             base = np.cumsum(sizes) - sizes
@@ -226,8 +257,7 @@ def _ranked(length: int, block: int, only: bool, width: int):
             first, last, sample = (b.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "sample"))
             low, high = sample - last, sample - first  # distances to the sample
             if only:
-                wanted = b.column("blocks")
-                lists = wanted.to_pylist()
+                lists = b.column("blocks").to_pylist()
                 row = np.repeat(np.arange(len(frag)), [len(x) for x in lists])
                 j = np.array([y for x in lists for y in x], np.int64)
                 row, off = np.repeat(row, block), np.tile(np.arange(block), len(j))
@@ -263,33 +293,112 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 SPAN = "doc long, hash long, start int, stop int"
 
 
-def _sorted_bucket(rows: list[pa.RecordBatch], length: int, width: int) -> pa.RecordBatch:
-    """Spans of the repeated suffixes of whole buckets: sorted by bucket, distance and rank, equal neighbours repeat."""
+def _rows_of(windows: np.ndarray) -> np.ndarray:
+    """A matrix of bytes as one fixed-size string for each row, which compare by their bytes."""
+    return np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
+
+
+class Bucket:
+    """Fragments of one or more whole buckets, and the order of their suffixes.
+
+    ``raw`` holds the fragments' bytes one after the other, ``base`` where each
+    begins; ``first``, ``last`` and ``sample`` are element numbers in the text.
+    """
+
+    def __init__(self, fragments: list[bytes], first: np.ndarray, last: np.ndarray, sample: np.ndarray, gram: np.ndarray, length: int, width: int) -> None:
+        self.first, self.last, self.sample, self.length, self.width = first, last, sample, length, width
+        sizes = np.array([len(x) for x in fragments], np.int64)
+        self.base = np.cumsum(sizes) - sizes
+        self.raw = np.frombuffer(b"".join(fragments) + bytes(length * width), np.uint8)
+        self.bucket = np.unique(gram, return_inverse=True)[1]
+        self.ranks = self._sample_ranks()
+
+    def _windows(self, n: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.raw, n)
+
+    def _sample_ranks(self) -> np.ndarray:
+        """The rank of each sampled suffix among all of them, by its bytes as far as its run's strings go (zeros after that)."""
+        n, size = len(self.first), self.length * self.width
+        held = (self.last + self.length - self.sample) * self.width
+        strings = np.empty(n, f"S{size}")
+        for i in range(0, n, SORTED):
+            part = slice(i, i + SORTED)
+            w = self._windows(size)[self.base[part] + (self.sample - self.first)[part] * self.width].copy()
+            w[np.arange(size) >= held[part, None]] = 0
+            strings[part] = _rows_of(w)
+        return np.unique(strings, return_inverse=True)[1].astype(np.int64)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row and distance of about SORTED suffixes at a time, whole (bucket, distance) groups together."""
+        low, high = self.sample - self.last, self.sample - self.first
+        # Whole buckets while they are small; a larger one some distances at a time.
+        n = np.bincount(self.bucket, high - low + 1).astype(np.int64)
+        order = np.argsort(self.bucket, kind="stable")
+        ends = np.cumsum(np.bincount(self.bucket))
+        start = done = 0
+        while done < len(n):
+            size, upto = n[done], done + 1
+            while upto < len(n) and size + n[upto] <= SORTED:
+                size, upto = size + n[upto], upto + 1
+            rows = order[start : ends[upto - 1]]
+            a, z = int(low[rows].min()), int(high[rows].max())
+            step = max(1, (z - a + 1) * SORTED // max(SORTED, int(size)))
+            for d0 in range(a, z + 1, step):
+                from_, to = np.maximum(low[rows], d0), np.minimum(high[rows], d0 + step - 1)
+                many = np.maximum(0, to - from_ + 1)
+                row = np.repeat(rows, many)
+                if len(row):
+                    yield row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(from_, many)
+            start, done = ends[upto - 1], upto
+
+    def _places(self, row: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        return self.base[row] + (self.sample[row] - distance - self.first[row]) * self.width
+
+    def ordered(self, row: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """The order of suffixes by bucket, distance and all their bytes: the bytes before the sample, then the sample's rank."""
+        before = max(1, int(distance.max()) * self.width)
+        w = self._windows(before)[self._places(row, distance)].copy()
+        w[np.arange(before) >= (distance * self.width)[:, None]] = 0
+        return np.lexsort((self.ranks[row], np.unique(_rows_of(w), return_inverse=True)[1], distance, self.bucket[row]))
+
+    def repeated(self, row: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Which of some suffixes share ``length`` elements with another of their bucket and distance."""
+        # Those that are alone with their first eight bytes need no place in the order.
+        head = self._windows(8)[self._places(row, distance)].copy().view(np.uint64).ravel()
+        _, twin, times = np.unique(mix(head + mix((self.bucket[row] * (1 << 20) + distance).astype(np.uint64))), return_inverse=True, return_counts=True)
+        out = np.zeros(len(row), bool)
+        some = np.flatnonzero(times[twin] > 1)
+        if len(some):
+            row, distance = row[some], distance[some]
+            order = self.ordered(row, distance)
+            r, d = row[order], distance[order]
+            w = self._windows(self.length * self.width)
+            at = self._places(r, d)
+            near = np.flatnonzero((self.bucket[r[1:]] == self.bucket[r[:-1]]) & (d[1:] == d[:-1]))
+            near = near[(w[at[near]] == w[at[near + 1]]).all(axis=1)]
+            out[some[order[near]]] = True
+            out[some[order[near + 1]]] = True
+        return out
+
+
+def _sorted_buckets(rows: list[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the repeated suffixes of whole buckets."""
     t = pa.Table.from_batches(rows).combine_chunks()
-    frag = [x or b"" for x in t.column("bytes").to_pylist()]
     first, last, sample = (t.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "sample"))
-    n = last - first + 1
-    row = np.repeat(np.arange(len(frag)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
-    base = np.concatenate([[0], np.cumsum([len(x) // width for x in frag])])[:-1]
-    rank = Hashes(np.frombuffer(b"".join(frag), _KINDS[width]), length)(base[row] + at - first[row], length)
-    bucket = np.unique(t.column("gram").to_numpy(), return_inverse=True)[1][row]
-    distance = sample[row] - at
-    order = np.lexsort((rank, distance, bucket))
-    b, d, r = bucket[order], distance[order], rank[order]
-    tie = (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1])
-    repeat = np.zeros(len(row), bool)
-    repeat[order[1:][tie]] = True
-    repeat[order[:-1][tie]] = True
-    repeat &= ~t.column("witness").to_numpy(zero_copy_only=False)[row]
-    # Neighbouring suffixes of one run make one span.
-    i = np.flatnonzero(repeat)
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1] + 1) | (row[i[1:]] != row[i[:-1]])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(i))[: len(head)] - 1
-    of = pa.array(row[i[head]])
-    return pa.record_batch([t.column("doc").combine_chunks().take(of), t.column("hash").combine_chunks().take(of), pa.array(at[i[head]].astype(np.int32)), pa.array((at[i[tail]] + length).astype(np.int32))], names=["doc", "hash", "start", "stop"])
+    bucket = Bucket([x or b"" for x in t.column("bytes").to_pylist()], first, last, sample, t.column("gram").to_numpy(), length, width)
+    seen_only = t.column("witness").to_numpy()
+    for row, distance in bucket.blocks():
+        found = np.flatnonzero(bucket.repeated(row, distance) & ~seen_only[row])
+        at = sample[row[found]] - distance[found]
+        # Neighbouring suffixes of one run make one span.
+        order = np.lexsort((at, row[found]))
+        r, at = row[found][order], at[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(r))[: len(head)] - 1
+        of = pa.array(r[head])
+        yield pa.record_batch([t.column("doc").combine_chunks().take(of), t.column("hash").combine_chunks().take(of), pa.array(at[head].astype(np.int32)), pa.array((at[tail] + length).astype(np.int32))], names=["doc", "hash", "start", "stop"])
 
 
 def _buckets(length: int, width: int):
@@ -297,20 +406,18 @@ def _buckets(length: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b for whole in batches for b in chunks(whole, "bytes", PIECE)):
             gram = b.column("gram").to_numpy()
             cut_at = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
-            if held and held[-1].column("gram")[0].as_py() != gram[0] and not cut_at:
-                yield _sorted_bucket(held, length, width)
+            if held and held[-1].column("gram")[0].as_py() != gram[0]:
+                yield from _sorted_buckets(held, length, width)
                 held = []
             if cut_at:
-                yield _sorted_bucket([*held, b.slice(0, cut_at)], length, width)
+                yield from _sorted_buckets([*held, b.slice(0, cut_at)], length, width)
                 held = []
             held.append(b.slice(cut_at))
         if held:
-            yield _sorted_bucket(held, length, width)
+            yield from _sorted_buckets(held, length, width)
 
     return run
 
@@ -344,7 +451,7 @@ def _large_buckets(fragments: DataFrame, length: int, block: int, width: int) ->
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS, words: bool = False) -> DataFrame:
     """doc, hash, spans: sorted spans of bytes (or words) to remove (start, stop), for texts that have any; they may overlap."""
     width = 8 if words else 1
-    texts = map_batches(keyed(docs), _worded, "doc long, hash long, text binary") if words else keyed(docs)
+    texts = keyed(docs)
     found = cut(map_batches(texts, _runs(length, gram, width), RUN))
     place = F.struct("doc", "hash", "first")
     classes = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("head"))
@@ -381,15 +488,17 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, *more: str, words: bool = False, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans and the columns ``more``, for every row."""
+def without_repeats(docs: DataFrame, *more: str, words: bool = False, texts: bool = True, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns ``more`` and, with ``texts``, kept_text and spans, for every row."""
     spans = repeated_spans(docs, words=words, **options)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *more)
     kinds = dict(rows.dtypes)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", *more]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start:int,stop:int>>" * texts + "".join(f", {m} {kinds[m]}" for m in more)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *(pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))) * texts)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *("kept_text", "spans") * texts, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for whole in batches for b in chunks(whole)):
             out = []
             for text, own in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
                 own = _spans(own)
@@ -397,10 +506,8 @@ def without_repeats(docs: DataFrame, *more: str, words: bool = False, **options)
                     first, last = word_places(text)
                     own = [(int(first[s]), int(last[e - 1])) for s, e in own]
                 kept = kept_bytes(text, own)
-                out.append((len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": s, "stop": e} for s, e in own]))
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types)), *(b.column(m) for m in more)], names=names)
+                row = (len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest())
+                out.append((*row, kept.decode("utf-8", "replace"), [{"start": s, "stop": e} for s, e in own]) if texts else row)
+            yield pa.record_batch([b.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types)), *(b.column(m) for m in more)], names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,stop:int>>" + "".join(f", {m} {kinds[m]}" for m in more)
     return map_batches(rows.join(spans, ["doc", "hash"], "left").select("doc_id", "text", "spans", *more), run, schema)
