@@ -23,8 +23,9 @@ always gives the text back.  Repeated rows encode alike.
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -40,7 +41,7 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A literal mark on its way to byte pieces: no text from Spark holds a lone surrogate.
 _LITERAL = "\ud800"
-CACHE_WORDS, CACHE_PAIRS = 600_000, 2_000_000
+CACHE_WORDS, CACHE_PAIRS = 120_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,12 @@ class Pieces:
         return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
 
 
-def merge(pieces: Pieces, text: str) -> list[str]:
-    """Byte-pair merging of one text: the best-ranked pair first, the leftmost among equals."""
+def merge(pieces: Pieces, text: str) -> tuple[list[str], tuple[str, str] | None]:
+    """Byte-pair merging of one text (the best-ranked pair first, the leftmost among equals), and the pair merged last."""
     parts: list[str | None] = list(text)
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap: list[tuple[float, int, int, str]] = []
+    final = None
 
     def offer(i: int) -> None:
         j = after[i] if i >= 0 else len(parts)
@@ -105,39 +107,82 @@ def merge(pieces: Pieces, text: str) -> list[str]:
         _, i, j, both = heapq.heappop(heap)
         if parts[i] is None or j >= len(parts) or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
             continue
+        final = (parts[i], parts[j])
         parts[i], parts[j] = both, None
         after[i] = after[j]
         if after[i] < len(parts):
             before[after[i]] = i
         offer(before[i])
         offer(i)
-    return [p for p in parts if p is not None]
+    return [p for p in parts if p is not None], final
 
 
 @dataclass
 class Encoder:
+    """Encodes sorted words; remembers at most CACHE_PAIRS answers of ``fits`` and the edges of each piece."""
+
     pieces: Pieces
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    edges: tuple[dict[str, list | None], dict[str, list | None]] = field(default_factory=lambda: ({}, {}))
+
+    def edge(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """What stands at an end of a piece (0: its start, 1: its end) while it is merged: (text, rank of the merge that ends it); None if its characters do not merge to it."""
+        got = self.edges[side].get(piece, False)
+        if got is False:
+            parts, halves = merge(self.pieces, piece)
+            if len(parts) > 1:
+                got = None
+            elif halves is None:
+                got = [(piece, math.inf)]
+            else:
+                below = self.edge(halves[side], side)
+                got = below and [*below[:-1], (below[-1][0], -self.pieces.ranks[self.pieces.index[piece]]), (piece, math.inf)]
+            self.edges[side][piece] = got
+        return got
 
     def fits(self, left: str, right: str) -> bool:
-        """Whether ``right`` may stand after ``left`` (empty at the start)."""
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            # Two that together are a piece would have been merged.
-            got = self.pairs[key] = (not left or left + right not in self.pieces.index) and merge(self.pieces, left + right) == [x for x in key if x]
-        return got
+        """Whether ``right`` may stand after ``left`` (empty at the start): merging the characters of both gives these two.
+
+        A merge ranks behind the merges that made its parts, so merges happen in
+        order of rank.  Nothing joins the two if, at each step, what stands at the
+        boundary is no piece together, or one that ranks behind the next merge on
+        either side (of equal ranks, the one further left comes first).
+        """
+        x, y = (self.edge(left, 1) if left else []), self.edge(right, 0)
+        if x is None or y is None:
+            return False
+        index, ranks = self.pieces.index, self.pieces.ranks
+        i = j = 0
+        while x:
+            (a, a_ends), (b, b_ends) = x[i], y[j]
+            at = index.get(a + b)
+            if at is not None and -ranks[at] < a_ends and -ranks[at] <= b_ends:
+                return False
+            if a_ends == b_ends == math.inf:
+                break
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+        return True
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each of some sorted, distinct marked words."""
-        index, longest, known, out = self.pieces.index, self.pieces.longest, self.pairs, []
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids (four bytes each) of each of some sorted, distinct marked words."""
+        index, longest, known, coded, out = self.pieces.index, self.pieces.longest, self.pairs, self.coded, []
         before = ""
-        ends: list[str] = [""]  # ends[j]: the last piece of the first j characters, empty after a character without one
+
+        def fits(left: str, right: str) -> bool:
+            got = known.get((left, right))
+            if got is None:
+                if len(known) >= CACHE_PAIRS:
+                    known.clear()
+                got = known[left, right] = self.fits(left, right)
+            return got
+
+        ends: list[str] = [""]  # forward states of the prefixes: the last piece, empty after a character without one
         for word in words:
             if word.startswith(MARK * 2):
-                out.append(self.ids(merge(self.pieces, word)))  # runs of marks share one rank, where pairs do not settle the order
+                out.append(b"".join(map(self.ids, merge(self.pieces, word)[0])))  # runs of marks share one rank, where pairs do not settle the order
                 continue
             shared = 0
             for a, b in zip(word, before):
@@ -146,75 +191,70 @@ class Encoder:
                 shared += 1
             del ends[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
-                last = ""
-                if word[j - 1] in index:
+                char = word[j - 1]
+                if char not in index:
+                    ends.append("")
+                    continue
+                # One piece alone fits. Often it is the last one and this character.
+                piece = ends[-1] + char
+                i = j - len(piece)
+                if piece not in index or not (known.get((ends[i], piece)) or fits(ends[i], piece)):
                     for i in range(j - longest if j > longest else 0, j):
                         piece = word[i:j]
                         if piece in index:
                             ok = known.get((ends[i], piece))
-                            if ok or ok is None and self.fits(ends[i], piece):
-                                last = piece
+                            if ok or ok is None and fits(ends[i], piece):
                                 break
-                ends.append(last)
+                ends.append(piece)
             before = word
             path, j = [], len(word)
             while j:
-                last = ends[j] or word[j - 1]
-                path.append(last)
-                j -= len(last)
-            out.append(self.ids(path[::-1]))
-        return out
-
-    def ids(self, path: list[str]) -> list[int]:
-        out = []
-        for p in path:
-            at = self.pieces.index.get(p)
-            if at is not None:
-                out.append(at)
-            else:
-                out.extend(self.pieces.byte_ids[b] for b in (MARK if p == _LITERAL else p).encode())
+                piece = ends[j]
+                if piece:
+                    path.append(coded[piece])
+                    j -= len(piece)
+                else:
+                    path.append(self.ids(word[j - 1]))
+                    j -= 1
+            path.reverse()
+            out.append(b"".join(path))
         return out
 
+    @cached_property
+    def coded(self) -> dict[str, bytes]:
+        return {t: i.to_bytes(4, sys.byteorder) for t, i in self.pieces.index.items()}
 
-_CACHES: dict[int, Cache] = {}
-
-
-def worker_cache(pieces: Pieces) -> Cache:
-    """The cache of this Python worker, kept from task to task."""
-    key = zlib.crc32("".join(pieces.texts).encode())
-    if key not in _CACHES:
-        _CACHES[key] = Cache(pieces)
-    return _CACHES[key]
+    def ids(self, piece: str) -> bytes:
+        """The id of a piece, or the byte pieces of a character that is none."""
+        got = self.coded.get(piece)
+        return got or b"".join(self.pieces.byte_ids[b].to_bytes(4, sys.byteorder) for b in (MARK if piece == _LITERAL else piece).encode())
 
 
 class Cache:
-    """Ids of words met so far, in flat arrays; emptied when it holds CACHE_WORDS words."""
+    """Ids of words met lately: those of the last CACHE_WORDS new words, and those before them that came again."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.encoder = Encoder(pieces)
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if pieces.alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.old: dict[str, bytes] = {}
+        self.at: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's begin."""
         if len(self.at) > CACHE_WORDS:
-            self.clear()
+            self.old, self.at = self.at, {}
+        at, old = self.at, self.old
         units = [self.cut.findall(MARK + t.replace(MARK, _LITERAL).replace(" ", MARK)) if t else [] for t in texts]
-        fresh = sorted({w for us in units for w in us if w not in self.at})
-        if fresh:
-            ids = self.encoder.words(fresh)
-            self.at.update((w, len(self.starts) - 1 + i) for i, w in enumerate(fresh))
-            self.flat = np.concatenate([self.flat, np.array([x for one in ids for x in one], np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(one) for one in ids])])
-        word = np.array([self.at[w] for us in units for w in us], np.int64)
-        per_word = self.starts[word + 1] - self.starts[word]
-        ids = gather(self.flat, self.starts[word], per_word)
-        upto = np.concatenate([[0], np.cumsum(per_word)])
-        return ids, upto[np.concatenate([[0], np.cumsum([len(us) for us in units])]).astype(np.int64)]
+        fresh = []
+        for w in {w for us in units for w in us if w not in at}:
+            if w in old:
+                at[w] = old[w]
+            else:
+                fresh.append(w)
+        fresh.sort()
+        at.update(zip(fresh, self.encoder.words(fresh)))
+        joined = [b"".join([at[w] for w in us]) for us in units]
+        return np.frombuffer(b"".join(joined), np.int32), np.cumsum([0, *(len(x) // 4 for x in joined)])
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -239,7 +279,7 @@ def encode(docs: DataFrame, *more: str, model: str = DEFAULT_MODEL) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = sent.value
-        cache = worker_cache(pieces)
+        cache = Cache(pieces)
         for whole in batches:
             for b in chunks(whole):
                 texts = [t or "" for t in b.column("text").to_pylist()]
