@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, map_batches
+from .common import chunks, cut, doc_text, level, map_batches
 
 MAX_TRAIN, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
 LENGTHS = (5, 4, 3, 2, 1)
@@ -125,14 +125,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["n", "gram", "lang", "c"])
 
 
-def level(sizes: list[int], room: int) -> float:
-    """How much each of some groups may have so that all have ``room``; groups below it are whole."""
-    left = sorted(sizes)
-    while left and left[0] * len(left) <= room:
-        room -= left.pop(0)
-    return room / len(left) if left else float("inf")
-
-
 def _least(steps: list[tuple[int, int]], room: float) -> tuple[int, float]:
     """The least count of which rows are kept, and the share of its rows, for ``room`` rows of (count, rows)."""
     for c, n in sorted(steps, reverse=True):

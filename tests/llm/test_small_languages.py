@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-from lodestar.llm import langid
+from lodestar.llm import common, langid
 from test_operators import make
 
 
 def test_level_leaves_small_groups_whole():
-    assert langid.level([2, 50, 100], 62) == 30 and langid.level([1, 2], 3) == float("inf") and langid.level([10, 10], 4) == 2
+    assert common.level([2, 50, 100], 62) == 30 and common.level([1, 2], 3) == float("inf") and common.level([10, 10], 4) == 2
     assert langid._least([(9, 2), (5, 4), (3, 10)], 4) == (5, 0.5) and langid._least([(9, 2)], 2) == (0, 1.0)
 
 
