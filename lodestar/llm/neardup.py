@@ -12,7 +12,8 @@ components.  Then only pairs within a bucket that are still in different
 components matter: all of them, where they are at most PAIRS_PER_MEMBER times
 the bucket's members.  Classes of other buckets go through an exact join on the
 rarest shingles of each set (sets that are similar enough share one of these),
-so no bucket is capped and none is compared all with all.  An estimate far
+so no bucket is capped and none is compared all with all; members of one
+component, however many, never meet each other there.  An estimate far
 below the bound, or sizes too far apart, rule a pair out; every other pair is
 confirmed on the full sets of words.
 
@@ -20,11 +21,14 @@ A pair at exactly 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 
 Defined results: a text without words, or null, has an empty set and links
 with nothing; rows of one doc_id count as one document; a row without doc_id
-links with nothing and is kept; an empty table gives an empty result.
+links with nothing and is kept; a very long text is sketched whole, in numpy; of
+several equally near candidates the smallest doc_id is compared first, and of a
+component the smallest doc_id is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +81,7 @@ SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bands
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks(whole, limit=4 << 20):
+            for b in chunks(whole):
                 t = Tokens(b.column("text"), lower=True)
                 row, h = shingle_hashes(t, k)
                 has, starts = np.unique(row, return_index=True)
@@ -164,7 +168,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks(whole, limit=4 << 20):
+            for b in chunks(whole):
                 row, h = shingle_hashes(Tokens(b.column("text"), lower=True), k)
                 yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(h.view(np.int64))], names=["doc_id", "h"])
 
@@ -176,6 +180,20 @@ def _prefixes(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFram
     return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
 
 
+def _across(members: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """Pairs (a < b) of rows with one key and different labels, and the columns ``more`` of both.
+
+    ``top`` is the label that most rows of a key have.  Rows of other labels are
+    compared with all rows of the key, those of the top label never with each
+    other, so the rows that meet are about as many as the pairs that come out.
+    """
+    side = lambda x, rows: rows.select(*key, F.col("class_id").alias(x), F.col("label").alias(f"label_{x}"), F.col("top").alias(f"top_{x}"), *(F.col(m).alias(f"{m}_{x}") for m in more))
+    met = side("x", members.where("label != top")).join(side("y", members), key).where("label_x != label_y AND (label_y = top_y OR x < y)")
+    swap = F.col("x") > F.col("y")
+    pick = lambda c, first: F.when(swap == F.lit(first), F.col(f"{c}_y" if c else "y")).otherwise(F.col(f"{c}_x" if c else "x"))
+    return met.select(*key, pick("", True).alias("a"), pick("", False).alias("b"), *(pick(m, first).alias(f"{m}_{x}") for m in more for x, first in (("a", True), ("b", False))))
+
+
 def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     sketch = cut(map_batches(doc_text(docs), _sketch(k), SKETCH))
@@ -202,18 +220,23 @@ def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_m
     # What is left: members of one bucket in different components.
     placed = cut(shared.select("band", "key", "class_id").join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "key", "class_id", F.coalesce("label", "class_id").alias("label")))
     per_label = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    open_ = cut(per_label.groupBy("band", "key").agg(F.sum("n").alias("size"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0"))
-    small = placed.join(open_.where(F.col("pairs") <= F.col("size") * pairs_per_member).select("band", "key"), ["band", "key"])
-    left, right = small.toDF("band", "key", "a", "la"), small.toDF("band", "key", "b", "lb")
-    rest = left.join(right, ["band", "key"]).where("a < b AND la != lb").select("a", "b")
-    wide = open_.where(F.col("pairs") > F.col("size") * pairs_per_member)
+    open_ = cut(per_label.groupBy("band", "key").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("top"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0"))
+    few = F.col("pairs") <= F.col("size") * pairs_per_member
+    rest = _across(placed.join(open_.where(few), ["band", "key"]), ["band", "key"]).select("a", "b")
+    wide = open_.where(~few)
     if wide.limit(1).count():
         crowd = cut(placed.join(wide.select("band", "key"), ["band", "key"]).select(F.col("class_id").alias("doc_id"), "label").distinct())
-        rare = cut(_prefixes(docs, crowd.select("doc_id"), k, percent).join(crowd, "doc_id"))
-        side = lambda x: rare.select("h", F.col("doc_id").alias(x), F.col("rank").alias(f"rank_{x}"), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+        rare = _prefixes(docs, crowd.select("doc_id"), k, percent).join(crowd, "doc_id")
+        # Similar sets have sizes in a ratio of percent / 100 at least: the same step of that ratio, or the next.
+        step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
+        rare = cut(rare.select("h", F.col("doc_id").alias("class_id"), "rank", "n", "label", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own_step")))
+        tops = cut(rare.groupBy("h", "step", "label").agg(F.count("*").alias("m")).groupBy("h", "step").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
+        met = _across(rare.join(tops, ["h", "step"]), ["h", "step"], "rank", "n", "own_step")
         left_of = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1
         enough = left_of * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-        rest = rest.unionAll(side("a").join(side("b"), "h").where("a < b AND label_a != label_b").where(enough).select("a", "b"))
+        # Two of one step meet in both of its keys: the second time does not count.
+        once = (F.col("own_step_a") != F.col("own_step_b")) | (F.col("step") == F.col("own_step_a"))
+        rest = rest.unionAll(met.where(enough & once).select("a", "b"))
     second = confirmed(docs, likely(rest.distinct()), k, percent)
     label = components(first.unionAll(second))
 
