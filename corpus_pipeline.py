@@ -1,12 +1,17 @@
-"""A training corpus from ``documents``, in six stages.
+"""A training corpus from ``documents``, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text,
 lang, source, n_chars), the last one token ids.  A document that a stage
 rejects, shortens or repeats is so for all later stages.  ``run`` writes each
 stage to the shared folder and reads it again.
 
-Nulls: a null text is not toxic, duplicates nothing, is empty after the third
-stage and is not taken into the mix.
+Defined results, by stage.  Nulls: a null text is not toxic, duplicates nothing,
+is empty after the third stage and is not taken into the mix; rows without doc_id
+stay as they are until the mix.  Empty texts go the same way.  Very long texts
+are taken whole at each stage.  Repeated rows (one doc_id): one stays after the
+second stage.  Ties: of documents that duplicate each other the smallest doc_id
+stays; of repeated passages no copy stays.  Other columns than the five, whatever
+their names, are left out.  An empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -31,19 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.deduplicated(docs.select(*COLUMNS), k=5)
 
 
-def _left(docs: DataFrame, **options) -> DataFrame:
-    left = suffixes.without_repeats(docs, "lang", "source", **options)
-    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
-
-
-def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words that occur anywhere else too, whatever their length in bytes."""
-    return _left(docs, words=True, length=suffixes.PASSAGE_WORDS, gram=suffixes.PASSAGE_GRAM)
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeated strings of 400 bytes cover."""
-    return _left(docs)
+    """Documents without the passages of over 50 words that occur anywhere else too, whatever their length in bytes."""
+    left = suffixes.without_repeats(docs, "lang", "source", words=True, length=suffixes.PASSAGE_WORDS, gram=suffixes.PASSAGE_GRAM)
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +55,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
-    ("passages", cut_passages),
     ("repeats", cut_repeats),
     ("mix", mix_to_targets),
     ("tokens", encode),

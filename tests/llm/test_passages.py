@@ -44,7 +44,7 @@ def test_passages_of_51_short_words_go(spark):
     rows[2] = (2, rows[2][1].replace(passage, passage.replace(" ", "\n", 1)), "en", "s")  # wrapped elsewhere
     left = make(spark, rows)
     for name, stage in p.STAGES:
-        if name in ("passages", "repeats"):
+        if name == "repeats":
             left = stage(spark, left, "")
     got = {r["doc_id"]: r["text"] for r in left.collect()}
     for i, t, *_ in rows:

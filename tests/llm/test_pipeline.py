@@ -5,7 +5,8 @@ import pytest
 
 import corpus_pipeline as p
 from lodestar.llm import neardup, queries
-from test_operators import brute_components, brute_spans, words
+from test_operators import brute_components, make, words
+from test_passages import left_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,12 +34,7 @@ def test_one_of_each_group_stays(stages):
 def test_repeats_go(stages):
     before, after, _ = stages["repeats"]
     texts = [(r["text"] or "").encode() for r in before]
-    want = {}
-    for r, t, spans in zip(before, texts, brute_spans(texts, 400)):
-        kept, at = b"", 0
-        for a, b in spans:
-            kept, at = kept + t[at:a], b
-        want[r["doc_id"]] = (kept + t[at:]).decode("utf-8", "replace")
+    want = {r["doc_id"]: kept.decode() for r, kept in zip(before, left_by_brute_force(texts, 51))}
     assert {r["doc_id"]: r["text"] for r in after} == want
 
 
@@ -74,3 +70,24 @@ def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
     assert neardup.WORDS == 4
+
+
+def test_stages_are_the_ones_asked_for(spark, tmp_path):
+    assert [name for name, _ in p.STAGES] == ["toxicity", "near_duplicates", "repeats", "mix", "tokens"]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None), (1, None, "en", None), (2, "", None, "s"), (3, "a b", "en", "s"), (3, "a b", "en", "s"), (4, "x" * 3_000_000, "en", "s"), (5, "word " * 200_000, "en", "t")]])
+def test_stages_take_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and very long texts, repeated rows, an empty table and columns with names that the operators use."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = make(spark, rows)
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+        ids = sorted(r[0] for r in docs.select("doc_id").collect() if r[0] is not None)
+        if not rows:
+            assert docs.count() == 0, name
+        elif name in ("toxicity", "near_duplicates", "repeats"):
+            assert ids == [1, 2, 3, 3, 4, 5] if name == "toxicity" else ids == [1, 2, 3, 4, 5], name
+        else:
+            assert set(ids) <= {3, 4, 5}, name
+    assert docs.where("NOT round_trip").count() == 0
