@@ -1,14 +1,21 @@
 """Weak supervision over quality rules (operator 2).
 
-Each rule votes good, votes bad or abstains; a rule that looks for one defect
-abstains where it does not find it.  Documents are counted by their
-pattern of votes; expectation-maximisation over that table (at most
-3 ** (number of rules) rows, however many documents) estimates how often each rule is
-right about good and about bad documents, and the posterior probability of
-quality replaces an all-rules-must-pass filter.
+Each rule votes good, votes bad or abstains.  A rule votes bad beyond a bound
+that published filters of web text use, good where a text keeps well within it
+(half of it, for most), and abstains between; no threshold comes from a label.
+Several rules look at one kind of defect in different ways, as a rule that no
+other ever confirms cannot be told from noise.
+
+Documents are counted by their pattern of votes; expectation-maximisation over
+that table (at most 3 ** (number of rules) rows, however many documents)
+estimates how often each rule is right about good and about bad documents, and
+the posterior probability of quality replaces an all-rules-must-pass filter.  It
+starts from each pattern's share of good votes, which fixes which class is which.
 
 Defined results: a null text has no words, fails the base rules and is not
-kept; repeated rows are judged alike; an empty table gives an empty result.
+kept; an empty text likewise; a very long text is judged whole; repeated rows are
+judged alike, and count as often as they occur; a posterior that equals the
+threshold keeps; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, map_batches
+from .common import chunks, cut, doc_text, map_batches
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -28,8 +35,10 @@ SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_ended long, n_distinct long"
+STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_ended long, n_distinct long, n_symbol_words long, n_plain_words long"
 
+#: Symbols as #, letters and all bytes beyond ASCII as a.
+_KINDS = bytes(35 if b in SYMBOLS else 97 if b > 127 or bytes([b]).isalpha() else 32 if b in SPACES else 48 for b in range(256))
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")")
@@ -58,13 +67,14 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     drop = lambda these: len(solid) - len(solid.translate(None, these))
     chars = len(solid.decode())
-    return (len(words), chars, drop(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), len(lines), drop(_UPPER), drop(_DIGITS), sum(x.rstrip().endswith(_ENDS) for x in lines), len(set(words)))
+    kinds = text.translate(_KINDS).split()
+    return (len(words), chars, drop(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), len(lines), drop(_UPPER), drop(_DIGITS), sum(x.rstrip().endswith(_ENDS) for x in lines), len(set(words)), sum(b"#" in w for w in kinds), sum(b"a" not in w for w in kinds))
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b for whole in batches for b in chunks(whole)):
         rows = [text_stats(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-        cols = list(zip(*rows)) if rows else [[]] * 10
+        cols = list(zip(*rows))
         yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=[x.split()[0] for x in STATS.split(", ")])
 
 
@@ -76,49 +86,43 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-
-
 def rules() -> dict[str, Column]:
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
     lines = F.greatest(c("n_lines"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
-    no = F.lit(False)
+    above = lambda part, whole, most: _vote(c(part) > most * whole, c(part) <= most / 2 * whole)
     return {
-        "length": _vote(c("n_words") < 10, c("n_words") >= 50),
-        "symbols": _vote(c("n_symbols") > 0.1 * n, no),
-        "repeats": _vote(c("n_repeat_words") > 0.2 * n, no),
-        "duplicate_lines": _vote((c("n_dup_lines") > 0.4 * lines) & (c("n_lines") >= 4), no),
-        "word_length": _vote((chars < 2.5 * n) | (chars > 12 * n), (chars >= 3.5 * n) & (chars <= 8 * n)),
-        "ended_lines": _vote((c("n_ended") < 0.2 * lines) & (c("n_words") >= 30) & (c("n_lines") >= 3), c("n_ended") >= 0.7 * lines),
-        "upper_case": _vote(c("n_upper") > 0.3 * chars, no),
-        "digits": _vote((c("n_digits") > 0.2 * chars) & (c("n_words") >= 30), no),
-        "variety": _vote((c("n_words") >= 50) & (c("n_distinct") < 0.15 * n), c("n_distinct") >= 0.4 * n),
+        "length": _vote(c("n_words") < 50, c("n_words") >= 100),
+        "symbols": above("n_symbols", n, 0.1),
+        "symbol_chars": above("n_symbols", chars, 0.05),
+        "symbol_words": above("n_symbol_words", n, 0.2),
+        "plain_words": above("n_plain_words", n, 0.2),
+        "repeats": above("n_repeat_words", n, 0.15),
+        "duplicate_lines": above("n_dup_lines", lines, 0.3),
+        "word_length": _vote((chars < 3 * n) | (chars > 10 * n), (chars >= 4 * n) & (chars <= 8 * n)),
+        "ended_lines": _vote(c("n_ended") < 0.12 * lines, c("n_ended") >= 0.5 * lines),
+        "upper_case": above("n_upper", chars, 0.3),
+        "digits": above("n_digits", chars, 0.2),
+        "variety": _vote(c("n_distinct") < 0.15 * n, c("n_distinct") >= 0.3 * n),
     }
 
 
-#: A rule is written so that it seldom calls a good document bad; EM may not believe otherwise.
-MAX_FALSE_ALARMS = 0.002
-
-
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, tol: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000, tol: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns (rows of -1, 0, 1) and their counts.
 
-    Returns the prior of good, each rule's accuracy table (class bad or good,
-    rule, outcome bad, abstain or good) and the posterior of each pattern.  It
-    starts from "bad if any rule votes bad", which fixes which class is which;
-    one pseudo-count of each outcome keeps every probability inside (0, 1).
+    Returns the prior of good, each rule's table of outcomes (class bad or good,
+    rule, outcome bad, abstain or good) and the posterior of each pattern.  One
+    pseudo-count of each outcome keeps every probability inside (0, 1).
     """
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, outcome
-    post = np.where((votes == -1).any(axis=1), 0.05, 0.95)
+    for_, against = (votes == 1).sum(axis=1), (votes == -1).sum(axis=1)
+    post = (for_ + 1) / (for_ + against + 2)
     prior, accuracy = 0.5, np.full((2, votes.shape[1], 3), 1 / 3)
     for _ in range(rounds):
         for c, w in ((0, counts * (1 - post)), (1, counts * post)):
             n = np.tensordot(w, shown, axes=1) + 1
             accuracy[c] = n / n.sum(axis=1, keepdims=True)
-        over = accuracy[1, :, 0] > MAX_FALSE_ALARMS
-        accuracy[1, over, 1:] *= ((1 - MAX_FALSE_ALARMS) / accuracy[1, over, 1:].sum(axis=1))[:, None]
-        accuracy[1, over, 0] = MAX_FALSE_ALARMS
         prior = ((counts * post).sum() + 1) / (counts.sum() + 2)
         logit = np.log(prior / (1 - prior)) + np.tensordot(shown, np.log(accuracy[1] / accuracy[0]), axes=([1, 2], [0, 1]))
         new = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
@@ -136,7 +140,7 @@ def judge(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     table = voted.groupBy(*names).count().collect()
     votes = np.array([[r[k] for k in names] for r in table], np.int64).reshape(len(table), len(names))
     _, _, post = fit(votes, np.array([r["count"] for r in table], float))
-    # At most 3 ** 9 patterns: small enough to send to every task.
+    # At most 3 ** 12 patterns of twelve small numbers, and far fewer occur: small enough to send to every task.
     known = spark.createDataFrame([(*map(int, v), float(p)) for v, p in zip(votes, post)], ", ".join(f"{k} tinyint" for k in names) + ", quality double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return voted.join(F.broadcast(known), names).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

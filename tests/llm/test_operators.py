@@ -111,13 +111,73 @@ def test_quality_judges_every_row(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_em_tells_the_classes_apart():
+def em_by_hand(votes, counts):
+    """The same estimate, a document pattern and a rule at a time."""
+    post = [(sum(x == 1 for x in v) + 1) / (sum(x != 0 for x in v) + 2) for v in votes]
+    for _ in range(1000):
+        table = {}
+        for c in (0, 1):
+            for rule in range(len(votes[0])):
+                n = {o: 1.0 for o in (-1, 0, 1)}
+                for v, k, p in zip(votes, counts, post):
+                    n[v[rule]] += k * (p if c else 1 - p)
+                for o in n:
+                    table[c, rule, o] = n[o] / sum(n.values())
+        prior = (sum(k * p for k, p in zip(counts, post)) + 1) / (sum(counts) + 2)
+        new = []
+        for v in votes:
+            good, bad = prior, 1 - prior
+            for rule, o in enumerate(v):
+                good, bad = good * table[1, rule, o], bad * table[0, rule, o]
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    return prior, post
+
+
+def planted_votes(n=4000):
+    """Rules of different accuracies: three that see most bad documents, one that is wrong about many good ones."""
     rng = np.random.default_rng(2)
-    good = rng.random(4000) < 0.85
-    votes = np.where(good[:, None], np.where(rng.random((4000, 4)) < 0.995, rng.integers(0, 2, (4000, 4)), -1), np.where(rng.random((4000, 4)) < 0.5, -1, 0))
-    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good = rng.random(n) < 0.85
+    sees = lambda hit, false: np.where(rng.random(n) < np.where(good, false, hit), -1, np.where(rng.random(n) < 0.8, 1, 0))
+    return good, np.stack([sees(0.9, 0.02), sees(0.85, 0.03), sees(0.8, 0.02), sees(0.5, 0.3)], axis=1)
+
+
+def test_em_is_the_one_by_hand():
+    _, votes = planted_votes()
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
     prior, _, post = quality.fit(patterns, counts.astype(float))
-    assert abs(prior - 0.85) < 0.05 and ((post[inverse.ravel()] > 0.5) == good).mean() > 0.9
+    want_prior, want = em_by_hand(patterns.tolist(), counts.tolist())
+    assert abs(prior - want_prior) < 1e-6 and np.abs(post - want).max() < 1e-6
+
+
+def test_em_beats_all_must_pass():
+    good, votes = planted_votes()
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    prior, accuracy, post = quality.fit(patterns, counts.astype(float))
+    right = ((post[inverse.ravel()] >= 0.5) == good).mean()
+    assert abs(prior - 0.85) < 0.03 and right > 0.97 and right > ((votes != -1).all(axis=1) == good).mean() + 0.2
+    # How often each rule calls a bad and a good document bad.
+    assert np.abs(accuracy[0, :, 0] - [0.9, 0.85, 0.8, 0.5]).max() < 0.06 and np.abs(accuracy[1, :, 0] - [0.02, 0.03, 0.02, 0.3]).max() < 0.03
+
+
+def test_kept_is_the_posterior_of_the_votes(docs):
+    """Votes, posterior and verdict of every document, from the statistics and the rules written out."""
+    rows = quality.judge(docs).collect()
+    over = lambda part, whole, most: -1 if part > most * whole else 1 if part <= most / 2 * whole else 0
+    within = lambda bad, fine: -1 if bad else 1 if fine else 0
+    votes = []
+    for r in rows:
+        n, chars, lines = (max(1, r[k]) for k in ("n_words", "word_chars", "n_lines"))
+        votes.append((within(r["n_words"] < 50, r["n_words"] >= 100), over(r["n_symbols"], n, 0.1), over(r["n_symbols"], chars, 0.05), over(r["n_symbol_words"], n, 0.2), over(r["n_plain_words"], n, 0.2), over(r["n_repeat_words"], n, 0.15), over(r["n_dup_lines"], lines, 0.3), within(not 3 * n <= chars <= 10 * n, 4 * n <= chars <= 8 * n), within(r["n_ended"] < 0.12 * lines, r["n_ended"] >= 0.5 * lines), over(r["n_upper"], chars, 0.3), over(r["n_digits"], chars, 0.2), within(r["n_distinct"] < 0.15 * n, r["n_distinct"] >= 0.3 * n)))
+    seen = Counter(votes)
+    _, post = em_by_hand(list(seen), list(seen.values()))
+    of = dict(zip(seen, post))
+    for r, v in zip(rows, votes):
+        assert tuple(r[f"v_{k}"] for k in quality.rules()) == v
+        assert abs(r["quality"] - of[v]) < 1e-6 and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
 
 
 # 3
