@@ -5,27 +5,38 @@ comment marks.  ``.!?`` before white space and blank lines end a sentence; a lin
 end, ``;`` or ``:`` may end one or stand in one, so that wrapped texts and lines
 that stand alone are both found.  Sentences that the table SENTENCES knows, the
 longest first and with or without one of LEADS before them, become identifiers;
-all others drop out.  RULES are matched against the sequence of identifiers in their order; a
-rule that matches consumes what it matched, so a long licence is not found
-again as the short ones it contains.
+all others drop out.  RULES are matched against the sequence of identifiers in their
+order; a rule that matches consumes what it matched and leaves a gap that no
+other rule matches across, so a long licence is not found again as the short ones
+it contains.  A reservation of all rights counts only where no licence is found.
+
+Only texts that hold one of WORDS are normalised; every known sentence has one.
 
 Defined results: a null or empty text has no sentences and no licences; a very
-long text is one row like any other; repeated rows are scanned alike.
+long text is one row like any other; of sentences that begin at one place the
+longest counts; repeated rows are scanned alike; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, doc_text
 
+# Licences that are named by an identifier in a tag.
+TAGS = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "OFL-1.1", "Artistic-2.0", "PostgreSQL", "0BSD")
+
 # Normalised sentences of published licence texts and notices, by identifier.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache2_notice",
     "licensed under the apache license version 2 0 the license": "apache2_notice",
     "you may not use this file except in compliance with the license": "apache2_comply",
     "you may obtain a copy of the license at": "apache2_obtain",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_as_is",
     "see the license for the specific language governing permissions and limitations under the license": "apache2_see",
     "apache license": "apache_title",
     "version 2 0 january 2004": "apache2_date",
@@ -35,13 +46,30 @@ SENTENCES: dict[str, str] = {
     "mit license": "mit_title",
     "the mit license": "mit_title",
     "the mit license mit": "mit_title",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit_notice_kept",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit_liability",
+    "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium": "x11_name",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd_advertising",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd_liability",
     "released under the bsd license": "bsd_notice",
     "licensed under the bsd license": "bsd_notice",
+    "isc license": "isc_title",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "zero_bsd_grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_warranty",
+    "this software is provided as is without any express or implied warranty": "zlib_warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib_origin",
+    "boost software license version 1 0 august 17th 2003": "bsl_title",
+    "distributed under the boost software license version 1 0": "bsl_notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl_grant",
     "this work is licensed under the gnu general public license version 3": "gpl3_notice",
     "licensed under the gnu general public license version 3": "gpl3_notice",
     "licensed under the gnu general public license version 2": "gpl2_notice",
@@ -50,49 +78,155 @@ SENTENCES: dict[str, str] = {
     "version 2 june 1991": "gpl2_date",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3_later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2_only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3_only",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnu_hope",
+    "see the gnu general public license for more details": "gnu_details",
+    "you should have received a copy of the gnu general public license along with this program": "gnu_received",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu_verbatim",
     "licensed under the gnu lesser general public license version 3": "lgpl3_notice",
+    "gnu lesser general public license": "lgpl_title",
+    "version 2 1 february 1999": "lgpl21_date",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_later",
     "licensed under the gnu affero general public license version 3": "agpl3_notice",
+    "gnu affero general public license": "agpl_title",
+    "version 3 19 november 2007": "agpl3_date",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_later",
     "licensed under cc by nc 4 0": "cc_by_nc4_notice",
     "licensed under cc by 4 0": "cc_by4_notice",
     "licensed under cc by sa 4 0": "cc_by_sa4_notice",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc_by4_notice",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc_by_nc4_notice",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc_by_sa4_notice",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc_by_nd4_notice",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc_by_nc_sa4_notice",
+    "this work is licensed under a creative commons attribution sharealike 3 0 unported license": "cc_by_sa3_notice",
+    "creative commons attribution 4 0 international public license": "cc_by4_title",
+    "creative commons attribution sharealike 4 0 international public license": "cc_by_sa4_title",
+    "creative commons attribution noncommercial 4 0 international public license": "cc_by_nc4_title",
+    "cc0 1 0 universal": "cc0_title",
     "licensed under the mozilla public license version 2 0": "mpl2_notice",
+    "mozilla public license version 2 0": "mpl2_title",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2_form",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_form",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl2_obtain",
+    "eclipse public license v 1 0": "epl1_title",
+    "eclipse public license v 2 0": "epl2_title",
+    "the accompanying program is provided under the terms of this eclipse public license": "epl_terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl2_notice",
+    "common development and distribution license cddl version 1 0": "cddl1_title",
+    "european union public licence v 1 2": "eupl12_title",
+    "licensed under the eupl": "eupl_notice",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense_free",
+    "do what the fuck you want to public license": "wtfpl_title",
+    "you just do what the fuck you want to": "wtfpl_do",
+    "the artistic license 2 0": "artistic2_title",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql_grant",
+    "sil open font license version 1 1 26 february 2007": "ofl_title",
+    "this font software is licensed under the sil open font license version 1 1": "ofl_notice",
+    "microsoft public license ms pl": "mspl_title",
+    "python software foundation license version 2": "psf2_title",
+    "university of illinois ncsa open source license": "ncsa_title",
     "all rights reserved": "all_rights",
 }
+SENTENCES |= {"spdx license identifier " + x.lower().replace("-", " ").replace(".", " "): f"tag_{x}" for x in TAGS}
 
 # Ordered rules, the longest sequences of a licence before its parts.
 RULES: list[tuple[str, tuple[str, ...]]] = [
+    ("Apache-2.0", ("apache2_notice", "apache2_comply", "apache2_obtain", "apache2_as_is", "apache2_see")),
     ("Apache-2.0", ("apache2_notice", "apache2_comply", "apache2_obtain", "apache2_see")),
     ("Apache-2.0", ("apache2_notice", "apache2_comply")),
     ("Apache-2.0", ("apache_title", "apache2_date")),
     ("Apache-2.0", ("apache2_notice",)),
+    ("NCSA", ("ncsa_title", "mit_grant")),
+    ("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_endorse", "bsd_warranty", "bsd_liability")),
+    ("BSD-4-Clause", ("bsd_source", "bsd_binary", "bsd_advertising")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_warranty", "bsd_liability")),
     ("BSD-3-Clause", ("bsd_source", "bsd_binary", "bsd_endorse")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_warranty", "bsd_liability")),
     ("BSD-2-Clause", ("bsd_source", "bsd_binary")),
     ("BSD", ("bsd_notice",)),
+    ("X11", ("mit_grant", "mit_notice_kept", "mit_warranty", "x11_name")),
+    ("MIT", ("mit_title", "mit_grant", "mit_notice_kept", "mit_warranty", "mit_liability")),
+    ("MIT", ("mit_grant", "mit_notice_kept", "mit_warranty", "mit_liability")),
     ("MIT", ("mit_title", "mit_notice_kept", "mit_warranty")),
     ("MIT", ("mit_notice_kept", "mit_warranty")),
     ("MIT", ("mit_notice",)),
     ("MIT", ("mit_title",)),
+    ("MIT", ("mit_grant",)),
+    ("ISC", ("isc_title", "isc_grant", "isc_warranty")),
+    ("ISC", ("isc_grant",)),
+    ("ISC", ("isc_title",)),
+    ("0BSD", ("zero_bsd_grant", "isc_warranty")),
+    ("0BSD", ("zero_bsd_grant",)),
+    ("Zlib", ("zlib_warranty", "zlib_grant", "zlib_origin")),
+    ("Zlib", ("zlib_grant",)),
+    ("BSL-1.0", ("bsl_title", "bsl_grant")),
+    ("BSL-1.0", ("bsl_notice",)),
+    ("BSL-1.0", ("bsl_title",)),
+    ("BSL-1.0", ("bsl_grant",)),
+    ("AGPL-3.0-only", ("agpl_title", "agpl3_date", "gnu_verbatim")),
+    ("AGPL-3.0-only", ("agpl_title", "agpl3_date")),
+    ("LGPL-2.1-only", ("lgpl_title", "lgpl21_date", "gnu_verbatim")),
+    ("LGPL-2.1-only", ("lgpl_title", "lgpl21_date")),
+    ("LGPL-3.0-only", ("lgpl_title", "gpl3_date")),
+    ("GPL-3.0-only", ("gpl_title", "gpl3_date", "gnu_verbatim")),
     ("GPL-3.0-only", ("gpl_title", "gpl3_date")),
+    ("GPL-2.0-only", ("gpl_title", "gpl2_date", "gnu_verbatim")),
     ("GPL-2.0-only", ("gpl_title", "gpl2_date")),
+    ("GPL-3.0-or-later", ("gpl3_later", "gnu_hope", "gnu_details", "gnu_received")),
     ("GPL-3.0-or-later", ("gpl3_later",)),
+    ("GPL-2.0-or-later", ("gpl2_later", "gnu_hope", "gnu_details", "gnu_received")),
     ("GPL-2.0-or-later", ("gpl2_later",)),
+    ("GPL-2.0-only", ("gpl2_only",)),
+    ("GPL-3.0-only", ("gpl3_only",)),
     ("GPL-3.0-only", ("gpl3_notice",)),
     ("GPL-2.0-only", ("gpl2_notice",)),
+    ("LGPL-2.1-or-later", ("lgpl21_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_later",)),
     ("LGPL-3.0-only", ("lgpl3_notice",)),
+    ("AGPL-3.0-or-later", ("agpl3_later",)),
     ("AGPL-3.0-only", ("agpl3_notice",)),
     ("CC-BY-NC-4.0", ("cc_by_nc4_notice",)),
+    ("CC-BY-NC-4.0", ("cc_by_nc4_title",)),
     ("CC-BY-SA-4.0", ("cc_by_sa4_notice",)),
+    ("CC-BY-SA-4.0", ("cc_by_sa4_title",)),
     ("CC-BY-4.0", ("cc_by4_notice",)),
+    ("CC-BY-4.0", ("cc_by4_title",)),
+    ("CC-BY-ND-4.0", ("cc_by_nd4_notice",)),
+    ("CC-BY-NC-SA-4.0", ("cc_by_nc_sa4_notice",)),
+    ("CC-BY-SA-3.0", ("cc_by_sa3_notice",)),
+    ("CC0-1.0", ("cc0_title",)),
     ("MPL-2.0", ("mpl2_notice",)),
+    ("MPL-2.0", ("mpl2_form", "mpl2_obtain")),
     ("MPL-2.0", ("mpl2_form",)),
+    ("MPL-2.0", ("mpl2_title",)),
+    ("EPL-1.0", ("epl1_title",)),
+    ("EPL-2.0", ("epl2_title",)),
+    ("EPL-2.0", ("epl2_notice",)),
+    ("CDDL-1.0", ("cddl1_title",)),
+    ("EUPL-1.2", ("eupl12_title",)),
+    ("EUPL", ("eupl_notice",)),
+    ("Unlicense", ("unlicense", "unlicense_free")),
     ("Unlicense", ("unlicense",)),
+    ("WTFPL", ("wtfpl_title", "wtfpl_do")),
+    ("WTFPL", ("wtfpl_title",)),
+    ("Artistic-2.0", ("artistic2_title",)),
+    ("PostgreSQL", ("postgresql_grant",)),
+    ("OFL-1.1", ("ofl_notice", "ofl_title")),
+    ("OFL-1.1", ("ofl_notice",)),
+    ("OFL-1.1", ("ofl_title",)),
+    ("MS-PL", ("mspl_title",)),
+    ("PSF-2.0", ("psf2_title",)),
+    ("NCSA", ("ncsa_title",)),
+    *((x, (f"tag_{x}",)) for x in TAGS),
     ("Proprietary", ("all_rights",)),
 ]
+RESERVED = "Proprietary"
+# Parts of words, one of which every sentence of the table holds.
+WORDS = ("licen", "copyright", "warrant", "permission", "permitted", "version", "damages", "redistribut", "advertising", "endorse", "misrepresented", "universal", "public", "distribute", "rights reserved", "mpl was", "want to")
 
 
 # What may stand before a known sentence.
@@ -117,7 +251,11 @@ def sentence_ids(text: Column) -> Column:
     marked = F.btrim(F.regexp_replace(plain, rf" ?([\n;:{_END}]) ?", "$1"))
     known = F.regexp_extract_all(marked, F.lit(_sentence_pattern()), F.lit(1))
     table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.transform(known, lambda s: table[F.regexp_replace(s, r"[\n;:]+", " ")])
+    ids = F.transform(known, lambda s: table[F.regexp_replace(s, r"[\n;:]+", " ")])
+    some = reduce(lambda a, b: a | b, (lower.contains(w) for w in WORDS if " " not in w))
+    # A word pair of WORDS may be wrapped: its first word decides.
+    some = reduce(lambda a, b: a | b, (lower.contains(w.split()[0]) for w in WORDS if " " in w), some)
+    return F.when(some, ids).otherwise(F.array().cast("array<string>"))
 
 
 def _written(ids: tuple[str, ...]) -> str:
@@ -127,11 +265,15 @@ def _written(ids: tuple[str, ...]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (comma-separated, in order), n_sentences, licenses (comma-separated, in rule order), unmatched (identifiers no rule took)."""
     found = doc_text(docs).select("doc_id", sentence_ids(F.col("text")).alias("ids"))
-    found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("left_0"))
-    for i, (_, ids) in enumerate(RULES):
-        found = found.withColumns({f"hit_{i}": F.col(f"left_{i}").contains(_written(ids)), f"left_{i + 1}": F.replace(F.col(f"left_{i}"), F.lit(_written(ids)), F.lit(""))}).drop(*[f"left_{i - 1}"] * (i > 0))
-    names = F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"hit_{i}"), F.lit(name)) for i, (name, _) in enumerate(RULES)))))
-    return found.select("doc_id", "n_sentences", "sentence_ids", F.array_join(names, ",").alias("licenses"), F.btrim(F.regexp_replace(f"left_{len(RULES)}", ",+", ","), F.lit(",")).alias("unmatched"))
+    found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("rest"))
+    # One fold over the rules: what is left, and the names found so far.
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(_written(ids)).alias("ids")) for name, ids in RULES))
+    start = F.struct(F.col("rest").alias("rest"), F.array().cast("array<string>").alias("names"))
+    step = lambda acc, r: F.struct(F.replace(acc["rest"], r["ids"], F.lit(";")).alias("rest"), F.when(acc["rest"].contains(r["ids"]), F.array_append(acc["names"], r["name"])).otherwise(acc["names"]).alias("names"))
+    done = found.withColumn("done", F.when(F.col("n_sentences") > 0, F.aggregate(rules, start, step)))
+    names = F.array_distinct(F.col("done.names"))
+    names = F.when(F.size(names) > 1, F.array_remove(names, RESERVED)).otherwise(names)
+    return done.select("doc_id", "n_sentences", "sentence_ids", F.coalesce(F.array_join(names, ","), F.lit("")).alias("licenses"), F.coalesce(F.btrim(F.regexp_replace("done.rest", "[,;]+", ","), F.lit(",")), F.lit("")).alias("unmatched"))
 
 
 def scan_sql() -> str:
@@ -140,14 +282,16 @@ def scan_sql() -> str:
     table = f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in SENTENCES.items())}}}"
     steps, last = [], "s0"
     for i, (_, ids) in enumerate(RULES):
-        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (rest), contains(rest, {q(_written(ids))}) AS hit_{i}, replace(rest, {q(_written(ids))}, '') AS rest FROM {last})")
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (rest), contains(rest, {q(_written(ids))}) AS hit_{i}, replace(rest, {q(_written(ids))}, ';') AS rest FROM {last})")
         last = f"s{i + 1}"
     names = ", ".join(f"CASE WHEN hit_{i} THEN {q(name)} END" for i, (name, _) in enumerate(RULES))
     return f"""WITH cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?]+[\\x20\\x09-\\x0D]', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: map_contains({table}, s)) AS known FROM documents),
 ids AS (SELECT doc_id, list_transform(known, lambda s: {table}[s]) AS ids FROM cut),
 s0 AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_transform(ids, lambda x: ',' || x || ','), ''), '') AS rest FROM ids),
-{", ".join(steps)}
+{", ".join(steps)},
+named AS (SELECT doc_id, n_sentences, sentence_ids, rest, [{names}] AS all_names FROM {last}),
+kept AS (SELECT *, list_filter(all_names, lambda x, i: x IS NOT NULL AND list_position(all_names, x) = i) AS names FROM named)
 SELECT doc_id, n_sentences, sentence_ids,
-  coalesce(array_to_string(list_filter([{names}], lambda x, i: x IS NOT NULL AND list_position([{names}], x) = i), ','), '') AS licenses,
-  trim(regexp_replace(rest, ',+', ',', 'g'), ',') AS unmatched FROM {last}"""
+  coalesce(array_to_string(list_filter(names, lambda x: len(names) = 1 OR x <> '{RESERVED}'), ','), '') AS licenses,
+  trim(regexp_replace(rest, '[,;]+', ',', 'g'), ',') AS unmatched FROM kept"""

@@ -53,3 +53,32 @@ def test_wrapped_texts_are_found(spark):
     got = {r["doc_id"]: r for r in licenses.scan(make(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
     assert [got[i]["licenses"] for i in range(9)] == ["MIT", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "Apache-2.0", "MIT", "", "MIT", "BSD-2-Clause"]
     assert got[4]["sentence_ids"] == "apache2_notice,apache2_comply,apache2_obtain,apache2_see" and all(r["unmatched"] == "" for r in got.values())
+
+
+def by_hand(text):
+    """Rule order by plain Python, over the identifiers of whole lines."""
+    rest = "".join(f",{licenses.SENTENCES[s]}," for s in text.split("\n"))
+    names = []
+    for name, ids in licenses.RULES:
+        run = "".join(f",{x}," for x in ids)
+        if run in rest:
+            names, rest = names + [name] * (name not in names), rest.replace(run, ";")
+    return ",".join(n for n in names if len(names) == 1 or n != licenses.RESERVED)
+
+
+def test_every_sentence_and_rule_is_found(spark):
+    """Each known sentence by itself, and each rule's sentences in order, wrapped after every third word."""
+    of = {i: s for s, i in licenses.SENTENCES.items()}
+    wrap = lambda s: "\n * ".join(" ".join(s.split()[i : i + 3]) for i in range(0, len(s.split()), 3))
+    texts = [s for s in licenses.SENTENCES] + ["\n".join(of[i] for i in ids) for _, ids in licenses.RULES]
+    rows = [(i, "\n\n".join(wrap(s) for s in t.split("\n")).upper(), None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.scan(make(spark, rows)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["sentence_ids"] == ",".join(licenses.SENTENCES[s] for s in t.split("\n")) and got[i]["licenses"] == by_hand(t), t
+    assert len({name for name, _ in licenses.RULES}) >= 40
+
+
+def test_rules_do_not_match_across_what_was_consumed(spark):
+    texts = ["GNU General Public License\n\nLicensed under the Apache License, Version 2.0\n\nVersion 3, 29 June 2007", "Copyright (c) 2020 A. Body. All rights reserved.\n\n" + BSD, "Copyright 2020 A. Body. All rights reserved."]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(make(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "Apache-2.0", 1: "BSD-3-Clause", 2: "Proprietary"}
