@@ -9,9 +9,11 @@ source's blocks (a Feistel network with cycle walking, one key per pass), and
 blocks are joined to slots by index.  Only the table of sources and the shard
 counts pass through the driver; words never do.
 
-Defined results: a null text has size 0 and nothing is taken of it; a null
-source is a source of its own, last in order; repeated rows are separate
-documents; an empty table gives an empty mix.
+Defined results: a null or empty text has size 0 and nothing is taken of it; a
+null source is a source of its own, last in order; a very long text is many
+pieces, of which the mix may take some; repeated rows are separate documents, and
+those that tie in doc_id and text share one place in the order; an empty table
+gives an empty mix.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from .common import WORD, cut, map_batches, mix
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 128
-SHARD_BLOCKS, MAX_SHARDS = 4096, 4096
+#: Blocks of a shard where there are few shards, shards at most, and counts (shard, source) that the driver draws at most.
+SHARD_BLOCKS, MAX_SHARDS, MAX_COUNTS = 4096, 4096, 1 << 24
 #: Documents in a bucket of a source's stream; a bucket is what one task sums up in order.
 BUCKET_DOCS = 256
-MAX_SOURCES = 1_000_000
+#: Buckets whose sums are added up in one task before the groups of buckets are.
+GROUP_BUCKETS = 4096
 SEED = 7
 
 
@@ -66,7 +70,7 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, cap
 def draw_shards(slots: np.ndarray, seed: int, shard_blocks: int = SHARD_BLOCKS) -> np.ndarray:
     """Counts per shard and source that add up to ``slots``: multinomial draws from what is still lacking."""
     total = int(slots.sum())
-    n = max(1, min(MAX_SHARDS, -(-total // shard_blocks)))
+    n = max(1, min(MAX_SHARDS, MAX_COUNTS // max(1, len(slots)), -(-total // shard_blocks)))
     rng, left, out = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
     for i in range(n):
         want = total * (i + 1) // n - total * i // n
@@ -105,18 +109,29 @@ def _slot_blocks(seed: int):
     return run
 
 
+def bucket_starts(totals: DataFrame, group: int = GROUP_BUCKETS) -> DataFrame:
+    """source_ix, bucket, base: words of the source in the buckets before, from (source_ix, bucket, in_bucket).
+
+    Sums are taken over groups of buckets first, so no task holds all buckets of
+    a source, only those of a group, or one sum for each group.
+    """
+    grouped = totals.withColumn("group", F.floor(F.col("bucket") / group))
+    before = lambda value, *of: F.sum(value).over(W.partitionBy(*of[:-1]).orderBy(of[-1])) - F.col(value)
+    groups = grouped.groupBy("source_ix", "group").agg(F.sum("in_bucket").alias("in_group")).select("source_ix", "group", before("in_group", "source_ix", "group").alias("group_base"))
+    within = grouped.select("source_ix", "bucket", "group", before("in_bucket", "source_ix", "group", "bucket").alias("inner_base"))
+    return within.join(groups, ["source_ix", "group"]).select("source_ix", "bucket", (F.col("group_base") + F.col("inner_base")).alias("base"))
+
+
 def mix_sources(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source).
 
-    ``sources`` is collected: one row per source, at most MAX_SOURCES.  Every
-    other table stays distributed; a source of any size is spread over its
-    buckets.
+    ``sources`` is collected: one row per source, as targets depend on all of
+    them.  Every other table stays distributed; a source of any size is spread
+    over its buckets.
     """
     spark = docs.sparkSession
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash")))
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), cap)
@@ -127,8 +142,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: f
     # Each source's stream: buckets one after the other, documents in order within a bucket.
     n_buckets = max(1, sum(r["n"] for r in rows) // BUCKET_DOCS)
     placed = sized.join(sources.select(F.col("source").alias("s"), "source_ix"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_buckets)))
-    totals = placed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("in_bucket"))
-    base = totals.select("source_ix", "bucket", (F.sum("in_bucket").over(W.partitionBy("source_ix").orderBy("bucket")) - F.col("in_bucket")).alias("base"))
+    base = bucket_starts(placed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("in_bucket")))
     within = W.partitionBy("source_ix", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("upto", F.sum("size").over(within)).join(base, ["source_ix", "bucket"]).select("doc_id", "text_hash", "source_ix", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
@@ -143,7 +157,10 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: f
     drawn = draw_shards(n_slots, seed)
     before = np.cumsum(drawn, axis=0) - drawn
     counts = spark.createDataFrame([(int(i), int(s), int(n_blocks[s]), int(before[i, s]), int(drawn[i, s])) for i, s in zip(*np.nonzero(drawn))], "shard int, source_ix int, n_blocks long, first long, n long")
-    slots = map_batches(counts.select("shard", "source_ix", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")), _slot_blocks(seed), "shard int, source_ix int, slot long, block long")
+    upto = F.col("first") + F.col("n") - 1
+    runs = counts.select("shard", "source_ix", "n_blocks", upto.alias("upto"), F.explode(F.sequence(F.col("first"), upto, F.lit(SHARD_BLOCKS))).alias("from"))
+    each = F.sequence(F.col("from"), F.least(F.col("from") + SHARD_BLOCKS - 1, "upto"))
+    slots = map_batches(runs.repartition("shard", "source_ix", "from").select("shard", "source_ix", "n_blocks", F.explode(each).alias("slot")), _slot_blocks(seed), "shard int, source_ix int, slot long, block long")
     return Mix(laid, sources, pieces, slots)
 
 
