@@ -8,12 +8,15 @@ apart, so equal roots mean equal texts and, from the root down, only branches
 with different hashes need be followed to the leaves that were edited.
 
 The likeness of two trees is the share of leaf characters, counted as a
-multiset of leaf hashes, that both hold: 2 * common / (all of both).
+multiset of leaf hashes, that both hold: 2 * common / (all of both).  An edit is
+located by following, from the front and from the back, the branches that both
+trees hold in the same order.
 
 Defined results: a null text is the empty text, whose tree is a root without
 sections; two empty texts have likeness 1; rows with one doc_id follow each
-other by text; a null doc_id comes first; in a table of one row the next
-document is the row itself; an empty table gives an empty result.
+other by text, and equal rows are neighbours; a null doc_id comes first; in a
+table of one row the next document is the row itself; a very long text is hashed
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import doc_text, map_batches
 
 LEAF_WORDS = 8
-#: Documents in a block of neighbours; what one sorted run of a task holds at least.
-BLOCK_DOCS, MAX_BLOCKS = 500, 20_000
+#: Documents in a block of neighbours and in a task; the bounds of blocks pass through the driver, a number each.
+BLOCK_DOCS, TASK_DOCS, MAX_BLOCKS = 500, 5_000, 100_000
 
 _SECTION = re.compile(r"(?<=\n)(?=\n)")
 _SENTENCE = re.compile(r"(?<=[.!?])(?=[ \t-\r])")
@@ -72,6 +75,7 @@ class Tree:
     root: str
     leaf_chars: Counter[bytes]  # characters under each distinct leaf hash
     paragraphs: dict[str, Paragraph]
+    sections: list[tuple[bytes, int, list[str]]]  # hash, characters, paragraphs in order
 
     @classmethod
     def of(cls, text: str, *near: Tree) -> Tree:
@@ -79,16 +83,45 @@ class Tree:
         chars: Counter[bytes] = Counter()
         held: dict[str, Paragraph] = {}
         sections = []
-        for section in _SECTION.split(text):
-            hashes = []
-            for line in section.split("\n"):
+        for section in _SECTION.split(text) if text else ():
+            hashes, lines = [], section.split("\n")
+            for line in lines:
                 node = held.get(line) or next((t.paragraphs[line] for t in near if line in t.paragraphs), None) or _paragraph(line)
                 held[line] = node
                 hashes.append(node[0])
                 for h, n in node[1]:
                     chars[h] += n
-            sections.append(_digest(b"section", hashes))
-        return cls(_digest(b"root", sections if text else []).hex(), chars, held)
+            sections.append((_digest(b"section", hashes), len(section), lines))
+        return cls(_digest(b"root", [h for h, *_ in sections]).hex(), chars, held, sections)
+
+
+def _alike(a: Tree, b: Tree, step: int) -> int:
+    """Characters under the branches that two trees share from the front (``step`` 1) or the back (-1): equal sections, then equal paragraphs of the first that differ, then equal leaves."""
+    n = i = 0
+    x, y = a.sections[::step], b.sections[::step]
+    while i < min(len(x), len(y)) and x[i][0] == y[i][0]:
+        n, i = n + x[i][1], i + 1
+    if i == min(len(x), len(y)):
+        return n
+    p, q = x[i][2][::step], y[i][2][::step]
+    i = 0
+    while i < min(len(p), len(q)) - 1 and p[i] == q[i]:  # paragraphs with something between them and the next
+        n, i = n + len(p[i]) + 1, i + 1
+    for (g, size), (h, _) in zip(a.paragraphs[p[i]][1][::step], b.paragraphs[q[i]][1][::step]):
+        if g != h:
+            break
+        n += size
+    return n
+
+
+def located(a: Tree, b: Tree) -> tuple[int, int] | None:
+    """Where in the text of ``b`` the branches are that differ from ``a``: from the first to the last, to the leaf; None if the roots are equal."""
+    if a.root == b.root:
+        return None
+    sizes = [sum(s[1] for s in t.sections) for t in (a, b)]
+    front = _alike(a, b, 1)
+    back = min(_alike(a, b, -1), min(sizes) - front)
+    return front, sizes[1] - back
 
 
 def likeness(a: Tree, b: Tree) -> float:
@@ -98,52 +131,13 @@ def likeness(a: Tree, b: Tree) -> float:
     return 2 * (a.leaf_chars & b.leaf_chars).total() / total if total else 1.0
 
 
-def branches(text: str) -> list[tuple[str, int, int, int, bytes, int, int]]:
-    """Nodes of a tree as (level, section, paragraph, leaf, hash, first character, past the last)."""
-    out, at = [], 0
-    for s, section in enumerate(_SECTION.split(text)):
-        began, paragraphs = at, []
-        lines = section.split("\n")
-        for p, paragraph in enumerate(lines):
-            start, hashes = at, []
-            for i, leaf in enumerate(leaves(paragraph)):
-                h = _digest(b"leaf", [leaf.encode()])
-                hashes.append(h)
-                out.append(("leaf", s, p, i, h, at, at + len(leaf)))
-                at += len(leaf)
-            h = _digest(b"paragraph", hashes)
-            paragraphs.append(h)
-            out.append(("paragraph", s, p, -1, h, start, at))
-            at += p < len(lines) - 1
-        out.append(("section", s, -1, -1, _digest(b"section", paragraphs), began, at))
-    return out
-
-
-def edits(old: str, new: str) -> list[tuple[int, int]]:
-    """Spans of ``new`` under leaves that ``old`` does not hold, found from the root down: equal sections and paragraphs are not entered."""
-    a, b = branches(old), branches(new)
-    same = {x[4] for x in a if x[0] != "leaf"}
-    known = {x[4] for x in a if x[0] == "leaf"}
-    closed = {x[1] for x in b if x[0] == "section" and x[4] in same}
-    shut = {(x[1], x[2]) for x in b if x[0] == "paragraph" and x[4] in same}
-    spans: list[list[int]] = []
-    for level, s, p, _, h, start, end in b:
-        if level != "leaf" or s in closed or (s, p) in shut or h in known:
-            continue
-        if spans and spans[-1][1] == start:
-            spans[-1][1] = end
-        else:
-            spans.append([start, end])
-    return [(x, y) for x, y in spans]
-
-
 def edited(text: str, following: str) -> str:
     """The last quarter of ``text`` replaced by as much of the beginning of ``following``."""
     n = len(text) // 4
     return text[: len(text) - n] + following[:n]
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_end long"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +152,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, old_id, old, _, old_tree = before
                 changed = edited(old, text)
                 new = Tree.of(changed, old_tree, tree)
-                out.append((old_id, len(old), hashlib.sha256(changed.encode()).hexdigest(), old_tree.root, new.root, likeness(old_tree, new), likeness(old_tree, tree)))
+                out.append((old_id, len(old), hashlib.sha256(changed.encode()).hexdigest(), old_tree.root, new.root, likeness(old_tree, new), likeness(old_tree, tree), *(located(old_tree, new) or (None, None))))
             before = (block, doc_id, text, guest, tree)
-        cols = list(zip(*out)) if out else [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        cols = list(zip(*out)) if out else [[]] * 9
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
@@ -209,6 +203,6 @@ def fingerprints(docs: DataFrame, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
             yield pa.record_batch([*taken.columns, pa.array(block, pa.int64()), pa.array(guest, pa.bool_())], names=["doc_id", "text", "block", "guest"])
 
     dealt = map_batches(named, deal, "doc_id long, text string, block long, guest boolean")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(last, 4096))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(last, n // TASK_DOCS))
     placed = dealt.repartition(partitions, "block").sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), "text")
     return map_batches(placed, _neighbours, OUT)
