@@ -19,7 +19,9 @@ The filter is built in SEGMENTS parts, each by one task, and the driver only
 joins the parts.
 
 Defined results: a null text is the empty text, scored as its end alone;
-without training documents every count is 0; repeated rows score alike.
+without training documents every count is 0; repeated rows score alike; a very
+long text is scored whole; words of equal count at the vocabulary's bound go by
+their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -194,9 +194,69 @@ def test_language_by_words_then_grams(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_costs_by_hand(spark):
+    """Predictions and scores from counts of words and n-grams, the longest known n-gram first."""
+    say = {"fr": "le chat noir est sur la grande table rouge", "en": "the black cat is on the big red table", "de": "der kleine hund ist auf dem grossen tisch"}
+    learn = [(i, " ".join(random.Random(i).sample(say[x].split(), 5)), x, "s") for i, x in enumerate(list(say) * 20)]
+    asked = [(i, t, None, "s") for i, t in enumerate(["le chat", "Tables rouges", "hundert tischler", "catalog blackish", "zzz", "der the le", "x" * 50, "grand"])]
+    mark = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    count, total = Counter(), Counter()
+    for _, t, x, _ in learn:
+        for w in t.split():
+            for n, g in [(0, w), *((n, g) for n in range(1, 6) for g in mark(w, n))]:
+                count[n, g, x] += 1
+                total[n, x] += 1
+    known = {k[:2] for k in count if sum(count[(*k[:2], x)] for x in say) >= langid.MIN_COUNT}
+    cost = lambda n, g, x: min(langid.PENALTY, -math.log10(count[n, g, x] / total[n, x])) if count[n, g, x] else langid.PENALTY
+    got = {r["doc_id"]: r for r in langid.predict(make(spark, asked), langid.train(make(spark, learn))).collect()}
+    for i, t, *_ in asked:
+        sums = []
+        for w in t.lower().split():
+            units = [(0, w)] if (0, w) in known else next(([(n, g) for g in mark(w, n) if (n, g) in known] for n in (5, 4, 3, 2, 1) if any((n, g) in known for g in mark(w, n))), [])
+            if units:
+                sums.append({x: sum(cost(n, g, x) for n, g in units) / len(units) for x in say})
+        mean = {x: sum(s[x] for s in sums) / max(1, len(sums)) for x in sorted(say)}
+        best = min(mean, key=mean.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(10 ** (-(m - mean[best]) / langid.DECADE) for m in mean.values())) < 1e-9
+
+
 # 4
 
 
+@pytest.mark.parametrize("lm_words", [1 << 14, 8])
+def test_lm_scores_by_hand(docs, lm_words, monkeypatch):
+    """Bigrams with counts as powers of two, smoothed by the number of followers; a filter this empty answers exactly."""
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 3000)
+    low = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    texts = [low(t) for _, t, *_ in corpus()]
+    one = Counter(w for t in texts for w in t)
+    vocabulary = set(sorted(one, key=lambda w: (-one[w], w))[: lm_words - 2])
+    of = lambda w: w if w in vocabulary else None
+    two, context = Counter(), Counter()
+    for t in texts:
+        for a, b in zip(["\n", *t], [*t, "\n"]):
+            two[of(a) if a != "\n" else a, of(b) if b != "\n" else b] += 1
+            context[of(b) if b != "\n" else b] += 1
+    followers = Counter(a for a, _ in two)
+    every, distinct = sum(one.values()) + len(texts), len(one) + 1
+    inside = sum(one[w] for w in one if w not in vocabulary) + sum(w not in vocabulary for w in one) + 1
+    share = lambda w: ((inside if w is None else len(texts) + 1 if w == "\n" else one[w] + 1)) / (every + distinct + 1)
+    want = []
+    for t in texts:
+        total = 0.0
+        for a, b in zip(["\n", *t], [*t, "\n"]):
+            x, y = (of(w) if w != "\n" else w for w in (a, b))
+            c = two[x, y]
+            found = 2.0 ** int(math.log2(c)) if c >= lm.MIN_COUNT else 0.0
+            total += math.log10((found + followers[x] * share(y)) / (context[x] + followers[x]))
+            if y is None:
+                total += math.log10((one[b] + 1) / inside)
+        want.append(round(total, 5))
+    model = lm.train(docs, lm_words=lm_words)
+    assert sorted(round(r["score"], 5) for r in lm.score(docs, model).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("base_words", [100_000, 5])
 def test_lm_counts_are_exact(docs, base_words):
     learn = docs.where("doc_id % 7 != 2 OR doc_id IS NULL")
@@ -257,18 +317,32 @@ def test_fingerprints_of_neighbours(docs, empty, block_docs):
         following = rows[(k + 1) % len(rows)][1]
         changed = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
         a, b, c = merkle.Tree.of(t), merkle.Tree.of(changed), merkle.Tree.of(following)
-        want.append((str(i), len(t), hashlib.sha256(changed.encode()).hexdigest(), a.root, b.root, round(merkle.likeness(a, b), 9), round(merkle.likeness(a, c), 9)))
-    got = [(str(r[0]), *r[1:5], round(r[5], 9), round(r[6], 9)) for r in merkle.fingerprints(docs, block_docs=block_docs).collect()]
+        want.append((str(i), len(t), hashlib.sha256(changed.encode()).hexdigest(), a.root, b.root, round(merkle.likeness(a, b), 9), round(merkle.likeness(a, c), 9), str(merkle.located(a, b) or (None, None))))
+    found = merkle.fingerprints(docs, block_docs=block_docs).collect()
+    got = [(str(r[0]), *r[1:5], round(r[5], 9), round(r[6], 9), str((r["edit_start"], r["edit_end"]))) for r in found]
     assert sorted(got) == sorted(want)
     assert merkle.fingerprints(empty).count() == 0
 
 
 def test_tree_locates_edits():
-    text = "One. Two three.\nFour five six.\n\nSeven eight nine.\nTen."
-    assert merkle.edits(text, text) == []
-    changed = text.replace("eight", "8")
-    (a, b), = merkle.edits(text, changed)
-    assert "8" in changed[a:b] and "Ten" not in changed[a:b]
+    """The span holds every difference, and its ends are no further than a leaf from the first and the last."""
+    rng = random.Random(6)
+    say = lambda: rng.choice(["One two. ", "three four five six seven eight nine ten eleven ", "\n", "\n\n", "Ça va. ", "x"])
+    for _ in range(500):
+        old = "".join(say() for _ in range(rng.randrange(12)))
+        new = list(old)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(new) + 1)
+            new[at : at + rng.randrange(3)] = rng.choice(["", "8", "\n", "word "])
+        new = "".join(new)
+        span = merkle.located(merkle.Tree.of(old), merkle.Tree.of(new))
+        assert (span is None) == (old == new)
+        if span:
+            a, b = span
+            assert 0 <= a <= b <= len(new) and old[:a] == new[:a] and old[len(old) - (len(new) - b) :] == new[b:]
+            longest = max(map(len, merkle.leaves(old.replace("\n", " ")) + merkle.leaves(new.replace("\n", " "))), default=0)
+            first = next((i for i, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+            assert first - a <= longest + 60
     assert "".join(merkle.leaves("a b. c d e! f")) == "a b. c d e! f"
 
 
@@ -303,6 +377,14 @@ def test_mixed_documents_hold_what_was_taken(docs):
     assert got == +want
 
 
+def test_bucket_starts_are_running_sums(spark):
+    rng = random.Random(9)
+    rows = [(s, b, rng.randrange(100)) for s in range(3) for b in rng.sample(range(500), 200)]
+    want = {(s, b): sum(n for x, y, n in rows if x == s and y < b) for s, b, _ in rows}
+    got = mixing.bucket_starts(spark.createDataFrame(rows, "source_ix int, bucket long, in_bucket long"), 16)
+    assert {(r["source_ix"], r["bucket"]): r["base"] for r in got.collect()} == want
+
+
 def test_permutations_and_water():
     for n in (1, 2, 7, 100, 1000):
         for key in (1, 99):
