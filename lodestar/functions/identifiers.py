@@ -86,22 +86,24 @@ def abbreviate(terms: Column, limit: int = 6) -> Column:
 
 
 # What may be shown of an identifier; anything else is withheld.
+_SOLID = r"[^\s\x1c-\x1f]"  # no white space, as Python tells it
+_ANY_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 ALLOWED = (
-    f"ce-{UUID}",
-    UUID,
-    r"https?://credentialengineregistry\.org/(resources|graph)/[A-Za-z0-9-]+",
-    r"[a-z]+:[A-Za-z][A-Za-z0-9]*",
-    r"@[a-z]+",
+    r"\$([.\[].*)?",
+    rf"_:{_SOLID}+",
+    _ANY_UUID,
+    f"ce-{_ANY_UUID}",
+    rf"https?://(www\.)?(credentialengineregistry\.org|credreg\.net)/{_SOLID}*",
+    r"[A-Za-z]+:[A-Za-z0-9_.-]+",
+    r"@type=\[.*\]",
     r"-",
-    r"@type=\[[A-Za-z:, ]*\]",
-    r"_:[A-Za-z0-9-]+",
 )
 
 
 def identifier_only(text: Column) -> Column:
     allowed = F.lit(False)
     for p in ALLOWED:
-        allowed = allowed | text.rlike(f"(?s)\\A(?:{p})\\z")
+        allowed = allowed | text.rlike(f"(?dU)\\A(?:{p})\\z")
     return F.when(allowed, text).otherwise(F.concat(F.lit("<withheld: "), F.length(text).cast("string"), F.lit(" characters>")))
 
 
@@ -113,11 +115,19 @@ def origin_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
 
 
+_AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+
+
+def authority_of(url: Column) -> Column:
+    """Host, port and user of a URL; empty where it has none."""
+    return F.regexp_extract(url, _AUTHORITY, 1)
+
+
 def saved_name(url: Column) -> Column:
-    """authority__slug of a URL, at most 180 characters."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), "[^A-Za-z0-9]+", "-")
-    authority = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    return F.substring(F.concat(authority, F.lit("__"), F.btrim(rest, F.lit("-"))), 1, 180)
+    """authority__path.html of a URL, at most 180 characters: slashes inside the path as _, no query, ``index`` for no path."""
+    path = F.regexp_extract(url, _AUTHORITY + "([^?#]*)", 2)
+    slug = F.replace(F.btrim(F.regexp_replace(path, ";[^/]*$", ""), F.lit("/")), F.lit("/"), F.lit("_"))
+    return F.substring(F.concat(authority_of(url), F.lit("__"), F.when(slug == "", "index").otherwise(slug), F.lit(".html")), 1, 180)
 
 
 def is_registry_resource(iri: Column) -> Column:

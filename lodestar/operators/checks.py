@@ -22,6 +22,8 @@ CTID = "ceterms:ctid"
 # Properties and classes with a rule of their own.
 VERSION_PROPERTIES = ("ceterms:latestVersion", "ceterms:nextVersion", "ceterms:previousVersion")
 DOCUMENTED_PAIR = ("ceasn:isChildOf", "ceasn:CompetencyFramework")
+#: Identifiers that a message names at most.
+SHOWN = 10
 COMPETENCY, FRAMEWORK, IS_PART_OF = "ceasn:Competency", "ceasn:CompetencyFramework", "ceasn:isPartOf"
 
 FINDING = "doc_id string, code string, severity string, entity string, property string, value string, message string, rule struct<citation:string,url:string,retrieved:string>"
@@ -35,42 +37,65 @@ class Session:
     nodes: DataFrame
     vocab: Vocabulary
     supplied: DataFrame  # _SUPPLIED, one row for each id
-    supplied_sources: list[str]
+    supplied_sources: list[str]  # the first few, for messages
+    supplied_count: int = 0
+    _references: DataFrame | None = None
 
     @property
     def properties(self) -> DataFrame:
         return self.vocab.property_table(self.nodes.sparkSession)
 
     def references(self) -> DataFrame:
-        """Values of declared properties that name an entity, with what they resolve to.
+        """Values of declared properties that name an entity, with what they resolve to; written to a table once.
 
         ``t_ord`` is null if no node of the document has the id (the first in
         document order counts); ``s_source`` names a supplied document that has it.
         """
+        if self._references is None:
+            self._references = kept(self._resolved())
+        return self._references.join(F.broadcast(self.properties), "prop")  # a few thousand terms
+
+    def _resolved(self) -> DataFrame:
         nodes = self.nodes.where("error IS NULL")
         target = F.struct("ord", "label", "known", "anc")
         by_id = nodes.where("node_id IS NOT NULL").groupBy("doc_id", F.concat(F.lit("i"), "node_id").alias("ref")).agg(F.min_by(target, "ord").alias("t"))
         by_path = nodes.groupBy("doc_id", F.concat(F.lit("p"), "path").alias("ref")).agg(F.max_by(target, "ord").alias("t"))
-        v = values_of(self.nodes).where("kind != 'other'").join(F.broadcast(self.properties), "prop")  # a few thousand terms
+        names = self.properties.where("has_entities OR inverse IS NOT NULL").select("prop")
+        v = values_of(self.nodes).where("kind != 'other'").join(F.broadcast(names), "prop")
         v = v.withColumn("ref", F.when(F.col("kind") == "str", F.concat(F.lit("i"), "text")).otherwise(F.concat(F.lit("p"), "target")))
         met = v.join(by_id.unionAll(by_path), ["doc_id", "ref"], "left")
-        found = met.select("*", F.col("t.ord").alias("t_ord"), F.col("t.label").alias("t_label"), F.col("t.known").alias("t_known"), F.col("t.anc").alias("t_anc")).drop("t")
+        found = met.select("doc_id", "label", "node_id", "known", "anc", "prop", "kind", "text", F.col("t.ord").alias("t_ord"), F.col("t.label").alias("t_label"), F.col("t.known").alias("t_known"), F.col("t.anc").alias("t_anc"))
         side = self.supplied.select(F.col("node_id").alias("text"), F.col("known").alias("s_known"), F.col("anc").alias("s_anc"), F.col("source").alias("s_source"), F.lit("str").alias("kind"))
         return found.join(side, ["text", "kind"], "left").withColumn("s_source", F.when(F.col("t_ord").isNull(), F.col("s_source")))
 
 
-def _rule(citation: str | Column, url: str = "-", retrieved: str = "-") -> Column:
-    c = F.lit(citation) if isinstance(citation, str) else citation
-    return F.struct(c.alias("citation"), F.lit(url).alias("url"), F.lit(retrieved).alias("retrieved"))
+# Where the published rules stand, and when they were read.
+CTID_URL = "https://credreg.net/ctdl/ctid"
+HANDBOOK_URL = "https://credreg.net/ctdl/handbook"
+RFC_4122_URL = "https://www.rfc-editor.org/rfc/rfc4122"
+SCHEMA_URLS = {"ceasn": "https://credreg.net/ctdlasn/schema/encoding/json", "ceterms": "https://credreg.net/ctdl/schema/encoding/json"}
+CONTEXT_URLS = {"ceasn": "https://credreg.net/ctdlasn/schema/context/json", "ceterms": "https://credreg.net/ctdl/schema/context/json"}
+RETRIEVED = "2026-08-06"
+POLICY_URL = "README.md (Checks)"
+
+
+def _rule(citation: str | Column, url: str | Column = POLICY_URL, retrieved: str = "-") -> Column:
+    as_col = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(as_col(citation).alias("citation"), as_col(url).alias("url"), F.lit(retrieved).alias("retrieved"))
+
+
+def of_vocabulary(urls: dict[str, str], term: Column) -> Column:
+    """The address for the vocabulary of a term."""
+    return F.when(vocab_prefix(term) == "ceasn", urls["ceasn"]).otherwise(urls["ceterms"])
 
 
-_CTID_URL = "https://credreg.net/ctdl/ctid"
-_CTID_RULE = ("About the CTID: structure", _CTID_URL, "2026-08-06")
-_URI_RULE = ("About the CTID: a resource's URI ends in its CTID", _CTID_URL, "2026-08-06")
+_CTID_RULE = ("About the CTID: structure", CTID_URL, RETRIEVED)
+_URI_RULE = ("About the CTID: a resource's URI ends in its CTID", CTID_URL, RETRIEVED)
 
 
-def _encoding(*parts: str | Column) -> Column:
-    return _rule(F.concat(F.lit("Schema encoding: "), *(F.lit(p) if isinstance(p, str) else p for p in parts)))
+def _encoding(*parts: str | Column, term: str = "prop", urls: dict[str, str] = SCHEMA_URLS) -> Column:
+    """A rule of the schema encoding (or the context) that declares ``term``."""
+    return _rule(F.concat(F.lit("Schema encoding: "), *(F.lit(p) if isinstance(p, str) else p for p in parts)), of_vocabulary(urls, F.col(term)), RETRIEVED)
 
 
 def _say(*parts: str | Column) -> Column:
@@ -101,7 +126,7 @@ def ctid_format(s: Session) -> DataFrame:
             (~is_text, "CTID_MALFORMED", "ERROR", _say("A CTID is text: ", GRAMMAR), structure),
             (bare, "CTID_BARE_UUID", "ERROR", _say("A UUID without its ce- prefix; a CTID is ", GRAMMAR), structure),
             (is_text & ~shaped & ~bare, "CTID_MALFORMED", "ERROR", _say("Not a CTID: ", GRAMMAR), structure),
-            (shaped & ~is_lower(v), "CTID_UPPERCASE", "WARNING", _say("Upper case in a CTID"), _rule("RFC 4122: UUIDs are written in lower case", "https://www.rfc-editor.org/rfc/rfc4122", "-")),
+            (shaped & ~is_lower(v), "CTID_UPPERCASE", "WARNING", _say("Upper case in a CTID"), _rule("RFC 4122: UUIDs are written in lower case", RFC_4122_URL, RETRIEVED)),
             (shaped & ~is_v4(v), "CTID_NOT_UUIDV4", "WARNING", _say("The version or variant digit is not that of UUID v4"), structure),
         ],
         F.col("prop"),
@@ -121,7 +146,7 @@ def identifier_kind(s: Session) -> DataFrame:
     """Check 2: what stands where an identifier belongs."""
     v = F.col("text")
     bare, ctid = is_bare_uuid(v), is_ctid(v)
-    coerced = _encoding("the context types ", F.col("prop"), " as @id")
+    coerced = _encoding("the context types ", F.col("prop"), " as @id", urls=CONTEXT_URLS)
     values = values_of(s.nodes).where("kind = 'str'").join(F.broadcast(s.properties), "prop").where("id_coerced AND has_entities")
     return _cases(
         values,
@@ -140,13 +165,14 @@ def references(s: Session) -> DataFrame:
     v = F.col("text")
     open_ = s.references().where("id_coerced AND has_entities AND kind = 'str' AND t_ord IS NULL")
     blank, iri, held = v.startswith("_:"), looks_like_iri(v), F.col("s_source").isNotNull()
-    n = len(s.supplied_sources)
-    missed = f". None of the {n} document{'s' * (n != 1)} supplied ({', '.join(s.supplied_sources)}) declares it" if n else ". Supplying the document that declares it would settle this"
+    n = s.supplied_count
+    named = ", ".join(s.supplied_sources) + ", ..." * (n > len(s.supplied_sources))
+    missed = f". None of the {n} document{'s' * (n != 1)} supplied ({named}) declares it" if n else ". Supplying the document that declares it would settle this"
     as_what = F.when(F.size("s_known") > 0, _say("typed [", F.array_join("s_known", ", "), "]")).otherwise(_say("without a class of the vocabulary"))
     return _cases(
         open_,
         [
-            (blank, "REF_UNRESOLVED_BNODE", "ERROR", _say("No node of this document has this blank node identifier"), _rule("RDF 1.1: blank node identifiers are local to a document", "https://www.w3.org/TR/rdf11-concepts/", "-")),
+            (blank, "REF_UNRESOLVED_BNODE", "ERROR", _say("No node of this document has this blank node identifier"), _rule("Handbook: blank node identifiers are local to a document", HANDBOOK_URL, RETRIEVED)),
             (~blank & iri & held, "REF_RESOLVED_SUPPLIED", "INFO", _say("Found in ", F.col("s_source"), ", ", as_what), _rule("Policy: supplied documents settle references and are not checked")),
             (~blank & iri & ~held, "REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", _say("Not defined in this document, and nothing is fetched", missed), _rule("Policy: no network")),
         ],
@@ -161,7 +187,7 @@ def domain_and_range(s: Session) -> DataFrame:
     classes = F.broadcast(s.vocab.class_table(spark).select(F.col("term").alias("type")))
     typed = s.nodes.where("error IS NULL").select("doc_id", "label", F.explode("types").alias("type")).where(is_checked_term(F.col("type")))
     t, p = F.col("type"), F.col("prop")
-    undeclared = lambda what, x: _rule(_say("Schema encoding of ", vocab_prefix(x), f" declares no such {what}"))
+    undeclared = lambda what, x: _rule(_say("Schema encoding of ", vocab_prefix(x), f" declares no such {what}"), of_vocabulary(SCHEMA_URLS, x), RETRIEVED)
     unknown_class = _findings(typed.join(classes, "type", "left_anti"), "UNKNOWN_CLASS", "WARNING", "@type", t, _say("The vocabulary declares no such class"), undeclared("class", t))
     props = properties_of(s.nodes)
     known = F.broadcast(s.properties)
@@ -185,7 +211,7 @@ def domain_and_range(s: Session) -> DataFrame:
         [
             (concept, "CONCEPT_RANGE_CONFLICT", "INFO", _say(p, " is ranged on concepts and this is a ", ALIGNMENT, ", as other properties of its schemes are", origin), _encoding(p, " draws on ", F.array_join("target_scheme", ", "), " like ", F.array_join(F.slice("siblings", 1, 3), ", "))),
             (~concept & version, "VERSION_RANGE_CONFLICT", "INFO", _say(p, " may start from a ", cls, " and not end at one", origin), _encoding(p, " leaves out of its range ", abbreviate(F.col("dropped")))),
-            (~concept & ~version & child, "RANGE_DOCS_CONFLICT", "INFO", _say(p, " is not ranged on ", DOCUMENTED_PAIR[1], ", but published guidance uses it so", origin), _rule("Published guidance against the schema encoding")),
+            (~concept & ~version & child, "RANGE_DOCS_CONFLICT", "INFO", _say(p, " is not ranged on ", DOCUMENTED_PAIR[1], ", but published guidance uses it so", origin), _rule("Published guidance against the schema encoding", SCHEMA_URLS["ceasn"], RETRIEVED)),
             (~concept & ~version & ~child, "RANGE_VIOLATION", "ERROR", _say(F.col("h_label"), " is typed [", F.array_join("h_known", ", "), "], outside the range of ", p, origin), ranged),
         ],
         p,
@@ -193,13 +219,16 @@ def domain_and_range(s: Session) -> DataFrame:
     )
 
     frameworks = s.nodes.where(F.col("node_id").isNotNull() & F.array_contains("anc", FRAMEWORK)).groupBy("doc_id").agg(F.sort_array(F.collect_set("node_id")).alias("own"))
-    beside = sorted(r[0] for r in s.supplied.where(F.array_contains("anc", FRAMEWORK)).select("node_id").limit(10_001).collect())
-    if len(beside) > 10_000:
-        raise ValueError("more than 10,000 frameworks supplied: check documents in smaller sets")
+    # Of the frameworks supplied, a message names the first few; how many there are is counted.
+    held = s.supplied.where(F.array_contains("anc", FRAMEWORK)).select("node_id")
+    beside = [r[0] for r in held.orderBy("node_id").limit(SHOWN).collect()]
+    n_beside = held.count() if len(beside) == SHOWN else len(beside)
     stray = s.references().where((p == IS_PART_OF) & (F.col("kind") == "str") & F.array_contains("anc", COMPETENCY) & F.col("t_ord").isNull() & F.col("s_source").isNull())
-    seen = stray.join(frameworks, "doc_id", "left").withColumn("all", F.array_sort(F.array_union(F.coalesce("own", F.array().cast("array<string>")), F.array(*map(F.lit, beside)).cast("array<string>"))))
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    seen = stray.join(frameworks, "doc_id", "left").withColumn("all", F.array_sort(F.array_union(F.coalesce("own", texts([])), texts(beside))))
     where = "this document or those supplied" if beside else "this document"
-    mismatch = _findings(seen.where(F.size("all") > 0), "ISPARTOF_FRAMEWORK_MISMATCH", "WARNING", IS_PART_OF, F.col("text"), _say(f"No framework in {where} has this identifier; there is ", F.array_join("all", ", ")), _rule("Published guidance: a competency and its framework share a graph"))
+    more = f" and {n_beside - len(beside)} more supplied" if n_beside > len(beside) else ""
+    mismatch = _findings(seen.where(F.size("all") > 0), "ISPARTOF_FRAMEWORK_MISMATCH", "WARNING", IS_PART_OF, F.col("text"), _say(f"No framework in {where} has this identifier; there is ", F.array_join("all", ", "), more), _rule("Handbook: a competency and its framework share a graph", HANDBOOK_URL, RETRIEVED))
     return unknown_class.unionAll(unknown_prop).unionAll(domain).unionAll(range_).unionAll(mismatch)
 
 
@@ -247,8 +276,8 @@ def session(documents: DataFrame, vocab: Vocabulary, supplied: DataFrame | None
     broken = flatten(supplied, vocab).where("error IS NOT NULL").limit(1).collect()
     if broken:
         raise ValueError(f"supplied document {broken[0]['doc_id']}: {broken[0]['error']}")
-    sources = [r[0] for r in supplied.orderBy("set_ord").select("source").limit(1000).collect()]  # they are named in messages
-    return Session(nodes, vocab, kept(supplied_entities(supplied, vocab)), sources)
+    sources = [r[0] for r in supplied.orderBy("set_ord").select("source").limit(SHOWN).collect()]
+    return Session(nodes, vocab, kept(supplied_entities(supplied, vocab)), sources, supplied.count())
 
 
 def validate(s: Session) -> DataFrame:

@@ -76,11 +76,14 @@ def _escaped(c: Column, *more: tuple[str, str]) -> Column:
 
 
 def as_annotations(findings: DataFrame, file: Column | str = "doc_id") -> DataFrame:
-    """doc_id, line: ``::level file=...,title=...::message``."""
+    """doc_id, line: ``::level file=...,title=CODE (SEVERITY)::entity: property = value. message``; an empty file is left out."""
     of = F.create_map(*(F.lit(x) for p in LEVELS.items() for x in p))
     prop = (":", "%3A"), (",", "%2C")
     name = F.col(file) if isinstance(file, str) else file
-    return findings.select("doc_id", F.concat(F.lit("::"), of[F.col("severity")], F.lit(" file="), _escaped(name, *prop), F.lit(",title="), _escaped(F.col("code"), *prop), F.lit("::"), _escaped(F.concat("entity", F.lit(" "), "property", F.lit(" = "), "value", F.lit(": "), "message"))).alias("line"))
+    title = F.concat("code", F.lit(" ("), "severity", F.lit(")"))
+    said = F.concat("entity", F.lit(": "), "property", F.lit(" = "), "value", F.lit(". "), "message")
+    where = F.when(F.coalesce(name, F.lit("")) == "", "").otherwise(F.concat(F.lit("file="), _escaped(name, *prop), F.lit(",")))
+    return findings.select("doc_id", F.concat(F.lit("::"), F.coalesce(of[F.col("severity")], F.lit("notice")), F.lit(" "), where, F.lit("title="), _escaped(title, *prop), F.lit("::"), _escaped(said)).alias("line"))
 
 
 def output_lines(gate: DataFrame) -> DataFrame:

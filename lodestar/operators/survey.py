@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import REGISTRY_PREFIXES, is_checked_term, is_registry_resource
+from ..functions.identifiers import REGISTRY_HOST, authority_of, identifier_only, is_registry_resource
+from .findings import SEVERITIES
 
 # Reasons for leaving an envelope out, in the order in which they are tried.
-REASONS = ("fetch-failed", "not-a-resource-envelope", "no-ctid", "no-decoded-resource", "duplicate-ctid", "unreadable-document")
+REASONS = ("fetch-failed", "empty-page", "not-resource-data", "no-document", "duplicate-ctid", "unreadable")
 
 
 def draw_pages(corpus: int, size: int, seed: int) -> list[int]:
@@ -20,13 +21,14 @@ def draw_pages(corpus: int, size: int, seed: int) -> list[int]:
 
 
 def exclusions(envelopes: DataFrame) -> DataFrame:
-    """envelopes (page, failed, is_resource, ctid, has_resource, readable) with ``reason`` (null: kept) and ``first_page``.
+    """envelopes (page, failure, is_resource, ctid, has_resource, readable) with ``reason`` (null: kept) and ``first_page``.
 
-    Of envelopes with one CTID that pass the earlier tests the first page
-    stays, whether or not its document turns out readable.
+    ``failure`` is null, ``empty-page`` or a message.  Of envelopes with one CTID
+    that pass the earlier tests the first page stays, whether or not its document
+    turns out readable.
     """
     c = F.col
-    early = F.when(c("failed"), REASONS[0]).when(~c("is_resource"), REASONS[1]).when(c("ctid").isNull(), REASONS[2]).when(~c("has_resource"), REASONS[3])
+    early = F.when(c("failure") == REASONS[1], REASONS[1]).when(c("failure").isNotNull(), REASONS[0]).when(~c("is_resource"), REASONS[2]).when(c("ctid").isNull() | ~c("has_resource"), REASONS[3])
     passed = envelopes.withColumn("early", early)
     firsts = passed.where("early IS NULL").groupBy("ctid").agg(F.min("page").alias("first_page"))
     met = passed.join(firsts, "ctid", "left")
@@ -34,19 +36,24 @@ def exclusions(envelopes: DataFrame) -> DataFrame:
     return met.withColumn("reason", F.coalesce("early", F.when(again, REASONS[4]).when(~c("readable"), REASONS[5]))).drop("early")
 
 
-def publisher_labels(rows: DataFrame) -> DataFrame:
-    """publisher, label: P001, P002, ... by first page; null publishers have none.
+#: Pages whose publishers are numbered in one task; only a count for each such range of pages meets in one.
+LABEL_PAGES = 1 << 16
 
-    Publishers are few beside documents: the window runs over one row each.
-    """
-    first = rows.where("publisher IS NOT NULL").groupBy("publisher").agg(F.min("page").alias("first_page"))
-    return first.select("publisher", F.format_string("P%03d", F.row_number().over(W.orderBy("first_page", "publisher")).cast("int")).alias("label"))
+
+def publisher_labels(rows: DataFrame, pages: int = LABEL_PAGES) -> DataFrame:
+    """publisher, label: P001, P002, ... by first page; null publishers have none."""
+    first = rows.where("publisher IS NOT NULL").groupBy("publisher").agg(F.min("page").alias("first_page")).withColumn("part", F.floor(F.col("first_page") / pages))
+    parts = first.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("first_page", "publisher")) + F.col("before")
+    return first.join(before, "part").select("publisher", F.format_string("P%03d", place).alias("label"))
 
 
 def summarize(findings: DataFrame) -> DataFrame:
-    """doc_id, code, severity, n, example (entity, property, value of the first finding in order)."""
+    """doc_id, code, severity, n, example (severity, entity, property, value of the first finding in order; what is no identifier is withheld)."""
     key = F.struct("entity", "property", "code", "value", "severity", "message")
-    return findings.groupBy("doc_id", "code", "severity").agg(F.count("*").alias("n"), F.min_by(F.struct("entity", "property", "value"), key).alias("example"))
+    shown = F.struct("severity", identifier_only(F.col("entity")).alias("entity"), "property", identifier_only(F.col("value")).alias("value"))
+    return findings.groupBy("doc_id", "code", "severity").agg(F.count("*").alias("n"), F.min_by(shown, key).alias("example"))
 
 
 def roll_up(documents: DataFrame, codes: DataFrame) -> DataFrame:
@@ -72,24 +79,29 @@ def type_table(documents: DataFrame, least: int = 20) -> DataFrame:
 
 
 def concentration(rows: DataFrame, key: str = "publisher", top: int = 5) -> DataFrame:
-    """One row: distinct keys, documents, the share in whole percent of the first and of the first ``top``."""
-    n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    """One row: distinct keys (null is one), documents, the share in whole percent of the first and of the first ``top``."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
     largest = n.orderBy(F.desc("n"), key).limit(top).agg(F.max("n").alias("first"), F.sum("n").alias("few"))
     total = n.agg(F.count("*").alias("keys"), F.sum("n").alias("documents"))
     share = lambda c: F.bround(100 * F.col(c) / F.col("documents")).cast("long")
     return total.join(F.broadcast(largest)).select("keys", "documents", share("first").alias("top1_share"), share("few").alias(f"top{top}_share"))
 
 
-def residue(references: DataFrame) -> DataFrame:
-    """kind, n of references (iri) still open: registry, vocabulary, blank or other host."""
-    iri = F.col("iri")
-    kind = F.when(is_registry_resource(iri) | iri.startswith(REGISTRY_PREFIXES[1]), "registry").when(is_checked_term(iri), "vocabulary").when(iri.startswith("_:"), "blank").otherwise("other")
-    return references.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+# Kinds of references that stay open.
+RESIDUE = ("Registry /resources/ URI whose document was not supplied", "credreg.net term", "Registry host, some other path", "other host")
+
+
+def residue(findings: DataFrame, *by: str) -> DataFrame:
+    """kind, n of the references (code REF_OUTSIDE_PAYLOAD, value) that stay open, for each of the columns ``by``."""
+    v = F.col("value")
+    host = F.regexp_replace(F.lower(authority_of(v)), r"^www\.", "")
+    kind = F.when(is_registry_resource(v), RESIDUE[0]).when(host == "credreg.net", RESIDUE[1]).when(host == REGISTRY_HOST, RESIDUE[2]).otherwise(RESIDUE[3])
+    return findings.where("code = 'REF_OUTSIDE_PAYLOAD'").groupBy(*by, kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def registry_references(values: DataFrame) -> DataFrame:
-    """doc_id, iris: the distinct registry resources a document names, sorted."""
-    return values.where(is_registry_resource(F.col("text"))).groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("iris"))
+def registry_references(findings: DataFrame) -> DataFrame:
+    """doc_id, iris: the distinct registry resources that a document names and does not define, sorted."""
+    return findings.where((F.col("code") == "REF_OUTSIDE_PAYLOAD") & is_registry_resource(F.col("value"))).groupBy("doc_id").agg(F.sort_array(F.collect_set("value")).alias("iris"))
 
 
 def wanted_neighbours(references: DataFrame, cap: int) -> DataFrame:
@@ -116,9 +128,10 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def only_unverifiable(codes: DataFrame) -> DataFrame:
-    """pass, only_unverifiable, below_error: documents whose findings are all UNVERIFIABLE, and documents that have findings and no ERROR."""
-    per_doc = codes.groupBy("doc_id", "pass").agg(F.min(F.col("severity") == "UNVERIFIABLE").alias("all_u"), F.max(F.col("severity") == "ERROR").alias("err"))
-    return per_doc.groupBy("pass").agg(F.count_if("all_u").alias("only_unverifiable"), F.count_if(~F.col("err")).alias("below_error"))
+    """pass, only_unverifiable, with_warning, with_info: of documents with findings and no ERROR, those with UNVERIFIABLE ones alone, and those with a WARNING and with an INFO."""
+    has = lambda s: F.max(F.col("severity") == s)
+    per_doc = codes.where("n > 0").groupBy("doc_id", "pass").agg(*(has(s).alias(s) for s in SEVERITIES)).where("NOT ERROR")
+    return per_doc.groupBy("pass").agg(F.count_if(~F.col("WARNING") & ~F.col("INFO")).alias("only_unverifiable"), F.count_if("WARNING").alias("with_warning"), F.count_if("INFO").alias("with_info"))
 
 
 def error_table(codes: DataFrame) -> DataFrame:
@@ -133,22 +146,31 @@ def settled(codes: DataFrame) -> DataFrame:
     return codes.groupBy("doc_id").agg((n("alone") - n("resolved")).alias("settled")).where("settled != 0")
 
 
-def markup_summary(pages: DataFrame, entities: DataFrame, notes: DataFrame) -> DataFrame:
-    """measure, key, n over read pages: formats, types, notes by code, and counts of pages."""
-    blocks = pages.select("page_id", F.explode("blocks").alias("b"))
-    fmt = blocks.groupBy(F.col("b.fmt").alias("key")).agg(F.countDistinct("page_id").alias("n")).select(F.lit("format").alias("measure"), "key", "n")
-    types = blocks.select(F.explode("b.types").alias("key")).groupBy("key").count().select(F.lit("type").alias("measure"), "key", F.col("count").alias("n"))
-    codes = notes.groupBy(F.col("code").alias("key")).count().select(F.lit("note").alias("measure"), "key", F.col("count").alias("n"))
-    whole = pages.agg(F.count("*").alias("read"), F.count_if(F.size("blocks") > 0).alias("with_markup")).select(F.explode(F.create_map(F.lit("read"), "read", F.lit("with_markup"), "with_markup")).alias("key", "n"))
-    made = entities.agg(F.countDistinct("page_id").alias("n")).select(F.lit("with_entities").alias("key"), "n")
-    return fmt.unionAll(types).unionAll(codes).unionAll(whole.unionAll(made).select(F.lit("pages").alias("measure"), "key", "n"))
+def markup_summary(pages: DataFrame, entities: DataFrame, notes: DataFrame, findings: DataFrame) -> DataFrame:
+    """measure, key, n over targets: counts of pages (read where ``error`` is null), of pages by format and declared type, of notes and findings by code."""
+    read = pages.where("error IS NULL")
+    blocks = read.select("page_id", F.explode("blocks").alias("b"))
+    named = lambda df, measure, n: df.groupBy("key").agg(n.alias("n")).select(F.lit(measure).alias("measure"), "key", "n")
+    once = F.countDistinct("page_id")
+    out = named(blocks.select("page_id", F.col("b.fmt").alias("key")), "format", once)
+    out = out.unionAll(named(blocks.select("page_id", F.explode("b.types").alias("key")), "type", once))
+    out = out.unionAll(named(notes.join(read.select("page_id"), "page_id", "left_semi").select(F.col("code").alias("key")), "note", F.count("*")))
+    out = out.unionAll(named(findings.select(F.col("code").alias("key")), "finding", F.count("*")))
+    made = entities.select("page_id").distinct().withColumn("made", F.lit(True))
+    wrong = findings.where("severity = 'ERROR'").select(F.col("doc_id").alias("page_id")).distinct().withColumn("wrong", F.lit(True))
+    each = pages.select("page_id", "error", F.size("blocks").alias("n_blocks")).join(made, "page_id", "left").join(wrong, "page_id", "left")
+    ok, has = F.col("error").isNull(), F.col("made").isNotNull()
+    # Names of the counts.
+    counts = {"targets": F.lit(True), "read": ok, "not_read": ~ok, "published_structured_data": ok & (F.col("n_blocks") > 0), "produced_ctdl_entities": ok & has, "extracts_with_no_validation_errors": ok & has & F.col("wrong").isNull()}
+    whole = each.agg(*(F.count_if(c).alias(k) for k, c in counts.items()))
+    return out.unionAll(whole.select(F.explode(F.create_map(*(x for k in counts for x in (F.lit(k), F.col(k))))).alias("key", "n")).select(F.lit("pages").alias("measure"), "key", "n"))
 
 
 def page_summary(pages: DataFrame, entities: DataFrame, notes: DataFrame) -> DataFrame:
     """page_id, formats, classes, dropped terms and note counts of every page."""
     base = pages.select("page_id", F.array_sort(F.array_distinct(F.transform("blocks", lambda b: b["fmt"]))).alias("formats"))
     cls = entities.select("page_id", F.explode("classes").alias("c")).groupBy("page_id").agg(F.sort_array(F.collect_set("c")).alias("classes"))
-    n = notes.groupBy("page_id").agg(F.count_if(F.col("severity") == "WARNING").alias("warnings"), F.count_if(F.col("severity") == "INFO").alias("infos"), F.sort_array(F.collect_set(F.when(F.col("code").isin("CLASS_NOT_MAPPED", "PROPERTY_NOT_MAPPED"), F.col("term")))).alias("dropped"))
+    n = notes.groupBy("page_id").agg(F.count_if(F.col("severity") == "WARNING").alias("warnings"), F.count_if(F.col("severity") == "INFO").alias("infos"), F.sort_array(F.collect_set(F.when(F.col("code").isin("CLASS_NOT_MAPPED", "PROPERTY_NOT_MAPPED", "PROPERTY_AMBIGUOUS"), F.col("term")))).alias("dropped"))
     return base.join(cls, "page_id", "left").join(n, "page_id", "left").fillna(0, ["warnings", "infos"])
 
 

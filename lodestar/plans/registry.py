@@ -83,15 +83,31 @@ def compact_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPACT_SQL = f"""SELECT DISTINCT iri, CASE WHEN starts_with(iri, 'https://purl.org/ctdl/terms/') THEN 'ceterms:' || substr(iri, 29)
   WHEN starts_with(iri, 'https://schema.org/') THEN 'schema:' || substr(iri, 20) ELSE iri END AS term FROM (SELECT {_IRIS} AS iri FROM (SELECT o_orderkey AS k FROM orders))"""
 
-_SHOWN = f"CASE k % 6 WHEN 0 THEN {projection.ctid('o', 'k')} WHEN 1 THEN concat('{projection.R}', {projection.ctid('o', 'k')}) WHEN 2 THEN 'ceterms:ownedBy' WHEN 3 THEN concat('a name ', cast(k as varchar(20))) WHEN 4 THEN '_:b1' ELSE concat('https://example.org/', cast(k as varchar(20))) END"
+#: Probes of what may be shown: SQL of the text, and whether it is.
+_UUID = projection.uuid("o", "k")
+_PROBES = [
+    (projection.ctid("o", "k"), True), (f"upper({_UUID})", True), (f"concat('CE-', {_UUID})", False), (f"concat('ce-', upper({_UUID}))", True),
+    (f"concat('{projection.R}', {projection.ctid('o', 'k')}, '/x?y')", True), ("concat('http://www.credreg.net/ctdl/', k)", True), ("concat('https://credreg.net.example/', k)", False), ("concat('https://credentialengineregistry.org/a b', k)", False),
+    ("concat('ceterms:owned_By-', k, '.x')", True), ("concat('ceterms2:x', k)", False), ("concat('ceterms:a/', k)", False), ("concat('$.@graph[', k, '].ceterms:ownedBy[0]')", True), ("'$'", True), ("concat('$', k)", False),
+    ("concat('_:n_1.', k)", True), ("concat('_: ', k)", False), ("concat('@type=[schema:Foo-', k, ', é]')", True), ("'@type'", False), ("'-'", True), ("concat('a name ', k)", False),
+]
+_SHOWN = "CASE k % " + str(len(_PROBES)) + " " + " ".join(f"WHEN {i} THEN {text.replace(', k', ', cast(k as varchar(20))').replace('cast(cast(k as varchar(20)) as varchar(20))', 'cast(k as varchar(20))')}" for i, (text, _) in enumerate(_PROBES)) + " END"
+_PROBED = f"SELECT k, {_SHOWN} AS v FROM (SELECT DISTINCT o_orderkey AS k FROM orders)"
 
 
 def identifier_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-    return spark.sql(f"SELECT k, {_SHOWN} AS v FROM (SELECT DISTINCT o_orderkey AS k FROM orders)").select("k", I.identifier_only(F.col("v")).alias("shown"))
+    return _sql(spark, sf_dir, _PROBED).select("k", I.identifier_only(F.col("v")).alias("shown"))
+
+
+_ALLOW_SQL = f"SELECT k, CASE WHEN k % {len(_PROBES)} IN ({', '.join(str(i) for i, (_, ok) in enumerate(_PROBES) if not ok)}) THEN concat('<withheld: ', cast(length(v) as varchar(20)), ' characters>') ELSE v END AS shown FROM ({_PROBED})"
 
+#: URLs and the names under which their pages are saved.
+_URLS = [("https://a.b/x/y/", "a.b__x_y.html"), ("https://a.b", "a.b__index.html"), ("http://a.b:8080/?q=1", "a.b:8080__index.html"), ("https://u@a.b//x//y.htm;p#f", "u@a.b__x__y.htm.html"), ("https://a.b/" + "z" * 200, "a.b__" + "z" * 175)]
 
-_ALLOW_SQL = f"SELECT k, CASE WHEN k % 6 IN (3, 5) THEN concat('<withheld: ', cast(length(v) as varchar(20)), ' characters>') ELSE v END AS shown FROM (SELECT k, {_SHOWN} AS v FROM (SELECT DISTINCT o_orderkey AS k FROM orders))"
+
+def saved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = F.element_at(F.array(*(F.lit(u) for u, _ in _URLS)), (F.col("k") % len(_URLS) + 1).cast("int"))
+    return _sql(spark, sf_dir, "SELECT DISTINCT o_orderkey AS k FROM orders").select("k", I.saved_name(urls).alias("name"))
 
 
 def first_id_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +127,20 @@ def supplied_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.supplied_entities(docs, mini()).select("node_id", "source")
 
 
-# Pages: one of five kinds of markup is put before the html of each.
+# Pages: one of ten kinds of markup is put before the html of each.
+_CTDL = "https://credreg.net/ctdl/schema/context/json"
+_LD = '<script type="application/ld+json">{}</script>'
 _KINDS = [
     "",
-    '<script type="application/ld+json">{"@context": "https://schema.org", "@type": "Course", "name": "Welding", "courseCode": "W1", "provider": {"@type": "Organization", "name": "College"}, "offers": {"@type": "Offer"}}</script>',
+    _LD.format('{"@context": "https://schema.org", "@type": "Course", "name": "Welding", "courseCode": "W1", "provider": {"@type": "Organization", "name": "College"}, "offers": {"@type": "Offer"}}'),
     '<div itemscope itemtype="https://schema.org/Organization" lang="en"><span itemprop="name">College</span><span itemprop="legalName"></span></div>',
     '<div vocab="https://schema.org/" typeof="EducationalOccupationalProgram" about="x"><span property="name">P</span></div>',
     '<script type="application/ld+json">{broken</script>',
+    _LD.format(f'{{"@context": "{_CTDL}", "@id": "https://e.example/c", "@type": "ceterms:Certification", "ceterms:ctid": "not-a-ctid", "ceterms:ownedBy": "https://e.example/o"}}'),
+    '<div itemscope itemtype="https://schema.org/Organization" itemref="z"><i itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><b itemprop="streetAddress" lang="en">S</b></i></div><div itemscope><i itemprop="nick">n</i></div>',
+    '<div typeof="Bare"></div>',
+    _LD.format('[{"@type": "Course"}]'),
+    _LD.format('{"@context": "https://schema.org", "@type": "Course", "provider": "College", "name": {"@type": "Thing"}, "hasPart": {"@type": "CourseInstance"}, "about": "x", "startDate": "2020"}'),
 ]
 _NOTES = {
     0: [("NO_STRUCTURED_DATA", None, "(page)")],
@@ -132,14 +155,38 @@ _NOTES = {
     2: [("EMPTY_VALUE", "microdata[0].schema:legalName[1]", "(value)"), ("CTID_ABSENT", "$.@graph", "ceterms:ctid")],
     3: [("RDFA_BEYOND_LITE", "rdfa", "about"), ("CLASS_NOT_MAPPED", "rdfa[0]", "schema:EducationalOccupationalProgram"), ("CLASS_RELATED_NOT_EQUIVALENT", "rdfa[0]", "schema:EducationalOccupationalProgram")],
     4: [("JSONLD_PARSE_ERROR", "json-ld[0]", "application/ld+json")],
+    6: [("MICRODATA_ITEMREF", "microdata[0]", "z"), ("MICRODATA_NAME_UNRESOLVED", "microdata[1].itemprop[0]", "nick"), ("ITEM_UNTYPED", "microdata[1]", "(no type)"), ("CTID_ABSENT", "$.@graph", "ceterms:ctid")],
+    7: [("RDFA_TERM_UNRESOLVED", "rdfa[0]", "Bare"), ("ITEM_UNTYPED", "rdfa[0]", "(no type)")],
+    8: [("JSONLD_CONTEXT_UNRESOLVED", "json-ld[0]", "(absent)"), ("ITEM_UNTYPED", "json-ld[0][0]", "(no type)")],
+    9: [
+        ("CLASS_NOT_MAPPED", "json-ld[0].schema:name[0]", "schema:Thing"),
+        ("CLASS_NOT_MAPPED", "json-ld[0].schema:hasPart[0]", "schema:CourseInstance"),
+        ("VALUE_NOT_IDENTIFIER", "json-ld[0]", "ceterms:offeredBy"),
+        ("VALUE_NOT_LITERAL", "json-ld[0]", "ceterms:name"),
+        ("NESTED_ITEM_DROPPED", "json-ld[0]", "ceterms:hasPart"),
+        ("PROPERTY_NOT_MAPPED", "json-ld[0]", "schema:about"),
+        ("PROPERTY_RELATED_NOT_EQUIVALENT", "json-ld[0]", "schema:about"),
+        ("PROPERTY_RELATED_NOT_EQUIVALENT", "json-ld[0]", "schema:about"),
+        ("PROPERTY_AMBIGUOUS", "json-ld[0]", "schema:startDate"),
+        ("CTID_ABSENT", "$.@graph", "ceterms:ctid"),
+    ],
+}
+_BLOCKS = {1: ("json-ld", 3, "schema:Course,schema:Organization,schema:Offer"), 2: ("microdata", 1, "schema:Organization"), 3: ("rdfa", 1, "schema:EducationalOccupationalProgram"), 4: ("json-ld", 0, ""), 5: ("json-ld", 1, "ceterms:Certification"), 6: ("microdata", 3, "schema:Organization,schema:PostalAddress"), 7: ("rdfa", 1, ""), 8: ("json-ld", 1, ""), 9: ("json-ld", 3, "schema:Course,schema:Thing,schema:CourseInstance")}
+_ENTITIES = {1: [("_:n0", "ceterms:Course"), ("_:n1", "ceterms:Organization")], 2: [("_:n0", "ceterms:Organization")], 5: [("https://e.example/c", "ceterms:Certification")], 6: [("_:n0", "ceterms:Organization"), ("_:n1", "ceterms:PostalAddress")], 9: [("_:n0", "ceterms:Course")]}
+_VALUES = {
+    1: [("json-ld[0]", "ceterms:name", "Welding", None), ("json-ld[0]", "ceterms:offeredBy", "_:n1", None), ("json-ld[0].schema:provider[0]", "ceterms:name", "College", None)],
+    2: [("microdata[0]", "ceterms:name", "College", "en")],
+    5: [("json-ld[0]", "ceterms:ctid", "not-a-ctid", None), ("json-ld[0]", "ceterms:ownedBy", "https://e.example/o", None)],
+    6: [("microdata[0]", "ceterms:address", "_:n1", None), ("microdata[0].schema:address[0]", "ceterms:streetAddress", "S", "en")],
+}
+_FOUND = {
+    5: [("CTID_MALFORMED", "ERROR", "https://e.example/c", "ceterms:ctid", "not-a-ctid"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "https://e.example/c", "ceterms:ownedBy", "https://e.example/o")],
+    6: [("RANGE_VIOLATION", "ERROR", "_:n0", "ceterms:address", "_:n1")],
 }
-_BLOCKS = {1: ("json-ld", 3, "schema:Course,schema:Organization,schema:Offer"), 2: ("microdata", 1, "schema:Organization"), 3: ("rdfa", 1, "schema:EducationalOccupationalProgram"), 4: ("json-ld", 0, "")}
-_ENTITIES = {1: [("_:n0", "ceterms:Course"), ("_:n1", "ceterms:Organization")], 2: [("_:n0", "ceterms:Organization")]}
-_VALUES = {1: [("json-ld[0]", "ceterms:name", "Welding", None), ("json-ld[0]", "ceterms:offeredBy", "_:n1", None), ("json-ld[0].schema:provider[0]", "ceterms:name", "College", None)], 2: [("microdata[0]", "ceterms:name", "College", "en")]}
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(len(_KINDS))) + 1).cast("int"))
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return kept(markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()))
 
@@ -162,22 +209,43 @@ def extract_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.extract(_pages(spark, sf_dir), mini()).notes.select("page_id", "code", "subject", "term")
 
 
+def _checked(x: mapping.Extraction) -> DataFrame:
+    return checks.validate(checks.session(mapping.documents(x).withColumnRenamed("page_id", "doc_id"), mini()))
+
+
 def extract_and_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of pages, checked in turn."""
-    raw = mapping.documents(mapping.extract(_pages(spark, sf_dir), mini())).withColumnRenamed("page_id", "doc_id")
-    return checks.validate(checks.session(raw, mini())).select(*COLUMNS)
+    return _checked(mapping.extract(_pages(spark, sf_dir), mini())).select(*COLUMNS)
+
+
+def markup_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over all pages: what they publish, what came of it and what the checks say."""
+    pages = _pages(spark, sf_dir)
+    x = mapping.extract(pages, mini())
+    return survey.markup_summary(pages, x.entities, x.notes, kept(_checked(x)))
+
+
+def _markup_survey_sql() -> str:
+    n = f"(SELECT page_id % {len(_KINDS)} AS kind, count(*) AS n FROM pages GROUP BY 1)"
+    rows = [("format", f, k) for k, (f, _, _) in _BLOCKS.items()] + [("type", t, k) for k, (_, _, ts) in _BLOCKS.items() for t in ts.split(",") if t]
+    rows += [("note", c, k) for k, xs in _NOTES.items() for c, *_ in xs] + [("finding", c, k) for k, xs in _FOUND.items() for c, *_ in xs]
+    wrong = {k for k, xs in _FOUND.items() if any(s == "ERROR" for _, s, *_ in xs)}
+    for k in range(len(_KINDS)):
+        rows += [("pages", m, k) for m, holds in (("targets", True), ("read", True), ("published_structured_data", k in _BLOCKS), ("produced_ctdl_entities", k in _ENTITIES), ("extracts_with_no_validation_errors", k in _ENTITIES and k not in wrong)) if holds]
+    values = ", ".join(f"('{m}', '{key}', {k})" for m, key, k in rows)
+    return f"SELECT measure, key, sum(n)::BIGINT AS n FROM (VALUES {values}) v(measure, key, kind) JOIN {n} USING (kind) GROUP BY ALL UNION ALL SELECT 'pages', 'not_read', 0"
 
 
 def _values_sql(rows: list[tuple], columns: str, extra: str = "") -> str:
     lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     names = ["kind", *columns.split(", ")]
     values = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-    return f"SELECT cast(page_id as varchar) AS page_id, {extra or columns} FROM pages JOIN (VALUES {values}) v({', '.join(names)}) ON page_id % 5 = v.kind"
+    return f"SELECT cast(page_id as varchar) AS page_id, {extra or columns} FROM pages JOIN (VALUES {values}) v({', '.join(names)}) ON page_id % {len(_KINDS)} = v.kind"
 
 
 _SURVEY = "(SELECT DISTINCT o_orderkey AS k, o_custkey AS publisher, o_orderpriority AS type FROM orders)"
 # Counts of codes in two passes: code, severity, how many in each pass, when.
-_CODES = [("DOMAIN_VIOLATION", "ERROR", "alone", "k % 3 + 1", "k % 7 = 0"), ("DOMAIN_VIOLATION", "ERROR", "resolved", "k % 3 + 1", "k % 7 = 0"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "alone", "k % 5 + 1", "k % 4 <> 0"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "resolved", "1", "k % 8 = 1"), ("REF_RESOLVED_SUPPLIED", "INFO", "resolved", "k % 5 + 1", "k % 4 <> 0 AND k % 8 <> 1")]
+_CODES = [("DOMAIN_VIOLATION", "ERROR", "alone", "k % 3 + 1", "k % 7 = 0"), ("DOMAIN_VIOLATION", "ERROR", "resolved", "k % 3 + 1", "k % 7 = 0"), ("CTID_NOT_UUIDV4", "WARNING", "alone", "1", "k % 6 = 1"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "alone", "k % 5 + 1", "k % 4 <> 0"), ("REF_OUTSIDE_PAYLOAD", "UNVERIFIABLE", "resolved", "1", "k % 8 = 1"), ("REF_RESOLVED_SUPPLIED", "INFO", "resolved", "k % 5 + 1", "k % 4 <> 0 AND k % 8 <> 1")]
 _CODES_SQL = " UNION ALL ".join(f"SELECT k AS doc_id, '{p}' AS pass, '{c}' AS code, '{s}' AS severity, cast({n} as bigint) AS n FROM {_SURVEY} WHERE {w}" for c, s, p, n, w in _CODES)
 _DOCS_SQL = " UNION ALL ".join(f"SELECT k AS doc_id, type, '{p}' AS pass FROM {_SURVEY}" for p in ("alone", "resolved"))
 
@@ -205,7 +273,10 @@ def type_table_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publisher_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survey.concentration(_sql(spark, sf_dir, f"SELECT publisher FROM {_SURVEY}"))
+    return survey.concentration(_sql(spark, sf_dir, _PUBLISHERS))
+
+
+_PUBLISHERS = f"SELECT CASE WHEN k % 9 = 0 THEN NULL ELSE publisher END AS publisher FROM {_SURVEY}"
 
 
 def publisher_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,29 +297,49 @@ def only_unverifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.only_unverifiable(_sql(spark, sf_dir, _CODES_SQL))
 
 
-_ENVELOPES = f"SELECT k AS page, k % 11 = 0 AS failed, k % 13 <> 0 AS is_resource, CASE WHEN k % 17 = 0 THEN NULL ELSE publisher END AS ctid, k % 19 <> 0 AS has_resource, k % 23 <> 0 AS readable FROM {_SURVEY}"
+_ENVELOPES = f"SELECT k AS page, CASE WHEN k % 22 = 0 THEN 'empty-page' WHEN k % 11 = 0 THEN 'timed out' END AS failure, k % 13 <> 0 AS is_resource, CASE WHEN k % 17 = 0 THEN NULL ELSE publisher END AS ctid, k % 19 <> 0 AS has_resource, k % 23 <> 0 AS readable FROM {_SURVEY}"
 
 
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.exclusions(_sql(spark, sf_dir, _ENVELOPES)).select("page", "reason")
 
 
-_EXCLUSIONS_SQL = f"""WITH e AS ({_ENVELOPES}), p AS (SELECT *, NOT failed AND is_resource AND ctid IS NOT NULL AND has_resource AS ok FROM e), f AS (SELECT ctid, min(page) AS first_page FROM p WHERE ok GROUP BY 1)
-SELECT page, CASE WHEN failed THEN 'fetch-failed' WHEN NOT is_resource THEN 'not-a-resource-envelope' WHEN ctid IS NULL THEN 'no-ctid' WHEN NOT has_resource THEN 'no-decoded-resource' WHEN page > first_page THEN 'duplicate-ctid' WHEN NOT readable THEN 'unreadable-document' END AS reason FROM p LEFT JOIN f USING (ctid)"""
+_EXCLUSIONS_SQL = f"""WITH e AS ({_ENVELOPES}), p AS (SELECT *, failure IS NULL AND is_resource AND ctid IS NOT NULL AND has_resource AS ok FROM e), f AS (SELECT ctid, min(page) AS first_page FROM p WHERE ok GROUP BY 1)
+SELECT page, CASE WHEN failure = 'empty-page' THEN failure WHEN failure IS NOT NULL THEN 'fetch-failed' WHEN NOT is_resource THEN 'not-resource-data' WHEN ctid IS NULL OR NOT has_resource THEN 'no-document' WHEN page > first_page THEN 'duplicate-ctid' WHEN NOT readable THEN 'unreadable' END AS reason FROM p LEFT JOIN f USING (ctid)"""
 
-_OPEN = f"SELECT CASE k % 4 WHEN 0 THEN concat('{projection.R}', {projection.ctid('o', 'k')}) WHEN 1 THEN 'ceterms:x' WHEN 2 THEN concat('https://credentialengineregistry.org.example/', cast(k as varchar(20))) ELSE '_:b' END AS iri FROM {_SURVEY}"
+#: References that stay open: SQL of the value, and its kind.
+_REST = [
+    (f"concat('{projection.R}', {projection.ctid('o', 'k')})", 0), (f"concat('https://credentialengineregistry.org/graph/', {projection.ctid('o', 'k')})", 2), (f"concat('http://credentialengineregistry.org/resources/', {projection.ctid('o', 'k')})", 2), ("'https://credentialengineregistry.org:80/resources/x'", 3),
+    ("'https://credreg.net/ctdl/terms/x'", 1), ("'http://www.CREDREG.net?x'", 1), ("'ceterms:x'", 3), ("'_:b'", 3), ("'https://credentialengineregistry.org.example/resources/x'", 3),
+]
+_OPEN = f"SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 'REF_NOT_IRI' ELSE 'REF_OUTSIDE_PAYLOAD' END AS code, k % {len(_REST)} AS kind_no, CASE k % {len(_REST)} {' '.join(f'WHEN {i} THEN {v}' for i, (v, _) in enumerate(_REST))} END AS value FROM {_SURVEY}"
+_RESIDUE_SQL = f"SELECT CASE kind_no {' '.join(f'WHEN {i} THEN {chr(39)}{survey.RESIDUE[k]}{chr(39)}' for i, (_, k) in enumerate(_REST))} END AS kind, count(*) AS n FROM ({_OPEN}) WHERE code = 'REF_OUTSIDE_PAYLOAD' GROUP BY 1"
 
 
 def residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.residue(_sql(spark, sf_dir, _OPEN))
 
 
+def registry_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.registry_references(_sql(spark, sf_dir, _OPEN)).select("doc_id", F.array_join("iris", ",").alias("iris"))
+
+
+_ANNOTATED = f"SELECT k AS doc_id, CASE WHEN k % 5 = 0 THEN '' ELSE 'a,b:c%.json' END AS file, 'CTID_MALFORMED' AS code, CASE k % 4 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'INFO' ELSE 'UNVERIFIABLE' END AS severity, '_:a' AS entity, 'ceterms:ctid' AS property, concat('50%', chr(10), cast(k as varchar(20))) AS value, 'No: it is not' AS message FROM {_SURVEY}"
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.as_annotations(_sql(spark, sf_dir, _ANNOTATED), "file")
+
+
+_ANNOTATIONS_SQL = f"SELECT doc_id, concat('::', CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'notice' END, ' ', CASE WHEN file = '' THEN '' ELSE 'file=a%2Cb%3Ac%25.json,' END, 'title=CTID_MALFORMED (', severity, ')::_:a: ceterms:ctid = 50%25%0A', doc_id, '. No: it is not') AS line FROM ({_ANNOTATED})"
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _sql(spark, sf_dir, f"SELECT publisher AS iri FROM {_SURVEY}")
     return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
 
 
-_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, settled, only_unverifiable, exclusions, residue, neighbours)
+_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
 
 
 def queries() -> dict[str, Query]:
@@ -274,15 +365,19 @@ def oracle_sql() -> dict[str, str]:
         "class_mapping": _values_sql([(k, i, c) for k, rows in _ENTITIES.items() for i, c in rows], "id, classes"),
         "property_mapping": _values_sql([(k, *r) for k, rows in _VALUES.items() for r in rows], "path, prop, value, language"),
         "extract_notes": _values_sql(notes, "code, subject, term", "code, coalesce(subject, url) AS subject, term"),
-        "extract_and_validate": f"SELECT * FROM ({every}) WHERE false",
+        "extract_and_validate": f"SELECT page_id AS doc_id, * EXCLUDE (page_id) FROM ({_values_sql([(k, *x) for k, xs in _FOUND.items() for x in xs], 'code, severity, entity, property, value')})",
+        "markup_survey": _markup_survey_sql(),
+        "saved_names": f"SELECT k, CASE k % {len(_URLS)} {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, (_, n) in enumerate(_URLS))} END AS name FROM (SELECT DISTINCT o_orderkey AS k FROM orders)",
+        "registry_references": f"SELECT doc_id, value AS iris FROM ({_OPEN}) WHERE kind_no = 0 AND code = 'REF_OUTSIDE_PAYLOAD'",
+        "annotations": _ANNOTATIONS_SQL,
         "rollup_by_type": _ROLLUP_SQL,
         "type_table_pooled": f"WITH t AS (SELECT CASE WHEN k % 1000 < 10 THEN concat('rare', k % 1000) ELSE type END AS type FROM {_SURVEY}), n AS (SELECT type, count(*) AS c FROM t GROUP BY 1) SELECT CASE WHEN c >= 1000 THEN type ELSE 'all other types' END AS type, sum(c)::BIGINT AS documents FROM n GROUP BY 1",
-        "publisher_concentration": f"WITH n AS (SELECT publisher, count(*) AS c FROM {_SURVEY} GROUP BY 1), t AS (SELECT count(*) AS keys, sum(c)::BIGINT AS documents FROM n), f AS (SELECT c FROM n ORDER BY c DESC, publisher LIMIT 5) SELECT keys, documents, round_even(100.0 * (SELECT max(c) FROM f) / documents, 0)::BIGINT AS top1_share, round_even(100.0 * (SELECT sum(c) FROM f) / documents, 0)::BIGINT AS top5_share FROM t",
+        "publisher_concentration": f"WITH n AS (SELECT publisher, count(*) AS c FROM ({_PUBLISHERS}) GROUP BY 1), t AS (SELECT count(*) AS keys, sum(c)::BIGINT AS documents FROM n), f AS (SELECT c FROM n ORDER BY c DESC, publisher LIMIT 5) SELECT keys, documents, round_even(100.0 * (SELECT max(c) FROM f) / documents, 0)::BIGINT AS top1_share, round_even(100.0 * (SELECT sum(c) FROM f) / documents, 0)::BIGINT AS top5_share FROM t",
         "publisher_labels": f"SELECT publisher, printf('P%03d', row_number() OVER (ORDER BY min(k), publisher)) AS label FROM {_SURVEY} GROUP BY 1",
-        "two_run_diff": f"WITH c AS ({_CODES_SQL}), a AS (SELECT * FROM c WHERE pass = 'alone'), r AS (SELECT * FROM c WHERE pass = 'resolved') SELECT coalesce(a.doc_id, r.doc_id) AS doc_id, coalesce(a.code, r.code) AS code, coalesce(a.n, 0) AS before, coalesce(r.n, 0) AS after FROM a FULL JOIN r ON a.doc_id = r.doc_id AND a.code = r.code WHERE coalesce(a.n, 0) <> coalesce(r.n, 0)",
+        "two_run_diff": f"WITH c AS MATERIALIZED ({_CODES_SQL}), a AS (SELECT doc_id, code, n AS before FROM c WHERE pass = 'alone'), r AS (SELECT doc_id, code, n AS after FROM c WHERE pass = 'resolved') SELECT doc_id, code, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM a FULL JOIN r USING (doc_id, code) WHERE coalesce(before, 0) <> coalesce(after, 0)",
         "settled": f"SELECT doc_id, sum(CASE WHEN severity <> 'UNVERIFIABLE' THEN 0 WHEN pass = 'alone' THEN n ELSE -n END)::BIGINT AS settled FROM ({_CODES_SQL}) GROUP BY 1 HAVING settled <> 0",
-        "only_unverifiable": f"WITH d AS (SELECT doc_id, pass, bool_and(severity = 'UNVERIFIABLE') AS u, bool_or(severity = 'ERROR') AS e FROM ({_CODES_SQL}) GROUP BY ALL) SELECT pass, count(*) FILTER (u) AS only_unverifiable, count(*) FILTER (NOT e) AS below_error FROM d GROUP BY 1",
+        "only_unverifiable": f"WITH d AS (SELECT doc_id, pass, bool_or(severity = 'ERROR') AS e, bool_or(severity = 'WARNING') AS w, bool_or(severity = 'INFO') AS i FROM ({_CODES_SQL}) GROUP BY ALL) SELECT pass, count(*) FILTER (NOT w AND NOT i) AS only_unverifiable, count(*) FILTER (w) AS with_warning, count(*) FILTER (i) AS with_info FROM d WHERE NOT e GROUP BY 1",
         "exclusions": _EXCLUSIONS_SQL,
-        "residue": f"SELECT CASE WHEN starts_with(iri, '{projection.R}') THEN 'registry' WHEN starts_with(iri, 'ceterms:') THEN 'vocabulary' WHEN starts_with(iri, '_:') THEN 'blank' ELSE 'other' END AS kind, count(*) AS n FROM ({_OPEN}) GROUP BY 1",
+        "residue": _RESIDUE_SQL,
         "neighbours": f"WITH r AS (SELECT DISTINCT publisher AS iri FROM {_SURVEY}), c AS (SELECT c_custkey AS iri, c_custkey % 5 <> 0 AS ok FROM customer WHERE c_custkey % 3 <> 0) SELECT count(*) AS referenced, count(*) FILTER (ok) AS fetched, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unresolved FROM r LEFT JOIN c USING (iri)",
     }

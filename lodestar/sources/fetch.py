@@ -2,6 +2,7 @@
 
 ``spark.dataSource.register(PoliteFetch)``, then
 ``spark.read.format("polite_fetch").option("urls", "http://a/x http://b/y")``.
+For more URLs than an option holds, ``fetched`` takes a table of them.
 There is one partition for each origin, so that the robots file, the delay
 between requests and the count of requests of an origin live in one task.
 A redirect to another origin is followed only within the same task, after its
@@ -19,15 +20,22 @@ from urllib.parse import urljoin, urlsplit
 from urllib.request import HTTPRedirectHandler, Request, build_opener
 from urllib.robotparser import RobotFileParser
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.identifiers import origin_of as origin_column
+
 # Bounds on what is fetched.
 PAGE_BYTES, ROBOTS_BYTES = 5 << 20, 512 << 10
 TIMEOUT, MIN_INTERVAL, MAX_REDIRECTS = 15.0, 1.0, 5
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 JSON_TYPES = ("application/json", "application/ld+json")
 AGENT = "lodestar-fetch/0.1"
-SCHEMA = "url string, final_url string, status int, content_type string, encoding string, bytes long, redirects int, robots string, requests int, text string, error string"
+SCHEMA = "url string, final_url string, status int, content_type string, encoding string, bytes long, redirects array<string>, robots string, requests int, taken int, text string, error string"
+
+KINDS = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
 
 
 class FetchError(Exception):
@@ -51,7 +59,7 @@ def decode(raw: bytes, content_type: str) -> tuple[str, str]:
     try:
         return raw.decode(name), name
     except (LookupError, UnicodeDecodeError):
-        return raw.decode("utf-8", "replace"), "utf-8"
+        return raw.decode("utf-8", "replace"), f"{name} (undecodable, replaced)"
 
 
 @dataclass
@@ -107,7 +115,8 @@ class Fetcher:
 
     def fetch(self, url: str) -> tuple:
         """A row of SCHEMA."""
-        at, hops, said = url, 0, None
+        at, said, before = url, None, self.requests
+        hops: list[str] = []
         try:
             while True:
                 if urlsplit(at).scheme not in ("http", "https") or not urlsplit(at).hostname:
@@ -115,10 +124,10 @@ class Fetcher:
                 said = self.allowed(at)
                 status, headers, raw = self._get(at, self.max_bytes)
                 if status in (301, 302, 303, 307, 308) and headers.get("location"):
-                    hops += 1
-                    if hops > MAX_REDIRECTS:
+                    if len(hops) == MAX_REDIRECTS:
                         raise FetchError(f"more than {MAX_REDIRECTS} redirects")
                     at = urljoin(at, headers["location"])
+                    hops.append(at)
                     continue
                 kind = headers.get("content-type", "")
                 if not 200 <= status < 300:
@@ -126,9 +135,9 @@ class Fetcher:
                 if kind.split(";")[0].strip().lower() not in self.types:
                     raise FetchError(f"content type {kind or '(none)'}")
                 text, encoding = decode(raw, kind)
-                return url, at, status, kind, encoding, len(raw), hops, said, self.requests, text, None
+                return url, at, status, kind, encoding, len(raw), hops, said, self.requests, self.requests - before, text, None
         except FetchError as e:
-            return url, at, None, None, None, None, hops, said, self.requests, None, str(e)
+            return url, at, None, None, None, None, hops, said, self.requests, self.requests - before, None, str(e)
 
 
 @dataclass
@@ -153,6 +162,21 @@ class _Reader(DataSourceReader):
             yield fetcher.fetch(url)
 
 
+def fetched(urls: DataFrame, *, accept: str = "html", agent: str = AGENT, interval: float = MIN_INTERVAL) -> DataFrame:
+    """Rows of SCHEMA for the distinct URLs of a table (url): a shuffle brings each origin to one task, which asks it for one page after another."""
+    kinds = JSON_TYPES if accept == "json" else HTML_TYPES
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetcher = Fetcher(agent, interval, kinds)
+        for b in batches:
+            for url in b.column("url").to_pylist():  # a row at a time: a page may have megabytes
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(fetcher.fetch(url), KINDS)], names=names)
+
+    listed = urls.select(F.col("url").cast("string").alias("url")).where("url IS NOT NULL").distinct()
+    return listed.withColumn("origin", origin_column(F.col("url"))).repartition("origin").sortWithinPartitions("origin", "url").select("url").mapInArrow(run, SCHEMA)
+
+
 class PoliteFetch(DataSource):
     @classmethod
     def name(cls) -> str:

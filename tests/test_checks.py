@@ -109,7 +109,7 @@ def test_renderings(found):
     data = json.loads(findings.as_json(one, "t", "1").collect()[0]["json"])
     assert [f["code"] for f in data["findings"]] == ["REF_BARE_CTID", "REF_BARE_UUID", "REF_NOT_IRI", "REF_OUTSIDE_PAYLOAD"] and data["summary"]["INFO"] == 0
     line = findings.as_annotations(found.where("doc_id = 'two_newlines'")).collect()[0]["line"]
-    assert line.startswith("::error file=two_newlines,title=CTID_MALFORMED::") and "%0D%0A" in line
+    assert line.startswith("::error file=two_newlines,title=CTID_MALFORMED (ERROR)::$: ceterms:ctid = ") and "%0D%0A" in line
 
 
 def test_order_does_not_depend_on_partitions(spark, found):
@@ -172,3 +172,20 @@ def test_vocabulary_rules():
     assert v.crosswalk[(True, "equivalent", "schema:Course")] == ("ceterms:Course",) and v.siblings("ceterms:creditLevelType") == ["ceterms:audienceLevelType"]
     with pytest.raises(ValueError):
         Vocabulary.build([{"@graph": {}}], [])
+
+
+def test_references_are_resolved_once(spark):
+    """All checks together read the nodes by narrow scans: what needs a shuffle is written before."""
+    docs = spark.createDataFrame([("d", '{"@id": "_:a", "@type": "ceterms:Certification", "ceterms:ownedBy": "_:b"}')], "doc_id string, raw string")
+    s = checks.session(docs, mini())
+    plan = checks.validate(s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 14 and plan.count("Aggregate [") <= 2 and "min_by" not in plan
+
+
+def test_many_supplied_sources_and_frameworks(spark):
+    docs = spark.createDataFrame([("d", '[{"@id": "_:c", "@type": "ceasn:Competency", "ceasn:isPartOf": "https://x.example/f"}]')], "doc_id string, raw string")
+    beside = spark.createDataFrame([(str(i), f'{{"@id": "https://f.example/{i:02d}", "@type": "ceasn:CompetencyFramework"}}', f"f{i}.json", i) for i in range(30)], "doc_id string, raw string, source string, set_ord int")
+    found = {r["code"]: r["message"] for r in checks.validate(checks.session(docs, mini(), beside)).collect()}
+    assert "None of the 30 documents supplied (f0.json" in found["REF_OUTSIDE_PAYLOAD"] and "f10.json" not in found["REF_OUTSIDE_PAYLOAD"]
+    said = found["ISPARTOF_FRAMEWORK_MISMATCH"]
+    assert "https://f.example/00" in said and "https://f.example/10" not in said and "20 more supplied" in said

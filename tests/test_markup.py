@@ -96,15 +96,44 @@ def test_extracts_can_fail_checks(spark, made):
 
 
 def test_summaries(read, made):
-    s = {(r["measure"], r["key"]): r["n"] for r in survey.markup_summary(read, made.entities, made.notes).collect()}
-    assert s[("format", "json-ld")] == 5 and s[("pages", "read")] == len(PAGES) and s[("pages", "with_entities")] == 7 - 1
+    raw = mapping.documents(made).withColumnRenamed("page_id", "doc_id")
+    found = checks.validate(checks.session(raw, mini()))
+    summary = survey.markup_summary(read, made.entities, made.notes, found)
+    s = {(r["measure"], r["key"]): r["n"] for r in summary.collect()}
+    assert s[("format", "json-ld")] == 5 and s[("pages", "targets")] == len(PAGES) and s[("pages", "read")] == len(PAGES) - 1 and s[("pages", "not_read")] == 1
+    assert s[("pages", "published_structured_data")] == 8 and s[("pages", "produced_ctdl_entities")] == 6
+    wrong = {r["doc_id"] for r in found.collect() if r["severity"] == "ERROR"}
+    assert s[("pages", "extracts_with_no_validation_errors")] == 6 - len(wrong) and s[("finding", "RANGE_VIOLATION")] >= 1 and "micro" in wrong
+    evidence = reports.markup_evidence(summary)
+    assert evidence["targets"] == len(PAGES) and evidence["formats"]["json-ld"] == 5 and evidence["validation_codes"]["RANGE_VIOLATION"] >= 1
     p = {r["page_id"]: r for r in survey.page_summary(read, made.entities, made.notes).collect()}
-    assert p["course"]["classes"] == ["ceterms:Course", "ceterms:Organization"] and p["course"]["dropped"] == ["schema:about"] and p["deep"]["warnings"] == 0
+    assert p["course"]["classes"] == ["ceterms:Course", "ceterms:Organization"] and p["course"]["dropped"] == ["schema:about", "schema:startDate"] and p["deep"]["warnings"] == 0
 
 
 def test_reports(read, made):
     rows = {r["page_id"]: r for r in reports.rendered(read, made).collect()}
     assert "deep" not in rows and len(rows) == len(PAGES) - 1
+    fetched = read.sparkSession.createDataFrame([(URL, URL, 200, "text/html", "utf-8", 9, [], "read", "x")], "url string, final_url string, status int, content_type string, encoding string, bytes long, redirects array<string>, robots string, text string")
+    one = json.loads(reports.rendered(read.where("page_id = 'course'"), made, fetched=fetched).collect()[0]["json"])
+    assert one["fetch"] == {"requested_url": URL, "final_url": URL, "status": 200, "content_type": "text/html", "encoding": "utf-8", "bytes": 9, "redirects": [], "robots": "read"}
+    assert all(n["rule"]["url"] != "-" for n in one["notes"])
     course = json.loads(rows["course"]["json"])
+    assert course["fetch"] is None and course["tool"]["command"] == "extract"
     assert course["summary"] == {"entities": 2, "WARNING": 2, "INFO": 3} and course["source"] == URL and course["notes"][0]["rule"]["citation"]
     assert rows["course"]["text"].endswith("2 entities, 2 WARNING, 3 INFO") and json.loads(rows["prose"]["json"])["document"]["@graph"] == []
+
+
+def test_deep_items_need_no_recursion():
+    """Items inside items, as deep as elements may nest, and text below many elements."""
+    depth = 190
+    html = "".join(f'<i itemscope itemtype="https://schema.org/T{i}" {"itemprop=about" if i else ""}>' for i in range(depth)) + "x"
+    page = markup.Reader(mini(), URL).page(html)
+    assert len(page["items"]) == depth and [i["ord"] for i in page["items"]] == list(range(depth)) and page["items"][-1]["path"].count(".schema:about[0]") == depth - 1
+    wide = markup.Reader(mini(), URL).page('<p itemscope itemtype="https://schema.org/T"><b itemprop="name">' + "<br>a" * 50_000 + "</b></p>")
+    assert wide["items"][0]["props"][0]["text"].count("a") == 50_000
+
+
+def test_positions_count_values_of_the_element_around():
+    html = '<p itemscope itemtype="https://schema.org/T"><b itemprop="a c">1</b><i><u itemprop="d"></u><u itemprop="e">2</u></i><b itemprop="f"></b></p>'
+    notes = markup.Reader(mini(), URL).page(html)["notes"]
+    assert [n["subject"] for n in notes] == ["microdata[0].schema:d[0]", "microdata[0].schema:f[3]"]
