@@ -40,7 +40,9 @@ FROM (SELECT DISTINCT o_orderkey AS k, o_custkey AS c FROM orders)"""
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw of one document for each order."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    # Two numbers a row are spread before they become documents, as the table may be one small file.
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").createOrReplaceTempView("orders")
     f = spark.sql(FIELDS)
     q = lambda c: F.concat(F.lit('"'), F.col(c) if isinstance(c, str) else c, F.lit('"'))
     lit, when = F.lit, F.when

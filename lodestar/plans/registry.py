@@ -187,7 +187,9 @@ _FOUND = {
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(len(_KINDS))) + 1).cast("int"))
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p, cores = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), spark.sparkContext.defaultParallelism
+    if p.rdd.getNumPartitions() < cores:  # one small file
+        p = p.repartition(cores, "page_id")
     return kept(markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()))
 
 
