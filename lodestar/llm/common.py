@@ -26,7 +26,9 @@ CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A provided table; documents that Spark reads in fewer pieces than it has cores are spread (larger tables are not shuffled)."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def ascii_lower(c: Column) -> Column:
