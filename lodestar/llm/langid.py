@@ -37,7 +37,9 @@ MAX_TRAIN, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
 LENGTHS = (5, 4, 3, 2, 1)
 MIN_COUNT = 3
 PENALTY = 7.0
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
+#: Bytes of text whose words are counted or scored together.
+PIECE = 4 << 20
 #: Sharpness of the score: difference in mean cost at which the winner is ten times as likely.
 DECADE = 0.5
 
@@ -111,7 +113,7 @@ class Scorer:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in (b for whole in batches for b in chunks(whole)):
+    for b in (b for whole in batches for b in chunks(whole, limit=PIECE)):
         by_lang: dict[str, Counter[str]] = {}
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
             by_lang.setdefault(lang, Counter()).update(words(text))
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in (b for whole in batches for b in chunks(whole)):
+        for b in (b for whole in batches for b in chunks(whole, limit=PIECE)):
             got = scorer(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *(b.column(c) for c in more)], names=["doc_id", "lang_pred", "score", *more])
 

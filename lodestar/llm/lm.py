@@ -43,6 +43,8 @@ MIN_COUNT = 2
 UNK, END = 0, 1
 END_WORD = "\n"  # no word holds a line end
 SHIFT = 20
+#: Bytes of text whose words are counted or scored together.
+PIECE = 4 << 20
 
 
 @dataclass
@@ -97,7 +99,7 @@ class Model:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in chunks(whole):
+        for b in chunks(whole, limit=PIECE):
             t = Tokens(b.column("text"), lower=True)
             n = np.bincount(t.codes, minlength=len(t.words))
             yield pa.record_batch([pa.concat_arrays([t.words, pa.array([END_WORD])]), pa.array(np.append(n, t.n_rows), pa.int64())], names=["word", "c"])
@@ -150,7 +152,7 @@ def train(docs: DataFrame, *, base_words: int = BASE_WORDS, lm_words: int = LM_W
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks(whole):
+            for b in chunks(whole, limit=PIECE):
                 t = Tokens(b.column("text"), lower=True)
                 _, before, now = _steps(t, _dictionary(t.words, sent.value)[1])
                 keys, n = np.unique(before << SHIFT | now, return_counts=True)
@@ -198,7 +200,7 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
         log_all = math.log10(m.total + m.distinct + 1)
         log_share = np.log10(m.share)
         for whole in batches:
-            for b in chunks(whole):
+            for b in chunks(whole, limit=PIECE):
                 t = Tokens(b.column("text"), lower=True)
                 c, ids = _dictionary(t.words, m.frequent)
                 rows, before, now = _steps(t, ids)
