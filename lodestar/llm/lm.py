@@ -1,32 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 4).
 
-Counts of words are exact and stay a Spark table.  Words met at least as often
-as a threshold, which a histogram of the counts sets so that at most
-``base_words`` pass it, are sent to every task; all other words meet their
-counts in a shuffle join.  The ``lm_words`` most frequent ones are the model's
-vocabulary; the rest are one class, <unk>, within which a word has its smoothed
-unigram share.
-
-Bigrams over the vocabulary are counted, and a bigram of quantised count
-q = 1 + floor(log2 c) enters the filter as (bigram, 1) ... (bigram, q).  A task
-probes (bigram, 1), (bigram, 2), ... until one is missing; the last found gives
-back 2 ** (q - 1).  The filter has at most ``max_bits`` bits; when more bigrams
-than fit are worth keeping, the least count kept rises.  Bigrams that occur
-once are left to smoothing, after Witten and Bell: with T(a) different words
-seen after a, P(b | a) = (found(a, b) + T(a) * P1(b)) / (count(a) + T(a)).
-
-The filter is built in SEGMENTS parts, each by one task, and the driver only
-joins the parts.
+All words and all bigrams of the training texts are counted; the tables grow with
+the input and none has a bound or a least count.  A bigram of quantised count
+q = 1 + floor(log2 c) enters the filter as (bigram, 1) ... (bigram, q).  To look
+one up, (bigram, 1), (bigram, 2), ... are probed until one is missing; the last
+found gives back 2 ** (q - 1), at most the counts of the two words.  Smoothing is
+Witten and Bell's: with T(a) different words seen after a,
+P(b | a) = (found(a, b) + T(a) * P1(b)) / (count(a) + T(a)), and
+P1(b) = (count(b) + 1) / (N + V + 1); of an unseen word a, P(b | a) = P1(b).
+
+The filter is a table of segments of a fixed size, each built by one task; their
+number follows from the counted bigrams.  Filters of at most ``max_bits`` bits are
+broadcast.  A larger one has no bound by which it could be sent to every task, so
+the bigrams go to the segments: each piece of text sends its different bigrams, a
+task probes all that came to a segment, and the levels go back.  Both ways ask the
+same bits and give the same scores.  Counts of words meet the pieces in a join.
 
 Defined results: a null text is the empty text, scored as its end alone;
 without training documents every count is 0; repeated rows score alike; a very
-long text is scored whole; words of equal count at the vocabulary's bound go by
-their text; an empty table gives an empty result.
+long text is scored whole; equal counts have equal levels, so there are no ties
+to settle; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,207 +32,223 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, cut, doc_text, map_batches, mix
+from .common import Tokens, chunks, cut, doc_text, hash_strings, map_batches, mix
 
-BASE_WORDS, LM_WORDS = 100_000, 1 << 14
-MAX_BITS, BITS_PER_ITEM, HASHES, SEGMENTS = 1 << 28, 12, 6, 64
-MIN_COUNT = 2
-UNK, END = 0, 1
+#: Bits of a filter that may be broadcast (32 MB), and of a segment.
+MAX_BITS, SEGMENT_BITS = 1 << 28, 1 << 21
+BITS_PER_ITEM, HASHES = 12, 6
 END_WORD = "\n"  # no word holds a line end
-SHIFT = 20
 #: Bytes of text whose words are counted or scored together.
 PIECE = 4 << 20
-
-
-@dataclass
-class Filter:
-    """Segments of bits; all probes of a bigram fall in one segment."""
-
-    bits: np.ndarray  # segment, byte
-    size: int  # bits in a segment
-
-    @staticmethod
-    def segment(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> SHIFT) * 31 + (keys & ((1 << SHIFT) - 1))) % SEGMENTS
-
-    @staticmethod
-    def places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-        first = mix(keys.astype(np.uint64) + mix(np.uint64(level) * np.ones(1, np.uint64))[0])
-        step = mix(first) | np.uint64(1)
-        for i in range(HASHES):
-            yield ((first + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The highest level of each bigram such that it and all below are found."""
-        out = np.zeros(len(keys), np.int64)
-        todo, level = np.arange(len(keys)), 1
-        while len(todo):
-            k = keys[todo]
-            seg, ok = self.segment(k), np.ones(len(k), bool)
-            for at in self.places(k, level, self.size):
-                ok &= (self.bits[seg, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            todo = todo[ok]
-            out[todo] = level
-            level += 1
-        return out
+#: Bytes of bigrams that are probed in a row; more of a segment are shared out over copies of it.
+PROBE_BYTES = 64 << 20
+#: Kinds of rows of a piece.
+BODY, KEYS, WORDS = 0, 1, 2
+
+
+def places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    first = mix(keys.view(np.uint64) + mix(np.uint64(level) * np.ones(1, np.uint64))[0])
+    step = mix(first) | np.uint64(1)
+    for i in range(HASHES):
+        yield ((first + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)
+
+
+def segment_bits(keys: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+    """The bits of a segment that holds ``keys`` at the levels 1 to ``q``."""
+    bits = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for at in places(keys[q >= level], level, size):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The highest level of each bigram such that it and all below are found."""
+    out = np.zeros(len(keys), np.uint8)
+    todo, level = np.arange(len(keys)), 1
+    while len(todo) and level < 64:
+        ok = np.ones(len(todo), bool)
+        for at in places(keys[todo], level, len(bits) * 8):
+            ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        todo = todo[ok]
+        out[todo] = level
+        level += 1
+    return out
+
+
+class Bigrams:
+    """The different bigrams of a batch of texts, by segment, and that of each token; a text begins after an end and closes with one."""
+
+    def __init__(self, t: Tokens, segments: int = 1) -> None:
+        end = len(t.words)
+        n = t.counts() + 1
+        now = np.full(int(n.sum()), end, np.int64)
+        inner = np.ones(len(now), bool)
+        inner[np.cumsum(n) - 1] = False
+        now[inner] = t.codes
+        before = np.concatenate([[end], now[:-1]])
+        pairs, of, counts = np.unique(before * (end + 1) + now, return_inverse=True, return_counts=True)
+        a, b = np.divmod(pairs, end + 1)
+        hashes = np.append(t.word_hashes(), hash_strings(pa.array([END_WORD])))
+        keys = mix(hashes[a] * np.uint64(3) + mix(hashes[b])).view(np.int64)
+        segment = np.mod(keys, segments)
+        order = np.argsort(segment, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words = pa.concat_arrays([t.words.cast(pa.string()), pa.array([END_WORD])])
+        self.hashes = hashes.view(np.int64)
+        self.a, self.b, self.keys, self.segment, self.counts = a[order], b[order], keys[order], segment[order], counts[order]
+        self.of = rank[of]  # by token
+        self.n_tokens = n  # by text
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Segments and their bigrams, in order."""
+        found, first = np.unique(self.segment, return_index=True)
+        for s, lo, hi in zip(found.tolist(), first, [*first[1:], len(self.keys)]):
+            yield s, self.keys[lo:hi]
 
 
 @dataclass
 class Model:
     total: int  # N
     distinct: int  # V
-    frequent: dict[str, tuple[int, int]]  # word: count, id in the vocabulary or UNK
-    context: np.ndarray  # by id: count
-    followers: np.ndarray  # by id: different words seen after it, at least 1
-    share: np.ndarray  # by id: smoothed unigram probability
-    unk_mass: int  # count + distinct + 1 of the words outside the vocabulary
-    filter: Filter
-    counts: DataFrame  # word, c: of words that are not in ``frequent``
-
-    def sent(self) -> Model:
-        """What goes to tasks: all but the table."""
-        return Model(self.total, self.distinct, self.frequent, self.context, self.followers, self.share, self.unk_mass, self.filter, None)
+    words: DataFrame  # word, c, t: count, and different words seen after it
+    filter: DataFrame  # segment, bits
+    segments: int
+    sent: dict[int, np.ndarray] | None  # the segments, if their size allows to send them
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end = hash_strings(pa.array([END_WORD]))
     for whole in batches:
         for b in chunks(whole, limit=PIECE):
             t = Tokens(b.column("text"), lower=True)
-            n = np.bincount(t.codes, minlength=len(t.words))
-            yield pa.record_batch([pa.concat_arrays([t.words, pa.array([END_WORD])]), pa.array(np.append(n, t.n_rows), pa.int64())], names=["word", "c"])
-
-
-def _dictionary(words: pa.Array, frequent: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (-1 if not frequent) and vocabulary ids of distinct words."""
-    got = [frequent.get(w, (-1, UNK)) for w in words.to_pylist()]
-    return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
+            n = np.append(np.bincount(t.codes, minlength=len(t.words)), t.n_rows)
+            words = pa.concat_arrays([t.words.cast(pa.string()), pa.array([END_WORD])])
+            yield pa.record_batch([words, pa.array(np.append(t.word_hashes(), end).view(np.int64)), pa.array(n, pa.int64())], names=["word", "h", "c"])
 
 
-def _steps(t: Tokens, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, id before and id of each token; a text begins after an end and closes with one."""
-    n = t.counts() + 1
-    rows = np.repeat(np.arange(t.n_rows), n)
-    now = np.full(len(rows), END, np.int64)
-    last = np.cumsum(n) - 1
-    inner = np.ones(len(rows), bool)
-    inner[last] = False
-    now[inner] = ids[t.codes]
-    before = np.concatenate([[END], now[:-1]]) if len(now) else now
-    return rows, before, now
+def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in chunks(whole, limit=PIECE):
+            g = Bigrams(Tokens(b.column("text"), lower=True))
+            yield pa.record_batch([pa.array(g.hashes[g.a]), pa.array(g.keys), pa.array(g.counts, pa.int64())], names=["a", "key", "c"])
 
 
-def train(docs: DataFrame, *, base_words: int = BASE_WORDS, lm_words: int = LM_WORDS, max_bits: int = MAX_BITS) -> Model:
-    """Learn from all of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, *, max_bits: int = MAX_BITS, size: int = SEGMENT_BITS) -> Model:
+    """Learn from all of ``docs`` (doc_id, text); ``size`` is the bits of a segment."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = cut(map_batches(texts, _word_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"))
-    step = F.floor(F.log2("c") * 8)
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("step")).collect()  # a few hundred rows at most
-    total, distinct = sum(r["c"] for r in steps), sum(r["n"] for r in steps)
-    least, room = math.inf, base_words
-    for r in steps:
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["step"]
-    known = (step >= least) | (F.col("word") == END_WORD) if math.isfinite(least) else F.col("word") == END_WORD
-    top = sorted(((r["c"], r["word"]) for r in counts.where(known).collect()), key=lambda x: (-x[0], x[1]))
-    vocabulary = [(c, w) for c, w in top if w != END_WORD][: lm_words - 2]
-    ends = next((c for c, w in top if w == END_WORD), 0)
-    ids = {w: i + 2 for i, (_, w) in enumerate(vocabulary)}
-    frequent = {w: (c, ids.get(w, UNK)) for c, w in top if w != END_WORD}
-    unk = total - ends - sum(c for c, _ in vocabulary)
-    unk_mass = unk + (distinct - (ends > 0) - len(vocabulary)) + 1
-    context = np.array([unk, ends, *(c for c, _ in vocabulary)], float)
-    share = np.array([unk_mass, ends + 1, *(c + 1 for c, _ in vocabulary)], float) / (total + distinct + 1)
-    sent = spark.sparkContext.broadcast(frequent)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in chunks(whole, limit=PIECE):
-                t = Tokens(b.column("text"), lower=True)
-                _, before, now = _steps(t, _dictionary(t.words, sent.value)[1])
-                keys, n = np.unique(before << SHIFT | now, return_counts=True)
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "c"])
-
-    level = (F.floor(F.log2("c")) + 1).cast("int")
-    pairs = cut(map_batches(texts, bigrams, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).select("key", level.alias("q"), (F.col("c") >= MIN_COUNT).alias("kept")))
-    followers = np.ones(len(context))
-    for r in pairs.groupBy(F.shiftright("key", SHIFT).alias("a")).count().collect():  # a row for each id
-        followers[r["a"]] = r["count"]
-    by_level = pairs.where("kept").groupBy("q").count().orderBy(F.desc("q")).collect()
-    items, least_q = 0, 99
-    for r in by_level:
-        if (items + r["q"] * r["count"]) * BITS_PER_ITEM > max_bits:
-            break
-        items, least_q = items + r["q"] * r["count"], r["q"]
-    size = max(1024, -(-items * BITS_PER_ITEM // SEGMENTS // 8) * 8)
+    counts = map_batches(texts, _word_counts, "word string, h long, c long").groupBy("word").agg(F.first("h").alias("h"), F.sum("c").alias("c"))
+    q = F.length(F.bin("c")).alias("q")  # 1 + floor(log2 c)
+    pairs = cut(map_batches(texts, _bigram_counts, "a long, key long, c long").groupBy("a", "key").agg(F.sum("c").alias("c")).select("a", "key", q))
+    followers = pairs.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("t"))
+    words = cut(counts.join(followers, "h").select("word", "c", "t"))
+    n = words.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
+    items = pairs.agg(F.sum("q")).first()[0] or 0
+    segments = max(1, -(-items * BITS_PER_ITEM // size))
 
     def build(group: pa.Table) -> pa.Table:
-        bits = np.zeros(size // 8, np.uint8)
-        keys, q = group.column("key").to_numpy(), group.column("q").to_numpy()
-        for lv in range(1, int(q.max()) + 1):
-            for at in Filter.places(keys[q >= lv], lv, size):
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pa.table({"segment": pa.array([int(group.column("segment")[0].as_py())], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    segment = ((F.shiftright("key", SHIFT) * 31 + F.col("key").bitwiseAND((1 << SHIFT) - 1)) % SEGMENTS).alias("segment")
-    # At most max_bits / BITS_PER_ITEM / SEGMENTS items in a group, as the filter's capacity bounds them.
-    parts = pairs.where(F.col("kept") & (F.col("q") >= least_q)).select("key", "q", segment).groupBy("segment").applyInArrow(build, "segment long, bits binary").collect()
-    bits = np.zeros((SEGMENTS, size // 8), np.uint8)
-    for p in parts:
-        bits[p["segment"]] = np.frombuffer(p["bits"], np.uint8)
-    return Model(total, distinct, frequent, context, followers, share, unk_mass, Filter(bits, size), counts.where(~known))
+        bits = segment_bits(group.column("key").to_numpy(), group.column("q").to_numpy(), size)
+        return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    # About size / BITS_PER_ITEM items in a group, as keys are hashes.
+    parts = cut(pairs.select("key", "q", F.expr(f"pmod(key, {segments}L)").alias("segment")).groupBy("segment").applyInArrow(build, "segment long, bits binary"))
+    sent = {r["segment"]: np.frombuffer(r["bits"], np.uint8) for r in parts.collect()} if segments * size <= max_bits else None
+    return Model(n["total"] or 0, n["distinct"], words, parts, segments, sent)
+
+
+def _probed(asked: DataFrame, model: Model) -> DataFrame:
+    """piece, at (segment) and data (levels) of the bigrams that pieces ask for, read in the order of the segments."""
+    total = asked.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    copies = max(1, -(-total // (model.segments * PROBE_BYTES)))
+    keys = asked.select("piece", "at", F.pmod(F.hash("piece"), F.lit(copies)).alias("copy"), F.lit(1).alias("turn"), "data")
+    bits = model.filter.select(F.lit(-1).cast("long").alias("piece"), F.col("segment").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("turn"), F.col("bits").alias("data"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = None, None
+        for b in batches:
+            pieces, at, out = [], [], []
+            for piece, segment, turn, data in zip(b.column("piece").to_pylist(), b.column("at").to_pylist(), b.column("turn").to_pylist(), b.column("data")):
+                if turn == 0:
+                    held, bits = segment, np.frombuffer(data.as_py(), np.uint8)
+                    continue
+                own = np.frombuffer(data.as_py(), np.int64)
+                pieces.append(piece)
+                at.append(segment)
+                out.append((levels(bits, own) if held == segment else np.zeros(len(own), np.uint8)).tobytes())
+            yield pa.record_batch([pa.array(pieces, pa.int64()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names=["piece", "at", "data"])
+
+    together = keys.unionByName(bits).repartition("at", "copy").sortWithinPartitions("at", "copy", "turn")
+    return map_batches(together, probe, "piece long, at long, data binary")
 
 
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, and the columns ``more``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
-    named = doc_text(docs, *more).withColumn("row", F.monotonically_increasing_id())
+    segments, total, all_mass = model.segments, model.total, float(model.total + model.distinct + 1)
+    sent = None if model.sent is None else docs.sparkSession.sparkContext.broadcast(model.sent)
+    named = doc_text(docs, *more).withColumn("piece", F.monotonically_increasing_id())
     kinds = dict(named.dtypes)
-    head = "doc_id long, n_tokens long, n_known long, base double, lm double" + "".join(f", {c} {kinds[c]}" for c in more)
+    extra = "".join(f",`{c}`:{kinds[c]}" for c in more)
+    head = f"array<struct<doc_id:bigint,n_tokens:bigint{extra}>>"
+    types = {"piece": pa.int64(), "kind": pa.int32(), "at": pa.int64(), "data": pa.binary(), "of": pa.binary(), "pairs": pa.binary(), "word": pa.string()}
+
+    def rows(n: int, heads: pa.Array, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+        return pa.record_batch([*arrays, heads], names=[*types, "heads"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        log_all = math.log10(m.total + m.distinct + 1)
-        log_share = np.log10(m.share)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each piece a row of its texts, one for each segment it asks (if the filter is not at hand) and one for each word."""
         for whole in batches:
             for b in chunks(whole, limit=PIECE):
-                t = Tokens(b.column("text"), lower=True)
-                c, ids = _dictionary(t.words, m.frequent)
-                rows, before, now = _steps(t, ids)
-                keys, back = np.unique(before << SHIFT | now, return_inverse=True)
-                q = m.filter.levels(keys)
-                found = np.where(q > 0, 2.0 ** (q - 1), 0.0)
-                a, z = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
-                step = np.log10((found + m.followers[a] * m.share[z]) / (m.context[a] + m.followers[a]))
-                add = lambda w, r: np.bincount(r, w, t.n_rows)
-                lm = add(step[back], rows)
-                own = np.log10(np.maximum(c, 0) + 1.0)
-                frequent = c >= 0
-                inside = frequent & (ids == UNK)
-                base = add(np.where(frequent, own - log_all, 0.0)[t.codes], t.rows) + (math.log10(m.context[END] + 1) - log_all)
-                lm += add(np.where(inside, own - math.log10(m.unk_mass), 0.0)[t.codes], t.rows)
-                n_known = add(frequent[t.codes].astype(float), t.rows).astype(np.int64) + int(m.context[END] > 0)
-                # Words that this task has no counts of: one row for each text and word.
-                rare = ~frequent[t.codes]
-                pair, tf = np.unique(t.rows[rare] * max(1, len(t.words)) + t.codes[rare], return_counts=True)
-                at, code = pair // max(1, len(t.words)), pair % max(1, len(t.words))
-                ids_of_rows = b.column("row").to_numpy()
-                named_rows = pa.array([f"{END_WORD}{i}" for i in ids_of_rows.tolist()], pa.string())
-                heads = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(t.counts() + 1, pa.int64()), pa.array(n_known), pa.array(base), pa.array(lm), *(b.column(x) for x in more)], names=["doc_id", "n_tokens", "n_known", "base", "lm", *more])
-                yield pa.record_batch([b.column("row"), named_rows, pa.array(np.zeros(t.n_rows, np.int64)), heads], names=["row", "word", "tf", "head"])
-                yield pa.record_batch([pa.array(ids_of_rows[at]), t.words.take(pa.array(code)), pa.array(tf, pa.int64()), pa.nulls(len(at), heads.type)], names=["row", "word", "tf", "head"])
-
-    # The row of a text itself bears a name that no word has, so that such rows spread and meet no count.
-    spread = map_batches(named, run, f"row long, word string, tf long, head struct<{head.replace(' ', ':').replace(',:', ',')}>")
-    met = spread.join(model.counts, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("tf")
-    summed = met.groupBy("row").agg(
-        F.max_by("head", F.col("head").isNotNull()).alias("head"),
-        F.sum(F.when(c > 0, rare).otherwise(0)).alias("known"),
-        F.sum(rare * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("base"),
-        F.sum(rare * F.log10((c + 1) / F.lit(float(model.unk_mass)))).alias("lm"),
-    )
-    return summed.select("head.doc_id", "head.n_tokens", (F.col("head.n_known") + F.col("known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("head.base") + F.col("base")).alias("base_score"), (F.col("head.lm") + F.col("lm")).alias("score"), *(f"head.{x}" for x in more))
+                g, piece = Bigrams(Tokens(b.column("text"), lower=True), segments), b.column("piece")[0].as_py()
+                known, parts = None, list(g.parts())
+                if sent is not None:
+                    known = b"".join((levels(sent.value[s], k) if s in sent.value else np.zeros(len(k), np.uint8)).tobytes() for s, k in parts)
+                texts = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(g.n_tokens, pa.int64()), *(b.column(c) for c in more)], names=["doc_id", "n_tokens", *more])
+                heads = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+                pairs = np.stack([g.a, g.b]).astype(np.int32)
+                yield rows(1, heads, piece=[piece], kind=[BODY], data=[known], of=[g.of.astype(np.int32).tobytes()], pairs=[pairs.tobytes()])
+                if known is None:
+                    yield rows(len(parts), pa.nulls(len(parts), heads.type), piece=[piece] * len(parts), kind=[KEYS] * len(parts), at=[s for s, _ in parts], data=[k.tobytes() for _, k in parts])
+                n = len(g.words)
+                yield rows(n, pa.nulls(n, heads.type), piece=np.full(n, piece), kind=np.full(n, WORDS, np.int32), at=np.arange(n), word=g.words)
+
+    pieces = cut(map_batches(named, spread, f"piece long, kind int, at long, data binary, of binary, pairs binary, word string, heads {head}"))
+    nothing = {"data": F.lit(None).cast("binary"), "of": F.lit(None).cast("binary"), "pairs": F.lit(None).cast("binary"), "heads": F.lit(None).cast(head), "c": F.lit(None).cast("long"), "t": F.lit(None).cast("long")}
+    of = lambda df, kind, **own: df.select("piece", F.lit(kind).alias("kind"), "at", *(own.get(c, v).alias(c) for c, v in nothing.items()))
+    together = of(pieces.where(F.col("kind") == BODY), BODY, data=F.col("data"), of=F.col("of"), pairs=F.col("pairs"), heads=F.col("heads"))
+    together = together.unionByName(of(pieces.where(F.col("kind") == WORDS).join(model.words, "word"), WORDS, c=F.col("c"), t=F.col("t")))
+    if sent is None:
+        together = together.unionByName(of(_probed(pieces.where(F.col("kind") == KEYS), model), KEYS, data=F.col("data")))
+
+    def finish(group: pa.Table) -> pa.Table:
+        kind, at = group.column("kind").to_numpy(), group.column("at").to_pylist()
+        body = group.slice(int(np.flatnonzero(kind == BODY)[0]), 1)
+        texts = body.column("heads").combine_chunks().flatten()
+        of = np.frombuffer(body.column("of")[0].as_py(), np.int32)
+        a, b = np.frombuffer(body.column("pairs")[0].as_py(), np.int32).reshape(2, -1)
+        if sent is None:
+            asked = sorted(np.flatnonzero(kind == KEYS).tolist(), key=at.__getitem__)
+            found = b"".join(group.column("data")[i].as_py() for i in asked)
+        else:
+            found = body.column("data")[0].as_py()
+        q = np.frombuffer(found, np.uint8).astype(float)
+        c, t = np.zeros(int(a.max()) + 1), np.ones(int(a.max()) + 1)  # the end has the highest code and is a context
+        is_word = kind == WORDS
+        codes = np.array([at[i] for i in np.flatnonzero(is_word)], np.int64)
+        mask = pa.array(is_word)
+        c[codes], t[codes] = (group.column(x).filter(mask).to_numpy() for x in ("c", "t"))
+        share = (c + 1) / all_mass
+        seen = np.minimum(np.where(q > 0, 2.0 ** (q - 1), 0.0), np.minimum(c[a], c[b]))
+        step = np.log10((seen + t[a] * share[b]) / (c[a] + t[a]))
+        n = texts.field("n_tokens").to_numpy()
+        text = np.repeat(np.arange(len(n)), n)
+        now = b[of]
+        add = lambda w: np.bincount(text, w, len(n))
+        out = {"doc_id": texts.field("doc_id"), "n_tokens": texts.field("n_tokens"), "n_known": pa.array(add(c[now] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), total), pa.int64())}
+        out |= {"base_score": pa.array(add(np.log10(share)[now])), "score": pa.array(add(step[of]))}
+        return pa.table(out | {x: texts.field(2 + i) for i, x in enumerate(more)})
+
+    # A group is a piece: at most PIECE bytes of text, or one text.
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double" + "".join(f", `{c}` {kinds[c]}" for c in more)
+    return together.groupBy("piece").applyInArrow(finish, schema)

@@ -224,69 +224,76 @@ def test_language_costs_by_hand(spark):
 # 4
 
 
-@pytest.mark.parametrize("lm_words", [1 << 14, 8])
-def test_lm_scores_by_hand(docs, lm_words, monkeypatch):
-    """Bigrams with counts as powers of two, smoothed by the number of followers; a filter this empty answers exactly."""
+@pytest.mark.parametrize("max_bits", [1 << 28, 0])
+@pytest.mark.parametrize("probe_bytes", [64 << 20, 100])
+def test_lm_scores_by_hand(docs, max_bits, probe_bytes, monkeypatch):
+    """Bigrams with counts as powers of two, smoothed by the number of followers; a filter this empty answers exactly, sent or asked."""
     monkeypatch.setattr(lm, "BITS_PER_ITEM", 3000)
+    monkeypatch.setattr(lm, "PROBE_BYTES", probe_bytes)
     low = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
-    texts = [low(t) for _, t, *_ in corpus()]
-    one = Counter(w for t in texts for w in t)
-    vocabulary = set(sorted(one, key=lambda w: (-one[w], w))[: lm_words - 2])
-    of = lambda w: w if w in vocabulary else None
-    two, context = Counter(), Counter()
-    for t in texts:
-        for a, b in zip(["\n", *t], [*t, "\n"]):
-            two[of(a) if a != "\n" else a, of(b) if b != "\n" else b] += 1
-            context[of(b) if b != "\n" else b] += 1
+    learn = [low(t) for i, t, *_ in corpus() if i is None or i % 7 != 2]
+    one = Counter(w for t in learn for w in [*t, "\n"])
+    two = Counter(x for t in learn for x in zip(["\n", *t], [*t, "\n"]))
     followers = Counter(a for a, _ in two)
-    every, distinct = sum(one.values()) + len(texts), len(one) + 1
-    inside = sum(one[w] for w in one if w not in vocabulary) + sum(w not in vocabulary for w in one) + 1
-    share = lambda w: ((inside if w is None else len(texts) + 1 if w == "\n" else one[w] + 1)) / (every + distinct + 1)
+    size = sum(one.values()) + len(one) + 1
     want = []
-    for t in texts:
+    for i, t, *_ in corpus():
         total = 0.0
-        for a, b in zip(["\n", *t], [*t, "\n"]):
-            x, y = (of(w) if w != "\n" else w for w in (a, b))
-            c = two[x, y]
-            found = 2.0 ** int(math.log2(c)) if c >= lm.MIN_COUNT else 0.0
-            total += math.log10((found + followers[x] * share(y)) / (context[x] + followers[x]))
-            if y is None:
-                total += math.log10((one[b] + 1) / inside)
-        want.append(round(total, 5))
-    model = lm.train(docs, lm_words=lm_words)
-    assert sorted(round(r["score"], 5) for r in lm.score(docs, model).collect()) == sorted(want)
-
-
-@pytest.mark.parametrize("base_words", [100_000, 5])
-def test_lm_counts_are_exact(docs, base_words):
+        for a, b in zip(["\n", *low(t)], [*low(t), "\n"]):
+            found = 2.0 ** int(math.log2(two[a, b])) if two[a, b] else 0.0
+            after = followers[a] or 1
+            total += math.log10((found + after * (one[b] + 1) / size) / (one[a] + after))
+        want.append((str(i), round(total, 5)))
+    model = lm.train(docs.where("doc_id % 7 != 2 OR doc_id IS NULL"), max_bits=max_bits)
+    assert model.segments > 1 and (model.sent is None) == (max_bits == 0)
+    assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in lm.score(docs, model).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("max_bits", [1 << 28, 0])
+def test_lm_counts_are_exact(docs, max_bits):
     learn = docs.where("doc_id % 7 != 2 OR doc_id IS NULL")
-    got = lm.score(docs, lm.train(learn, base_words=base_words, lm_words=8)).collect()
+    got = lm.score(docs, lm.train(learn, max_bits=max_bits, size=1 << 12), "source", "key").collect()
     low = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]
     seen = Counter(w for i, t, *_ in corpus() if i is None or i % 7 != 2 for w in low(t))
     n, v = sum(seen.values()), len(seen)
-    want = sorted((i or -1, len(low(t)), sum(seen[w] > 0 for w in low(t)), round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in low(t)), 5)) for i, t, *_ in corpus())
-    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in got) == want
-    assert all(r["score"] < 0 and r["train_tokens"] == n for r in got)
+    want = sorted((i or -1, len(low(t)), sum(seen[w] > 0 for w in low(t)), round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in low(t)), 5), str(s)) for i, t, _, s in corpus())
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 5), str(r["source"])) for r in got) == want
+    assert all(r["score"] < 0 and r["train_tokens"] == n and r["key"] is None for r in got)
+
+
+def test_lm_probabilities_of_what_follows_a_word(spark):
+    """Over all words and one unseen, what may follow a word has at most the probability 1, whatever the filter answers falsely."""
+    learn = make(spark, [(i, t, None, None) for i, t in enumerate(["a b a c", "a b b", "c a b", "a a", ""])])
+    model = lm.train(learn)
+    asked = make(spark, [(i, f"a {w}", None, None) for i, w in enumerate("abcz")] + [(9, "a", None, None)])
+    got = {r["doc_id"]: 10 ** r["score"] for r in lm.score(asked, model).collect()}
+    ends = {r["doc_id"]: 10 ** r["score"] for r in lm.score(make(spark, [(i, w, None, None) for i, w in enumerate("abcz")]), model).collect()}
+    assert all(0 < x < 1 for x in [*got.values(), *ends.values()])
+    assert got[1] > got[2] > got[3]  # "a b" was met thrice, "a c" once, "a z" never
+
+
+def test_lm_very_long_text_in_small_pieces(docs, spark, monkeypatch):
+    long = make(spark, [(1, "some words to say again " * 60_000, None, None), (2, None, None, None), (2, None, None, None)])
+    model = lm.train(long)
+    whole = {(r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lm.score(long, model).collect()}
+    monkeypatch.setattr(lm, "PIECE", 1000)
+    assert {(r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lm.score(long, lm.train(long, max_bits=0)).collect()} == whole
+    assert {n for _, n, _ in whole} == {300_001, 1}
 
 
 def test_lm_of_nothing(docs, empty):
-    model = lm.train(empty)
-    assert model.total == 0
-    assert lm.score(docs, model).where("n_known > 0").count() == 0
-    assert lm.score(empty, model).count() == 0
+    for max_bits in (1 << 28, 0):
+        model = lm.train(empty, max_bits=max_bits)
+        assert model.total == 0
+        assert lm.score(docs, model).where("n_known > 0 OR score <> 0").count() == 0
+        assert lm.score(empty, model).count() == 0
 
 
 def test_bloom_filter_has_no_false_negatives():
-    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 34, 5000))
-    levels = np.arange(len(keys)) % 6 + 1
-    size = 4096
-    bits = np.zeros((lm.SEGMENTS, size // 8), np.uint8)
-    for level in range(1, 7):
-        own = keys[levels >= level]
-        seg = lm.Filter.segment(own)
-        for at in lm.Filter.places(own, level, size):
-            np.bitwise_or.at(bits, (seg, at >> 3), (1 << (at & 7)).astype(np.uint8))
-    assert (lm.Filter(bits, size).levels(keys) >= levels).all()
+    keys = np.unique(np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000))
+    q = np.arange(len(keys)) % 6 + 1
+    assert (lm.levels(lm.segment_bits(keys, q, 1 << 18), keys) >= q).all()
+    assert (lm.levels(lm.segment_bits(keys, q, 1 << 22), keys) == q).all()
 
 
 # 5
