@@ -9,12 +9,18 @@ Witten and Bell's: with T(a) different words seen after a,
 P(b | a) = (found(a, b) + T(a) * P1(b)) / (count(a) + T(a)), and
 P1(b) = (count(b) + 1) / (N + V + 1); of an unseen word a, P(b | a) = P1(b).
 
-The filter is a table of segments of a fixed size, each built by one task; their
-number follows from the counted bigrams.  Filters of at most ``max_bits`` bits are
-broadcast.  A larger one has no bound by which it could be sent to every task, so
-the bigrams go to the segments: each piece of text sends its different bigrams, a
-task probes all that came to a segment, and the levels go back.  Both ways ask the
-same bits and give the same scores.  Counts of words meet the pieces in a join.
+The filter is a table of segments, as many as the tokens ask for.  A segment holds
+the counts of the words whose 64-bit hash falls to it and the bits of the bigrams
+that begin with them, by 32 bits of hash (a segment holds about a million, so this
+adds less than the filter's own false answers).  The bigrams of a hot word are
+spread over several segments by the word after it.  Tables of at most
+``max_bytes`` are broadcast.  A larger one has no bound by which it could be sent
+to every task, so each piece of text asks the segments for its different words
+and bigrams, a task answers all that came to a segment in one reading, and the
+answers go back.  Both ways ask the same bits and give the same scores.
+
+Words are told apart by 64 bits of hash: among 100 million words, the chance that
+any two are taken for one is 0.0003.
 
 Defined results: a null text is the empty text, scored as its end alone;
 without training documents every count is 0; repeated rows score alike; a very
@@ -34,30 +40,34 @@ from pyspark.sql import functions as F
 
 from .common import Tokens, chunks, cut, doc_text, hash_strings, map_batches, mix
 
-#: Bits of a filter that may be broadcast (32 MB), and of a segment.
-MAX_BITS, SEGMENT_BITS = 1 << 28, 1 << 21
+#: Bytes of a filter's table that may be broadcast, and tokens for each of its segments.
+MAX_BYTES, SEGMENT_TOKENS = 32 << 20, 1 << 20
 BITS_PER_ITEM, HASHES = 12, 6
 END_WORD = "\n"  # no word holds a line end
 #: Bytes of text whose words are counted or scored together.
 PIECE = 4 << 20
-#: Bytes of bigrams that are probed in a row; more of a segment are shared out over copies of it.
+#: Words of at least this share of all tokens are looked at for spreading: at most 65,536.
+HOT_SHARE = 2.0**-16
+#: A spread word has about this part of a segment's tokens in each.
+HOT_PART = 16
+#: Bytes that a segment answers in a row; more are shared out over copies of it.
 PROBE_BYTES = 64 << 20
-#: Kinds of rows of a piece.
-BODY, KEYS, WORDS = 0, 1, 2
+#: Bigrams of a segment that are held before equal ones are summed.
+HELD = 1 << 20
 
 
 def places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-    first = mix(keys.view(np.uint64) + mix(np.uint64(level) * np.ones(1, np.uint64))[0])
+    first = mix(keys.astype(np.uint64) + mix(np.uint64(level) * np.ones(1, np.uint64))[0])
     step = mix(first) | np.uint64(1)
     for i in range(HASHES):
         yield ((first + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)
 
 
-def segment_bits(keys: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+def segment_bits(keys: np.ndarray, q: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> np.ndarray:
     """The bits of a segment that holds ``keys`` at the levels 1 to ``q``."""
-    bits = np.zeros(size, bool)
+    bits = np.zeros(max(64, -(-int(q.sum()) * bits_per_item // 8) * 8), bool)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for at in places(keys[q >= level], level, size):
+        for at in places(keys[q >= level], level, len(bits)):
             bits[at] = True
     return np.packbits(bits, bitorder="little")
 
@@ -76,179 +86,300 @@ def levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class Bigrams:
-    """The different bigrams of a batch of texts, by segment, and that of each token; a text begins after an end and closes with one."""
+@dataclass
+class Segments:
+    """Where words and bigrams go."""
+
+    n: int
+    hot: np.ndarray  # sorted hashes of spread words
+    spread: np.ndarray  # over how many segments
 
-    def __init__(self, t: Tokens, segments: int = 1) -> None:
-        end = len(t.words)
+    def spread_of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hot, hashes), max(0, len(self.hot) - 1))
+        return np.where(self.hot[at] == hashes, self.spread[at], 1).astype(np.int32) if len(self.hot) else np.ones(len(hashes), np.int32)
+
+
+@dataclass
+class Piece:
+    """Tokens of some texts, an end after each; codes of words are in the order of their segments."""
+
+    tokens: np.ndarray
+    n_tokens: np.ndarray  # by text
+    hashes: np.ndarray  # by code
+    home: np.ndarray  # by code: segment
+    spread: np.ndarray  # by code
+
+    @staticmethod
+    def of(texts: pa.Array, segments: Segments) -> Piece:
+        t = Tokens(texts, lower=True)
+        hashes = np.append(t.word_hashes(), hash_strings(pa.array([END_WORD])))
         n = t.counts() + 1
-        now = np.full(int(n.sum()), end, np.int64)
-        inner = np.ones(len(now), bool)
+        tokens = np.full(int(n.sum()), len(t.words), np.int64)
+        inner = np.ones(len(tokens), bool)
         inner[np.cumsum(n) - 1] = False
-        now[inner] = t.codes
-        before = np.concatenate([[end], now[:-1]])
-        pairs, of, counts = np.unique(before * (end + 1) + now, return_inverse=True, return_counts=True)
-        a, b = np.divmod(pairs, end + 1)
-        hashes = np.append(t.word_hashes(), hash_strings(pa.array([END_WORD])))
-        keys = mix(hashes[a] * np.uint64(3) + mix(hashes[b])).view(np.int64)
-        segment = np.mod(keys, segments)
+        tokens[inner] = t.codes
+        home = (hashes % np.uint64(segments.n)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        code = np.empty(len(order), np.int64)
+        code[order] = np.arange(len(order))
+        return Piece(code[tokens], n, hashes[order], home[order], segments.spread_of(hashes[order]))
+
+
+@dataclass
+class Bigrams:
+    """The different bigrams of a piece by segment, then word, and that of each token; a text begins after an end."""
+
+    a: np.ndarray
+    b: np.ndarray
+    segment: np.ndarray
+    counts: np.ndarray
+    of: np.ndarray  # by token
+
+    @staticmethod
+    def in_piece(tokens: np.ndarray, home: np.ndarray, spread: np.ndarray, segments: int) -> Bigrams:
+        before = np.concatenate([tokens[-1:], tokens[:-1]])  # the last token is an end
+        pairs, of, counts = np.unique(before * len(home) + tokens, return_inverse=True, return_counts=True)
+        a, b = np.divmod(pairs, len(home))
+        segment = (home[a].astype(np.int64) + home[b] % spread[a]) % segments
         order = np.argsort(segment, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.words = pa.concat_arrays([t.words.cast(pa.string()), pa.array([END_WORD])])
-        self.hashes = hashes.view(np.int64)
-        self.a, self.b, self.keys, self.segment, self.counts = a[order], b[order], keys[order], segment[order], counts[order]
-        self.of = rank[of]  # by token
-        self.n_tokens = n  # by text
+        return Bigrams(a[order], b[order], segment[order], counts[order], rank[of])
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes[self.a] * np.uint64(3) + mix(hashes[self.b])) >> np.uint64(32)).astype(np.uint32)
+
 
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Segments and their bigrams, in order."""
-        found, first = np.unique(self.segment, return_index=True)
-        for s, lo, hi in zip(found.tolist(), first, [*first[1:], len(self.keys)]):
-            yield s, self.keys[lo:hi]
+def _blob(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
 
 @dataclass
 class Model:
     total: int  # N
     distinct: int  # V
-    words: DataFrame  # word, c, t: count, and different words seen after it
-    filter: DataFrame  # segment, bits
-    segments: int
-    sent: dict[int, np.ndarray] | None  # the segments, if their size allows to send them
+    segments: Segments
+    hot: dict[int, tuple[int, int]]  # of spread words, by hash: count, and different words seen after it
+    table: DataFrame  # segment, bits, words (hashes), c, t
+    sent: dict[int, tuple[np.ndarray, ...]] | None  # the table, if its size allows to send it
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that are frequent in a piece, and as null its tokens.  What is frequent in all texts is so in some piece."""
     end = hash_strings(pa.array([END_WORD]))
     for whole in batches:
         for b in chunks(whole, limit=PIECE):
             t = Tokens(b.column("text"), lower=True)
             n = np.append(np.bincount(t.codes, minlength=len(t.words)), t.n_rows)
-            words = pa.concat_arrays([t.words.cast(pa.string()), pa.array([END_WORD])])
-            yield pa.record_batch([words, pa.array(np.append(t.word_hashes(), end).view(np.int64)), pa.array(n, pa.int64())], names=["word", "h", "c"])
+            found = n >= max(2, HOT_SHARE * n.sum())
+            hashes = np.append(t.word_hashes(), end).view(np.int64)[found]
+            yield pa.record_batch([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([int(n.sum()), *n[found].tolist()], pa.int64())], names=["h", "c"])
 
 
-def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in chunks(whole, limit=PIECE):
-            g = Bigrams(Tokens(b.column("text"), lower=True))
-            yield pa.record_batch([pa.array(g.hashes[g.a]), pa.array(g.keys), pa.array(g.counts, pa.int64())], names=["a", "key", "c"])
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal (word, key) in one."""
+    words, keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((keys, words))
+    words, keys, counts = words[order], keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (keys[1:] != keys[:-1])]))
+    return words[first], keys[first], np.add.reduceat(counts, first)
 
 
-def train(docs: DataFrame, *, max_bits: int = MAX_BITS, size: int = SEGMENT_BITS) -> Model:
-    """Learn from all of ``docs`` (doc_id, text); ``size`` is the bits of a segment."""
+def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int = SEGMENT_TOKENS, bits_per_item: int = BITS_PER_ITEM) -> Model:
+    """Learn from all of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = map_batches(texts, _word_counts, "word string, h long, c long").groupBy("word").agg(F.first("h").alias("h"), F.sum("c").alias("c"))
-    q = F.length(F.bin("c")).alias("q")  # 1 + floor(log2 c)
-    pairs = cut(map_batches(texts, _bigram_counts, "a long, key long, c long").groupBy("a", "key").agg(F.sum("c").alias("c")).select("a", "key", q))
-    followers = pairs.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("t"))
-    words = cut(counts.join(followers, "h").select("word", "c", "t"))
-    n = words.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
-    items = pairs.agg(F.sum("q")).first()[0] or 0
-    segments = max(1, -(-items * BITS_PER_ITEM // size))
-
-    def build(group: pa.Table) -> pa.Table:
-        bits = segment_bits(group.column("key").to_numpy(), group.column("q").to_numpy(), size)
-        return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    # About size / BITS_PER_ITEM items in a group, as keys are hashes.
-    parts = cut(pairs.select("key", "q", F.expr(f"pmod(key, {segments}L)").alias("segment")).groupBy("segment").applyInArrow(build, "segment long, bits binary"))
-    sent = {r["segment"]: np.frombuffer(r["bits"], np.uint8) for r in parts.collect()} if segments * size <= max_bits else None
-    return Model(n["total"] or 0, n["distinct"], words, parts, segments, sent)
-
-
-def _probed(asked: DataFrame, model: Model) -> DataFrame:
-    """piece, at (segment) and data (levels) of the bigrams that pieces ask for, read in the order of the segments."""
-    total = asked.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    copies = max(1, -(-total // (model.segments * PROBE_BYTES)))
-    keys = asked.select("piece", "at", F.pmod(F.hash("piece"), F.lit(copies)).alias("copy"), F.lit(1).alias("turn"), "data")
-    bits = model.filter.select(F.lit(-1).cast("long").alias("piece"), F.col("segment").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("turn"), F.col("bits").alias("data"))
+    frequent = cut(map_batches(texts, _frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    total = (frequent.where("h IS NULL").first() or {"c": 0})["c"]
+    n = max(1, -(-total // segment_tokens))
+    least = max(HOT_SHARE * total, segment_tokens / HOT_PART)
+    found = frequent.where("h IS NOT NULL").where(F.col("c") > least).collect() if n > 1 else []  # at most 1 / HOT_SHARE
+    hot = sorted((np.uint64(r["h"] & ((1 << 64) - 1)), min(n, -(-r["c"] * HOT_PART // segment_tokens))) for r in found)
+    segments = Segments(n, np.array([h for h, _ in hot], np.uint64), np.array([f for _, f in hot], np.int64))
+    shared = spark.sparkContext.broadcast(segments)
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, limit=PIECE):
+                p = Piece.of(b.column("text"), shared.value)
+                g = Bigrams.in_piece(p.tokens, p.home, p.spread, n)
+                keys, own = g.keys(p.hashes), np.flatnonzero(np.concatenate([[True], (g.a[1:] != g.a[:-1]) | (g.segment[1:] != g.segment[:-1])]))
+                size = np.diff(np.append(own, len(keys)))
+                at, first = np.unique(g.segment, return_index=True)
+                run = np.append(np.searchsorted(own, first), len(own))
+                first = np.append(first, len(keys))
+                cols = {"words": [], "sizes": [], "keys": [], "counts": []}
+                for i in range(len(at)):
+                    r, k = slice(run[i], run[i + 1]), slice(first[i], first[i + 1])
+                    cols["words"].append(_blob(p.hashes[g.a[own[r]]]))
+                    cols["sizes"].append(_blob(size[r].astype(np.uint32)))
+                    cols["keys"].append(_blob(keys[k]))
+                    cols["counts"].append(_blob(g.counts[k].astype(np.uint32)))
+                yield pa.record_batch([pa.array(at, pa.int64()), *(pa.array(x, pa.binary()) for x in cols.values())], names=["segment", *cols])
+
+    def built(segment: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """A row of the table, and one for each spread word met."""
+        words, keys, counts = _summed(parts)
+        bits = segment_bits(keys, np.frexp(counts.astype(float))[1], bits_per_item)
+        word, first = np.unique(words, return_index=True)
+        c, t = np.add.reduceat(counts, first), np.diff(np.append(first, len(words)))
+        is_hot = shared.value.spread_of(word) > 1
+        m, rest = int(is_hot.sum()), ~is_hot
+        row = [pa.array([segment] + [None] * m, pa.int64())]
+        row += [pa.array([x] + [None] * m, pa.binary()) for x in (bits.tobytes(), _blob(word[rest]), _blob(c[rest]), _blob(t[rest]))]
+        row += [pa.array([None, *x.tolist()], pa.int64()) for x in (word.view(np.int64)[is_hot], c[is_hot], t[is_hot])]
+        return pa.record_batch(row, names=["segment", "bits", "words", "c", "t", "hot", "hot_c", "hot_t"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments come one after another; equal bigrams are summed as they come."""
+        segment, parts, held, limit = None, [], 0, HELD
+        for b in batches:
+            for at, words, sizes, keys, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if at != segment and parts:
+                    yield built(segment, parts)
+                    parts, held, limit = [], 0, HELD
+                segment = at
+                words = np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(sizes, np.uint32))
+                parts.append((words, np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                held += len(words)
+                if held > limit:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    limit = max(HELD, 2 * held)
+        if parts:
+            yield built(segment, parts)
+
+    asked = map_batches(texts, bigrams, "segment long, words binary, sizes binary, keys binary, counts binary")
+    schema = "segment long, bits binary, words binary, c binary, t binary, hot long, hot_c long, hot_t long"
+    out = cut(map_batches(asked.repartition("segment").sortWithinPartitions("segment"), build, schema))
+    table = out.where("segment IS NOT NULL").select("segment", "bits", "words", "c", "t")
+    spread = {r["hot"] & ((1 << 64) - 1): (r["c"], r["t"]) for r in out.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_c").alias("c"), F.sum("hot_t").alias("t")).collect()}
+    size = table.agg(F.sum(F.octet_length("words")).alias("words"), F.sum(F.octet_length("bits")).alias("bits")).first()
+    sent = None
+    if (size["bits"] or 0) + 3 * (size["words"] or 0) <= max_bytes:
+        sent = {r["segment"]: _held(r["bits"], r["words"], r["c"], r["t"]) for r in table.collect()}
+    return Model(total, (size["words"] or 0) // 8 + len(spread), segments, spread, table, sent)
+
+
+def _held(bits: bytes, words: bytes, c: bytes, t: bytes) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(bits, np.uint8), np.frombuffer(words, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(t, np.int64)
+
+
+def _answer(held: tuple[np.ndarray, ...] | None, words: bytes, keys: bytes) -> tuple[bytes, bytes, bytes]:
+    """Levels of bigrams, counts of words and of what follows them (0 if unseen)."""
+    words, keys = np.frombuffer(words, np.uint64), np.frombuffer(keys, np.uint32)
+    c, t = np.zeros((2, len(words)), np.int64)
+    if held is None:
+        return _blob(np.zeros(len(keys), np.uint8)), _blob(c), _blob(t)
+    bits, known, known_c, known_t = held
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        same = known[at] == words
+        c, t = np.where(same, known_c[at], 0), np.where(same, known_t[at], 0)
+    return _blob(levels(bits, keys)), _blob(c), _blob(t)
+
+
+def _answers(asked: DataFrame, model: Model, tokens: int) -> DataFrame:
+    """piece, at (segment), levels, c and t of what pieces ask (piece, at, words, keys); ``tokens`` bounds how much that is."""
+    schema, names = "piece long, at long, levels binary, c binary, t binary", ["piece", "at", "levels", "c", "t"]
+    if model.sent is not None:
+        sent = asked.sparkSession.sparkContext.broadcast(model.sent)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [_answer(sent.value.get(s), w, k) for s, w, k in zip(*(b.column(x).to_pylist() for x in ("at", "words", "keys")))]
+                yield pa.record_batch([b.column("piece"), b.column("at"), *(pa.array([f[i] for f in found], pa.binary()) for i in range(3))], names=names)
+
+        return map_batches(asked, look, schema)
+    copies = max(1, -(-tokens * 12 // (model.segments.n * PROBE_BYTES)))
+    none = F.lit(None).cast("binary")
+    asked = asked.select("piece", "at", F.pmod(F.hash("piece"), F.lit(copies)).alias("copy"), F.lit(1).alias("turn"), "words", "keys", none.alias("c"), none.alias("t"))
+    held = model.table.select(F.lit(None).cast("long").alias("piece"), F.col("segment").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("turn"), "words", F.col("bits").alias("keys"), "c", "t")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = None, None
+        segment, held = None, None
         for b in batches:
-            pieces, at, out = [], [], []
-            for piece, segment, turn, data in zip(b.column("piece").to_pylist(), b.column("at").to_pylist(), b.column("turn").to_pylist(), b.column("data")):
+            rows = zip(*(b.column(x).to_pylist() for x in ("piece", "at", "turn", "words", "keys", "c", "t")))
+            out: list[tuple] = []
+            for piece, at, turn, words, keys, c, t in rows:
                 if turn == 0:
-                    held, bits = segment, np.frombuffer(data.as_py(), np.uint8)
-                    continue
-                own = np.frombuffer(data.as_py(), np.int64)
-                pieces.append(piece)
-                at.append(segment)
-                out.append((levels(bits, own) if held == segment else np.zeros(len(own), np.uint8)).tobytes())
-            yield pa.record_batch([pa.array(pieces, pa.int64()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names=["piece", "at", "data"])
+                    segment, held = at, _held(keys, words, c, t)
+                else:
+                    out.append((piece, at, *_answer(held if segment == at else None, words, keys)))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3)], names=names)
 
-    together = keys.unionByName(bits).repartition("at", "copy").sortWithinPartitions("at", "copy", "turn")
-    return map_batches(together, probe, "piece long, at long, data binary")
+    return map_batches(asked.unionByName(held).repartition("at", "copy").sortWithinPartitions("at", "copy", "turn"), probe, schema)
 
 
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, and the columns ``more``."""
-    segments, total, all_mass = model.segments, model.total, float(model.total + model.distinct + 1)
-    sent = None if model.sent is None else docs.sparkSession.sparkContext.broadcast(model.sent)
+    n, total, all_mass = model.segments.n, model.total, float(model.total + model.distinct + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((model.segments, model.hot))
     named = doc_text(docs, *more).withColumn("piece", F.monotonically_increasing_id())
     kinds = dict(named.dtypes)
-    extra = "".join(f",`{c}`:{kinds[c]}" for c in more)
-    head = f"array<struct<doc_id:bigint,n_tokens:bigint{extra}>>"
-    types = {"piece": pa.int64(), "kind": pa.int32(), "at": pa.int64(), "data": pa.binary(), "of": pa.binary(), "pairs": pa.binary(), "word": pa.string()}
-
-    def rows(n: int, heads: pa.Array, **columns) -> pa.RecordBatch:
-        arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
-        return pa.record_batch([*arrays, heads], names=[*types, "heads"])
+    head = "array<struct<doc_id:bigint,n_tokens:bigint" + "".join(f",`{c}`:{kinds[c]}" for c in more) + ">>"
+    blobs = ["low", "high", "home", "spread", "hashes", "hot"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each piece a row of its texts, one for each segment it asks (if the filter is not at hand) and one for each word."""
         for whole in batches:
             for b in chunks(whole, limit=PIECE):
-                g, piece = Bigrams(Tokens(b.column("text"), lower=True), segments), b.column("piece")[0].as_py()
-                known, parts = None, list(g.parts())
-                if sent is not None:
-                    known = b"".join((levels(sent.value[s], k) if s in sent.value else np.zeros(len(k), np.uint8)).tobytes() for s, k in parts)
-                texts = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(g.n_tokens, pa.int64()), *(b.column(c) for c in more)], names=["doc_id", "n_tokens", *more])
-                heads = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
-                pairs = np.stack([g.a, g.b]).astype(np.int32)
-                yield rows(1, heads, piece=[piece], kind=[BODY], data=[known], of=[g.of.astype(np.int32).tobytes()], pairs=[pairs.tobytes()])
-                if known is None:
-                    yield rows(len(parts), pa.nulls(len(parts), heads.type), piece=[piece] * len(parts), kind=[KEYS] * len(parts), at=[s for s, _ in parts], data=[k.tobytes() for _, k in parts])
-                n = len(g.words)
-                yield rows(n, pa.nulls(n, heads.type), piece=np.full(n, piece), kind=np.full(n, WORDS, np.int32), at=np.arange(n), word=g.words)
-
-    pieces = cut(map_batches(named, spread, f"piece long, kind int, at long, data binary, of binary, pairs binary, word string, heads {head}"))
-    nothing = {"data": F.lit(None).cast("binary"), "of": F.lit(None).cast("binary"), "pairs": F.lit(None).cast("binary"), "heads": F.lit(None).cast(head), "c": F.lit(None).cast("long"), "t": F.lit(None).cast("long")}
-    of = lambda df, kind, **own: df.select("piece", F.lit(kind).alias("kind"), "at", *(own.get(c, v).alias(c) for c, v in nothing.items()))
-    together = of(pieces.where(F.col("kind") == BODY), BODY, data=F.col("data"), of=F.col("of"), pairs=F.col("pairs"), heads=F.col("heads"))
-    together = together.unionByName(of(pieces.where(F.col("kind") == WORDS).join(model.words, "word"), WORDS, c=F.col("c"), t=F.col("t")))
-    if sent is None:
-        together = together.unionByName(of(_probed(pieces.where(F.col("kind") == KEYS), model), KEYS, data=F.col("data")))
+                segments, hot = shared.value
+                p = Piece.of(b.column("text"), segments)
+                stats = np.array([hot.get(h, (0, 0)) for h in p.hashes[p.spread > 1].tolist()], np.int64)
+                texts = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(p.n_tokens, pa.int64()), *(b.column(c) for c in more)], names=["doc_id", "n_tokens", *more])
+                parts = [(p.tokens & 0xFFFF).astype(np.uint16), (p.tokens >> 16).astype(np.uint16), p.home, p.spread, p.hashes, stats]
+                yield pa.record_batch([b.column("piece").slice(0, 1), *(pa.array([_blob(x)], pa.binary()) for x in parts), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], names=["piece", *blobs, "heads"])
+
+    def read(low: bytes, high: bytes, home: bytes, spread: bytes) -> tuple[np.ndarray, Bigrams, np.ndarray, np.ndarray]:
+        tokens = np.frombuffer(low, np.uint16) | np.frombuffer(high, np.uint16).astype(np.int64) << 16
+        home, spread = np.frombuffer(home, np.int32), np.frombuffer(spread, np.int32)
+        return tokens, Bigrams.in_piece(tokens, home, spread, n), home, spread
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in ("piece", *blobs[:5])}
+                _, g, home, spread = read(*(row[c] for c in blobs[:4]))
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                keys, words, at = g.keys(hashes), hashes[spread == 1], home[spread == 1]
+                to = np.union1d(g.segment, at)
+                k, w = ((np.searchsorted(x, to), np.searchsorted(x, to, "right")) for x in (g.segment, at))
+                yield pa.record_batch(
+                    [pa.array(np.full(len(to), row["piece"]), pa.int64()), pa.array(to, pa.int64()), pa.array([_blob(words[x:y]) for x, y in zip(*w)], pa.binary()), pa.array([_blob(keys[x:y]) for x, y in zip(*k)], pa.binary())],
+                    names=["piece", "at", "words", "keys"],
+                )
+
+    pieces = cut(map_batches(named, spread, f"piece long, {', '.join(f'{c} binary' for c in blobs)}, heads {head}"))
+    tokens = (pieces.agg(F.sum(F.octet_length("low"))).first()[0] or 0) // 2
+    answers = _answers(map_batches(pieces.select("piece", *blobs[:5]), ask, "piece long, at long, words binary, keys binary"), model, tokens)
+    body, answer = ["low", "high", "home", "spread", "hot"], ["levels", "c", "t"]
+    none = F.lit(None)
+    together = pieces.select("piece", none.cast("long").alias("at"), *body, *(none.cast("binary").alias(c) for c in answer), "heads").unionByName(
+        answers.select("piece", "at", *(none.cast("binary").alias(c) for c in body), *answer, none.cast(head).alias("heads"))
+    )
 
     def finish(group: pa.Table) -> pa.Table:
-        kind, at = group.column("kind").to_numpy(), group.column("at").to_pylist()
-        body = group.slice(int(np.flatnonzero(kind == BODY)[0]), 1)
-        texts = body.column("heads").combine_chunks().flatten()
-        of = np.frombuffer(body.column("of")[0].as_py(), np.int32)
-        a, b = np.frombuffer(body.column("pairs")[0].as_py(), np.int32).reshape(2, -1)
-        if sent is None:
-            asked = sorted(np.flatnonzero(kind == KEYS).tolist(), key=at.__getitem__)
-            found = b"".join(group.column("data")[i].as_py() for i in asked)
-        else:
-            found = body.column("data")[0].as_py()
-        q = np.frombuffer(found, np.uint8).astype(float)
-        c, t = np.zeros(int(a.max()) + 1), np.ones(int(a.max()) + 1)  # the end has the highest code and is a context
-        is_word = kind == WORDS
-        codes = np.array([at[i] for i in np.flatnonzero(is_word)], np.int64)
-        mask = pa.array(is_word)
-        c[codes], t[codes] = (group.column(x).filter(mask).to_numpy() for x in ("c", "t"))
-        share = (c + 1) / all_mass
-        seen = np.minimum(np.where(q > 0, 2.0 ** (q - 1), 0.0), np.minimum(c[a], c[b]))
-        step = np.log10((seen + t[a] * share[b]) / (c[a] + t[a]))
-        n = texts.field("n_tokens").to_numpy()
-        text = np.repeat(np.arange(len(n)), n)
-        now = b[of]
-        add = lambda w: np.bincount(text, w, len(n))
-        out = {"doc_id": texts.field("doc_id"), "n_tokens": texts.field("n_tokens"), "n_known": pa.array(add(c[now] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), total), pa.int64())}
-        out |= {"base_score": pa.array(add(np.log10(share)[now])), "score": pa.array(add(step[of]))}
+        at = group.column("at").to_pylist()
+        row = at.index(None)
+        texts = group.slice(row, 1).column("heads").combine_chunks().flatten()
+        tokens, g, _, spread = read(*(group.column(c)[row].as_py() for c in body[:4]))
+        parts = sorted((i for i in range(len(at)) if i != row), key=at.__getitem__)
+        q, own_c, own_t = (np.frombuffer(b"".join(group.column(c)[i].as_py() for i in parts), k) for c, k in (("levels", np.uint8), ("c", np.int64), ("t", np.int64)))
+        hot = np.frombuffer(group.column("hot")[row].as_py(), np.int64).reshape(-1, 2)
+        c, t = np.zeros((2, len(spread)))
+        c[spread == 1], t[spread == 1] = own_c, own_t
+        c[spread > 1], t[spread > 1] = hot.T
+        share, after = (c + 1) / all_mass, np.maximum(t, 1)
+        seen = np.minimum(np.where(q > 0, 2.0 ** (q.astype(float) - 1), 0.0), np.minimum(c[g.a], c[g.b]))
+        step = np.log10((seen + after[g.a] * share[g.b]) / (c[g.a] + after[g.a]))
+        n_tokens = texts.field("n_tokens").to_numpy()
+        text = np.repeat(np.arange(len(n_tokens)), n_tokens)
+        add = lambda w: np.bincount(text, w, len(n_tokens))
+        out = {"doc_id": texts.field("doc_id"), "n_tokens": texts.field("n_tokens"), "n_known": pa.array(add(c[tokens] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(n_tokens), total), pa.int64())}
+        out |= {"base_score": pa.array(add(np.log10(share)[tokens])), "score": pa.array(add(step[g.of]))}
         return pa.table(out | {x: texts.field(2 + i) for i, x in enumerate(more)})
 
-    # A group is a piece: at most PIECE bytes of text, or one text.
+    # A group is a piece: at most PIECE bytes of text, or one text, and its answers.
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double" + "".join(f", `{c}` {kinds[c]}" for c in more)
     return together.groupBy("piece").applyInArrow(finish, schema)

@@ -224,11 +224,9 @@ def test_language_costs_by_hand(spark):
 # 4
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 0])
-@pytest.mark.parametrize("probe_bytes", [64 << 20, 100])
-def test_lm_scores_by_hand(docs, max_bits, probe_bytes, monkeypatch):
+@pytest.mark.parametrize("max_bytes, probe_bytes, segment_tokens", [(1 << 30, 64 << 20, 1 << 20), (1 << 30, 64 << 20, 500), (0, 64 << 20, 2000), (0, 100, 500)])
+def test_lm_scores_by_hand(docs, max_bytes, probe_bytes, segment_tokens, monkeypatch):
     """Bigrams with counts as powers of two, smoothed by the number of followers; a filter this empty answers exactly, sent or asked."""
-    monkeypatch.setattr(lm, "BITS_PER_ITEM", 3000)
     monkeypatch.setattr(lm, "PROBE_BYTES", probe_bytes)
     low = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
     learn = [low(t) for i, t, *_ in corpus() if i is None or i % 7 != 2]
@@ -244,15 +242,17 @@ def test_lm_scores_by_hand(docs, max_bits, probe_bytes, monkeypatch):
             after = followers[a] or 1
             total += math.log10((found + after * (one[b] + 1) / size) / (one[a] + after))
         want.append((str(i), round(total, 5)))
-    model = lm.train(docs.where("doc_id % 7 != 2 OR doc_id IS NULL"), max_bits=max_bits)
-    assert model.segments > 1 and (model.sent is None) == (max_bits == 0)
+    model = lm.train(docs.where("doc_id % 7 != 2 OR doc_id IS NULL"), max_bytes=max_bytes, segment_tokens=segment_tokens, bits_per_item=3000)
+    assert (model.segments.n > 1) == (segment_tokens < 1 << 20) and bool(model.hot) == (segment_tokens == 500) and (model.sent is None) == (max_bytes == 0)
+    assert (model.total, model.distinct) == (sum(one.values()), len(one))
     assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in lm.score(docs, model).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 0])
-def test_lm_counts_are_exact(docs, max_bits):
+@pytest.mark.parametrize("max_bytes", [1 << 28, 0])
+def test_lm_counts_are_exact(docs, max_bytes, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 100)
     learn = docs.where("doc_id % 7 != 2 OR doc_id IS NULL")
-    got = lm.score(docs, lm.train(learn, max_bits=max_bits, size=1 << 12), "source", "key").collect()
+    got = lm.score(docs, lm.train(learn, max_bytes=max_bytes, segment_tokens=300), "source", "key").collect()
     low = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]
     seen = Counter(w for i, t, *_ in corpus() if i is None or i % 7 != 2 for w in low(t))
     n, v = sum(seen.values()), len(seen)
@@ -277,23 +277,25 @@ def test_lm_very_long_text_in_small_pieces(docs, spark, monkeypatch):
     model = lm.train(long)
     whole = {(r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lm.score(long, model).collect()}
     monkeypatch.setattr(lm, "PIECE", 1000)
-    assert {(r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lm.score(long, lm.train(long, max_bits=0)).collect()} == whole
+    assert {(r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lm.score(long, lm.train(long, max_bytes=0)).collect()} == whole
     assert {n for _, n, _ in whole} == {300_001, 1}
 
 
 def test_lm_of_nothing(docs, empty):
-    for max_bits in (1 << 28, 0):
-        model = lm.train(empty, max_bits=max_bits)
+    for max_bytes in (1 << 28, 0):
+        model = lm.train(empty, max_bytes=max_bytes)
         assert model.total == 0
         assert lm.score(docs, model).where("n_known > 0 OR score <> 0").count() == 0
         assert lm.score(empty, model).count() == 0
 
 
 def test_bloom_filter_has_no_false_negatives():
-    keys = np.unique(np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000))
-    q = np.arange(len(keys)) % 6 + 1
-    assert (lm.levels(lm.segment_bits(keys, q, 1 << 18), keys) >= q).all()
-    assert (lm.levels(lm.segment_bits(keys, q, 1 << 22), keys) == q).all()
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 32, 9000).astype(np.uint32))
+    held, other = keys[::2], keys[1::2]
+    q = np.arange(len(held)) % 6 + 1
+    bits = lm.segment_bits(held, q)
+    assert (lm.levels(bits, held) >= q).all() and (lm.levels(bits, held) == q).mean() > 0.98
+    assert (lm.levels(bits, other) > 0).mean() < 0.02
 
 
 # 5
