@@ -10,7 +10,7 @@ P(b | a) = (found(a, b) + T(a) * P1(b)) / (count(a) + T(a)), and
 P1(b) = (count(b) + 1) / (N + V + 1); of an unseen word a, P(b | a) = P1(b).
 
 The filter is a table of segments, as many as the tokens ask for.  A segment holds
-the counts of the words whose 64-bit hash falls to it and the bits of the bigrams
+the counts of the words whose 64-bit hash falls to it (the table tells them apart by 48 bits) and the bits of the bigrams
 that begin with them, by 32 bits of hash (a segment holds about a million, so this
 adds less than the filter's own false answers).  The bigrams of a hot word are
 spread over several segments by the word after it.  Tables of at most
@@ -19,8 +19,8 @@ to every task, so each piece of text asks the segments for its different words
 and bigrams, a task answers all that came to a segment in one reading, and the
 answers go back.  Both ways ask the same bits and give the same scores.
 
-Words are told apart by 64 bits of hash: among 100 million words, the chance that
-any two are taken for one is 0.0003.
+Words are told apart by their segment and 48 bits of hash: of 100 million words
+about 18 pairs are expected to share the bits, and few of these the segment too.
 
 Defined results: a null text is the empty text, scored as its end alone;
 without training documents every count is 0; repeated rows score alike; a very
@@ -52,6 +52,11 @@ HOT_SHARE = 2.0**-16
 HOT_PART = 16
 #: Bytes that a segment answers in a row; more are shared out over copies of it.
 PROBE_BYTES = 64 << 20
+#: Bytes of a word's hash within its segment.
+WORD_BYTES = 6
+WORD_BITS = np.uint64((1 << 8 * WORD_BYTES) - 1)
+#: Bytes of answers in a batch.
+ANSWER_BYTES = 4 << 20
 #: Bigrams of a segment that are held before equal ones are summed.
 HELD = 1 << 20
 
@@ -118,7 +123,8 @@ class Piece:
         inner = np.ones(len(tokens), bool)
         inner[np.cumsum(n) - 1] = False
         tokens[inner] = t.codes
-        home = (hashes % np.uint64(segments.n)).astype(np.int32)
+        home = ((hashes >> np.uint64(32)) % np.uint64(segments.n)).astype(np.int32)
+        hashes &= WORD_BITS
         order = np.argsort(home, kind="stable")
         code = np.empty(len(order), np.int64)
         code[order] = np.arange(len(order))
@@ -154,6 +160,22 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _pack(x: np.ndarray, n: int = 8) -> bytes:
+    """The lowest ``n`` bytes of 64-bit integers, all first bytes before all second ones, as high bytes are mostly 0 and compress well."""
+    return _blob(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T[:n])
+
+
+def _unpack(raw: bytes, n: int = 8) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :n] = planes.T
+    return out.view(np.int64).ravel()
+
+
+def _words(raw: bytes) -> np.ndarray:
+    return _unpack(raw, WORD_BYTES).view(np.uint64)
+
+
 @dataclass
 class Model:
     total: int  # N
@@ -172,7 +194,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = Tokens(b.column("text"), lower=True)
             n = np.append(np.bincount(t.codes, minlength=len(t.words)), t.n_rows)
             found = n >= max(2, HOT_SHARE * n.sum())
-            hashes = np.append(t.word_hashes(), end).view(np.int64)[found]
+            hashes = (np.append(t.word_hashes(), end) & WORD_BITS).astype(np.int64)[found]
             yield pa.record_batch([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([int(n.sum()), *n[found].tolist()], pa.int64())], names=["h", "c"])
 
 
@@ -194,7 +216,7 @@ def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int =
     n = max(1, -(-total // segment_tokens))
     least = max(HOT_SHARE * total, segment_tokens / HOT_PART)
     found = frequent.where("h IS NOT NULL").where(F.col("c") > least).collect() if n > 1 else []  # at most 1 / HOT_SHARE
-    hot = sorted((np.uint64(r["h"] & ((1 << 64) - 1)), min(n, -(-r["c"] * HOT_PART // segment_tokens))) for r in found)
+    hot = sorted((r["h"], min(n, -(-r["c"] * HOT_PART // segment_tokens))) for r in found)
     segments = Segments(n, np.array([h for h, _ in hot], np.uint64), np.array([f for _, f in hot], np.int64))
     shared = spark.sparkContext.broadcast(segments)
 
@@ -211,8 +233,8 @@ def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int =
                 cols = {"words": [], "sizes": [], "keys": [], "counts": []}
                 for i in range(len(at)):
                     r, k = slice(run[i], run[i + 1]), slice(first[i], first[i + 1])
-                    cols["words"].append(_blob(p.hashes[g.a[own[r]]]))
-                    cols["sizes"].append(_blob(size[r].astype(np.uint32)))
+                    cols["words"].append(_pack(p.hashes[g.a[own[r]]], WORD_BYTES))
+                    cols["sizes"].append(_pack(size[r], 4))
                     cols["keys"].append(_blob(keys[k]))
                     cols["counts"].append(_blob(g.counts[k].astype(np.uint32)))
                 yield pa.record_batch([pa.array(at, pa.int64()), *(pa.array(x, pa.binary()) for x in cols.values())], names=["segment", *cols])
@@ -226,7 +248,7 @@ def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int =
         is_hot = shared.value.spread_of(word) > 1
         m, rest = int(is_hot.sum()), ~is_hot
         row = [pa.array([segment] + [None] * m, pa.int64())]
-        row += [pa.array([x] + [None] * m, pa.binary()) for x in (bits.tobytes(), _blob(word[rest]), _blob(c[rest]), _blob(t[rest]))]
+        row += [pa.array([x] + [None] * m, pa.binary()) for x in (bits.tobytes(), _pack(word[rest], WORD_BYTES), _pack(c[rest]), _pack(t[rest]))]
         row += [pa.array([None, *x.tolist()], pa.int64()) for x in (word.view(np.int64)[is_hot], c[is_hot], t[is_hot])]
         return pa.record_batch(row, names=["segment", "bits", "words", "c", "t", "hot", "hot_c", "hot_t"])
 
@@ -234,12 +256,12 @@ def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int =
         """Segments come one after another; equal bigrams are summed as they come."""
         segment, parts, held, limit = None, [], 0, HELD
         for b in batches:
-            for at, words, sizes, keys, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for at, words, sizes, keys, counts in _rows(b, "segment", "words", "sizes", "keys", "counts"):
                 if at != segment and parts:
                     yield built(segment, parts)
                     parts, held, limit = [], 0, HELD
                 segment = at
-                words = np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(sizes, np.uint32))
+                words = np.repeat(_words(words), _unpack(sizes, 4))
                 parts.append((words, np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)))
                 held += len(words)
                 if held > limit:
@@ -253,42 +275,60 @@ def train(docs: DataFrame, *, max_bytes: int = MAX_BYTES, segment_tokens: int =
     schema = "segment long, bits binary, words binary, c binary, t binary, hot long, hot_c long, hot_t long"
     out = cut(map_batches(asked.repartition("segment").sortWithinPartitions("segment"), build, schema))
     table = out.where("segment IS NOT NULL").select("segment", "bits", "words", "c", "t")
-    spread = {r["hot"] & ((1 << 64) - 1): (r["c"], r["t"]) for r in out.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_c").alias("c"), F.sum("hot_t").alias("t")).collect()}
+    spread = {r["hot"]: (r["c"], r["t"]) for r in out.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_c").alias("c"), F.sum("hot_t").alias("t")).collect()}
     size = table.agg(F.sum(F.octet_length("words")).alias("words"), F.sum(F.octet_length("bits")).alias("bits")).first()
     sent = None
-    if (size["bits"] or 0) + 3 * (size["words"] or 0) <= max_bytes:
+    if (size["bits"] or 0) + 4 * (size["words"] or 0) <= max_bytes:
         sent = {r["segment"]: _held(r["bits"], r["words"], r["c"], r["t"]) for r in table.collect()}
-    return Model(total, (size["words"] or 0) // 8 + len(spread), segments, spread, table, sent)
+    return Model(total, (size["words"] or 0) // WORD_BYTES + len(spread), segments, spread, table, sent)
 
 
 def _held(bits: bytes, words: bytes, c: bytes, t: bytes) -> tuple[np.ndarray, ...]:
-    return np.frombuffer(bits, np.uint8), np.frombuffer(words, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(t, np.int64)
+    return np.frombuffer(bits, np.uint8), _words(words), _unpack(c), _unpack(t)
+
+
+def _rows(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Row by row, so that a batch is not copied whole."""
+    columns = [b.column(x) for x in names]
+    return (tuple(c[i].as_py() for c in columns) for i in range(b.num_rows))
 
 
 def _answer(held: tuple[np.ndarray, ...] | None, words: bytes, keys: bytes) -> tuple[bytes, bytes, bytes]:
     """Levels of bigrams, counts of words and of what follows them (0 if unseen)."""
-    words, keys = np.frombuffer(words, np.uint64), np.frombuffer(keys, np.uint32)
+    words, keys = _words(words), np.frombuffer(keys, np.uint32)
     c, t = np.zeros((2, len(words)), np.int64)
     if held is None:
-        return _blob(np.zeros(len(keys), np.uint8)), _blob(c), _blob(t)
+        return _blob(np.zeros(len(keys), np.uint8)), _pack(c), _pack(t)
     bits, known, known_c, known_t = held
     if len(known):
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
         same = known[at] == words
         c, t = np.where(same, known_c[at], 0), np.where(same, known_t[at], 0)
-    return _blob(levels(bits, keys)), _blob(c), _blob(t)
+    return _blob(levels(bits, keys)), _pack(c), _pack(t)
+
+
+def _batches(answers: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in answers:
+        held.append(row)
+        size += sum(map(len, row[2:]))
+        if size > ANSWER_BYTES:
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
 
 def _answers(asked: DataFrame, model: Model, tokens: int) -> DataFrame:
     """piece, at (segment), levels, c and t of what pieces ask (piece, at, words, keys); ``tokens`` bounds how much that is."""
-    schema, names = "piece long, at long, levels binary, c binary, t binary", ["piece", "at", "levels", "c", "t"]
+    schema = "piece long, at long, levels binary, c binary, t binary"
+    fields = pa.schema([("piece", pa.int64()), ("at", pa.int64()), ("levels", pa.binary()), ("c", pa.binary()), ("t", pa.binary())])
     if model.sent is not None:
         sent = asked.sparkSession.sparkContext.broadcast(model.sent)
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [_answer(sent.value.get(s), w, k) for s, w, k in zip(*(b.column(x).to_pylist() for x in ("at", "words", "keys")))]
-                yield pa.record_batch([b.column("piece"), b.column("at"), *(pa.array([f[i] for f in found], pa.binary()) for i in range(3))], names=names)
+            rows = (row for b in batches for row in _rows(b, "piece", "at", "words", "keys"))
+            yield from _batches(((piece, at, *_answer(sent.value.get(at), words, keys)) for piece, at, words, keys in rows), fields)
 
         return map_batches(asked, look, schema)
     copies = max(1, -(-tokens * 12 // (model.segments.n * PROBE_BYTES)))
@@ -296,18 +336,17 @@ def _answers(asked: DataFrame, model: Model, tokens: int) -> DataFrame:
     asked = asked.select("piece", "at", F.pmod(F.hash("piece"), F.lit(copies)).alias("copy"), F.lit(1).alias("turn"), "words", "keys", none.alias("c"), none.alias("t"))
     held = model.table.select(F.lit(None).cast("long").alias("piece"), F.col("segment").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("turn"), "words", F.col("bits").alias("keys"), "c", "t")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         segment, held = None, None
         for b in batches:
-            rows = zip(*(b.column(x).to_pylist() for x in ("piece", "at", "turn", "words", "keys", "c", "t")))
-            out: list[tuple] = []
-            for piece, at, turn, words, keys, c, t in rows:
+            for piece, at, turn, words, keys, c, t in _rows(b, "piece", "at", "turn", "words", "keys", "c", "t"):
                 if turn == 0:
                     segment, held = at, _held(keys, words, c, t)
                 else:
-                    out.append((piece, at, *_answer(held if segment == at else None, words, keys)))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3)], names=names)
+                    yield piece, at, *_answer(held if segment == at else None, words, keys)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(answered(batches), fields)
 
     return map_batches(asked.unionByName(held).repartition("at", "copy").sortWithinPartitions("at", "copy", "turn"), probe, schema)
 
@@ -319,7 +358,7 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     named = doc_text(docs, *more).withColumn("piece", F.monotonically_increasing_id())
     kinds = dict(named.dtypes)
     head = "array<struct<doc_id:bigint,n_tokens:bigint" + "".join(f",`{c}`:{kinds[c]}" for c in more) + ">>"
-    blobs = ["low", "high", "home", "spread", "hashes", "hot"]
+    blobs = ["tokens", "home", "spread", "hashes", "hot"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -328,32 +367,31 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
                 p = Piece.of(b.column("text"), segments)
                 stats = np.array([hot.get(h, (0, 0)) for h in p.hashes[p.spread > 1].tolist()], np.int64)
                 texts = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(p.n_tokens, pa.int64()), *(b.column(c) for c in more)], names=["doc_id", "n_tokens", *more])
-                parts = [(p.tokens & 0xFFFF).astype(np.uint16), (p.tokens >> 16).astype(np.uint16), p.home, p.spread, p.hashes, stats]
-                yield pa.record_batch([b.column("piece").slice(0, 1), *(pa.array([_blob(x)], pa.binary()) for x in parts), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], names=["piece", *blobs, "heads"])
+                parts = [_pack(p.tokens, 4), _blob(p.home), _blob(p.spread), _pack(p.hashes, WORD_BYTES), _blob(stats)]
+                yield pa.record_batch([b.column("piece").slice(0, 1), *(pa.array([x], pa.binary()) for x in parts), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], names=["piece", *blobs, "heads"])
 
-    def read(low: bytes, high: bytes, home: bytes, spread: bytes) -> tuple[np.ndarray, Bigrams, np.ndarray, np.ndarray]:
-        tokens = np.frombuffer(low, np.uint16) | np.frombuffer(high, np.uint16).astype(np.int64) << 16
+    def read(tokens: bytes, home: bytes, spread: bytes) -> tuple[np.ndarray, Bigrams, np.ndarray, np.ndarray]:
+        tokens = _unpack(tokens, 4)
         home, spread = np.frombuffer(home, np.int32), np.frombuffer(spread, np.int32)
         return tokens, Bigrams.in_piece(tokens, home, spread, n), home, spread
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in ("piece", *blobs[:5])}
-                _, g, home, spread = read(*(row[c] for c in blobs[:4]))
-                hashes = np.frombuffer(row["hashes"], np.uint64)
+            for piece, tokens, home, spread, hashes in _rows(b, "piece", *blobs[:4]):
+                _, g, home, spread = read(tokens, home, spread)
+                hashes = _words(hashes)
                 keys, words, at = g.keys(hashes), hashes[spread == 1], home[spread == 1]
                 to = np.union1d(g.segment, at)
                 k, w = ((np.searchsorted(x, to), np.searchsorted(x, to, "right")) for x in (g.segment, at))
                 yield pa.record_batch(
-                    [pa.array(np.full(len(to), row["piece"]), pa.int64()), pa.array(to, pa.int64()), pa.array([_blob(words[x:y]) for x, y in zip(*w)], pa.binary()), pa.array([_blob(keys[x:y]) for x, y in zip(*k)], pa.binary())],
+                    [pa.array(np.full(len(to), piece), pa.int64()), pa.array(to, pa.int64()), pa.array([_pack(words[x:y], WORD_BYTES) for x, y in zip(*w)], pa.binary()), pa.array([_blob(keys[x:y]) for x, y in zip(*k)], pa.binary())],
                     names=["piece", "at", "words", "keys"],
                 )
 
     pieces = cut(map_batches(named, spread, f"piece long, {', '.join(f'{c} binary' for c in blobs)}, heads {head}"))
-    tokens = (pieces.agg(F.sum(F.octet_length("low"))).first()[0] or 0) // 2
-    answers = _answers(map_batches(pieces.select("piece", *blobs[:5]), ask, "piece long, at long, words binary, keys binary"), model, tokens)
-    body, answer = ["low", "high", "home", "spread", "hot"], ["levels", "c", "t"]
+    tokens = (pieces.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 4
+    answers = _answers(map_batches(pieces.select("piece", *blobs[:4]), ask, "piece long, at long, words binary, keys binary"), model, tokens)
+    body, answer = ["tokens", "home", "spread", "hot"], ["levels", "c", "t"]
     none = F.lit(None)
     together = pieces.select("piece", none.cast("long").alias("at"), *body, *(none.cast("binary").alias(c) for c in answer), "heads").unionByName(
         answers.select("piece", "at", *(none.cast("binary").alias(c) for c in body), *answer, none.cast(head).alias("heads"))
@@ -363,9 +401,9 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
         at = group.column("at").to_pylist()
         row = at.index(None)
         texts = group.slice(row, 1).column("heads").combine_chunks().flatten()
-        tokens, g, _, spread = read(*(group.column(c)[row].as_py() for c in body[:4]))
+        tokens, g, _, spread = read(*(group.column(c)[row].as_py() for c in body[:3]))
         parts = sorted((i for i in range(len(at)) if i != row), key=at.__getitem__)
-        q, own_c, own_t = (np.frombuffer(b"".join(group.column(c)[i].as_py() for i in parts), k) for c, k in (("levels", np.uint8), ("c", np.int64), ("t", np.int64)))
+        q, own_c, own_t = (np.concatenate([f(group.column(c)[i].as_py()) for i in parts]) for c, f in (("levels", lambda x: np.frombuffer(x, np.uint8)), ("c", _unpack), ("t", _unpack)))
         hot = np.frombuffer(group.column("hot")[row].as_py(), np.int64).reshape(-1, 2)
         c, t = np.zeros((2, len(spread)))
         c[spread == 1], t[spread == 1] = own_c, own_t
