@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lm, merkle, mixing, neardup, quality, sentencepiece, suffixes, toxicity
+from . import audit, langid, licenses, lm, merkle, mixing, neardup, quality, sentencepiece, sharding, spelling, suffixes, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_lm_scores, op5_license_scan, op6_merkle_fingerprints, op7_source_mix, op8_sentencepiece, op9_minhash_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language_id, op4_lm_scores, op5_license_scan, op6_merkle_fingerprints, op7_source_mix, op8_sentencepiece, op9_minhash_dedup, op10_suffix_dedup, op11_spelling_variants, op12_filter_audit, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.scan_sql()}
+    return {"op5_license_scan": licenses.scan_sql(), "op12_filter_audit": audit.audit_sql()}

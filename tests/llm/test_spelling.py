@@ -1,0 +1,107 @@
+"""Operator 11 against every pair of words, and each trie against plain edits."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from lodestar.llm import spelling
+
+SCHEMA = "doc_id long, text string, word string, n long, root string, lang string"
+LETTERS = "abcdeé"
+
+
+def near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def brute(rows):
+    count = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    n = {w: c for w, c in count.items() if len(w) >= 5 and c >= 3}
+    forms, n_near = {}, {}
+    for w in n:
+        others = [x for x in n if near(w, x)]
+        n_near[w] = len(others)
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        forms[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while forms[w] is not None:
+            w = forms[w]
+        return w
+
+    return {(w, forms[w], root(w), n[w], n_near[w], n.get(forms[w])) for w in n}
+
+
+def result(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x", 7, "y", None) for i, t in rows], SCHEMA)
+    return [(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.group(docs).collect()]
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(3)
+    stems = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(5, 9))) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(150):
+            w = stems[min(rng.randrange(25), rng.randrange(25))]
+            if rng.random() < 0.3:
+                at = rng.randrange(len(w))
+                w = rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice(LETTERS) + w[at:], w[:at] + rng.choice(LETTERS) + w[at + 1 :]])
+            words.append(w.title() if rng.random() < 0.1 else w)
+        rows.append((i, rng.choice([" ", ", ", "1", "\n"]).join(words)))
+    rows += [(100, None), (101, ""), (102, "12 中 !?"), (None, "aaaaaa bbbbbb " * 4), (103, "É×÷ÿÀ É×÷ÿÀ é×÷ÿà É×÷ÿÀ"), (3, rows[3][1]), (104, "x" * 3000 + " " + "x" * 2999 + "y"), (105, ("x" * 3000 + " ") * 3 + ("x" * 3001 + " ") * 9)]
+    got, want = result(spark, rows), brute(rows)
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
+    assert any(form and root != form for _, form, root, *_ in want)  # chains are met
+
+
+def test_small_tries_and_rounds_give_the_same(spark, monkeypatch):
+    rows = [(i, " ".join(a + b + c + "ing" for a in "bcd" for b in "aeiou" for c in "lmn")) for i in range(4)] + [(9, "balings " * 30)]
+    want = set(result(spark, rows))
+    monkeypatch.setattr(spelling, "SHARD_WORDS", 7)
+    monkeypatch.setattr(spelling, "ROUND_BYTES", 500)
+    monkeypatch.setattr(spelling, "BATCH_WORDS", 5)
+    # Workers cut tries by the module's own numbers, so small ones are made here.
+    words = sorted({w for _, t in rows for w in t.split()})
+    found = Counter()
+    for i in range(0, len(words), 7):
+        part = [w.encode("latin-1") for w in words[i : i + 7]]
+        trie = spelling.Trie.unpack(spelling.Trie.of(part, np.ones(len(part), np.int64)).pack())
+        for w, *_ in zip(*(x.tolist() for x in spelling.neighbours(trie, [x.encode("latin-1") for x in words]))):
+            found[words[w]] += 1
+    assert found == Counter({w: sum(near(w, x) for x in words) for w in words})
+    assert set(result(spark, rows)) == want == brute(rows)
+
+
+def test_each_neighbour_is_met_once():
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choice(b"aab\xff") for _ in range(rng.randrange(0, 7))) for _ in range(900)} - {b""})
+    trie = spelling.Trie.of(words, np.arange(1, len(words) + 1))
+    probes = [*words, b"aaaa", b"a" * 300, b"\x00", b"zz"]
+    got = Counter((probes[w], spelling.edited(probes[w], k, at, c), n) for w, k, at, c, n in zip(*(x.tolist() for x in spelling.neighbours(trie, probes))))
+    assert got == Counter((p, w, i + 1) for p in probes for i, w in enumerate(words) if near(p, w))
+
+
+def test_empty(spark):
+    assert result(spark, []) == [] and result(spark, [(1, None), (2, "few words")]) == []
+
+
+def test_megabyte_text(spark):
+    rows = [(1, "wonderful wonderfull " * 50_000), (2, "wonderful")]
+    assert set(result(spark, rows)) == brute(rows)
