@@ -11,11 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import GRAMMAR, REGISTRY_PREFIXES, abbreviate, is_bare_uuid, is_checked_term, is_ctid, is_lower, is_v4, looks_like_iri, registry_tail, vocab_prefix
 from ..sources.vocabulary import ALIGNMENT, Vocabulary
 from .flatten import flatten, properties_of, values_of
+from .joins import spread_join
 from .tables import kept
 
 CTID = "ceterms:ctid"
@@ -27,7 +29,7 @@ SHOWN = 10
 COMPETENCY, FRAMEWORK, IS_PART_OF = "ceasn:Competency", "ceasn:CompetencyFramework", "ceasn:isPartOf"
 
 FINDING = "doc_id string, code string, severity string, entity string, property string, value string, message string, rule struct<citation:string,url:string,retrieved:string>"
-_SUPPLIED = "node_id string, known array<string>, anc array<string>, source string"
+_SUPPLIED = "node_id string, known array<string>, source string"
 
 
 @dataclass
@@ -56,17 +58,23 @@ class Session:
         return self._references.join(F.broadcast(self.properties), "prop")  # a few thousand terms
 
     def _resolved(self) -> DataFrame:
+        """Each reference met with its target; ids that very many references name (in a document, or among what is supplied) are spread."""
         nodes = self.nodes.where("error IS NULL")
-        target = F.struct("ord", "label", "known", "anc")
+        target = F.struct("ord", "label", "known")
         by_id = nodes.where("node_id IS NOT NULL").groupBy("doc_id", F.concat(F.lit("i"), "node_id").alias("ref")).agg(F.min_by(target, "ord").alias("t"))
         by_path = nodes.groupBy("doc_id", F.concat(F.lit("p"), "path").alias("ref")).agg(F.max_by(target, "ord").alias("t"))
         names = self.properties.where("has_entities OR inverse IS NOT NULL").select("prop")
-        v = values_of(self.nodes).where("kind != 'other'").join(F.broadcast(names), "prop")
-        v = v.withColumn("ref", F.when(F.col("kind") == "str", F.concat(F.lit("i"), "text")).otherwise(F.concat(F.lit("p"), "target")))
-        met = v.join(by_id.unionAll(by_path), ["doc_id", "ref"], "left")
-        found = met.select("doc_id", "label", "node_id", "known", "anc", "prop", "kind", "text", F.col("t.ord").alias("t_ord"), F.col("t.label").alias("t_label"), F.col("t.known").alias("t_known"), F.col("t.anc").alias("t_anc"))
-        side = self.supplied.select(F.col("node_id").alias("text"), F.col("known").alias("s_known"), F.col("anc").alias("s_anc"), F.col("source").alias("s_source"), F.lit("str").alias("kind"))
-        return found.join(side, ["text", "kind"], "left").withColumn("s_source", F.when(F.col("t_ord").isNull(), F.col("s_source")))
+        ref = F.when(F.col("kind") == "str", F.concat(F.lit("i"), "text")).otherwise(F.concat(F.lit("p"), "target"))
+        v = values_of(self.nodes).where("kind != 'other'").join(F.broadcast(names), "prop").select("doc_id", "label", "node_id", "known", "prop", "kind", "text", ref.alias("ref"))
+        met = spread_join(v, by_id.unionAll(by_path), ["doc_id", "ref"])
+        found = met.select("doc_id", "label", "node_id", "known", "prop", "kind", "text", F.col("t.ord").alias("t_ord"), F.col("t.label").alias("t_label"), F.col("t.known").alias("t_known"))
+        if not self.supplied_count:
+            return found.withColumns({"s_known": F.lit(None).cast("array<string>"), "s_source": F.lit(None).cast("string")})
+        # Only what the document does not define is looked up, by a key that is null for the rest.
+        found = kept(found.withColumn("open", F.when(F.col("t_ord").isNull() & (F.col("kind") == "str"), F.col("text"))))
+        side = self.supplied.select(F.col("node_id").alias("open"), F.col("known").alias("s_known"), F.col("source").alias("s_source"))
+        asked = spread_join(found.where("open IS NOT NULL"), side, ["open"])
+        return asked.unionByName(found.where("open IS NULL"), allowMissingColumns=True).drop("open")
 
 
 # Where the published rules stand, and when they were read.
@@ -193,13 +201,14 @@ def domain_and_range(s: Session) -> DataFrame:
     known = F.broadcast(s.properties)
     unknown_prop = _findings(props.where(is_checked_term(p)).join(known, "prop", "left_anti"), "UNKNOWN_PROPERTY", "WARNING", p, F.lit("-"), _say("The vocabulary declares no such property"), undeclared("property", p))
     types = F.array_join("known", ", ")
-    outside = props.join(known, "prop").where((F.size("known") > 0) & (F.size("domain") > 0) & ~F.arrays_overlap("anc", "domain"))
+    outside = props.join(known, "prop").where((F.size("known") > 0) & (F.size("domain") > 0) & ~F.arrays_overlap("known", "domain_below"))
     domain = _findings(outside, "DOMAIN_VIOLATION", "ERROR", p, _say("@type=[", types, "]"), _say(p, " is not declared for [", types, "]"), _encoding(p, " has domain ", abbreviate(F.col("domain"))))
 
+    below = lambda term: F.array(*map(F.lit, s.vocab.below([term]))).cast("array<string>")
     refs = s.references().where("has_entities AND NOT universal")
-    refs = refs.withColumns({"h_known": F.coalesce("t_known", "s_known"), "h_anc": F.coalesce("t_anc", "s_anc"), "h_label": F.coalesce("t_label", "text")})
-    off = refs.where((F.size("h_known") > 0) & ~F.arrays_overlap("h_anc", "range")).withColumn("both", F.array_sort(F.array_intersect(F.array_intersect("known", "h_known"), "dropped")))
-    concept = F.col("scheme_bound") & F.array_contains("h_anc", ALIGNMENT)
+    refs = refs.withColumns({"h_known": F.coalesce("t_known", "s_known"), "h_label": F.coalesce("t_label", "text")})
+    off = refs.where((F.size("h_known") > 0) & ~F.arrays_overlap("h_known", "range_below")).withColumn("both", F.array_sort(F.array_intersect(F.array_intersect("known", "h_known"), "dropped")))
+    concept = F.col("scheme_bound") & F.arrays_overlap("h_known", below(ALIGNMENT))
     version = p.isin(*VERSION_PROPERTIES) & (F.size("both") > 0)
     child = (p == DOCUMENTED_PAIR[0]) & F.array_contains("h_known", DOCUMENTED_PAIR[1])
     shown = F.when(F.col("kind") == "str", F.col("text")).otherwise(F.col("h_label"))
@@ -218,33 +227,50 @@ def domain_and_range(s: Session) -> DataFrame:
         shown,
     )
 
-    frameworks = s.nodes.where(F.col("node_id").isNotNull() & F.array_contains("anc", FRAMEWORK)).groupBy("doc_id").agg(F.sort_array(F.collect_set("node_id")).alias("own"))
-    # Of the frameworks supplied, a message names the first few; how many there are is counted.
-    held = s.supplied.where(F.array_contains("anc", FRAMEWORK)).select("node_id")
+    mismatch = _of_no_framework(s, F.arrays_overlap("known", below(COMPETENCY)), F.arrays_overlap("known", below(FRAMEWORK)))
+    return unknown_class.unionAll(unknown_prop).unionAll(domain).unionAll(range_).unionAll(mismatch)
+
+
+def _of_no_framework(s: Session, is_competency: Column, is_framework: Column) -> DataFrame:
+    """Competencies that are part of no framework at hand; of the frameworks a message names the first few, and how many more there are is counted."""
+    own = s.nodes.where(F.col("node_id").isNotNull() & is_framework).select("doc_id", "node_id").distinct()
+    held = s.supplied.where(is_framework).select("node_id")
     beside = [r[0] for r in held.orderBy("node_id").limit(SHOWN).collect()]
     n_beside = held.count() if len(beside) == SHOWN else len(beside)
-    stray = s.references().where((p == IS_PART_OF) & (F.col("kind") == "str") & F.array_contains("anc", COMPETENCY) & F.col("t_ord").isNull() & F.col("s_source").isNull())
+    counted = own.join(held.withColumn("both", F.lit(1)), "node_id", "left") if beside else own.withColumn("both", F.lit(None).cast("int"))
+    first = own.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("node_id"))).where(F.col("place") <= SHOWN).groupBy("doc_id").agg(F.array_sort(F.collect_list("node_id")).alias("own"))  # SHOWN at most
+    frameworks = kept(first.join(counted.groupBy("doc_id").agg((F.count("*") - F.count("both")).alias("n_own")), "doc_id"))
+    stray = s.references().where((F.col("prop") == IS_PART_OF) & (F.col("kind") == "str") & is_competency & F.col("t_ord").isNull() & F.col("s_source").isNull()).select("doc_id", "label", "text")
     texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    seen = stray.join(frameworks, "doc_id", "left").withColumn("all", F.array_sort(F.array_union(F.coalesce("own", texts([])), texts(beside))))
+    seen = spread_join(stray, frameworks, ["doc_id"]).withColumns({"all": F.slice(F.array_sort(F.array_union(F.coalesce("own", texts([])), texts(beside))), 1, SHOWN), "n_all": F.coalesce("n_own", F.lit(0)) + n_beside}).where("n_all > 0")
     where = "this document or those supplied" if beside else "this document"
-    more = f" and {n_beside - len(beside)} more supplied" if n_beside > len(beside) else ""
-    mismatch = _findings(seen.where(F.size("all") > 0), "ISPARTOF_FRAMEWORK_MISMATCH", "WARNING", IS_PART_OF, F.col("text"), _say(f"No framework in {where} has this identifier; there is ", F.array_join("all", ", "), more), _rule("Handbook: a competency and its framework share a graph", HANDBOOK_URL, RETRIEVED))
-    return unknown_class.unionAll(unknown_prop).unionAll(domain).unionAll(range_).unionAll(mismatch)
+    left = F.col("n_all") - F.size("all")
+    more = F.when(left > 0, F.format_string(" and %d more%s", left, F.when(F.col("own").isNull(), " supplied").otherwise(""))).otherwise("")
+    return _findings(seen, "ISPARTOF_FRAMEWORK_MISMATCH", "WARNING", IS_PART_OF, F.col("text"), _say(f"No framework in {where} has this identifier; there is ", F.array_join("all", ", "), more), _rule("Handbook: a competency and its framework share a graph", HANDBOOK_URL, RETRIEVED))
 
 
 def inverses(s: Session) -> DataFrame:
-    """Check 5: declared inverses between two entities of one document."""
+    """Check 5: declared inverses between two entities of one document.
+
+    Whether a target states the inverse, and whether it names the subject there, are
+    questions of membership: an anti-join on (document, target, inverse, subject) leaves the
+    references that are not answered, a join on (document, target, inverse) tells
+    which of them meet a property at all.  No list travels with a reference.
+    """
     p, inv = F.col("prop"), F.col("inverse")
-    refs = s.references().where("node_id IS NOT NULL AND inverse IS NOT NULL AND t_ord IS NOT NULL")
-    back = properties_of(s.nodes).select("doc_id", F.col("ord").alias("t_ord"), F.col("prop").alias("inverse"), F.col("texts").alias("back"))
-    met = refs.join(back, ["doc_id", "t_ord", "inverse"], "left")
+    refs = s.references().where("node_id IS NOT NULL AND inverse IS NOT NULL AND t_ord IS NOT NULL").select("doc_id", "label", "node_id", "prop", "inverse", "kind", "text", "t_ord", "t_label")
+    asked = F.broadcast(s.properties.where("inverse IS NOT NULL").select("inverse").distinct())
+    stated = properties_of(s.nodes).select("doc_id", F.col("ord").alias("t_ord"), F.col("prop").alias("inverse"), "vals").join(asked, "inverse")
+    named = stated.select("doc_id", "t_ord", "inverse", F.explode("vals").alias("v")).where("v.kind = 'str'").select("doc_id", "t_ord", "inverse", F.col("v.text").alias("node_id"))
+    open_ = kept(refs.join(named, ["doc_id", "t_ord", "inverse", "node_id"], "left_anti"))
+    met = spread_join(open_, stated.select("doc_id", "t_ord", "inverse", F.lit(True).alias("stated")), ["doc_id", "t_ord", "inverse"])
     text = F.when(F.col("kind") == "str", F.col("text")).otherwise(F.col("t_label"))
     rule = _encoding(p, " is declared the inverse of ", inv)
     return _cases(
         met,
         [
-            (F.col("back").isNull(), "INVERSE_ONE_DIRECTION", "INFO", _say(F.col("t_label"), " does not state ", inv, "; one direction is enough"), rule),
-            (F.col("back").isNotNull() & ~F.array_contains("back", F.col("node_id")), "INVERSE_MISMATCH", "ERROR", _say(F.col("t_label"), " states ", inv, " and does not name ", F.col("node_id")), rule),
+            (F.col("stated").isNull(), "INVERSE_ONE_DIRECTION", "INFO", _say(F.col("t_label"), " does not state ", inv, "; one direction is enough"), rule),
+            (F.col("stated").isNotNull(), "INVERSE_MISMATCH", "ERROR", _say(F.col("t_label"), " states ", inv, " and does not name ", F.col("node_id")), rule),
         ],
         p,
         text,
@@ -258,7 +284,7 @@ def supplied_entities(documents: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Identified entities of supplied documents (doc_id, raw, source, set_ord): of one id, the first document's first node; blank nodes do not count."""
     nodes = flatten(documents, vocab).where("error IS NULL AND node_id IS NOT NULL AND NOT startswith(node_id, '_:')")
     named = nodes.join(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "set_ord"), "doc_id")
-    return named.groupBy("node_id").agg(F.min_by(F.struct("known", "anc", "source"), F.struct("set_ord", "ord")).alias("e")).select("node_id", "e.known", "e.anc", "e.source")
+    return named.groupBy("node_id").agg(F.min_by(F.struct("known", "source"), F.struct("set_ord", "ord")).alias("e")).select("node_id", "e.known", "e.source")
 
 
 def screened(documents: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ LITERAL_RANGES = frozenset("xsd:anyURI xsd:boolean xsd:date xsd:dateTime xsd:dec
 UNIVERSAL_RANGE = "rdfs:Resource"
 CONCEPT, ALIGNMENT = "skos:Concept", "ceterms:CredentialAlignmentObject"
 
-PROPERTY = "prop string, domain array<string>, range array<string>, inverse string, id_coerced boolean, language_map boolean, target_scheme array<string>, has_entities boolean, universal boolean, scheme_bound boolean, siblings array<string>, dropped array<string>"
+PROPERTY = "prop string, domain array<string>, range array<string>, inverse string, id_coerced boolean, language_map boolean, target_scheme array<string>, has_entities boolean, universal boolean, scheme_bound boolean, siblings array<string>, dropped array<string>, domain_below array<string>, range_below array<string>"
 
 
 @dataclass
@@ -130,6 +130,11 @@ class Vocabulary:
     def ancestors(self, terms: Iterable[str]) -> set[str]:
         return {a for t in terms for a in self.closure.get(t, (t,))}
 
+    def below(self, terms: Iterable[str]) -> list[str]:
+        """Declared classes that are one of ``terms`` or descend from it."""
+        wanted = set(terms)
+        return sorted(t for t, up in self.closure.items() if up & wanted)
+
     def siblings(self, prop: str) -> list[str]:
         """Other properties of one of its schemes whose range is the alignment object."""
         own = self.properties[prop].scheme
@@ -137,7 +142,7 @@ class Vocabulary:
 
     def property_table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (t, sorted(p.domain), sorted(p.range), p.inverse, p.id_coerced, p.language_map, sorted(p.scheme), p.has_entities, UNIVERSAL_RANGE in p.range, CONCEPT in p.range and bool(p.scheme), self.siblings(t), sorted(p.domain - p.range))
+            (t, sorted(p.domain), sorted(p.range), p.inverse, p.id_coerced, p.language_map, sorted(p.scheme), p.has_entities, UNIVERSAL_RANGE in p.range, CONCEPT in p.range and bool(p.scheme), self.siblings(t), sorted(p.domain - p.range), self.below(p.domain), self.below(p.range))
             for t, p in sorted(self.properties.items())
         ]
         return spark.createDataFrame(rows, PROPERTY)

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from lodestar.operators import checks, findings
-from lodestar.operators.flatten import flatten, nodes_of, values_of
+from lodestar.operators.flatten import Walker, flatten, nodes_of_text, values_of
 from lodestar.plans.mini_vocabulary import files, mini
 from lodestar.sources.vocabulary import Vocabulary
 
@@ -149,13 +149,14 @@ def test_supplied_documents(spark):
 
 
 def test_flatten_paths_and_collisions(spark):
-    v = mini()
-    paths = lambda d: [n["path"] for n in nodes_of(json.dumps(d), v)]
+    v, walker = mini(), Walker(mini())
+    paths = lambda d: [path for _, path, *_ in nodes_of_text(json.dumps(d), walker)]
     assert paths({"@graph": [{}, {"ceterms:ownedBy": [{"x": 1}, "a", {"y": 2}]}]}) == ["$.@graph[0]", "$.@graph[1]", "$.@graph[1].ceterms:ownedBy[0]", "$.@graph[1].ceterms:ownedBy[2]"]
     assert paths([{}]) == ["$"] and paths([{}, {}]) == ["$[0]", "$[1]"]
-    n = nodes_of('{"ceterms:ctid": "a", "https://purl.org/ctdl/terms/ctid": ["b"], "ceterms:name": {"en": "x"}, "@type": ""}', v)
-    assert len(n) == 1 and n[0]["types"] == [] and [x["text"] for x in n[0]["props"][0]["vals"]] == ["b"]
-    assert nodes_of('{"a:b": NaN, "a:c": 123456789012345678901234567890}', v)[0]["props"][1]["vals"][0]["text"] == "123456789012345678901234567890"
+    ((_, _, _, types, _, props),) = nodes_of_text('{"ceterms:ctid": "a", "https://purl.org/ctdl/terms/ctid": ["b"], "ceterms:name": {"en": "x"}, "@type": ""}', walker)
+    assert types == [] and [text for _, text, _ in props["ceterms:ctid"]] == ["b"]
+    ((*_, props),) = nodes_of_text('{"a:b": NaN, "a:c": 123456789012345678901234567890}', walker)
+    assert props["a:c"][0][1] == "123456789012345678901234567890"
     rows = values_of(flatten(documents(spark, [("d", '{"a:b": "\\ud800", "a:c": []}')]), v)).collect()
     assert [r["text"] for r in rows] == ["?"]
 
