@@ -120,11 +120,40 @@ def requests(drawn: int, fetched: int, failed: int, recorded: int, robots: int =
     return {"implied": drawn + fetched + failed + robots, "recorded": recorded}
 
 
+def both_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, pass, code, n_before, n_after of two runs' counts (doc_id, pass, code, n): one grouping of both, no join."""
+    no = F.lit(0).cast("long")
+    each = before.select("doc_id", "pass", "code", F.col("n").cast("long").alias("n_before"), no.alias("n_after")).unionAll(after.select("doc_id", "pass", "code", no.alias("n_before"), F.col("n").cast("long").alias("n_after")))
+    return each.groupBy("doc_id", "pass", "code").agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
+
+
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """doc_id, pass, code, before, after where two runs' counts (doc_id, pass, code, n) differ."""
-    keys = ["doc_id", "pass", "code"]
-    both = before.withColumnRenamed("n", "before").join(after.withColumnRenamed("n", "after"), keys, "full")
-    return both.fillna(0, ["before", "after"]).where("before != after")
+    """doc_id, pass, code, n_before, n_after where two runs' counts differ."""
+    return both_runs(before, after).where("n_before != n_after")
+
+
+def reclassified(before: DataFrame, after: DataFrame, lost: str, gained: str) -> DataFrame:
+    """doc_id, pass, n_moved, explained of every document and pass in which two runs differ.
+
+    ``n_moved`` findings changed from code ``lost`` to ``gained``; ``explained`` says
+    that this is all that changed: as many came as went, and each other code has its count.
+    """
+    n = lambda code: F.sum(F.when(F.col("code") == code, F.col("n_after") - F.col("n_before")).otherwise(0))
+    other = F.count_if(~F.col("code").isin(lost, gained) & (F.col("n_before") != F.col("n_after")))
+    moves = both_runs(before, after).groupBy("doc_id", "pass").agg((-n(lost)).alias("n_moved"), n(gained).alias("n_gained"), other.alias("n_other"))
+    return moves.where("n_moved != 0 OR n_gained != 0 OR n_other > 0").select("doc_id", "pass", "n_moved", ((F.col("n_moved") == F.col("n_gained")) & (F.col("n_other") == 0)).alias("explained"))
+
+
+def share_report(codes: DataFrame, documents: DataFrame) -> DataFrame:
+    """code, severity, pass, documents, share: how many documents carry a code, and in whole percent of all of that pass; code ``*`` is any of a severity.
+
+    ``documents`` has (doc_id, pass), ``codes`` (doc_id, pass, code, severity, n).  Shares round halves to even.
+    """
+    total = F.broadcast(documents.groupBy("pass").agg(F.countDistinct("doc_id").alias("of")))  # a row for each pass
+    held = codes.where("n > 0").groupBy("doc_id", "pass", "severity", "code").agg(F.lit(1).alias("one"))
+    every = held.select("doc_id", "pass", "severity", F.explode(F.array(F.col("code"), F.lit("*"))).alias("code")).distinct()
+    carried = every.groupBy("pass", "severity", "code").agg(F.count("*").alias("documents"))
+    return carried.join(total, "pass").select("code", "severity", "pass", "documents", F.bround(100 * F.col("documents") / F.col("of")).cast("long").alias("share"))
 
 
 def only_unverifiable(codes: DataFrame) -> DataFrame:

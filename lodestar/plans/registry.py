@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..operators import checks, findings, mapping, markup, survey
+from ..operators.closure import ancestors
 from ..operators.tables import kept
 from . import projection
-from .mini_vocabulary import CLASSES, PREFIXES, mini
+from .mini_vocabulary import PREFIXES, mini
 
 Query = Callable[[SparkSession, str], DataFrame]
 COLUMNS = ("doc_id", "code", "severity", "entity", "property", "value")
@@ -64,13 +65,32 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.exit_codes(projection.corpus(spark, sf_dir), s.nodes, checks.validate(s), "warning")
 
 
+# A hierarchy out of the tables: parts under types, whose beginnings are levels, and under brands; who sells and buys under nations and regions, and customers also under customers.
+_TYPE = "concat('type:', p_type)"
+_LEVELS = ["substr(p_type, 1, 3)", "substr(p_type, 1, 1)"]
+_EDGES = [
+    ("part", "concat('part:', cast(p_partkey as varchar(20)))", _TYPE),
+    ("part", "concat('part:', cast(p_partkey as varchar(20)))", "concat('brand:', p_brand)"),
+    ("part", "concat('brand:', p_brand)", "concat('maker:', substr(p_brand, 1, length(p_brand) - 1))"),
+    ("part", _TYPE, f"concat('type:', {_LEVELS[0]})"),
+    ("part", f"concat('type:', {_LEVELS[0]})", f"concat('type:', {_LEVELS[1]})"),
+    ("supplier", "concat('supplier:', cast(s_suppkey as varchar(20)))", "concat('nation:', cast(s_nationkey as varchar(20)))"),
+    ("customer", "concat('customer:', cast(c_custkey as varchar(20)))", "concat('nation:', cast(c_nationkey as varchar(20)))"),
+    ("customer", "concat('customer:', cast(c_custkey as varchar(20)))", "concat('customer:', cast(cast(floor(c_custkey / 8) as bigint) as varchar(20)))"),
+    ("nation", "concat('nation:', cast(n_nationkey as varchar(20)))", "concat('region:', cast(n_regionkey as varchar(20)))"),
+]
+_EDGES_SQL = " UNION ALL ".join(f"SELECT {term} AS term, {parent} AS parent FROM {table}" for table, term, parent in _EDGES)
+
+
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mini().class_table(spark).select("term", F.explode("ancestors").alias("ancestor"))
+    """Each part, type, brand, supplier, customer and nation with all that it comes under."""
+    for table in {t for t, *_ in _EDGES}:
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return ancestors(spark.sql(_EDGES_SQL))
 
 
-_CLOSURE_SQL = f"""WITH RECURSIVE p(term, parent) AS (VALUES {', '.join(f"('{c}', '{x}')" for c, ps in CLASSES.items() for x in ps)}),
-c(term) AS (VALUES {', '.join(f"('{c}')" for c in CLASSES)}),
-r(term, ancestor) AS (SELECT term, term FROM c UNION SELECT r.term, p.parent FROM r JOIN p ON p.term = r.ancestor) SELECT term, ancestor FROM r"""
+_CLOSURE_SQL = f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES_SQL}) WHERE term IS NOT NULL AND parent IS NOT NULL),
+r(term, ancestor) AS (SELECT DISTINCT term, term FROM e UNION SELECT r.term, e.parent FROM r JOIN e ON e.term = r.ancestor) SELECT term, ancestor FROM r"""
 
 _IRIS = "CASE k % 5 WHEN 0 THEN concat('https://purl.org/ctdl/terms/t', cast(k as varchar(20))) WHEN 1 THEN concat('https://schema.org/s', cast(k as varchar(20))) WHEN 2 THEN 'https://purl.org/ctdlasn/terms/' WHEN 3 THEN concat('https://example.org/', cast(k as varchar(20))) ELSE concat('ceterms:x', cast(k as varchar(20))) END"
 
@@ -288,7 +308,28 @@ def publisher_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _sql(spark, sf_dir, _CODES_SQL)
     of = lambda p: runs.where(F.col("pass") == p).select("doc_id", F.lit("x").alias("pass"), "code", "n")
-    return survey.compare_runs(of("alone"), of("resolved")).select("doc_id", "code", "before", "after")
+    return survey.compare_runs(of("alone"), of("resolved")).select("doc_id", "code", "n_before", "n_after")
+
+
+# A second run: some findings of one code have become another's; in a few documents something else changed too.
+_LATER = [("RANGE_VIOLATION", "k % 3 + 1", "k % 5 = 0 AND k % 2 = 1"), ("CONCEPT_RANGE_CONFLICT", "k % 3 + 1", "k % 5 = 0 AND k % 2 = 0"), ("CTID_MALFORMED", "CASE WHEN k % 31 = 0 THEN 2 ELSE 1 END", "k % 4 = 0"), ("REF_NOT_IRI", "1", "k % 29 = 0")]
+_EARLIER = [("RANGE_VIOLATION", "k % 3 + 1", "k % 5 = 0"), ("CTID_MALFORMED", "1", "k % 4 = 0")]
+_RUNS_SQL = [" UNION ALL ".join(f"SELECT k AS doc_id, '{p}' AS pass, '{c}' AS code, cast({n} as bigint) AS n FROM {_SURVEY} WHERE {w}" for c, n, w in run for p in ("alone", "resolved")) for run in (_EARLIER, _LATER)]
+
+
+def two_run_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.reclassified(_sql(spark, sf_dir, _RUNS_SQL[0]), _sql(spark, sf_dir, _RUNS_SQL[1]), "RANGE_VIOLATION", "CONCEPT_RANGE_CONFLICT")
+
+
+def error_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an ERROR code, its count and the first example."""
+    found = checks.ctid_format(_session(spark, sf_dir)).distinct()
+    rows = survey.error_table(survey.summarize(found).withColumn("pass", F.lit("alone")))
+    return rows.select("doc_id", "pass", "code", "n", F.col("example.entity").alias("entity"), F.col("example.property").alias("property"), F.col("example.value").alias("value"))
+
+
+def code_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.share_report(_sql(spark, sf_dir, _CODES_SQL), _sql(spark, sf_dir, _DOCS_SQL))
 
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +382,12 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
 
 
-_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
+_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
+
+
+_ERRORS_SQL = f"""WITH e AS ({projection.expected("CTID_BARE_UUID", "CTID_MALFORMED", "CTID_URI_MISMATCH", "REGISTRY_URI_MALFORMED")}),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, code) AS n, row_number() OVER (PARTITION BY doc_id, code ORDER BY entity, property, value) AS i FROM e)
+SELECT doc_id, 'alone' AS pass, code, n, entity, property, CASE WHEN code = 'CTID_MALFORMED' OR starts_with(value, 'CE-') THEN concat('<withheld: ', length(value), ' characters>') ELSE value END AS value FROM f WHERE i = 1"""
 
 
 def queries() -> dict[str, Query]:
@@ -376,7 +422,10 @@ def oracle_sql() -> dict[str, str]:
         "type_table_pooled": f"WITH t AS (SELECT CASE WHEN k % 1000 < 10 THEN concat('rare', k % 1000) ELSE type END AS type FROM {_SURVEY}), n AS (SELECT type, count(*) AS c FROM t GROUP BY 1) SELECT CASE WHEN c >= 1000 THEN type ELSE 'all other types' END AS type, sum(c)::BIGINT AS documents FROM n GROUP BY 1",
         "publisher_concentration": f"WITH n AS (SELECT publisher, count(*) AS c FROM ({_PUBLISHERS}) GROUP BY 1), t AS (SELECT count(*) AS keys, sum(c)::BIGINT AS documents FROM n), f AS (SELECT c FROM n ORDER BY c DESC, publisher LIMIT 5) SELECT keys, documents, round_even(100.0 * (SELECT max(c) FROM f) / documents, 0)::BIGINT AS top1_share, round_even(100.0 * (SELECT sum(c) FROM f) / documents, 0)::BIGINT AS top5_share FROM t",
         "publisher_labels": f"SELECT publisher, printf('P%03d', row_number() OVER (ORDER BY min(k), publisher)) AS label FROM {_SURVEY} GROUP BY 1",
-        "two_run_diff": f"WITH c AS MATERIALIZED ({_CODES_SQL}), a AS (SELECT doc_id, code, n AS before FROM c WHERE pass = 'alone'), r AS (SELECT doc_id, code, n AS after FROM c WHERE pass = 'resolved') SELECT doc_id, code, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM a FULL JOIN r USING (doc_id, code) WHERE coalesce(before, 0) <> coalesce(after, 0)",
+        "two_run_diff": f"SELECT doc_id, code, sum(CASE WHEN pass = 'alone' THEN n ELSE 0 END)::BIGINT AS n_before, sum(CASE WHEN pass = 'resolved' THEN n ELSE 0 END)::BIGINT AS n_after FROM ({_CODES_SQL}) GROUP BY doc_id, code HAVING sum(CASE WHEN pass = 'alone' THEN n ELSE -n END) <> 0",
+        "two_run_moves": f"WITH c AS (SELECT doc_id, pass, code, sum(b)::BIGINT AS b, sum(a)::BIGINT AS a FROM (SELECT doc_id, pass, code, n AS b, 0 AS a FROM ({_RUNS_SQL[0]}) UNION ALL SELECT doc_id, pass, code, 0, n FROM ({_RUNS_SQL[1]})) GROUP BY ALL), d AS (SELECT doc_id, pass, sum(CASE WHEN code = 'RANGE_VIOLATION' THEN b - a ELSE 0 END)::BIGINT AS n_moved, sum(CASE WHEN code = 'CONCEPT_RANGE_CONFLICT' THEN a - b ELSE 0 END)::BIGINT AS came, count(*) FILTER (code NOT IN ('RANGE_VIOLATION', 'CONCEPT_RANGE_CONFLICT') AND a <> b) AS others FROM c GROUP BY ALL) SELECT doc_id, pass, n_moved, n_moved = came AND others = 0 AS explained FROM d WHERE n_moved <> 0 OR came <> 0 OR others > 0",
+        "error_table": _ERRORS_SQL,
+        "code_shares": f"WITH t AS (SELECT pass, count(DISTINCT doc_id) AS total FROM ({_DOCS_SQL}) GROUP BY 1), c AS (SELECT doc_id, pass, severity, code FROM ({_CODES_SQL}) UNION SELECT doc_id, pass, severity, '*' FROM ({_CODES_SQL})), n AS (SELECT pass, severity, code, count(*) AS documents FROM c GROUP BY ALL) SELECT code, severity, pass, documents, round_even(100.0 * documents / total, 0)::BIGINT AS share FROM n JOIN t USING (pass)",
         "settled": f"SELECT doc_id, sum(CASE WHEN severity <> 'UNVERIFIABLE' THEN 0 WHEN pass = 'alone' THEN n ELSE -n END)::BIGINT AS settled FROM ({_CODES_SQL}) GROUP BY 1 HAVING settled <> 0",
         "only_unverifiable": f"WITH d AS (SELECT doc_id, pass, bool_or(severity = 'ERROR') AS e, bool_or(severity = 'WARNING') AS w, bool_or(severity = 'INFO') AS i FROM ({_CODES_SQL}) GROUP BY ALL) SELECT pass, count(*) FILTER (NOT w AND NOT i) AS only_unverifiable, count(*) FILTER (w) AS with_warning, count(*) FILTER (i) AS with_info FROM d WHERE NOT e GROUP BY 1",
         "exclusions": _EXCLUSIONS_SQL,
