@@ -130,3 +130,30 @@ def expected(*codes: str, beside: bool = False) -> str:
     rows = [x for x in _EXPECTED if not (beside and x[:1] + x[4:5] == ("REF_OUTSIDE_PAYLOAD", "owner"))] + (_SUPPLIED_EXPECTED if beside else [])
     parts = [f"SELECT doc_id, '{code}' AS code, '{sev}' AS severity, {e} AS entity, {p} AS property, {v} AS value FROM d WHERE {cond}" for code, sev, e, p, v, cond in rows if not codes or code in codes]
     return f"WITH d AS ({FIELDS}) SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})"
+
+
+# Large documents: one for each supplier, with a node for each of its line items.
+_ITEM = "concat('https://i.example/', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)))"
+_OF = "concat('https://s.example/', cast(l_suppkey as varchar(20)))"
+_LARGE = f"SELECT DISTINCT cast(l_suppkey as varchar(20)) AS doc_id, {_OF} AS parent, {_ITEM} AS item, l_linenumber AS i FROM lineitem"
+
+
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, raw: a competency that names its children (but every seventh), which name it, another or none; and frameworks, of which it names none."""
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    rows = spark.sql(_LARGE)
+    up = F.when(F.col("i") % 3 == 1, F.concat(F.lit(', "ceasn:isChildOf": "'), "parent", F.lit('"'))).when(F.col("i") % 3 == 2, F.lit(', "ceasn:isChildOf": "https://s.example/other"')).otherwise("")
+    child = F.concat(F.lit('{"@id": "'), "item", F.lit('", "@type": "ceasn:Competency"'), up, F.lit("}"))
+    framework = F.when(F.col("i") == 1, F.concat(F.lit('{"@id": "'), "item", F.lit('/f", "@type": "ceasn:CompetencyFramework"}')))
+    named = F.when(F.col("i") != 7, F.concat(F.lit('"'), "item", F.lit('"')))
+    one = rows.groupBy("doc_id", "parent").agg(*(F.array_join(F.collect_list(c), ", ").alias(n) for n, c in (("children", child), ("frameworks", framework), ("named", named))))  # a document is a row
+    first = F.concat(F.lit('{"@id": "'), "parent", F.lit('", "@type": "ceasn:Competency", "ceasn:isPartOf": "https://f.example/gone", "ceasn:hasChild": ['), "named", F.lit("]}"))
+    nodes = F.concat_ws(", ", first, "children", F.when(F.col("frameworks") != "", F.col("frameworks")))
+    return one.select("doc_id", F.concat(F.lit('{"@graph": ['), nodes, F.lit("]}")).alias("raw"))
+
+
+LARGE_EXPECTED = f"""WITH d AS ({_LARGE})
+SELECT doc_id, 'INVERSE_ONE_DIRECTION' AS code, 'INFO' AS severity, parent AS entity, 'ceasn:hasChild' AS property, item AS value FROM d WHERE i <> 7 AND i % 3 = 0
+UNION ALL SELECT doc_id, 'INVERSE_MISMATCH', 'ERROR', parent, 'ceasn:hasChild', item FROM d WHERE i <> 7 AND i % 3 = 2
+UNION ALL SELECT doc_id, 'INVERSE_MISMATCH', 'ERROR', item, 'ceasn:isChildOf', parent FROM d WHERE i = 7
+UNION ALL SELECT DISTINCT doc_id, 'ISPARTOF_FRAMEWORK_MISMATCH', 'WARNING', parent, 'ceasn:isPartOf', 'https://f.example/gone' FROM d WHERE i = 1"""

@@ -50,6 +50,13 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.validate(_session(spark, sf_dir)).select(*COLUMNS)
 
 
+def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverses and frameworks in documents of hundreds of nodes."""
+    s = checks.session(projection.large(spark, sf_dir), mini())
+    found = checks.inverses(s).unionAll(checks.domain_and_range(s).where("code = 'ISPARTOF_FRAMEWORK_MISMATCH'"))
+    return found.select(*COLUMNS).distinct()
+
+
 def ref_resolution_supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir, beside=True)
     found = checks.references(s).unionAll(checks.domain_and_range(s).where("code = 'RANGE_VIOLATION'"))
@@ -382,7 +389,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
 
 
-_OWN: tuple[Query, ...] = (validate_all, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
+_OWN: tuple[Query, ...] = (validate_all, large_documents, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
 
 
 _ERRORS_SQL = f"""WITH e AS ({projection.expected("CTID_BARE_UUID", "CTID_MALFORMED", "CTID_URI_MISMATCH", "REGISTRY_URI_MALFORMED")}),
@@ -401,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
     notes = [(k, c, s, t) for k, rows in _NOTES.items() for c, s, t in rows]
     return out | {
         "validate_all": every,
+        "large_documents": projection.LARGE_EXPECTED,
         "ref_resolution_supplied": projection.expected("REF_OUTSIDE_PAYLOAD", "REF_RESOLVED_SUPPLIED", "RANGE_VIOLATION", beside=True),
         "finalize_counts": f"SELECT doc_id, {sev}, count(code)::BIGINT AS n_findings FROM (SELECT DISTINCT cast(o_orderkey as varchar) AS doc_id FROM orders) LEFT JOIN ({every}) USING (doc_id) GROUP BY 1",
         "gate": f"SELECT doc_id, max(CASE WHEN severity IN ('ERROR', 'WARNING') THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM (SELECT DISTINCT cast(o_orderkey as varchar) AS doc_id FROM orders) LEFT JOIN ({every}) USING (doc_id) GROUP BY 1",
