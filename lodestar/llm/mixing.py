@@ -1,6 +1,7 @@
 """Mixing sources to target weights (operator 7).
 
-Every source is one stream of words, packed into blocks of ``block_words``.
+Every source is one stream of words, packed into blocks of a hundredth of it (at
+least one word, at most ``block_words``), so that a small source meets its target too.
 Targets come from water-filling; the driver draws, for each output shard,
 multinomial counts of blocks per source, with probabilities that follow what
 each source still lacks, so that the totals land on the targets.  The j-th slot
@@ -32,8 +33,10 @@ from .common import WORD, cut, map_batches, mix
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 128
-#: Blocks of a shard where there are few shards, shards at most, and counts (shard, source) that the driver draws at most.
-SHARD_BLOCKS, MAX_SHARDS, MAX_COUNTS = 4096, 4096, 1 << 24
+#: A source has at least as many blocks as this, if it has as many words.
+LEAST_BLOCKS = 100
+#: Blocks of a shard where there are few shards, shards at most, and counts (shard, source) that the driver draws (with more sources, one each): then shards are larger, and tasks take no more than SHARD_BLOCKS of one.
+SHARD_BLOCKS, MAX_SHARDS, MAX_COUNTS = 4096, 4096, 1 << 20
 #: Documents in a bucket of a source's stream; a bucket is what one task sums up in order.
 BUCKET_DOCS = 256
 #: Buckets whose sums are added up in one task before the groups of buckets are.
@@ -44,7 +47,7 @@ SEED = 7
 @dataclass
 class Mix:
     docs: DataFrame  # doc_id, text_hash, source_ix, size, start
-    sources: DataFrame  # source, source_ix, source_size, target, n_blocks
+    sources: DataFrame  # source, source_ix, source_size, target, n_blocks, block_words
     pieces: DataFrame  # source_ix, block, doc_id, text_hash, start, first_word, n_words
     slots: DataFrame  # shard, source_ix, slot, block
 
@@ -135,33 +138,36 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: f
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), cap)
-    n_blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
+    widths = [max(1, min(block_words, s // LEAST_BLOCKS)) for s in sizes]
+    n_blocks = np.array([-(-s // w) for s, w in zip(sizes, widths)], np.int64)
     n_slots = np.array([min(round(t * n / s), int(cap * n)) if s else 0 for t, n, s in zip(targets, n_blocks.tolist(), sizes)], np.int64)
-    sources = spark.createDataFrame([(r["source"], i, sizes[i], float(targets[i]), int(n_blocks[i])) for i, r in enumerate(rows)], "source string, source_ix int, source_size long, target double, n_blocks long")
+    sources = spark.createDataFrame([(r["source"], i, sizes[i], float(targets[i]), int(n_blocks[i]), widths[i]) for i, r in enumerate(rows)], "source string, source_ix int, source_size long, target double, n_blocks long, block_words long")
 
     # Each source's stream: buckets one after the other, documents in order within a bucket.
     n_buckets = max(1, sum(r["n"] for r in rows) // BUCKET_DOCS)
-    placed = sized.join(sources.select(F.col("source").alias("s"), "source_ix"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_buckets)))
+    placed = sized.join(sources.select(F.col("source").alias("s"), "source_ix", "block_words"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_buckets)))
     base = bucket_starts(placed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("in_bucket")))
     within = W.partitionBy("source_ix", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    laid = placed.withColumn("upto", F.sum("size").over(within)).join(base, ["source_ix", "bucket"]).select("doc_id", "text_hash", "source_ix", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    laid = placed.withColumn("upto", F.sum("size").over(within)).join(base, ["source_ix", "bucket"]).select("doc_id", "text_hash", "source_ix", "block_words", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
     last = F.col("start") + F.col("size") - 1
-    b = F.lit(block_words)
+    b = F.col("block_words")
     pieces = (
         laid.where("size > 0")
-        .select("*", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor(last / b))).alias("block"))
+        .select("*", F.explode(F.sequence(F.expr("start DIV block_words"), F.expr("(start + size - 1) DIV block_words"))).alias("block"))
         .select("source_ix", "block", "doc_id", "text_hash", "start", (F.greatest("start", F.col("block") * b) - F.col("start")).alias("first_word"), (F.least(last, F.col("block") * b + b - 1) - F.greatest("start", F.col("block") * b) + 1).alias("n_words"))
     )
 
     drawn = draw_shards(n_slots, seed)
     before = np.cumsum(drawn, axis=0) - drawn
-    counts = spark.createDataFrame([(int(i), int(s), int(n_blocks[s]), int(before[i, s]), int(drawn[i, s])) for i, s in zip(*np.nonzero(drawn))], "shard int, source_ix int, n_blocks long, first long, n long")
+    shard, source = np.nonzero(drawn)
+    columns = {"shard": shard, "source_ix": source, "n_blocks": n_blocks[source], "first": before[shard, source], "n": drawn[shard, source]}
+    counts = spark.createDataFrame(pa.table(columns), "shard long, source_ix long, n_blocks long, first long, n long").withColumns({c: F.col(c).cast("int") for c in ("shard", "source_ix")})
     upto = F.col("first") + F.col("n") - 1
     runs = counts.select("shard", "source_ix", "n_blocks", upto.alias("upto"), F.explode(F.sequence(F.col("first"), upto, F.lit(SHARD_BLOCKS))).alias("from"))
     each = F.sequence(F.col("from"), F.least(F.col("from") + SHARD_BLOCKS - 1, "upto"))
     slots = map_batches(runs.repartition("shard", "source_ix", "from").select("shard", "source_ix", "n_blocks", F.explode(each).alias("slot")), _slot_blocks(seed), "shard int, source_ix int, slot long, block long")
-    return Mix(laid, sources, pieces, slots)
+    return Mix(laid.drop("block_words"), sources, pieces, slots)
 
 
 def taken_pieces(mixed: Mix) -> DataFrame:
