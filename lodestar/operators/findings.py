@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks
+
 SEVERITIES = ("ERROR", "WARNING", "INFO", "UNVERIFIABLE")
 ORDER = ("entity", "property", "code", "value", "severity", "message")
 # Severities that a fail-on level counts; UNVERIFIABLE never gates.
@@ -48,13 +50,19 @@ def batch_gate(documents: DataFrame, nodes: DataFrame, findings: DataFrame, fail
     return codes.agg(F.count("*").alias("documents"), F.count_if(F.col("exit_code") == 2).alias("unreadable"), F.max("exit_code").alias("worst")).join(F.broadcast(totals)).select("documents", "unreadable", *SEVERITIES, F.when(F.col("documents") == 0, 2).otherwise(F.col("worst")).alias("exit_code"))
 
 
+def _lines() -> Column:
+    return F.format_string("%-12s %s  entity=%s\n    %s = %s\n    %s\n    rule: %s\n    source: %s (retrieved %s)", "severity", "code", "entity", "property", "value", "message", "rule.citation", "rule.url", "rule.retrieved")
+
+
+def _summary_line() -> Column:
+    return F.concat(F.col("n").cast("string"), F.lit(" finding(s): "), F.array_join(F.array(*(F.concat(F.col(s).cast("string"), F.lit(f" {s}")) for s in SEVERITIES)), ", "))
+
+
 def as_text(findings: DataFrame) -> DataFrame:
-    """doc_id, text: five lines for each finding in order, then the summary."""
-    lines = F.format_string("%-12s %s  entity=%s\n    %s = %s\n    %s\n    rule: %s\n    source: %s (retrieved %s)", "severity", "code", "entity", "property", "value", "message", "rule.citation", "rule.url", "rule.retrieved")
-    key = F.struct(*ORDER, lines.alias("text"))
+    """doc_id, text: five lines for each finding in order, then the summary; ``text_chunks`` is for documents of very many findings."""
+    key = F.struct(*ORDER, _lines().alias("text"))
     one = findings.groupBy("doc_id").agg(F.sort_array(F.collect_list(key)).alias("all"), F.count("*").alias("n"), *severity_counts())
-    summary = F.concat(F.col("n").cast("string"), F.lit(" finding(s): "), F.array_join(F.array(*(F.concat(F.col(s).cast("string"), F.lit(f" {s}")) for s in SEVERITIES)), ", "))
-    return one.select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: F.concat(x["text"], F.lit("\n"))), "\n"), F.lit("\n"), summary).alias("text"))
+    return one.select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: F.concat(x["text"], F.lit("\n"))), "\n"), F.lit("\n"), _summary_line()).alias("text"))
 
 
 def as_json(findings: DataFrame, tool: str, version: str) -> DataFrame:
@@ -69,6 +77,31 @@ def as_json(findings: DataFrame, tool: str, version: str) -> DataFrame:
     return one.mapInArrow(run, "doc_id string, json string")
 
 
+def text_chunks(findings: DataFrame, limit: int = chunks.CHUNK_CHARS) -> DataFrame:
+    """doc_id, part, chunk, text: what ``as_text`` says, in rows of about ``limit`` characters, however many findings a document has."""
+    rows = findings.select(F.col("doc_id").alias("key"), *ORDER, _lines().alias("line"))
+    body = chunks.in_chunks(rows, [*ORDER, "line"], lambda b: [t + "\n\n" for t in b.column("line").to_pylist()], limit=limit)
+    n = findings.groupBy("doc_id").agg(F.count("*").alias("n"), *severity_counts())
+    return body.withColumnRenamed("key", "doc_id").unionAll(n.select("doc_id", F.lit(chunks.TAIL), F.lit(0), _summary_line()))
+
+
+def json_chunks(findings: DataFrame, tool: str, version: str, limit: int = chunks.CHUNK_CHARS) -> DataFrame:
+    """doc_id, part, chunk, text: what ``as_json`` says, in such rows."""
+
+    def render(b: pa.RecordBatch) -> list[str]:
+        found = [json.dumps({k: r[k] for k in (*ORDER, "rule")}, indent=2, sort_keys=True, ensure_ascii=False) for r in b.to_pylist()]
+        return ["    " + x.replace("\n", "\n    ") for x in found]
+
+    rows = findings.select(F.col("doc_id").alias("key"), *ORDER, "rule")
+    body = chunks.in_chunks(rows, [*ORDER, "rule"], render, ",\n", limit).withColumnRenamed("key", "doc_id")
+    n = findings.groupBy("doc_id").agg(*severity_counts())
+    counts = F.concat_ws(",\n", *(F.format_string(f'    "{s}": %d', s) for s in sorted(SEVERITIES)))
+    named = json.dumps({"name": tool, "version": version}, indent=2, sort_keys=True, ensure_ascii=False).replace("\n", "\n  ")
+    end = F.concat(F.lit('\n  ],\n  "summary": {\n'), counts, F.lit(f'\n  }},\n  "tool": {named}\n}}'))
+    edge = lambda part, text: n.select("doc_id", F.lit(part), F.lit(0), text)
+    return body.unionAll(edge(chunks.HEAD, F.lit('{\n  "findings": [\n'))).unionAll(edge(chunks.TAIL, end))
+
+
 def _escaped(c: Column, *more: tuple[str, str]) -> Column:
     for a, b in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), *more):
         c = F.replace(c, F.lit(a), F.lit(b))
