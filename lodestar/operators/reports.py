@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.evidence import EvidenceSink
 from .checks import CTID_URL, RETRIEVED
 from .mapping import CONTEXT, Extraction, documents
+from .survey import REASONS
 
 # Where the published rules stand, and when they were read.
 _READ = "2026-08-14"
@@ -106,13 +109,31 @@ def rollup_block(rolled: DataFrame) -> dict:
     return out
 
 
-def survey_evidence(rolled: DataFrame, documents: DataFrame, exclusions: DataFrame, access: dict, supplied: dict, *, tool: str = "lodestar", version: str = "0.1") -> dict:
-    """What a registry survey found, without the rows of ``documents`` and ``exclusions``, which only are counted."""
+def protocol(registry: str, community: str) -> dict:
+    """How a survey draws and what it leaves out, in words."""
+    return {
+        "frame": f"every page of {registry}/{community}/envelopes with one envelope a page, from 1 to the X-Total header",
+        "draw": "page numbers without replacement by Python's seeded generator, in order",
+        "resolve": "one step, to the /resources/ URIs of the registry's host that the documents name",
+        "exclusion_reasons": list(REASONS),
+    }
+
+
+def survey_evidence(rolled: DataFrame, documents: DataFrame, exclusions: DataFrame, access: dict, supplied: dict, *, registry: str = "", community: str = "", tool: str = "lodestar", version: str = "0.1") -> dict:
+    """What a registry survey found, without the rows of ``documents`` and ``exclusions``, which only are counted.
+
+    ``access`` is that of ``draws.access``; ``supplied`` has the counts of ``supplied_counts``.
+    """
     by_type = rollup_block(rolled)
     every = by_type.pop("*", {})
     left_out = exclusions.where("reason IS NOT NULL")
     reasons = {r["reason"]: r["count"] for r in left_out.groupBy("reason").count().collect()}
-    return {"tool": {"name": tool, "version": version}, "access": access, "sampled": documents.count(), "excluded": sum(reasons.values()), "excluded_by_reason": reasons, **supplied, "rollup_alone": every.get("alone", {}), "rollup_resolved": every.get("resolved", {}), "by_type": by_type}
+    return {"tool": {"name": tool, "version": version}, "registry": registry, "community": community, "protocol": protocol(registry, community), "access": access, "sampled": documents.count(), "excluded": sum(reasons.values()), "excluded_by_reason": reasons, **supplied, "rollup_alone": every.get("alone", {}), "rollup_resolved": every.get("resolved", {}), "by_type": by_type}
+
+
+def supplied_counts(readable: DataFrame, entities: DataFrame, refused: DataFrame) -> dict:
+    """Neighbours that were supplied and the entities in them, and those set aside (the two results of ``checks.screened``)."""
+    return {"supplied_documents": readable.count(), "supplied_entities": entities.count(), "supplied_rejected": refused.count()}
 
 
 def markup_evidence(summary: DataFrame) -> dict:
@@ -122,8 +143,11 @@ def markup_evidence(summary: DataFrame) -> dict:
 
 
 def write_evidence(path: str, summary: dict, **tables: DataFrame) -> None:
-    """``path``/summary holds the JSON of ``summary``; each table is a folder of JSON lines beside it, written by the executors."""
+    """``path``/summary has the JSON of ``summary``; each table is a folder of JSON lines beside it, written by the executors.
+
+    All of it is there or nothing: see ``sources.evidence``.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(as_json(summary).rstrip("\n"),)], "json string").coalesce(1).write.text(f"{path}/summary")
-    for name, df in tables.items():
-        df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(f"{path}/{name}")
+    spark.dataSource.register(EvidenceSink)
+    rows = [df.select(F.lit(name).alias("table"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("json")) for name, df in tables.items()]
+    reduce(DataFrame.unionAll, rows).write.format(EvidenceSink.name()).option("path", path).option("summary", as_json(summary)).option("tables", " ".join(tables)).mode("append").save()

@@ -1,9 +1,13 @@
-"""Draws of registry pages that can be resumed.
+"""Draws of registry pages, and of what they refer to, that can be resumed.
 
 A draw is a folder with two tables: ``draw`` (one row) and ``attempts``, to which
 each run appends what it fetched or failed to fetch, with the requests that this
 took.  A page that was tried is not tried again, whether or not it failed, and no
-run loses the count of an earlier one.
+run loses the count of an earlier one.  The data source of ``registry_pages`` keeps its draw and
+its answers as files in such a folder; they are read as these tables are.
+
+The second phase asks for the registry resources that the pages name, up to a cap:
+``wanted`` (each IRI, with the cap) and ``neighbours`` (each attempt) lie beside the pages.
 """
 
 from __future__ import annotations
@@ -12,15 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.identifiers import cache_name
+from ..operators import survey
 from ..operators.survey import draw_pages
+from . import registry_pages
+from .fetch import fetched
 
 DRAW = "seed long, size int, corpus long, robots string, carried_from string, pages array<int>"
-ATTEMPTS = "page int, failure string, envelope string, requests int"
+ATTEMPTS = registry_pages.PAGE
+WANTED = "iri string, cap int"
+NEIGHBOURS = "iri string, failure string, document string, requests int"
+#: Neighbours that are asked for before what came is written.
+NEIGHBOUR_BATCH = 100
 
 
-def _saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _saved(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).format(kind).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -40,7 +52,21 @@ def start(spark: SparkSession, path: str, *, corpus: int, size: int, seed: int,
 
 
 def attempts(spark: SparkSession, path: str) -> DataFrame:
-    return _saved(spark, f"{path}/attempts", ATTEMPTS)
+    return _saved(spark, f"{path}/attempts", ATTEMPTS).unionAll(_saved(spark, f"{path}/pages", ATTEMPTS, "json"))
+
+
+def draw_of(spark: SparkSession, path: str) -> dict:
+    """The draw of a folder as one object, with the requests that sizing the corpus took (one, where that was not counted)."""
+    rows = _saved(spark, f"{path}/draw", DRAW).collect()
+    found = rows[0].asDict() if rows else registry_pages.draw_of(spark, path)
+    if found is None:
+        raise ValueError(f"{path} holds no draw")
+    return {"requests": 1} | found
+
+
+def drawn_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page of every page drawn."""
+    return spark.createDataFrame([(p,) for p in draw_of(spark, path)["pages"]], "page int")
 
 
 def remaining(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
@@ -53,10 +79,10 @@ def page_urls(pages: DataFrame, registry: str, community: str) -> DataFrame:
     return pages.select("page", F.concat(F.lit(f"{registry}/{community}/envelopes?page="), F.col("page").cast("string"), F.lit("&per_page=1")).alias("url"))
 
 
-def record(path: str, urls: DataFrame, fetched: DataFrame) -> None:
+def record(path: str, urls: DataFrame, answers: DataFrame) -> None:
     """Append what fetching ``urls`` (page, url) gave (rows of the fetcher); a page without an envelope fails as ``empty-page``."""
     first = F.get_json_object("text", "$[0]")
-    rows = fetched.join(urls, "url").select("page", F.coalesce("error", F.when(first.isNull() | ~first.startswith("{"), "empty-page")).alias("failure"), first.alias("envelope"), "taken")
+    rows = answers.join(urls, "url").select("page", F.coalesce("error", F.when(first.isNull() | ~first.startswith("{"), "empty-page")).alias("failure"), first.alias("envelope"), "taken")
     rows.select("page", "failure", F.when(F.col("failure").isNull(), F.col("envelope")).alias("envelope"), F.col("taken").alias("requests")).write.mode("append").parquet(f"{path}/attempts")
 
 
@@ -64,7 +90,7 @@ def envelopes(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
     """page, failure, envelope_type, ctid, type, publisher, resource of every page drawn; a page never tried has a failure too."""
     get = lambda key: F.get_json_object("envelope", f"$.{key}")
     met = pages.join(attempts(spark, path).withColumn("tried", F.lit(True)), "page", "left")
-    failure = F.when(F.col("tried").isNull(), "no cached envelope and no recorded failure").otherwise(F.col("failure"))
+    failure = F.when(F.col("tried").isNull(), "neither an envelope nor a failure was kept").otherwise(F.col("failure"))
     return met.select("page", failure.alias("failure"), get("envelope_type").alias("envelope_type"), get("envelope_ceterms_ctid").alias("ctid"), get("envelope_ctdl_type").alias("type"), get("published_by").alias("publisher"), get("decoded_resource").alias("resource"))
 
 
@@ -86,3 +112,49 @@ def carried_over(spark: SparkSession, path: str, access: dict, cached: DataFrame
     if access.get("failed"):
         raise ValueError(f"{name} counts {access['failed']} neighbours that failed and does not name them")
     return start(spark, path, corpus=access["corpus_envelopes"], size=access["pages_drawn"], seed=access["seed"], robots=access.get("robots", "read"), carried_from=name)
+
+
+def want_neighbours(spark: SparkSession, path: str, references: DataFrame, cap: int) -> DataFrame:
+    """iri, cap: the first ``cap`` of the IRIs (iri) in order, noted in the folder; a later call with another cap replaces them."""
+    survey.wanted_neighbours(references, cap).select("iri", F.lit(cap).alias("cap")).coalesce(1).write.mode("overwrite").parquet(f"{path}/wanted")
+    return _saved(spark, f"{path}/wanted", WANTED)
+
+
+def neighbour_attempts(spark: SparkSession, path: str) -> DataFrame:
+    return _saved(spark, f"{path}/neighbours", NEIGHBOURS)
+
+
+def fetch_neighbours(spark: SparkSession, path: str, references: DataFrame, cap: int, *, batch: int = NEIGHBOUR_BATCH, **polite) -> DataFrame:
+    """Ask for the wanted IRIs that no run has asked for, some at a time, and append what came; failures are kept by IRI and not tried again."""
+    wanted = want_neighbours(spark, path, references, cap).select("iri")
+    while True:
+        some = wanted.join(neighbour_attempts(spark, path).select("iri"), "iri", "left_anti").orderBy("iri").limit(batch).select(F.col("iri").alias("url"))
+        came = fetched(some, accept="json", **polite)
+        if not came.limit(1).count():
+            return neighbour_attempts(spark, path)
+        came.select(F.col("url").alias("iri"), F.col("error").alias("failure"), F.col("text").alias("document"), F.col("taken").alias("requests")).write.mode("append").parquet(f"{path}/neighbours")
+
+
+def supplied_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, raw, source, set_ord of the neighbours that came, in the order of their names; what ``checks.screened`` takes."""
+    came = neighbour_attempts(spark, path).where("failure IS NULL")
+    return came.select(F.col("iri").alias("doc_id"), F.col("document").alias("raw"), cache_name(F.col("iri")).alias("source"), F.struct(cache_name(F.col("iri")), "iri").alias("set_ord"))
+
+
+def access(spark: SparkSession, path: str, references: DataFrame, *, from_cache: bool) -> dict:
+    """How a survey came by its documents: the draw, its failures, its neighbours among ``references`` (iri), and its requests.
+
+    ``recorded`` requests are those that were counted; ``implied_by_the_cache`` is what
+    the folder cannot have cost less than: one for each document and each failure, and one for the size of the corpus.
+    """
+    draw, tried = draw_of(spark, path), neighbour_attempts(spark, path)
+    pages = attempts(spark, path).agg(F.sum("requests").alias("requests"), F.count("*").alias("pages"), F.count("failure").alias("failed")).first()
+    cap = _saved(spark, f"{path}/wanted", WANTED).agg(F.max("cap")).first()[0]
+    near = survey.neighbours(references, tried.select("iri", F.col("failure").isNull().alias("ok"))).first()
+    spent = tried.agg(F.sum("requests")).first()[0] or 0
+    return {
+        "from_cache": from_cache, "corpus_envelopes": draw["corpus"], "robots": draw["robots"], "seed": draw["seed"], "pages_drawn": len(draw["pages"]), "pages_failed": pages["failed"],
+        "requests": {"recorded": draw["requests"] + (pages["requests"] or 0) + spent, "implied_by_the_cache": pages["pages"] + near["fetched"] + near["failed"] + 1},
+        "neighbours": {"referenced": near["referenced"], "cap": cap, "fetched": near["fetched"], "failed": near["failed"], "unresolved": near["unresolved"]},
+        "carried_from": draw["carried_from"],
+    }

@@ -113,7 +113,7 @@ def test_draws_resume(spark, tmp_path):
     assert draws.tally(spark, at, 2, 1) == {"recorded": 3, "pages_failed": 2, "implied": 7}
     rows = {r["page"]: r for r in draws.envelopes(spark, at, pages).collect()}
     assert (rows[drawn[0]]["ctid"], rows[drawn[0]]["publisher"], json.loads(rows[drawn[0]]["resource"])) == ("ce-1", "p", {"@id": "x"})
-    assert [rows[p]["failure"] for p in drawn[:4]] == [None, "empty-page", "timed out", "no cached envelope and no recorded failure"]
+    assert [rows[p]["failure"] for p in drawn[:4]] == [None, "empty-page", "timed out", "neither an envelope nor a failure was kept"]
 
 
 def test_earlier_evidence_must_agree(spark, tmp_path):
