@@ -212,16 +212,20 @@ _FOUND = {
 }
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("page_id", F.lit(len(_KINDS))) + 1).cast("int"))
     p, cores = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), spark.sparkContext.defaultParallelism
     if p.rdd.getNumPartitions() < cores:  # one small file
         p = p.repartition(cores, "page_id")
-    return kept(markup.read_pages(p.select("page_id", "url", F.concat(kind, "html").alias("html")), mini()))
+    return p.select("page_id", "url", F.concat(kind, "html").alias("html"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(markup.read_pages(_marked_up(spark, sf_dir), mini()))
 
 
 def markup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = mapping.blocks_of(_pages(spark, sf_dir))
+    b = markup.read(_marked_up(spark, sf_dir), mini()).blocks
     return b.select("page_id", "fmt", F.col("items").cast("long").alias("items"), F.array_join("types", ",").alias("types"))
 
 

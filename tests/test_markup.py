@@ -123,17 +123,51 @@ def test_reports(read, made):
     assert rows["course"]["text"].endswith("2 entities, 2 WARNING, 3 INFO") and json.loads(rows["prose"]["json"])["document"]["@graph"] == []
 
 
-def test_deep_items_need_no_recursion():
+def pages(spark, **htmls):
+    return {r["page_id"]: r.asDict(True) for r in markup.read_pages(spark.createDataFrame([(k, URL, v) for k, v in htmls.items()], "page_id string, url string, html string"), mini()).collect()}
+
+
+def test_deep_items_need_no_recursion(spark):
     """Items inside items, as deep as elements may nest, and text below many elements."""
     depth = 190
     html = "".join(f'<i itemscope itemtype="https://schema.org/T{i}" {"itemprop=about" if i else ""}>' for i in range(depth)) + "x"
-    page = markup.Reader(mini(), URL).page(html)
+    got = pages(spark, deep=html, wide='<p itemscope itemtype="https://schema.org/T"><b itemprop="name">' + "<br>a" * 50_000 + "</b></p>")
+    page = got["deep"]
     assert len(page["items"]) == depth and [i["ord"] for i in page["items"]] == list(range(depth)) and page["items"][-1]["path"].count(".schema:about[0]") == depth - 1
-    wide = markup.Reader(mini(), URL).page('<p itemscope itemtype="https://schema.org/T"><b itemprop="name">' + "<br>a" * 50_000 + "</b></p>")
-    assert wide["items"][0]["props"][0]["text"].count("a") == 50_000
+    assert got["wide"]["items"][0]["props"][0]["text"].count("a") == 50_000
 
 
-def test_positions_count_values_of_the_element_around():
+def test_positions_count_values_of_the_element_around(spark):
     html = '<p itemscope itemtype="https://schema.org/T"><b itemprop="a c">1</b><i><u itemprop="d"></u><u itemprop="e">2</u></i><b itemprop="f"></b></p>'
-    notes = markup.Reader(mini(), URL).page(html)["notes"]
+    notes = pages(spark, p=html)["p"]["notes"]
     assert [n["subject"] for n in notes] == ["microdata[0].schema:d[0]", "microdata[0].schema:f[3]"]
+
+
+def test_an_item_given_to_two_terms_is_met_twice(spark):
+    html = '<p itemscope itemtype="https://schema.org/T"><b itemprop="a c" itemscope><i itemprop="https://schema.org/x" itemscope></i></b><b itemprop="https://schema.org/d">t</b></p>'
+    items = pages(spark, p=html)["p"]["items"]
+    assert [(i["path"], i["label"]) for i in items] == [("microdata[0]", "_:n0")] + [(f"microdata[0].schema:a[0]{more}", f"_:n{n}") for n, more in enumerate(["", ".schema:x[0]"] * 2, 1)]
+    assert [(v["pos"], v["term"], v["child"], v["text"]) for v in items[0]["props"]] == [(0, "schema:a", "microdata[0].schema:a[0]", None), (1, "schema:c", "microdata[0].schema:a[0]", None), (2, "schema:d", None, "t")]
+    many = '<b itemprop="https://a.b/1 https://a.b/2" itemscope>' * 20
+    assert "met more than" in pages(spark, p="<p itemscope>" + many)["p"]["error"]
+
+
+def test_contexts_are_joined(spark):
+    """The last entry of a key counts; names that no context explains are not read, nor what hangs from them."""
+    context = ["https://schema.org", {"p": "http://a.b/"}, {"p": "http://c.d/", "t": {"@id": "schema:description"}, "@language": "en"}, {"@vocab": "http://e.f/"}]
+    page = pages(
+        spark,
+        known=ld({"@type": ["p:X", "Y"], "p:q": "1", "t": ["2", {"@value": "3", "@language": "fr"}], "z": {"@type": "Z"}}, context),
+        unknown=ld({"name": "n", "about": {"@id": "u", "schema:name": "m"}, "schema:about": [{"x": {"schema:name": "l"}}, {"schema:name": 4}]}, {"@vocab": None}),
+    )
+    known = page["known"]["items"]
+    assert [(i["path"], i["types"]) for i in known] == [("json-ld[0]", ["http://c.d/X", "http://e.f/Y"]), ("json-ld[0].http://e.f/z[0]", ["http://e.f/Z"])]
+    assert [(v["term"], v["text"], v["language"]) for v in known[0]["props"]] == [("http://c.d/q", "1", "en"), ("schema:description", "2", "en"), ("schema:description", "3", "fr"), ("http://e.f/z", None, None)]
+    assert [i["path"] for i in page["unknown"]["items"]] == ["json-ld[0]", "json-ld[0].schema:about[0]", "json-ld[0].schema:about[1]"] and page["unknown"]["items"][2]["props"][0]["text"] == "4"
+    assert [(n["code"], n["term"]) for n in page["unknown"]["notes"]] == [("JSONLD_CONTEXT_UNRESOLVED", '{"@vocab": null}')]
+
+
+def test_a_page_of_many_items(spark):
+    html = '<div itemscope itemtype="https://schema.org/T">' + "".join(f'<b itemprop="name">{i}</b>' for i in range(3000)) + "</div>"
+    (item,) = pages(spark, p=html, q=None)["p"]["items"]
+    assert [v["text"] for v in item["props"]] == [str(i) for i in range(3000)] and [v["pos"] for v in item["props"]] == list(range(3000))
