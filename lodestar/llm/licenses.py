@@ -8,14 +8,18 @@ longest first and with or without one of LEADS before them, become identifiers;
 all others drop out.  RULES are matched against the sequence of identifiers in their
 order; a rule that matches consumes what it matched and leaves a gap that no
 other rule matches across, so a long licence is not found again as the short ones
-it contains.  A reservation of all rights counts only where no licence is found.
+it contains.  A line or sentence of GAP_WORDS words or more that the table does not know (copyrights
+and addresses aside) is such a gap too: conditions that a licence does not
+have make it another.  Where a licence names its holder (HOLDERS), any name will do.
+An SPDX expression names each licence in it, whatever joins them; ``+`` is "or later",
+what stands behind WITH is left out.  A reservation of all rights counts only where no licence is found.
 
 Only texts that hold one of WORDS are normalised; every known sentence has one.
 
 Defined results: a null or empty text has no sentences and no licences; a very
 long text is one row like any other; of sentences that begin at one place the
 longest counts; repeated rows are scanned alike; an empty table gives an empty
-result.
+result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -131,7 +135,18 @@ SENTENCES: dict[str, str] = {
     "university of illinois ncsa open source license": "ncsa_title",
     "all rights reserved": "all_rights",
 }
+# What a sentence says before and after the name of a holder, and the name that it has in the table.
+HOLDERS = [
+    ("neither the name of", "the copyright holder", "nor the names of its contributors may be used to endorse"),
+    ("this software is provided by", "the copyright holders and contributors", "as is and any express or implied warranties"),
+    ("in no event shall", "the copyright holder or contributors", "be liable for any direct indirect incidental"),
+]
+#: Words of an unknown sentence that no rule matches across.
+GAP_WORDS = 5
+# Older SPDX identifiers for what they mean now.
+OLD_TAGS = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
 SENTENCES |= {"spdx license identifier " + x.lower().replace("-", " ").replace(".", " "): f"tag_{x}" for x in TAGS}
+SENTENCES |= {"spdx license identifier " + old.lower().replace("-", " ").replace(".", " "): f"tag_{new}" for old, new in OLD_TAGS.items()}
 
 # Ordered rules, the longest sequences of a licence before its parts.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -155,7 +170,6 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit_notice_kept", "mit_warranty")),
     ("MIT", ("mit_notice",)),
     ("MIT", ("mit_title",)),
-    ("MIT", ("mit_grant",)),
     ("ISC", ("isc_title", "isc_grant", "isc_warranty")),
     ("ISC", ("isc_grant",)),
     ("ISC", ("isc_title",)),
@@ -236,36 +250,79 @@ LEADS = tuple(f"{a} {b} is" for a in ("this", "the") for b in ("code", "file", "
 _END = "\x01"
 
 
+#: Between the parts of ``marked`` text: known sentences stand between two.
+_KNOWN = "\x02"
+_NAME = f"[a-z0-9 \n;:{_END}]{{1,150}}?[ \n;:{_END}]+"
+
+
 def _sentence_pattern() -> str:
     """A known sentence (group 1) between ends, over words and the marks ``_END``, line end, ``;`` and ``:`` without spaces around them."""
     gap = r"(?: |[;:]+\n?[;:]*|\n[;:]*)"
-    any_of = lambda known: "|".join(x.replace(" ", gap) for x in sorted(known, key=len, reverse=True))
+
+    def written(x: str) -> str:
+        for before, name, after in HOLDERS:
+            if x.startswith(f"{before} {name} {after}"):
+                return before.replace(" ", gap) + gap + _NAME + x[len(f"{before} {name} ") :].replace(" ", gap)
+        return x.replace(" ", gap)
+
+    any_of = lambda known: "|".join(map(written, sorted(known, key=len, reverse=True)))
     return f"(?<![a-z0-9 ])(?:(?:{any_of(LEADS)}){gap})?({any_of(SENTENCES)})(?![a-z0-9 ])"
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER + _END, LOWER + " ")
+def _of_table(sentence: Column) -> Column:
+    """A sentence that was found as the table writes it: any holder's name as the one there."""
+    out = F.regexp_replace(sentence, f"[\n;:{_END}]+", " ")
+    for before, name, after in HOLDERS:
+        out = F.regexp_replace(out, f"^{before} .+ {after}", f"{before} {name} {after}")
+    return out
+
+
+def _spdx_lines(text: Column) -> Column:
+    """Each licence of an SPDX expression in a line of its own."""
+    tag = r"(?<=SPDX-License-Identifier:[^\n]{0,250})"
+    out = F.regexp_replace(text, rf"(?i){tag}[\x20\t]+WITH[\x20\t]+[A-Za-z0-9.-]+", "")
+    out = F.regexp_replace(out, rf"(?i){tag}\b([A-Za-z0-9.-]+)\+", "$1-or-later")
+    return F.regexp_replace(out, rf"(?i){tag}[\x20\t)]+(?:OR|AND)[\x20\t(]+", "\nSPDX-License-Identifier: ")
+
+
+def _unknown(part: Column) -> Column:
+    """Whether a line or sentence of what stands between two known ones is a gap."""
+    words = lambda x: F.size(F.array_remove(F.split(x, "[ ;:]+"), ""))
+    return F.exists(F.split(part, f"[\n{_END}]"), lambda x: ~x.contains("copyright") & ~x.contains("http") & (words(x) >= GAP_WORDS))
+
+
+def sentences(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order, and ``;`` where there is a gap between two."""
+    plain_text = F.coalesce(text, F.lit(""))
+    plain_text = F.when(F.lower(plain_text).contains("spdx-license-identifier"), _spdx_lines(plain_text)).otherwise(plain_text)
+    lower = F.translate(plain_text, UPPER + _END + _KNOWN, LOWER + "  ")
     cut_ = F.regexp_replace(lower, r"[.!?]+[\x20\x09-\x0D]", _END)
     plain = F.regexp_replace(cut_, rf"[^a-z0-9\n;:{_END}]+", " ")
     marked = F.btrim(F.regexp_replace(plain, rf" ?([\n;:{_END}]) ?", "$1"))
-    known = F.regexp_extract_all(marked, F.lit(_sentence_pattern()), F.lit(1))
+    parts = F.split(F.regexp_replace(marked, _sentence_pattern(), f"{_KNOWN}$1{_KNOWN}"), _KNOWN)  # what is not known first and last
     table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    ids = F.transform(known, lambda s: table[F.regexp_replace(s, r"[\n;:]+", " ")])
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    ids = F.array_compact(F.transform(inner, lambda x, i: F.when(i % 2 == 0, table[_of_table(x)]).when(_unknown(x), F.lit(";"))))
     some = reduce(lambda a, b: a | b, (lower.contains(w) for w in WORDS if " " not in w))
     # A word pair of WORDS may be wrapped: its first word decides.
     some = reduce(lambda a, b: a | b, (lower.contains(w.split()[0]) for w in WORDS if " " in w), some)
     return F.when(some, ids).otherwise(F.array().cast("array<string>"))
 
 
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order."""
+    return F.array_remove(sentences(text), ";")
+
+
 def _written(ids: tuple[str, ...]) -> str:
     return "".join(f",{x}," for x in ids)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (comma-separated, in order), n_sentences, licenses (comma-separated, in rule order), unmatched (identifiers no rule took)."""
-    found = doc_text(docs).select("doc_id", sentence_ids(F.col("text")).alias("ids"))
-    found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("rest"))
+    found = doc_text(docs).select("doc_id", sentences(F.col("text")).alias("all")).withColumn("ids", F.array_remove("all", ";"))
+    sequence = F.transform("all", lambda x: F.when(x == ";", x).otherwise(F.concat(F.lit(","), x, F.lit(","))))
+    found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(sequence, "").alias("rest"))
     # One fold over the rules: what is left, and the names found so far.
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(_written(ids)).alias("ids")) for name, ids in RULES))
     start = F.struct(F.col("rest").alias("rest"), F.array().cast("array<string>").alias("names"))
@@ -277,7 +334,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same in DuckDB SQL for texts in which no known sentence is wrapped, follows ``;`` or ``:`` in a line, or has a lead-in."""
+    """The same in DuckDB SQL for texts in which no known sentence is wrapped, follows ``;`` or ``:`` in a line, or has a lead-in, and no SPDX expression has several licences."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     table = f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in SENTENCES.items())}}}"
     steps, last = [], "s0"
@@ -285,10 +342,15 @@ def scan_sql() -> str:
         steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (rest), contains(rest, {q(_written(ids))}) AS hit_{i}, replace(rest, {q(_written(ids))}, ';') AS rest FROM {last})")
         last = f"s{i + 1}"
     names = ", ".join(f"CASE WHEN hit_{i} THEN {q(name)} END" for i, (name, _) in enumerate(RULES))
+    sentence = "s"
+    for before, name, after in HOLDERS:
+        sentence = f"regexp_replace({sentence}, '^{before} .+ {after}', '{before} {name} {after}')"
+    gap = f"CASE WHEN contains(s, 'copyright') OR contains(s, 'http') OR len(string_split(s, ' ')) < {GAP_WORDS} THEN '' ELSE ';' END"
     return f"""WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?]+[\\x20\\x09-\\x0D]', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: map_contains({table}, s)) AS known FROM documents),
-ids AS (SELECT doc_id, list_transform(known, lambda s: {table}[s]) AS ids FROM cut),
-s0 AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_transform(ids, lambda x: ',' || x || ','), ''), '') AS rest FROM ids),
+  SELECT doc_id, list_transform(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?]+[\\x20\\x09-\\x0D]', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: {sentence}) AS pieces FROM documents),
+ids AS (SELECT doc_id, list_transform(list_filter(pieces, lambda s: map_contains({table}, s)), lambda s: {table}[s]) AS ids,
+  array_to_string(list_transform(pieces, lambda s: CASE WHEN map_contains({table}, s) THEN ',' || {table}[s] || ',' ELSE {gap} END), '') AS rest FROM cut),
+s0 AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(rest, '') AS rest FROM ids),
 {", ".join(steps)},
 named AS (SELECT doc_id, n_sentences, sentence_ids, rest, [{names}] AS all_names FROM {last}),
 kept AS (SELECT *, list_filter(all_names, lambda x, i: x IS NOT NULL AND list_position(all_names, x) = i) AS names FROM named)
