@@ -16,11 +16,13 @@ n-grams, for each length); what a language does not need goes to the others.
 Defined results: a null or empty text, or one without a letter, gives ``und`` with
 score 0; so does any text if nothing could be learned; ties go to the language
 that sorts first; repeated rows are labelled alike; a very long text is taken
-whole; an empty table gives an empty result.
+whole; an empty table gives an empty result; columns that are not named are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,11 +45,14 @@ PIECE = 4 << 20
 #: Sharpness of the score: difference in mean cost at which the winner is ten times as likely.
 DECADE = 0.5
 
-_LETTERS = regex.compile(r"\p{L}+")
+#: A letter, and what letters and marks (vowel signs, accents that stand by themselves) follow it.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Words in lower case, composed where Unicode has a composed letter."""
+    text = (text or "").lower()
+    return _WORD.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -25,7 +25,8 @@ about 18 pairs are expected to share the bits, and few of these the segment too.
 Defined results: a null text is the empty text, scored as its end alone;
 without training documents every count is 0; repeated rows score alike; a very
 long text is scored whole; equal counts have equal levels, so there are no ties
-to settle; an empty table gives an empty result.
+to settle; other columns are not read, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

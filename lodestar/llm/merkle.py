@@ -16,7 +16,8 @@ Defined results: a null text is the empty text, whose tree is a root without
 sections; two empty texts have likeness 1; rows with one doc_id follow each
 other by text, and equal rows are neighbours; a null doc_id comes first; in a
 table of one row the next document is the row itself; a very long text is hashed
-whole; an empty table gives an empty result.
+whole; of equal paragraphs each is a branch at its own place, so ties have no order to
+settle; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

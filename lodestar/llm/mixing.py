@@ -13,8 +13,8 @@ counts pass through the driver; words never do.
 Defined results: a null or empty text has size 0 and nothing is taken of it; a
 null source is a source of its own, last in order; a very long text is many
 pieces, of which the mix may take some; repeated rows are separate documents, and
-those that tie in doc_id and text share one place in the order; an empty table
-gives an empty mix.
+those that tie in doc_id and text share one place in the order; other columns are
+not read, whatever their names; an empty table gives an empty mix.
 """
 
 from __future__ import annotations

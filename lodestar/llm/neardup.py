@@ -23,7 +23,8 @@ Defined results: a text without words, or null, has an empty set and links
 with nothing; rows of one doc_id count as one document; a row without doc_id
 links with nothing and is kept; a very long text is sketched whole, in numpy; of
 several equally near candidates the smallest doc_id is compared first, and of a
-component the smallest doc_id is kept; an empty table gives an empty result.
+component the smallest doc_id is kept; other columns are not read, whatever their
+names, and ``deduplicated`` returns them as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations

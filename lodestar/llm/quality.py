@@ -15,7 +15,8 @@ starts from each pattern's share of good votes, which fixes which class is which
 Defined results: a null text has no words, fails the base rules and is not
 kept; an empty text likewise; a very long text is judged whole; repeated rows are
 judged alike, and count as often as they occur; a posterior that equals the
-threshold keeps; an empty table gives an empty result.
+threshold keeps; other columns are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

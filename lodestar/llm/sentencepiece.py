@@ -19,7 +19,8 @@ text.  Characters outside the vocabulary become byte pieces.  A literal U+2581,
 which the library turns into a space, is kept as its three bytes, so decoding
 always gives the text back.  Repeated rows encode alike.  A very long text, also
 of one word, is encoded whole, in time and memory in proportion.  Of equally
-ranked merges the leftmost goes first.  An empty table gives an empty result.
+ranked merges the leftmost goes first.  Other columns are not read, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

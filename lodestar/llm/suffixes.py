@@ -39,7 +39,8 @@ Defined results: a null text is the empty text; texts shorter than ``length``
 lose nothing; equal rows are copies of each other; a very long text is cut into
 pieces that overlap by ``length``, with the same result; what is left of a text is
 decoded with U+FFFD where a cut falls inside a character (the hash of the
-query is of the bytes themselves); an empty table gives an empty result.
+query is of the bytes themselves); equal strings tie, and all of them go; columns of
+any name beside those read are left as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations

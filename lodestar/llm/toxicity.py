@@ -21,7 +21,8 @@ without usable labels gives severity 0 everywhere; of several labels of one
 document the highest counts; repeated rows score alike; a very long text is
 taken whole, as its set of words; features of equal z-score go by their text;
 documents whose severity equals the cutoff are rejected, toxic documents at a
-bound between grades have the lower one; an empty table gives an empty result.
+bound between grades have the lower one; columns that are not named are not read, whatever their names, but
+for those that a caller asks to keep; an empty table gives an empty result.
 """
 
 from __future__ import annotations
