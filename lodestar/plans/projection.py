@@ -80,9 +80,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, raw, source, set_ord: a document for every second customer."""
+    """doc_id, raw, source, set_ord: a document for every customer; those of every second one declare an id that no order names."""
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    f = spark.sql(f"SELECT c_custkey AS c, concat('{R}', {ctid('c', 'c_custkey')}) AS id FROM customer WHERE c_custkey % 2 = 0")
+    f = spark.sql(f"SELECT c_custkey AS c, concat('{R}', CASE WHEN c_custkey % 2 = 0 THEN {ctid('c', 'c_custkey')} ELSE {ctid('y', 'c_custkey')} END) AS id FROM customer")
     kind = F.when(F.col("c") % 3 == 0, "ceterms:Place").otherwise("ceterms:Organization")
     raw = F.concat(F.lit('{"@id": "'), "id", F.lit('", "@type": "'), kind, F.lit('"}'))
     return f.select(F.concat(F.lit("s"), F.col("c").cast("string")).alias("doc_id"), raw.alias("raw"), F.format_string("customer-%d.json", "c").alias("source"), F.col("c").alias("set_ord"))

@@ -390,7 +390,7 @@ _ANNOTATIONS_SQL = f"SELECT doc_id, concat('::', CASE severity WHEN 'ERROR' THEN
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _sql(spark, sf_dir, f"SELECT publisher AS iri FROM {_SURVEY}")
-    return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
+    return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr("CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
 
 
 _OWN: tuple[Query, ...] = (validate_all, large_documents, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
@@ -442,5 +442,5 @@ def oracle_sql() -> dict[str, str]:
         "only_unverifiable": f"WITH d AS (SELECT doc_id, pass, bool_or(severity = 'ERROR') AS e, bool_or(severity = 'WARNING') AS w, bool_or(severity = 'INFO') AS i FROM ({_CODES_SQL}) GROUP BY ALL) SELECT pass, count(*) FILTER (NOT w AND NOT i) AS only_unverifiable, count(*) FILTER (w) AS with_warning, count(*) FILTER (i) AS with_info FROM d WHERE NOT e GROUP BY 1",
         "exclusions": _EXCLUSIONS_SQL,
         "residue": _RESIDUE_SQL,
-        "neighbours": f"WITH r AS (SELECT DISTINCT publisher AS iri FROM {_SURVEY}), c AS (SELECT c_custkey AS iri, c_custkey % 5 <> 0 AS ok FROM customer WHERE c_custkey % 3 <> 0) SELECT count(*) AS referenced, count(*) FILTER (ok) AS fetched, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unresolved FROM r LEFT JOIN c USING (iri)",
+        "neighbours": f"WITH r AS (SELECT DISTINCT publisher AS iri FROM {_SURVEY}), c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS iri, c_custkey % 5 <> 0 AS ok FROM customer) SELECT count(*) AS referenced, count(*) FILTER (ok) AS fetched, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unresolved FROM r LEFT JOIN c USING (iri)",
     }

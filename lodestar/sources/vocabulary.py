@@ -65,7 +65,7 @@ class Vocabulary:
                 raise ValueError("an encoding needs an @graph array")
             for entry in encoding["@graph"]:
                 term, kind = (entry.get("@id"), entry.get("@type")) if isinstance(entry, dict) else (None, None)
-                if not isinstance(term, str) or kind not in relations:
+                if not isinstance(term, str) or not isinstance(kind, str) or kind not in relations:
                     continue
                 if kind == "rdfs:Class":
                     v.parents.setdefault(term, set()).update(_listed(entry.get("rdfs:subClassOf")))
