@@ -247,9 +247,17 @@ def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_m
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not kept; of rows with one doc_id, one stays."""
+    """``docs`` without the documents that are not kept; of rows with one doc_id one stays, the same in every run (the one whose text hashes least)."""
     linked = cut(link(docs, **options))
     gone = cut(linked.where("NOT kept").select("doc_id").distinct())
     left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    again = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])) if again else left
+    repeated = cut(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = repeated.count()
+    if not n:
+        return left
+    few = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    rank = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant")))
+    several = left.join(few, "doc_id", "left_semi").withColumn("_rank", rank)
+    first = several.groupBy("doc_id").agg(F.min("_rank").alias("_first"))  # hashes only, combined before they move
+    one = several.join(first, "doc_id").where("_rank = _first").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return left.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
