@@ -41,14 +41,20 @@ def _saved(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -
 
 def start(spark: SparkSession, path: str, *, corpus: int, size: int, seed: int, robots: str = "read", carried_from: str | None = None) -> DataFrame:
     """page of every page drawn; an earlier draw in the folder stands, and is refused if its seed or size is another."""
-    earlier = _saved(spark, f"{path}/draw", DRAW).collect()
-    if earlier:
-        if (earlier[0]["seed"], earlier[0]["size"]) != (seed, size):
-            raise ValueError(f"{path} holds a draw of seed {earlier[0]['seed']} and size {earlier[0]['size']}")
-    else:
-        row = (seed, size, corpus, robots, carried_from, draw_pages(corpus, size, seed))
+    earlier = _earlier(spark, path)
+    if earlier is None:
+        earlier = {"seed": seed, "size": size, "pages": draw_pages(corpus, size, seed)}
+        row = (seed, size, corpus, robots, carried_from, earlier["pages"])
         spark.createDataFrame([row], DRAW).coalesce(1).write.parquet(f"{path}/draw")
-    return _saved(spark, f"{path}/draw", DRAW).select(F.explode("pages").alias("page"))
+    elif (earlier["seed"], earlier["size"]) != (seed, size):
+        raise ValueError(f"{path} holds a draw of seed {earlier['seed']} and size {earlier['size']}")
+    return spark.createDataFrame([(p,) for p in earlier["pages"]], "page int")
+
+
+def _earlier(spark: SparkSession, path: str) -> dict | None:
+    """The draw that a folder holds, as a table or as the data source keeps it."""
+    rows = _saved(spark, f"{path}/draw", DRAW).collect()
+    return rows[0].asDict() if rows else registry_pages.draw_of(spark, path)
 
 
 def attempts(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +63,7 @@ def attempts(spark: SparkSession, path: str) -> DataFrame:
 
 def draw_of(spark: SparkSession, path: str) -> dict:
     """The draw of a folder as one object, with the requests that sizing the corpus took (one, where that was not counted)."""
-    rows = _saved(spark, f"{path}/draw", DRAW).collect()
-    found = rows[0].asDict() if rows else registry_pages.draw_of(spark, path)
+    found = _earlier(spark, path)
     if found is None:
         raise ValueError(f"{path} holds no draw")
     return {"requests": 1} | found

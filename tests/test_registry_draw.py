@@ -50,6 +50,8 @@ def test_batch_read_asks_for_each_page_once(spark, site, tmp_path):
     assert tallied == {"recorded": len(site.asked), "implied_by_the_cache": SIZE + 1}
     with pytest.raises(Exception, match=f"holds a draw of seed {SEED}"):
         source(spark.read, site, tmp_path / "d", seed=SEED + 1).collect()
+    assert sorted(r["page"] for r in draws.start(spark, str(tmp_path / "d"), corpus=999, size=SIZE, seed=SEED).collect()) == want
+    assert draws.remaining(spark, str(tmp_path / "d"), draws.drawn_pages(spark, str(tmp_path / "d"))).count() == 0
     site.pages["/c/envelopes?page=1&per_page=1&metadata_only=true"] = (200, "application/json", "[]")
     with pytest.raises(Exception, match="X-Total"):
         source(spark.read, site, tmp_path / "other").collect()
