@@ -388,12 +388,72 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANNOTATIONS_SQL = f"SELECT doc_id, concat('::', CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'notice' END, ' ', CASE WHEN file = '' THEN '' ELSE 'file=a%2Cb%3Ac%25.json,' END, 'title=CTID_MALFORMED (', severity, ')::_:a: ceterms:ctid = 50%25%0A', doc_id, '. No: it is not') AS line FROM ({_ANNOTATED})"
 
 
+# Findings of every publisher, to be rendered.
+_FOUND_BY = f"SELECT cast(publisher as varchar(20)) AS doc_id, CASE k % 3 WHEN 0 THEN 'CTID_MALFORMED' WHEN 1 THEN 'REF_NOT_IRI' ELSE 'UNKNOWN_CLASS' END AS code, CASE k % 4 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'INFO' ELSE 'UNVERIFIABLE' END AS severity, concat('_:é', cast(k % 100 as varchar(20))) AS entity, 'ceterms:ctid' AS property, concat('v ', cast(k as varchar(20))) AS value, 'No: it is not' AS message FROM {_SURVEY}"
+_RULE = ("A rule", "https://r.example/", "2026-08-06")
+#: Characters of a chunk in these queries: small, so that a publisher's findings are several.
+_CHUNK = 2000
+
+
+def _to_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _FOUND_BY).withColumn("rule", F.struct(*(F.lit(x).alias(n) for x, n in zip(_RULE, ("citation", "url", "retrieved")))))
+
+
+def _together(chunks: DataFrame) -> DataFrame:
+    """Chunks put together, as these documents are short."""
+    all_ = F.sort_array(F.collect_list(F.struct("part", "chunk", "text")))
+    return chunks.groupBy("doc_id").agg(F.array_join(F.transform(all_, lambda x: x["text"]), "").alias("text"))
+
+
+def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _together(findings.text_chunks(_to_render(spark, sf_dir), _CHUNK))
+
+
+def rendered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _together(findings.json_chunks(_to_render(spark, sf_dir), "lodestar", "0.1", _CHUNK))
+
+
+_IN_ORDER = "ORDER BY entity, property, code, value, severity, message"
+_TEXTS_SQL = f"""SELECT doc_id, string_agg(concat(rpad(severity, 12, ' '), ' ', code, '  entity=', entity, '
+    ', property, ' = ', value, '
+    ', message, '
+    rule: {_RULE[0]}
+    source: {_RULE[1]} (retrieved {_RULE[2]})
+
+'), '' {_IN_ORDER}) || concat(count(*), ' finding(s): ', {", ', ', ".join(f"count(*) FILTER (severity = '{x}'), ' {x}'" for x in findings.SEVERITIES)}) AS text FROM ({_FOUND_BY}) GROUP BY 1"""
+_JSON_SQL = f"""SELECT doc_id, concat('{{
+  "findings": [
+', string_agg(concat('    {{
+      "code": "', code, '",
+      "entity": "', entity, '",
+      "message": "', message, '",
+      "property": "', property, '",
+      "rule": {{
+        "citation": "{_RULE[0]}",
+        "retrieved": "{_RULE[2]}",
+        "url": "{_RULE[1]}"
+      }},
+      "severity": "', severity, '",
+      "value": "', value, '"
+    }}'), ',
+' {_IN_ORDER}), '
+  ],
+  "summary": {{
+', {", ',' || chr(10), ".join(f"""'    "{x}": ', count(*) FILTER (severity = '{x}')""" for x in sorted(findings.SEVERITIES))}, '
+  }},
+  "tool": {{
+    "name": "lodestar",
+    "version": "0.1"
+  }}
+}}') AS text FROM ({_FOUND_BY}) GROUP BY 1"""
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _sql(spark, sf_dir, f"SELECT publisher AS iri FROM {_SURVEY}")
     return survey.neighbours(refs, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr("CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END").alias("iri"), (F.col("c_custkey") % 5 != 0).alias("ok")))
 
 
-_OWN: tuple[Query, ...] = (validate_all, large_documents, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, neighbours)
+_OWN: tuple[Query, ...] = (validate_all, large_documents, ref_resolution_supplied, finalize_counts, gate, closure, compact_iri, identifier_allow_list, saved_names, first_id_wins, supplied_first_wins, markup_inventory, class_mapping, property_mapping, extract_notes, extract_and_validate, markup_survey, rollup_by_type, type_table_pooled, publisher_concentration, publisher_labels, two_run_diff, two_run_moves, error_table, code_shares, settled, only_unverifiable, exclusions, residue, registry_references, annotations, rendered_texts, rendered_json, neighbours)
 
 
 _ERRORS_SQL = f"""WITH e AS ({projection.expected("CTID_BARE_UUID", "CTID_MALFORMED", "CTID_URI_MISMATCH", "REGISTRY_URI_MALFORMED")}),
@@ -430,6 +490,8 @@ def oracle_sql() -> dict[str, str]:
         "saved_names": f"SELECT k, CASE k % {len(_URLS)} {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, (_, n) in enumerate(_URLS))} END AS name FROM (SELECT DISTINCT o_orderkey AS k FROM orders)",
         "registry_references": f"SELECT doc_id, value AS iris FROM ({_OPEN}) WHERE kind_no = 0 AND code = 'REF_OUTSIDE_PAYLOAD'",
         "annotations": _ANNOTATIONS_SQL,
+        "rendered_texts": _TEXTS_SQL,
+        "rendered_json": _JSON_SQL,
         "rollup_by_type": _ROLLUP_SQL,
         "type_table_pooled": f"WITH t AS (SELECT CASE WHEN k % 1000 < 10 THEN concat('rare', k % 1000) ELSE type END AS type FROM {_SURVEY}), n AS (SELECT type, count(*) AS c FROM t GROUP BY 1) SELECT CASE WHEN c >= 1000 THEN type ELSE 'all other types' END AS type, sum(c)::BIGINT AS documents FROM n GROUP BY 1",
         "publisher_concentration": f"WITH n AS (SELECT publisher, count(*) AS c FROM ({_PUBLISHERS}) GROUP BY 1), t AS (SELECT count(*) AS keys, sum(c)::BIGINT AS documents FROM n), f AS (SELECT c FROM n ORDER BY c DESC, publisher LIMIT 5) SELECT keys, documents, round_even(100.0 * (SELECT max(c) FROM f) / documents, 0)::BIGINT AS top1_share, round_even(100.0 * (SELECT sum(c) FROM f) / documents, 0)::BIGINT AS top5_share FROM t",

@@ -217,7 +217,7 @@ def test_survey_edges(spark):
     assert survey.requests(10, 5, 1, 17) == {"implied": 17, "recorded": 17}
 
 
-@pytest.mark.parametrize("name", ["validate_all", "large_documents", "closure", "two_run_diff", "two_run_moves", "error_table", "code_shares", "ref_resolution_supplied", "extract_notes", "extract_and_validate", "markup_survey", "rollup_by_type", "identifier_allow_list", "saved_names", "residue", "only_unverifiable", "publisher_concentration", "exclusions", "annotations"])
+@pytest.mark.parametrize("name", ["validate_all", "large_documents", "closure", "two_run_diff", "two_run_moves", "error_table", "code_shares", "rendered_texts", "rendered_json", "ref_resolution_supplied", "extract_notes", "extract_and_validate", "markup_survey", "rollup_by_type", "identifier_allow_list", "saved_names", "residue", "only_unverifiable", "publisher_concentration", "exclusions", "annotations"])
 def test_queries_match_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
