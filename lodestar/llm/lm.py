@@ -19,8 +19,10 @@ to every task, so each piece of text asks the segments for its different words
 and bigrams, a task answers all that came to a segment in one reading, and the
 answers go back.  Both ways ask the same bits and give the same scores.
 
-Words are told apart by their segment and 48 bits of hash: of 100 million words
-about 18 pairs are expected to share the bits, and few of these the segment too.
+Words are told apart by their segment and 48 bits of hash, some of which choose the
+segment: of 100 million words about 18 pairs are expected to share the bits, and such a
+pair counts as one word where it shares the segment, as it always does if the number of segments
+is a power of two up to 65,536.
 
 Defined results: a null text is the empty text, scored as its end alone;
 without training documents every count is 0; repeated rows score alike; a very
