@@ -173,7 +173,8 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: f
 def taken_pieces(mixed: Mix) -> DataFrame:
     """The pieces of documents that the mix takes, with ``times``: blocks joined to slots by index."""
     times = mixed.slots.groupBy("source_ix", "block").agg(F.count("*").alias("times"))
-    return mixed.pieces.join(times, ["source_ix", "block"])
+    # Blocks grow with the input, though Spark sees that they come from the short table of counts: not to be broadcast.
+    return mixed.pieces.join(times.hint("merge"), ["source_ix", "block"])
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
