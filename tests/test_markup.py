@@ -177,7 +177,7 @@ def test_paragraphs_left_open_are_no_depth(spark):
     """As in the pages at hand: `<p><b>` that is never closed, hundreds of times in a long page."""
     open_ = "<p><b>a<br>" * 300 + "</i>"
     item = '<div itemscope itemtype="https://schema.org/Organization"><span itemprop="name">College</span></div>'
-    got = pages(spark, before=open_ + item, around=item.replace("College", open_), within=open_ + "<div>" * 300, items=item[:-6] + '<p itemprop="about" itemscope>' * 300)
+    got = pages(spark, before=open_ + item, around=item.replace("College", open_), within=open_ + "<div>" * 300, items=item[:-6] + '<b itemprop="about" itemscope>' * 300)
     assert [(i["path"], [(v["term"], v["text"]) for v in i["props"]]) for i in got["before"]["items"]] == [("microdata[0]", [("schema:name", "College")])]
     assert got["around"]["items"][0]["props"][0]["text"] == "a" * 300
     assert all(got[k]["error"].startswith("MarkupError") and not got[k]["items"] for k in ("within", "items"))
