@@ -38,11 +38,19 @@ SELECT k, cast(k as varchar(20)) AS doc_id, c,
 FROM (SELECT DISTINCT o_orderkey AS k, o_custkey AS c FROM orders)"""
 
 
+#: Rows that one task makes documents of.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A table that may be one small file, dealt out before its rows become documents: over all cores, and in parts of TASK_ROWS."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), key)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw of one document for each order."""
-    # Two numbers a row are spread before they become documents, as the table may be one small file.
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").createOrReplaceTempView("orders")
+    dealt(orders, "o_orderkey").createOrReplaceTempView("orders")
     f = spark.sql(FIELDS)
     q = lambda c: F.concat(F.lit('"'), F.col(c) if isinstance(c, str) else c, F.lit('"'))
     lit, when = F.lit, F.when
