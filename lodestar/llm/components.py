@@ -5,7 +5,7 @@ After Kiveris and others, "Connected Components in MapReduce and Beyond" (2014).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -16,17 +16,27 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
+def _either(first: Column, second: Column) -> Column:
+    return F.explode(F.array(first, second)).alias("e")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours point to its least neighbour (or itself); edges (a, b) with a > b come and go."""
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(_either(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).select("e.*")
     to = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     return to.distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point to the least of them."""
-    to = edges.join(_least(edges), "a").select("a", "b", "m")
-    return to.select("a", F.col("m").alias("b")).unionAll(to.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    to = edges.join(_least(edges), "a")
+    return to.select(_either(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).select("e.*").where("a != b").distinct()
+
+
+def unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that point to several nodes, or are pointed to and point on; none are left when every node points to one that points nowhere."""
+    ends = edges.select(_either(F.struct(F.col("a").alias("node"), F.lit(1).alias("from_")), F.struct(F.col("b").alias("node"), F.lit(0).alias("from_"))))
+    return ends.groupBy("e.node").agg(F.sum("e.from_").alias("points"), F.min("e.from_").alias("least")).where("points > 1 OR (points = 1 AND least = 0)")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,15 +44,23 @@ def components(links: DataFrame) -> DataFrame:
 
     A round is two large stars and a small one; it ends when every node points to
     one node that points nowhere.  Rounds grow with the logarithm of a chain's
-    length: 6 on chains of 1,600 links, whatever the order of their ids.  Rounds
-    are written to the shared folder; only a count comes back.
+    length: 6 on chains of 1,600 links, whatever the order of their ids.  It
+    is written to the shared folder; only whether a node is unsettled comes back.
     """
     edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    while unsettled(edges).limit(1).count():
         edges = cut(small_star(large_star(large_star(edges))))
-        above = edges.select(F.col("a").alias("b")).distinct()
-        loose = edges.groupBy("a").count().where("count > 1").select("a").unionAll(edges.join(above, "b", "left_semi").select("a"))
-        if not loose.limit(1).count():
-            break
     own = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(own)
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label as ``components`` gives it for the links behind ``label`` and some more ``links`` (a, b): only labels that those join are worked on."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = cut(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b").distinct())
+    later = cut(components(between).select(F.col("node").alias("label"), F.col("label").alias("later")))
+    known = label.join(later, "label", "left").select("node", F.coalesce("later", "label").alias("label"))
+    # Nodes that no earlier link has are their own labels.
+    new = later.join(label.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("later").alias("label"))
+    return known.unionAll(new)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tokens, chunks, cut, doc_text, map_batches, mix
-from .components import components
+from .components import components, joined
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS, BITS = 32, 4, 2
@@ -216,7 +216,7 @@ def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_m
     stars = likely(shared.where("class_id != pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct())
     nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     first = confirmed(docs, nearest, k, percent)
-    label = components(first)
+    label = cut(components(first))
 
     # What is left: members of one bucket in different components.
     placed = cut(shared.select("band", "key", "class_id").join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "key", "class_id", F.coalesce("label", "class_id").alias("label")))
@@ -239,7 +239,7 @@ def link(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, pairs_per_m
         once = (F.col("own_step_a") != F.col("own_step_b")) | (F.col("step") == F.col("own_step_a"))
         rest = rest.unionAll(met.where(enough & once).select("a", "b"))
     second = confirmed(docs, likely(rest.distinct()), k, percent)
-    label = components(first.unionAll(second))
+    label = joined(label, second)
 
     named = sketch.drop("sig", "bands").join(classes, own, "left").join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
     top = F.when(F.col("n_shingles") > 0, F.coalesce("label", "class_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -37,3 +37,23 @@ def test_many_components(spark):
 
 def test_no_links(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_round_is_planned_with_few_exchanges(spark):
+    """A star that stands in a plan several times costs the driver memory with each round."""
+    edges = components.cut(spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"))
+    assert _exchanges(components.small_star(edges)) <= 4
+    assert _exchanges(components.large_star(edges)) <= 4
+
+
+@pytest.mark.parametrize("links", [[], [(7, 3), (9, 20), (20, 30), (1, 30), (40, 41)]])
+def test_more_links_join_known_labels(spark, links):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(3, 2), (5, 3), (9, 8)]
+    want = {(r["node"], r["label"]) for r in components.components(frame(first + links)).collect()}
+    got = components.joined(components.cut(components.components(frame(first))), frame(links)).collect()
+    assert len(got) == len(want) and {(r["node"], r["label"]) for r in got} == want
