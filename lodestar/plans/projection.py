@@ -148,13 +148,21 @@ _LARGE = f"SELECT DISTINCT cast(l_suppkey as varchar(20)) AS doc_id, {_OF} AS pa
 
 def large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw: a competency that names its children (but every seventh), which name it, another or none; and frameworks, of which it names none."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    rows = spark.sql(_LARGE)
-    up = F.when(F.col("i") % 3 == 1, F.concat(F.lit(', "ceasn:isChildOf": "'), "parent", F.lit('"'))).when(F.col("i") % 3 == 2, F.lit(', "ceasn:isChildOf": "https://s.example/other"')).otherwise("")
-    child = F.concat(F.lit('{"@id": "'), "item", F.lit('", "@type": "ceasn:Competency"'), up, F.lit("}"))
-    framework = F.when(F.col("i") == 1, F.concat(F.lit('{"@id": "'), "item", F.lit('/f", "@type": "ceasn:CompetencyFramework"}')))
-    named = F.when(F.col("i") != 7, F.concat(F.lit('"'), "item", F.lit('"')))
-    one = rows.groupBy("doc_id", "parent").agg(*(F.array_join(F.collect_list(c), ", ").alias(n) for n, c in (("children", child), ("frameworks", framework), ("named", named))))  # a document is a row
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber")
+    # Keys are told apart and gathered as numbers; texts, twenty times as large, are made of them where the document is.
+    held = dealt(keys, "l_suppkey").groupBy("l_suppkey").agg(F.collect_set(F.struct("l_orderkey", "l_linenumber")).alias("rows"))  # a document is a row
+    text = lambda c: c.cast("string")
+    parent = F.concat(F.lit("https://s.example/"), text(F.col("l_suppkey")))
+    item = lambda r: F.concat(F.lit("https://i.example/"), text(r["l_orderkey"]), F.lit("-"), text(r["l_linenumber"]))
+
+    def child(r: F.Column) -> F.Column:
+        i = r["l_linenumber"]
+        up = F.when(i % 3 == 1, F.concat(F.lit(', "ceasn:isChildOf": "'), "parent", F.lit('"'))).when(i % 3 == 2, F.lit(', "ceasn:isChildOf": "https://s.example/other"')).otherwise("")
+        return F.concat(F.lit('{"@id": "'), item(r), F.lit('", "@type": "ceasn:Competency"'), up, F.lit("}"))
+
+    framework = lambda r: F.when(r["l_linenumber"] == 1, F.concat(F.lit('{"@id": "'), item(r), F.lit('/f", "@type": "ceasn:CompetencyFramework"}')))
+    named = lambda r: F.when(r["l_linenumber"] != 7, F.concat(F.lit('"'), item(r), F.lit('"')))
+    one = held.select(text(F.col("l_suppkey")).alias("doc_id"), parent.alias("parent"), "rows").select("doc_id", "parent", *(F.array_join(F.transform("rows", c), ", ").alias(n) for n, c in (("children", child), ("frameworks", framework), ("named", named))))  # nulls are left out
     first = F.concat(F.lit('{"@id": "'), "parent", F.lit('", "@type": "ceasn:Competency", "ceasn:isPartOf": "https://f.example/gone", "ceasn:hasChild": ['), "named", F.lit("]}"))
     nodes = F.concat_ws(", ", first, "children", F.when(F.col("frameworks") != "", F.col("frameworks")))
     return one.select("doc_id", F.concat(F.lit('{"@graph": ['), nodes, F.lit("]}")).alias("raw"))

@@ -53,6 +53,7 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverses and frameworks in documents of hundreds of nodes."""
     s = checks.session(projection.large(spark, sf_dir), mini())
+    s.keep_references()  # both checks read them
     found = checks.inverses(s).unionAll(checks.frameworks(s))
     return found.select(*COLUMNS).distinct()
 
