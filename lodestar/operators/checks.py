@@ -75,7 +75,8 @@ class Session:
         nodes = self.nodes.where("error IS NULL")
         own = nodes.where("node_id IS NOT NULL").select("doc_id", F.concat(F.lit("i"), "node_id").alias("ref"), F.col("ord").alias("turn"), F.lit(None).cast("string").alias("t_own"), F.col("known").alias("t_known"))
         within = nodes.where(~F.col("path").rlike(OUTERMOST)).select("doc_id", F.concat(F.lit("p"), "path").alias("ref"), (-F.col("ord")).alias("turn"), F.col("label").alias("t_own"), F.col("known").alias("t_known"))
-        targets = own.unionAll(within).groupBy("doc_id", "ref").agg(F.min("turn").alias("turn"), *(F.min_by(c, "turn").alias(c) for c in ("t_own", "t_known")))
+        # Ids are mostly there once, so that nothing is gained by combining them before they move (and sorting them for it).
+        targets = own.unionAll(within).repartition("doc_id", "ref").groupBy("doc_id", "ref").agg(F.min("turn").alias("turn"), *(F.min_by(c, "turn").alias(c) for c in ("t_own", "t_known")))
         names = self.properties.where(wanted).select("prop")
         ref = F.when(F.col("kind") == "str", F.concat(F.lit("i"), "text")).otherwise(F.concat(F.lit("p"), "target"))
         unnamed = F.when(F.col("node_id").isNull(), F.col("label"))
@@ -141,30 +142,30 @@ def _cases(df: DataFrame, cases: list[tuple[Column, str, str, Column, Column]],
 
 def ctid_format(s: Session) -> DataFrame:
     """Check 1: CTIDs, and registry URIs anywhere."""
-    values = values_of(s.nodes)
     v, is_text = F.col("text"), F.col("kind") == "str"
     shaped, bare = is_text & is_ctid(v), is_text & is_bare_uuid(v)
-    structure = _rule(*_CTID_RULE)
-    ctids = _cases(
-        values.where(F.col("prop") == CTID),
+    structure, of_uri = _rule(*_CTID_RULE), _rule(*_URI_RULE)
+    t, is_ctid_prop = F.col("tail"), F.col("prop") == CTID
+    malformed = F.when(is_bare_uuid(t), _say("A registry URI whose CTID lacks its ce- prefix")).otherwise(_say("A registry URI that does not end in a CTID"))
+    own = registry_tail(F.col("node_id"))
+    values = values_of(s.nodes).where(is_ctid_prop | is_text).withColumns({"tail": F.when(is_text, registry_tail(v)), "own": F.when(is_ctid_prop & is_text, own)}).where(is_ctid_prop | F.col("tail").isNotNull())
+    own = F.col("own")
+    found = _cases(
+        values,
         [
-            (~is_text, "CTID_MALFORMED", "ERROR", _say("A CTID is text: ", GRAMMAR), structure),
-            (bare, "CTID_BARE_UUID", "ERROR", _say("A UUID without its ce- prefix; a CTID is ", GRAMMAR), structure),
-            (is_text & ~shaped & ~bare, "CTID_MALFORMED", "ERROR", _say("Not a CTID: ", GRAMMAR), structure),
-            (shaped & ~is_lower(v), "CTID_UPPERCASE", "WARNING", _say("Upper case in a CTID"), _rule("RFC 4122: UUIDs are written in lower case", RFC_4122_URL, RETRIEVED)),
-            (shaped & ~is_v4(v), "CTID_NOT_UUIDV4", "WARNING", _say("The version or variant digit is not that of UUID v4"), structure),
+            (is_ctid_prop & ~is_text, "CTID_MALFORMED", "ERROR", _say("A CTID is text: ", GRAMMAR), structure),
+            (is_ctid_prop & bare, "CTID_BARE_UUID", "ERROR", _say("A UUID without its ce- prefix; a CTID is ", GRAMMAR), structure),
+            (is_ctid_prop & is_text & ~shaped & ~bare, "CTID_MALFORMED", "ERROR", _say("Not a CTID: ", GRAMMAR), structure),
+            (is_ctid_prop & shaped & ~is_lower(v), "CTID_UPPERCASE", "WARNING", _say("Upper case in a CTID"), _rule("RFC 4122: UUIDs are written in lower case", RFC_4122_URL, RETRIEVED)),
+            (is_ctid_prop & shaped & ~is_v4(v), "CTID_NOT_UUIDV4", "WARNING", _say("The version or variant digit is not that of UUID v4"), structure),
+            (t.isNotNull() & ~is_ctid(t), "REGISTRY_URI_MALFORMED", "ERROR", malformed, of_uri),
+            (own.isNotNull() & is_ctid(own) & shaped & (v != own), "CTID_URI_MISMATCH", "ERROR", _say("The CTID ", v, " is not the one in the @id, ", own), of_uri),
         ],
         F.col("prop"),
         v,
     )
-    ids = s.nodes.where("node_id IS NOT NULL").select("doc_id", "label", F.lit("@id").alias("prop"), F.col("node_id").alias("text"))
-    named = ids.unionByName(values.where(is_text).select("doc_id", "label", "prop", "text")).withColumn("tail", registry_tail(v)).where("tail IS NOT NULL")
-    t = F.col("tail")
-    uris = _findings(named.where(~is_ctid(t)), "REGISTRY_URI_MALFORMED", "ERROR", F.col("prop"), v, F.when(is_bare_uuid(t), _say("A registry URI whose CTID lacks its ce- prefix")).otherwise(_say("A registry URI that does not end in a CTID")), _rule(*_URI_RULE))
-    own = values.where((F.col("prop") == CTID) & is_text & F.col("node_id").isNotNull()).withColumn("tail", registry_tail(F.col("node_id")))
-    differ = own.where(is_ctid(t) & is_ctid(v) & (v != t))
-    mismatch = _findings(differ, "CTID_URI_MISMATCH", "ERROR", CTID, v, _say("The CTID ", v, " is not the one in the @id, ", t), _rule(*_URI_RULE))
-    return ctids.unionAll(uris).unionAll(mismatch)
+    ids = s.nodes.where("node_id IS NOT NULL").select("doc_id", "label", F.col("node_id").alias("text")).withColumn("tail", registry_tail(v)).where(t.isNotNull() & ~is_ctid(t))
+    return found.unionAll(_findings(ids, "REGISTRY_URI_MALFORMED", "ERROR", "@id", v, malformed, of_uri))
 
 
 def identifier_kind(s: Session) -> DataFrame:
@@ -352,7 +353,17 @@ def validate(s: Session) -> DataFrame:
     return every(s).dropDuplicates()
 
 
+def _told_apart(s: Session, *shown: str) -> DataFrame:
+    """The columns ``shown`` of all findings, each once: what is not shown is told apart by 128 bits of hash, as its texts are not asked for."""
+    rest = [c for c in ("code", "severity", "entity", "property", "value", "message", "rule") if c not in shown]
+    return every(s).select(*shown, F.xxhash64(*rest).alias("_a"), F.xxhash64(F.lit(1), *reversed(rest)).alias("_b")).dropDuplicates().select(*shown)
+
+
+def validated(s: Session) -> DataFrame:
+    """All findings without their messages and rules, each as often as ``validate`` has it."""
+    return _told_apart(s, "doc_id", "code", "severity", "entity", "property", "value")
+
+
 def severities(s: Session) -> DataFrame:
-    """doc_id, severity of all findings, each once: findings are told apart by 128 bits of hash, as their texts are not asked for."""
-    rest = ["code", "entity", "property", "value", "message", "rule"]
-    return every(s).select("doc_id", "severity", F.xxhash64(*rest).alias("a"), F.xxhash64(F.lit(1), *reversed(rest)).alias("b")).dropDuplicates().select("doc_id", "severity")
+    """doc_id, severity of all findings, each once."""
+    return _told_apart(s, "doc_id", "severity")
