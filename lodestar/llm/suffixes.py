@@ -30,6 +30,8 @@ and long ties are settled by ranks of a sample of positions:
 A text may also be taken as its words (``words=True``): an element is then the
 64-bit hash of a word instead of a byte, ``length`` and ``gram`` count words, and
 a span goes from the start of its first word to the end of its last.
+``without_repeats_and_passages`` does both, each on the whole input: passages of
+over 50 words are often under 400 bytes.
 
 Contexts are named by two 64-bit hashes.  A passage that a third of all
 documents share is counted, with sums in every task before the shuffle.  Python
@@ -46,14 +48,14 @@ any name beside those read are left as they are; an empty table gives an empty r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASHES, chunks, cut, map_batches, mix, powers
+from .common import BYTE_HASHES, chunks, cut, map_batches, mix, passing, powers
 
 LENGTH = 400
 GRAM = 128
@@ -292,6 +294,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 SPAN = "doc long, hash long, start int, stop int"
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def _rows_of(windows: np.ndarray) -> np.ndarray:
@@ -423,14 +426,14 @@ def _buckets(length: int, width: int):
     return run
 
 
-def _bytes_of(texts: DataFrame, runs_: DataFrame, length: int, width: int) -> DataFrame:
+def _bytes_of(texts: DataFrame, runs_: DataFrame, length: int, width: int, cut: Keep) -> DataFrame:
     """FRAGMENT: the bytes that each run's strings cover."""
     grouped = cut(runs_.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "last", "sample", "gram", "witness")).alias("runs")))
     own = _joined(texts, grouped.select("doc", "hash")).groupBy("doc", "hash").agg(F.first("text").alias("text"))
     return map_batches(own.join(grouped, ["doc", "hash"]).select("doc", "hash", "text", "runs"), _fragments(length, width), FRAGMENT)
 
 
-def _large_buckets(fragments: DataFrame, length: int, block: int, width: int) -> DataFrame:
+def _large_buckets(fragments: DataFrame, length: int, block: int, width: int, cut: Keep) -> DataFrame:
     """Spans of repeated suffixes, by counting blocks and then suffixes."""
     fragments = cut(fragments)
     ranked = cut(map_batches(fragments, _ranked(length, block, False, width), RANKED))
@@ -449,7 +452,7 @@ def _large_buckets(fragments: DataFrame, length: int, block: int, width: int) ->
     return by_block.unionAll(by_suffix)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS, words: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bucket_runs: int = BUCKET_RUNS, words: bool = False, cut: Keep = cut) -> DataFrame:
     """doc, hash, spans: sorted spans of bytes (or words) to remove (start, stop), for texts that have any; they may overlap."""
     width = 8 if words else 1
     texts = keyed(docs)
@@ -461,12 +464,12 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     met = cut(found.join(shared, ["gram", "context"]).withColumn("witness", F.col("n") > 1).withColumn("open", (F.col("contexts") > 1) & ((F.col("n") == 1) | (place == F.col("head")))).select("doc", "hash", "first", "last", "sample", "gram", "contexts", "witness", "open"))
     # A bucket's open runs are one for each of its contexts.
     open_ = met.where("open")
-    light = _bytes_of(texts, open_.where(F.col("contexts") <= bucket_runs), length, width)
+    light = _bytes_of(texts, open_.where(F.col("contexts") <= bucket_runs), length, width, cut)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = map_batches(light.repartition(partitions, "gram").sortWithinPartitions("gram"), _buckets(length, width), SPAN)
     heavy = open_.where(F.col("contexts") > bucket_runs)
     if heavy.limit(1).count():
-        spans = spans.unionAll(_large_buckets(_bytes_of(texts, heavy, length, width), length, block, width))
+        spans = spans.unionAll(_large_buckets(_bytes_of(texts, heavy, length, width, cut), length, block, width, cut))
     settled = met.where("witness").select("doc", "hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     return settled.unionAll(spans).groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
@@ -489,25 +492,64 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, *more: str, words: bool = False, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans and the columns ``more``, for every row."""
-    spans = repeated_spans(docs, words=words, **options)
-    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *more)
+def _word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes."""
+    if not spans:
+        return []
+    first, last = word_places(text)
+    return [(int(first[s]), int(last[e - 1])) for s, e in spans]
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,stop:int>>"
+PASSAGES = "n_passages long, n_passage_words long, text_without_passages string"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.int64(), pa.int64(), pa.string())
+
+
+def _cut_texts(rows: DataFrame, more: tuple[str, ...], words: bool, passages: bool) -> DataFrame:
+    """CUT, PASSAGES where asked for, and ``more``, of doc_id, text, spans and their words' ``passages``."""
     kinds = dict(rows.dtypes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,stop:int>>" + "".join(f", {m} {kinds[m]}" for m in more)
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", *more]
+    schema = ", ".join([CUT, *[PASSAGES] * passages, *(f"{m} {kinds[m]}" for m in more)])
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for whole in batches for b in chunks(whole)):
             out = []
-            for text, own in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
-                own = _spans(own)
-                if words and own:
-                    first, last = word_places(text)
-                    own = [(int(first[s]), int(last[e - 1])) for s, e in own]
+            long_ = b.column("passages").to_pylist() if passages else [None] * b.num_rows
+            for text, own, over in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), long_):
+                own = _word_spans(text, _spans(own)) if words else _spans(own)
                 kept = kept_bytes(text, own)
-                out.append((len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": s, "stop": e} for s, e in own]))
-            yield pa.record_batch([b.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types)), *(b.column(m) for m in more)], names=names)
+                row = (len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), [{"start": s, "stop": e} for s, e in own])
+                if passages:
+                    over = _spans(over)
+                    row += (len(over), sum(e - s for s, e in over), kept_bytes(text, _word_spans(text, over)).decode())
+                out.append(row)
+            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES[: 6 + 3 * passages])]
+            yield pa.record_batch([b.column("doc_id"), *cols, *(b.column(m) for m in more)], names=names)
+
+    return map_batches(rows, run, schema)
 
-    return map_batches(rows.join(spans, ["doc", "hash"], "left").select("doc_id", "text", "spans", *more), run, schema)
+
+def without_repeats(docs: DataFrame, *more: str, words: bool = False, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans and the columns ``more``, for every row."""
+    spans = repeated_spans(docs, words=words, **options)
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *more)
+    return _cut_texts(rows.join(spans, ["doc", "hash"], "left").select("doc_id", "text", "spans", *more), more, words, False)
+
+
+def without_repeats_and_passages(docs: DataFrame, *more: str, passage_words: int = PASSAGE_WORDS, passage_gram: int = PASSAGE_GRAM, **options) -> DataFrame:
+    """The columns of ``without_repeats`` by bytes, and then, of the same texts, those of passages by words.
+
+    A word goes with a string of ``passage_words`` words that starts anywhere else too, whatever its
+    bytes and the space between its words: n_passages maximal runs of such words with
+    n_passage_words words in all, and text_without_passages, which is the text without these alone.
+    """
+
+    def settled(**how) -> DataFrame:
+        # Of one search only its spans are left when the next one begins.
+        with passing(docs.sparkSession) as keep:
+            return cut(repeated_spans(docs, cut=keep, **how))
+
+    spans, passages = settled(**options), settled(words=True, length=passage_words, gram=passage_gram)
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *more)
+    found = spans.join(passages.withColumnRenamed("spans", "passages"), ["doc", "hash"], "full")
+    return _cut_texts(rows.join(found, ["doc", "hash"], "left").select("doc_id", "text", "spans", "passages", *more), more, False, True)

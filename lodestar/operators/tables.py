@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, under: str = "lodestar") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it: later jobs start from the files, and lost executors lose nothing."""
-    at = f"{shared_dir(df.sparkSession)}/lodestar/{uuid.uuid4().hex}"
+    at = f"{shared_dir(df.sparkSession)}/{under}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)  # identifiers are half the size that they have otherwise
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``kept`` for tables that nothing reads after the block, at whose end they are deleted."""
+    under = f"lodestar/{uuid.uuid4().hex}"
+    yield lambda df: kept(df, under)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{under}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
