@@ -61,8 +61,9 @@ LENGTH = 400
 GRAM = 128
 BLOCK = 16
 BUCKET_RUNS = 1000
-#: Bytes of text that are hashed at a time, and suffixes that are sorted at a time.
+#: Bytes of text that are read at a time; the part of them that is hashed at a time, whose hashes stay in a core's cache; and suffixes that are sorted at a time.
 PIECE = 1 << 19
+HASHED = 4
 SORTED = 1 << 14
 #: A passage of over 50 words holds a string of so many; grams of so many.
 PASSAGE_WORDS, PASSAGE_GRAM = 51, 16
@@ -86,10 +87,10 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Pieces of about PIECE bytes that end at a space, and where they start."""
+    """Pieces of about PIECE / HASHED bytes that end at a space, and where they start."""
     at = 0
     while at < len(text):
-        end = at + PIECE
+        end = at + PIECE // HASHED
         while end < len(text) and text[end] != 32 and not 9 <= text[end] <= 13:
             end += 1
         yield at, text[at:end]
@@ -184,12 +185,13 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gra
 
 
 def _pieces(texts: list[bytes], length: int, width: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts (index, offset in elements, bytes) in groups of about PIECE bytes; longer texts are cut by the suffixes that start in a piece."""
-    group, size, step = [], 0, max(1, PIECE // width)
+    """Texts (index, offset in elements, bytes) in groups of about PIECE / HASHED bytes; longer texts are cut by the suffixes that start in a piece."""
+    group, size, room = [], 0, PIECE // HASHED
+    step = max(1, room // width)
     for k, t in enumerate(texts):
         for at in range(0, max(1, len(t) // width - length + 1), step):
             part = t[at * width : (at + step + length - 1) * width]
-            if group and size + len(part) > PIECE:
+            if group and size + len(part) > room:
                 yield group
                 group, size = [], 0
             group.append((k, at, part))
